@@ -1 +1,146 @@
-"""Queries."""
+"""Queries of text functions and joins by text over documents, pages and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracewell.functions import rules, shell, text
+from tracewell.operators import mentions as M
+from tracewell.plans.catalog import on_tables
+
+LINE = r"""substr(trim(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(lower(trim({c})), '^exit code:?\s*-?[0-9]+\s*[:.\-]?\s*', ''), '\s+', ' ', 'g'), ' '),
+    lambda w: regexp_replace(regexp_replace(w, '^(['||chr(39)||'"`,;()\[\]{{}}<>]*)(?:[a-z]:)?[/\\].*[/\\]([^/\\'||chr(39)||'"`,;()\[\]{{}}<>]+[/\\]*['||chr(39)||'"`,;()\[\]{{}}<>]*)$', '\1\2'), '^(['||chr(39)||'"`,;()\[\]{{}}<>]*)(?:[a-z]:)?[/\\]([^/\\]+)$', '\1\2')), ' '), '[0-9]+', '#', 'g')), 1, 120)"""
+
+
+@on_tables("H1_normalized_urls", "SELECT page_id, " + LINE.format(c="'Exit code 2: at /' || url || ' line ' || page_id") + " AS line FROM pages")
+def _(read):
+    c = F.concat(F.lit("Exit code 2: at /"), F.col("url"), F.lit(" line "), F.col("page_id").cast("string"))
+    return read("pages").select("page_id", text.normalized_line(c).alias("line"))
+
+
+@on_tables("H2_evidence_lines", """
+SELECT doc_id, list_filter(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), lambda x: regexp_matches(x, '(?i)error|fail|fatal|cannot|denied|not found|exception|panic|refused|blocked|rejected|unable to')
+    AND NOT (length(x) >= 3 AND (regexp_matches(x, '^(?:[=\\-_*~#!+]| )+$'))) AND NOT regexp_matches(lower(x), '^(chunk id:|wall time|process exited with code|original token count:|output:|script failed|script error:|script completed|total output lines:|warning: truncated output)'))[1] AS line
+FROM documents""")
+def _(read):
+    return read("documents").select("doc_id", text.evidence_line(F.coalesce("text", F.lit("")), F.lit("")).alias("line"))
+
+
+@on_tables("H13_project_keys", "SELECT page_id, CASE WHEN instr(url, '/en/') > 1 AND split_part(substr(url, instr(url, '/en/') + 4), '/', 1) <> '' THEN substr(url, 1, instr(url, '/en/') - 1) ELSE url END AS project, CASE WHEN instr(url, '/en/') > 1 AND split_part(substr(url, instr(url, '/en/') + 4), '/', 1) <> '' THEN split_part(substr(url, instr(url, '/en/') + 4), '/', 1) END AS worktree FROM pages")
+def _(read):
+    project, worktree = text.project_key(F.col("url"), marker="/en/")
+    return read("pages").select("page_id", project.alias("project"), worktree.alias("worktree"))
+
+
+@on_tables("H14_labels", "SELECT page_id, list_filter(string_split(url, '/'), lambda x: x <> '')[-1] AS label FROM pages")
+def _(read):
+    return read("pages").select("page_id", text.project_label(F.col("url")).alias("label"))
+
+
+def _tags_sql() -> str:
+    parts = []
+    for tag, words in text.TASK_TAGS.items():
+        any_of = " OR ".join(f"contains(lower(text), '{w}')" for w in words)
+        parts.append(f"CASE WHEN {any_of} THEN '{tag}' END")
+    return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
+
+
+@on_tables("H15_task_tags", f"SELECT conv_id, turn, array_to_string(CASE WHEN len(t) = 0 THEN ['recorded-task'] ELSE list_sort(t) END, ',') AS tags FROM (SELECT conv_id, turn, {_tags_sql()} AS t FROM conversations WHERE role = 'user' AND length(trim(text)) >= 2)")
+def _(read):
+    rows = read("conversations").filter("role = 'user' and length(trim(text)) >= 2")
+    return rows.select("conv_id", "turn", F.array_join(text.task_tags(F.col("text")), ",").alias("tags"))
+
+
+@on_tables("H16_shape_classes", "SELECT user_id, string_agg(DISTINCT lower(event_type), '|' ORDER BY lower(event_type)) AS shape FROM events GROUP BY user_id")
+def _(read):
+    tags = read("events").groupBy("user_id").agg(F.collect_set(F.concat(F.lit(" "), F.upper("event_type"))).alias("t"))
+    return tags.select("user_id", text.shape_class(F.col("t")).alias("shape"))
+
+
+@on_tables("P8_injected", "SELECT conv_id, turn, turn % 5 = 0 OR turn % 5 = 1 AS injected FROM conversations")
+def _(read):
+    t = F.when(F.col("turn") % 5 == 0, F.concat(F.lit("  <system-reminder>"), F.col("text"))).when(F.col("turn") % 5 == 1, F.concat(F.lit("<teammate-message id=1>"), F.col("text"))).otherwise(F.concat(F.lit("x <bash-input>"), F.col("text")))
+    return read("conversations").select("conv_id", "turn", rules.is_injected(t).alias("injected"))
+
+
+@on_tables("P9_noise", "SELECT conv_id, turn, trim(coalesce(text, '')) = '' OR contains(text, '<INSTRUCTIONS>') OR starts_with(trim(text), 'File does not exist') AS noise, lower(trim(role)) IN ('user', 'assistant', 'tool') AS counted FROM conversations")
+def _(read):
+    return read("conversations").select("conv_id", "turn", text.is_noise(F.col("text")).alias("noise"), text.is_transcript_role(F.col("role")).alias("counted"))
+
+
+@on_tables("H21_bounded_text", "SELECT conv_id, turn, CASE WHEN length(trim(text)) > 160 THEN substr(trim(text), 1, 160) || '…' ELSE trim(text) END AS text, length(trim(text)) > 160 AS cut FROM conversations")
+def _(read):
+    t, cut = text.bounded(F.col("text"), 160)
+    return read("conversations").select("conv_id", "turn", t.alias("text"), cut.alias("cut"))
+
+
+@on_tables("H5_outcomes", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'true' END AS is_error, CASE WHEN doc_id % 4 = 1 THEN (doc_id % 7)::INT END AS exit_code FROM documents")
+def _(read):
+    out = F.concat_ws("\n", F.when(F.col("doc_id") % 3 == 0, "Script failed"), F.lit("body"), F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit(" exit code: "), (F.col("doc_id") % 7).cast("string"))))
+    err, code = text.outcome(out, F.lit(None).cast("boolean"), F.lit(None).cast("int"))
+    return read("documents").select("doc_id", err.cast("string").alias("is_error"), code.alias("exit_code"))
+
+
+@on_tables("H3_categories", """
+SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'permission_denied' WHEN 1 THEN 'command_not_found' WHEN 2 THEN 'file_not_found' WHEN 3 THEN 'timeout' WHEN 4 THEN 'test_failure' WHEN 5 THEN 'expected_exit' WHEN 6 THEN 'nonzero_exit' END AS category FROM documents""")
+def _(read):
+    k = F.col("doc_id") % 8
+    out = F.when(k == 0, "x: Permission denied").when(k == 2, "open: ENOENT").when(k == 3, "it Timed Out").when(k == 4, "2 FAILED tests FAIL").otherwise("plain words")
+    command = F.when(k == 4, "pytest -q").when(k == 5, "grep a b").otherwise("run it")
+    code = F.when(k == 1, 127).when(k == 5, 1).when(k == 6, 3)
+    null = F.lit(None)
+    name, _ = rules.category(text=F.lit(""), output=out, command=command, tool=F.lit("bash"), exit_code=code, is_error=null.cast("boolean"), abort_reason=null.cast("string"), expected=shell.expected_udf(command, code))
+    return read("documents").select("doc_id", name.alias("category"))
+
+
+@on_tables("H8_programs", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'git' WHEN 1 THEN 'make' WHEN 2 THEN 'cd' WHEN 3 THEN 'rg' ELSE 'curl' END AS program FROM orders")
+def _(read):
+    k = F.col("o_orderkey") % 5
+    command = F.when(k == 0, "cd /x && git status | head").when(k == 1, "A=1 sudo make 'a;b'").when(k == 2, "cd /tmp").when(k == 3, "echo hi; rg -n 'x && y' src").otherwise("R=$(curl -s u) ")
+    rows = read("orders").select("o_orderkey", command.alias("command"))
+    return shell.with_programs(rows).select("o_orderkey", "program")
+
+
+@on_tables("H19_search", "SELECT doc_id, 1 AS matches FROM documents WHERE contains(lower(text), 'license')")
+def _(read):
+    return text.search(read("documents"), "LICENSE", ["text"]).select("doc_id", "matches")
+
+
+@on_tables("H19_trigram_search", "SELECT item_id FROM benchmark WHERE contains(lower(text), 'the ')")
+def _(read):
+    rows = read("benchmark")
+    return M.trigram_search(M.trigram_index(rows, key="item_id", text="text"), rows, "The ", key="item_id", text="text").select("item_id")
+
+
+@on_tables("H17_references", "SELECT doc_id, 'command' AS kind, 'run' || (doc_id % 3) AS value FROM documents UNION ALL SELECT doc_id, 'path', '/a/b' || doc_id FROM documents WHERE doc_id % 2 = 0")
+def _(read):
+    made = F.concat(F.lit("words\n- Reference: command run"), (F.col("doc_id") % 3).cast("string"), F.lit("\nreference: other x"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n reference:  PATH /a/b"), F.col("doc_id").cast("string"))).otherwise(""))
+    return read("documents").select("doc_id", F.explode(text.references(made)).alias("r")).select("doc_id", "r.kind", "r.value")
+
+
+@on_tables("J16_longest_prefix", """
+, r AS (SELECT DISTINCT split_part(url, '/', 1) || '//' || split_part(url, '/', 3) AS root FROM pages UNION SELECT DISTINCT split_part(url, '/', 1) || '//' || split_part(url, '/', 3) || '/' || split_part(url, '/', 4) FROM pages WHERE page_id % 3 = 0)
+SELECT p.page_id, arg_max(r.root, length(r.root)) AS root_id FROM pages p LEFT JOIN r ON p.url = r.root OR starts_with(p.url, r.root || '/') OR starts_with(p.url, r.root || '#') GROUP BY p.page_id""".replace(", r AS", "WITH r AS", 1))
+def _(read):
+    pages, part = read("pages"), lambda n: F.split_part(F.col("url"), F.lit("/"), F.lit(n))
+    site = F.concat(part(1), F.lit("//"), part(3))
+    roots = pages.select(site.alias("root")).union(pages.filter("page_id % 3 = 0").select(F.concat(site, F.lit("/"), part(4)))).distinct().withColumn("root_id", F.col("root"))
+    return M.longest_prefix(pages, roots, path="url", root="root", root_id="root_id").select("page_id", "root_id")
+
+
+@on_tables("J26_reference_check", "SELECT item_id, kind, (CASE WHEN kind = 'tool' THEN NULL WHEN item_id % 2 = 0 THEN 'true' ELSE 'false' END) AS \"exists\" FROM (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'command' WHEN 1 THEN 'path' ELSE 'tool' END AS kind FROM benchmark)")
+def _(read):
+    kind = F.when(F.col("item_id") % 3 == 0, "command").when(F.col("item_id") % 3 == 1, "path").otherwise("tool")
+    refs = read("benchmark").select("item_id", kind.alias("kind"), F.col("item_id").cast("string").alias("value"))
+    return M.reference_check(refs, refs.filter("item_id % 2 = 0 and kind <> 'tool'")).select("item_id", "kind", F.col("exists").cast("string").alias("exists"))
+
+
+@on_tables("U4_keywords_in_text", "SELECT doc_id, array_to_string(list_filter(['MIT', 'token', 'the '], lambda k: contains(lower(text), lower(k))), ',') AS found FROM documents")
+def _(read):
+    return read("documents").select("doc_id", F.array_join(text.keywords_in(F.col("text"), ["MIT", "token", "the "]), ",").alias("found"))
+
+
+@on_tables("J27_locators", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN (SELECT o_orderkey AS l_orderkey, 1 AS l_linenumber FROM orders WHERE o_orderkey % 10 = 0) USING (l_orderkey, l_linenumber)")
+def _(read):
+    wanted = read("orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"))
+    return read("lineitem").join(wanted, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_partkey")
