@@ -127,3 +127,23 @@ def _(a):
     total = F.sum(F.round(F.col("value") * 100).cast("long")).over(W.partitionBy("user_id").orderBy("event_id"))
     rows = a.events.withColumn("total", total).withColumn("total", F.when(F.col("event_type") != "view", F.col("total")))
     return R.turn_costs(rows, by=["user_id"], order="event_id", opens=F.col("event_type") == "click", total="total").select("user_id", F.col("turn").cast("long").alias("turn"), "turn_tokens")
+
+
+@on_activity("T4_live_loops", """
+, w AS (SELECT session_id, signature, unnest(list_transform(range(12), lambda i: time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '2000-01-01') - i * INTERVAL 5 MINUTE)) AS s FROM (SELECT session_id, category AS signature, ts FROM v_friction))
+SELECT epoch_us(s) // 1000 AS window_start, session_id, signature, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 2""")
+def _(a):
+    from tracewell.streaming import jobs
+
+    rows = a.friction.select("session_id", F.col("category").alias("signature"), "ts")
+    return jobs.loops(rows, least=2).withColumn("window_start", F.unix_millis("window_start"))
+
+
+@on_activity("T5_idle_gap_sessions", """
+, l AS (SELECT user_id, ts, ts > lag(ts) OVER w + INTERVAL 6 HOUR AS new FROM v_events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT user_id, ts, sum(coalesce(new, true)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM l)
+SELECT user_id, epoch_us(min(ts)) // 1000 AS started_at, (epoch_us(max(ts)) + 21600000000) // 1000 AS ends_at, count(*) AS n FROM g GROUP BY user_id, g""")
+def _(a):
+    from tracewell.streaming import jobs
+
+    return jobs.idle_gap_sessions(a.events, gap="6 hours").withColumns({"started_at": F.unix_millis("started_at"), "ends_at": F.unix_millis("ends_at")})
