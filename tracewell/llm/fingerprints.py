@@ -89,12 +89,15 @@ def following(ids: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text and next_text of every row."""
+    """doc_id, text and next_text of every row.
+
+    Texts are shuffled twice: by their own id, which both joins share, and to
+    the document that they follow.
+    """
     rows = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
-    nexts = following(rows.select("doc_id"))
-    single = rows.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("text").alias("next_text"))
-    after = nexts.join(single, nexts["next_id"].eqNullSafe(single["next_id"])).select(F.col("doc_id").alias("_id"), "next_text")
-    return rows.join(after, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "next_text")
+    before = following(rows.select("doc_id")).select(F.col("doc_id").alias("to"), F.col("next_id").alias("from"))
+    sent = rows.join(before, F.col("doc_id").eqNullSafe(F.col("from"))).groupBy("to").agg(F.min("text").alias("next_text"))
+    return rows.join(sent, F.col("doc_id").eqNullSafe(F.col("to"))).select("doc_id", "text", "next_text")
 
 
 def compare_edited(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
