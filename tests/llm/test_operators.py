@@ -1,0 +1,451 @@
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracewell.llm import fingerprints, idcodec, licenses, mixing, neardup, neighbours, packing, quality, secrets, tokens, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, blob string, spans string, size int"
+
+
+def frame(spark, rows):
+    """Documents with further columns whose names clash with those the operators use."""
+    return spark.createDataFrame([(i, t, None, s, None if t is None else len(t), "x", "y", 7) for i, t, s in rows], SCHEMA)
+
+
+ODD = [(1, None, None), (2, "", "a"), (3, "word", "a"), (3, "word", "a"), (4, "word", None), (5, "é ñ 日本 ☃ ​ x\x1f", "b"), (6, "long " * 30_000, "b"), (None, "no id", "c"), (7, "\n\n  \n", "c")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return frame(spark, ODD)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(n, seed, vocabulary=400):
+    rng = np.random.default_rng(seed)
+    return [f"w{k}" for k in rng.integers(0, vocabulary, n)]
+
+
+# Licences
+
+
+def test_licence_places_match_a_plain_search():
+    auto = licenses.Automaton(licenses.PHRASES, licenses.TEMPLATES)
+    rng = np.random.default_rng(1)
+    pool = [w for p in licenses.PHRASES for w in p.split()] + ["zz", "the", "license"]
+    for _ in range(300):
+        got = [pool[k] for k in rng.integers(0, len(pool), 40)] + list(licenses.PHRASES)[rng.integers(0, 3)].split()
+        text = " ".join(got).upper()
+        want = sorted((p, i) for p, phrase in enumerate(licenses.PHRASES) for i in range(len(got)) if got[i : i + len(phrase.split())] == phrase.split())
+        assert sorted(auto.scan(text)["places"]) == want
+
+
+def test_licence_template_is_chained_over_small_gaps(spark):
+    t = licenses.TEMPLATES["bsd"].split()
+    text = " ".join(["x"] * 7 + t[:20] + ["odd", "words"] + t[20:] + ["y"])
+    [row] = licenses.scan(frame(spark, [(1, text, "a"), ])).collect()
+    assert row["labels"] == ["bsd"] and row["base_labels"] == [] and row["score"] > 0.9
+    assert (row["spans"][0]["first_word"], row["spans"][0]["end_word"]) == (7, 7 + len(t) + 2)
+
+
+def test_licence_words_are_whole():
+    text = "Under-the MIT_license é1 ÀB x²"
+    assert [w.decode() for w in licenses.words(text)] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+
+
+# Packing
+
+
+def test_pieces_cut_long_documents_with_the_short_piece_first(spark):
+    enc = tokens.encoder(tokens.tokenizer_path())
+    text = "token stream " * 1500
+    rows = packing.pieces(frame(spark, [(1, text, "a"), (2, None, "a")])).orderBy("doc_id", "piece").collect()
+    ids = enc.ids(text)
+    n = len(ids) // 4
+    mine = [r for r in rows if r["doc_id"] == 1]
+    assert [r["length"] for r in mine] == [n % 1024] + [1024] * (n // 1024)
+    assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] * 4 : (r["start"] + r["length"]) * 4]) for r in mine)
+    assert [(r["length"], r["start"]) for r in rows if r["doc_id"] == 2] == [(1, 0)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_is_complete_and_near_the_bound(seed):
+    rng = np.random.default_rng(seed)
+    sizes = [rng.integers(1, 1025, 400), rng.integers(300, 520, 300), np.full(500, 340), np.concatenate((np.full(999, 1024), rng.integers(1, 40, 2000)))][seed]
+    counts = np.bincount(sizes, minlength=1025)
+    plan = packing.bin_completion(counts, nodes=300)
+    used = Counter()
+    for times, filling in plan:
+        assert sum(filling) <= 1024
+        for n in filling:
+            used[n] += times
+    assert used == Counter({int(n): int(c) for n, c in enumerate(counts) if c})
+    sequences = sum(m for m, _ in plan)
+    assert packing.least_sequences(counts, 1024) <= sequences <= sum(m for m, _ in packing.best_fit_decreasing(counts, 1024))
+
+
+def test_packing_finds_the_optimum_of_small_cases():
+    def brute(sizes, capacity):
+        best = len(sizes)
+
+        def go(k, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if k == len(sizes):
+                best = len(bins)
+                return
+            for i in sorted({b: i for i, b in enumerate(bins)}.values()):
+                if bins[i] + sizes[k] <= capacity:
+                    bins[i] += sizes[k]
+                    go(k + 1, bins)
+                    bins[i] -= sizes[k]
+            go(k + 1, [*bins, sizes[k]])
+
+        go(0, [])
+        return best
+
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        sizes = sorted(rng.integers(2, 17, 9).tolist(), reverse=True)
+        plan = packing.bin_completion(np.bincount(sizes, minlength=21), 20)
+        assert sum(m for m, _ in plan) <= brute(sizes, 20) + 1
+
+
+def test_sequences_are_gapless(spark):
+    docs = frame(spark, [(i, " ".join(words(5 + 37 * i % 1500, i)), "a") for i in range(120)] + [(9000, "same", "a")] * 50)
+    rows = packing.pack_documents(docs).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(rows) >= 170
+
+
+# Secrets
+
+
+def brute_spans(text):
+    kinds = {"assign": (re.compile(secrets.BASE_RULES[0][1], re.ASCII | re.IGNORECASE), 2, 12), "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 18), "hex": (re.compile(r"[0-9a-f]+"), 0, 16)}
+    found = [(m.start(), list(kinds).index(k), k, m.end()) for k, (rx, g, n) in kinds.items() for m in rx.finditer(text) if len(m[g]) >= n]
+    return [(k, s, e) for s, _, k, e in sorted(found)]
+
+
+def test_base_spans_match_plain_patterns():
+    rng = np.random.default_rng(5)
+    parts = ["password", ": ", "token", "=", '"', "'", "abcdef0123456789", "AKIA", "AKIA1234567890ABCD", "ABCDEFGH12345678", "API_KEY", "apikey", " ", "secret=secret=abcdefghijkl", "é", "ſecret=aaaaaaaaaaaaaaaa", "PassWD : ", "0" * 20]
+    base = {r[0] for r in secrets.BASE_RULES}
+    for _ in range(500):
+        text = "".join(parts[k] for k in rng.integers(0, len(parts), 12))
+        assert [s for s in secrets.find_spans(text) if s[0] in base] == brute_spans(text)
+
+
+def test_ledger_scans_unseen_blobs_only(spark):
+    first = frame(spark, [(1, "token = abcdefghijklmnop", "a"), (2, "token = abcdefghijklmnop", "a"), (3, "clean", "a")])
+    found, ledger = secrets.scan_all(first)
+    assert ledger.count() == 2 and {r["path"]: len(r["spans"]) for r in found.collect()} == {1: 1, 2: 1, 3: 0}
+    later = frame(spark, [(4, "token = abcdefghijklmnop", "a"), (5, "AKIA" + "Z" * 16, "a")])
+    new = secrets.scan_unseen(later, ledger)
+    assert [r["blob"] for r in new.collect()] == [hashlib.sha256(("AKIA" + "Z" * 16).encode()).hexdigest()]
+    assert secrets.scan_unseen(later, ledger, rules_version=2).count() == 2
+    found, whole = secrets.scan_all(later, ledger)
+    assert whole.count() == 3 and {r["path"]: len(r["spans"]) for r in found.collect()} == {4: 1, 5: 1}
+
+
+def test_redaction_takes_overlapping_spans(spark):
+    docs = frame(spark, [(1, "x token=0123456789abcdef0123 y", "a"), (2, "clean", "a"), (3, None, "a")])
+    _, ledger = secrets.scan_all(docs)
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(docs, ledger).collect()} == {1: "x <secret> y", 2: "clean", 3: None}
+
+
+# Toxicity and quality
+
+
+def test_nn_pu_separates_a_hidden_class():
+    rng = np.random.default_rng(0)
+    n, d = 1500, 12
+    hidden = rng.random(n) < 0.2
+    x = (rng.random((n, d)) < np.where(hidden[:, None], 0.6, 0.1) * (np.arange(d) < 6) + 0.2 * (np.arange(d) >= 6)).astype(np.float32)
+    labelled = hidden & (rng.random(n) < 0.4)
+    w, b = toxicity.nn_pu(np.concatenate((x[labelled], x)), np.concatenate((np.ones(labelled.sum(), bool), np.zeros(n, bool))), 0.2)
+    z = x @ w + b
+    order = np.argsort(z)
+    assert hidden[order[-150:]].mean() > 0.8 and hidden[order[:600]].mean() < 0.05
+
+
+def test_toxicity_generalises_to_held_out_rows(spark):
+    rng = np.random.default_rng(2)
+    bad = [f"slur{k}" for k in range(6)]
+    rows, marks = [], []
+    for i in range(900):
+        t = words(60, i, 3000)
+        if i % 6 == 0:
+            t += [bad[k] for k in rng.integers(0, 6, 4)]
+        rows.append((i, " ".join(t), "a"))
+        marks.append((i, int(i % 6 == 0)))
+    docs, labels = frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels.filter("doc_id % 7 < 5"))
+    got = {r["doc_id"]: r["toxic_score"] for r in toxicity.score(docs, model).collect()}
+    held = {r["doc_id"] for r in docs.filter(toxicity.held_out()).select("doc_id").collect()}
+    assert held == {i for i in range(900) if zlib.crc32(str(i).encode()) % 3 == 1}
+    hits = [got[i] >= toxicity.REJECT for i in held if i % 6 == 0]
+    false = [got[i] >= toxicity.REJECT for i in held if i % 6]
+    assert np.mean(hits) > 0.9 and np.mean(false) < 0.02
+
+
+def test_toxicity_without_positives_scores_nothing(spark, odd, nothing):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(odd, none)
+    assert {r["toxic_score"] for r in toxicity.score(odd, model).collect()} == {0.0}
+    assert toxicity.score(nothing, model).count() == 0
+
+
+def test_em_recovers_labeller_accuracies():
+    rng = np.random.default_rng(1)
+    good = rng.random(6000) < 0.6
+    right = np.array([0.9, 0.8, 0.7, 0.65])
+    votes = np.where(rng.random((6000, 4)) < right, np.where(good, 1, -1)[:, None], np.where(good, -1, 1)[:, None])
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    share, chance, post = quality.agree(patterns, counts.astype(float))
+    assert abs(share - 0.6) < 0.05
+    assert np.allclose([chance[j, 0, 2] for j in range(4)], right, atol=0.06)
+
+
+# Near duplicates
+
+
+def jaccard(a, b, k=5):
+    def bag(t):
+        w = [x.decode() for x in t.encode().translate(neardup._SEPARATORS).split()]
+        return Counter(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else Counter()
+
+    x, y = bag(a), bag(b)
+    return sum((x & y).values()) / max(1, sum((x | y).values()))
+
+
+def test_signatures_estimate_weighted_jaccard():
+    rng = np.random.default_rng(4)
+    errors = []
+    for s in range(30):
+        items = rng.integers(0, 2**63, 60).astype(np.uint64)
+        wa, wb = rng.integers(0, 9, 60), rng.integers(0, 9, 60)
+        truth = np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()
+        doc = np.repeat([0, 1], 60)
+        keep = np.concatenate((wa, wb)) > 0
+        sig = neardup.signatures(doc[keep], np.tile(items, 2)[keep], np.concatenate((wa, wb))[keep], 2, 512)
+        errors.append((sig[0] == sig[1]).mean() - truth)
+    assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.04
+
+
+def test_sketch_similarity_is_exact():
+    a = " ".join(words(200, 1, 50))
+    b = a.replace("w7 ", "w8 ", 2) + " " + a[:100]
+    sa, sb = neardup.sketch([a, b])
+    assert abs(neardup.similarity(sa[2], sb[2]) - jaccard(a, b)) < 1e-9
+
+
+def test_classes_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for g in range(25):
+        base = words(120, 100 + g, 5000)
+        texts.append(" ".join(base))
+        for _ in range(int(rng.integers(0, 4))):
+            other = list(base)
+            for at in rng.integers(0, 120, int(rng.integers(1, 5))):
+                other[at] = f"n{rng.integers(0, 10**9)}"
+            texts.append(" ".join(other))
+    texts += [texts[0]] * 40 + [None, "", "two words", "Two WORDS!"]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(frame(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    up = list(range(len(texts)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] and texts[j] and jaccard(texts[i], texts[j]) >= neardup.SIMILAR:
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_a_large_group_is_one_class(spark):
+    base = words(150, 5, 5000)
+    rows = [(0, " ".join(base), "a")]
+    for i in range(1, 200):
+        other = list(base)
+        other[(i * 7) % 140] = f"n{i}"
+        other[(i * 11) % 140] = f"m{i}"
+        rows.append((i, " ".join(other), "a"))
+    assert {r["class_id"] for r in neardup.classes(frame(spark, rows)).collect()} == {0}
+
+
+# Fingerprints
+
+
+def test_fingerprints_ignore_order_and_take_deletions(spark):
+    rows = spark.createDataFrame([("a\nb\nb", "b\na\nb", "b\na", "b")], "x string, y string, z string, p string")
+    c = {k: fingerprints.lanes(F.col(k)) for k in "xyzp"}
+    [r] = rows.select(c["x"].alias("x"), c["y"].alias("y"), c["z"].alias("z"), fingerprints.combined(c["x"], c["p"], -1).alias("less"), fingerprints.likeness(c["x"], c["y"]).alias("same"), fingerprints.likeness(c["x"], c["p"]).alias("unlike")).collect()
+    assert r["x"] == r["y"] and r["less"] == r["z"] and r["same"] == 1.0 and r["unlike"] < 1
+
+
+def test_edited_texts_follow_descending_ids(spark, nothing):
+    texts = {5: "abcdefgh", 3: "xyz", 9: "é日" * 4, 1: ""}
+    got = {r["doc_id"]: r for r in fingerprints.compare_edited(frame(spark, [(i, t, "a") for i, t in texts.items()])).collect()}
+    order = sorted(texts, reverse=True)
+    for i, d in enumerate(order):
+        t, n = texts[d], texts[order[(i + 1) % 4]]
+        half = len(t) // 2
+        assert got[d]["edited_sha256"] == hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()
+    assert fingerprints.compare_edited(nothing).count() == 0
+
+
+# Token ids
+
+
+def test_codec_round_trips():
+    rng = np.random.default_rng(0)
+    for docs in ([], [[2]], [list(range(3000)), [], [5] * 5000], [rng.integers(0, 60000, 2500).tolist() for _ in range(3)], [(rng.zipf(1.3, 9000) % 50000).tolist()]):
+        raw = [np.asarray(d, "<u4").tobytes() for d in docs]
+        assert [d.astype("<u4").tobytes() for d in idcodec.decode_segment(idcodec.encode_segment(raw))] == raw
+
+
+def test_codec_learns_and_finds_damage():
+    ids = np.tile(np.arange(40), 500)
+    data = idcodec.encode_segment([ids.astype("<u4").tobytes()])
+    assert len(data) < len(ids) / 2
+    broken = bytearray(data)
+    broken[-40] ^= 4
+    with pytest.raises(ValueError):
+        idcodec.decode_segment(bytes(broken))
+    broken = bytearray(data)
+    broken[9] ^= 1
+    with pytest.raises(ValueError):
+        idcodec.decode_segment(bytes(broken))
+
+
+def test_cached_pieces_give_the_tokenizer_ids():
+    enc = tokens.encoder(tokens.tokenizer_path())
+    for text in ("It's  we'll _x_  \n\n tab\t end ", "é ñ 日本 ☃ ​ x\x1f ² ªº", "a<|endoftext|>b", "12,345.6 %$ '' 'S", "Ǆ‘quotes’ ‐ \xa0nbsp \xad"):
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == [*enc.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_files_read_back_in_order(spark):
+    docs = frame(spark, [(i * 7 % 101, " ".join(words(i % 40, i)), "a") for i in range(101)])
+    got = idcodec.write_and_read(docs).orderBy("key").collect()
+    enc, at = tokens.encoder(tokens.tokenizer_path()), 0
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in got:
+        ids = enc.ids(texts[r["key"]])
+        assert (r["start"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) == (at, len(ids) // 4, zlib.crc32(ids), ids)
+        at += r["n_tokens"]
+    assert [r["key"] for r in got] == sorted(texts)
+
+
+# Neighbours
+
+
+def test_probing_retrieves_every_code_within_the_radius():
+    rng = np.random.default_rng(0)
+    subs = rng.integers(0, 16, (400, 8)).astype(np.uint8)
+    index = neighbours.MultiIndex(subs)
+    for radius in (0, 1, 5, 8, 11, 13):
+        for q in subs[:20]:
+            assert index.within(q, radius).tolist() == np.flatnonzero(np.bitwise_count(subs ^ q).sum(1) <= radius).tolist()
+
+
+def test_search_recall_and_odd_vectors(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 32), (5002, [float("nan")] + [1.0] * 31), (5003, [1.0, 2.0]), (5004, [None] + [1.0] * 31)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(v, v.filter("vec_id % 50 = 0")).toPandas()
+    s = x[::50] @ x.T
+    s[np.arange(30), np.arange(0, 1500, 50)] = -np.inf
+    top = np.argsort(-s, axis=1)[:, :20]
+    found = got.groupby("query_id")["vec_id"].apply(set)
+    assert got["query_id"].nunique() == 30 and got["vec_id"].max() < 1500
+    assert np.mean([len(found[q * 50] & set(t)) / 20 for q, t in enumerate(top)]) >= 0.9
+
+
+def test_search_with_few_or_no_vectors(spark):
+    v = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.search(v, v.filter("vec_id = 20")).orderBy("rank").collect()] == [(20, 1, 1), (20, 2, 2)]
+    assert neighbours.search(v.limit(0), v.limit(0)).count() == 0
+
+
+# Mixing
+
+
+def brute_targets(sizes):
+    """Shares by weight, the excess over three times a source's size shared again."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-32-be")) + ([None] if None in sizes else [])
+    weight = {s: 1 + i % 3 for i, s in enumerate(names)}
+    total, target, capped = sum(sizes.values()), {}, {}
+    while True:
+        open_ = [s for s in names if s not in capped]
+        left = total - sum(capped.values())
+        target = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        over = {s: 3 * sizes[s] for s in open_ if target[s] > 3 * sizes[s]}
+        if not over:
+            return {**target, **capped}
+        capped |= over
+
+
+def test_mix_meets_targets(spark, nothing):
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(words(int(rng.integers(1, 60)), i)), ["é", "z", "b", "tiny", None][min(4, int(rng.integers(0, 60)) // 12) if i % 300 else 3]) for i in range(1500)]
+    rows = [(i, t, "tiny" if i == 7 else ("z" if s == "tiny" else s)) for i, t, s in rows]
+    got = mixing.mix(frame(spark, rows)).collect()
+    sizes = Counter()
+    for i, t, s in rows:
+        sizes[s] += len(t.split())
+    want = brute_targets(dict(sizes))
+    taken, biggest = Counter(), 60
+    for r in got:
+        assert abs(r["target"] - want[r["source"]]) < 1e-3 and r["source_size"] == sizes[r["source"]] and 0 <= r["times"] <= 3
+        taken[r["source"]] += r["size"] * r["times"]
+    assert all(abs(taken[s] - want[s]) <= biggest for s in want)
+    assert mixing.mix(nothing).count() == 0
+
+
+# All of them on odd and empty tables
+
+
+@pytest.mark.parametrize(
+    "run",
+    [
+        licenses.scan,
+        packing.pack_documents,
+        lambda d: secrets.digests(secrets.scan_all(d)[0]),
+        neardup.classes,
+        fingerprints.compare_edited,
+        idcodec.write_and_read,
+        lambda d: quality.score(d, quality.fit(d, quality.label(d))),
+        mixing.mix,
+    ],
+    ids=["licenses", "packing", "secrets", "neardup", "fingerprints", "idcodec", "quality", "mixing"],
+)
+def test_odd_rows_and_empty_tables(odd, nothing, run):
+    got = run(odd)
+    rows = got.collect()
+    assert len(rows) >= len(ODD)
+    assert run(nothing).count() == 0

@@ -29,8 +29,11 @@ from tracewell.llm.tables import stored, text_or_empty
 
 #: Rows at most that the classifiers are fitted on: confirmed positives, and unlabelled texts.
 POSITIVES, UNLABELLED = 12_000, 24_000
-#: Classifiers, features at most, share of toxic texts assumed in the corpus, and the score from which a text is rejected.
-MEMBERS, FEATURES, PRIOR, REJECT = 3, 768, 0.1, 0.7
+#: Classifiers, features at most, and the score from which a text is rejected.
+MEMBERS, FEATURES, REJECT = 3, 768, 0.7
+#: Bounds of the class prior, and how much above the share of toxic rows among the labelled ones it is set:
+#: a prior below the true share would hold the scores of toxic texts down, one above it is caught by the bound at zero.
+PRIOR_BOUNDS, PRIOR_MARGIN = (0.01, 0.5), 1.15
 PREFIXES = (4, 5, 6)
 
 #: ASCII letters and all bytes beyond ASCII make words; texts are lower-cased before.
@@ -102,8 +105,14 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", prior: float = PRIOR, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Fit on bounded samples: ``positives`` confirmed rows, ``unlabelled`` texts of the corpus, held-out rows excluded."""
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+    """Fit on bounded samples: ``positives`` confirmed rows, ``unlabelled`` texts of the corpus, held-out rows excluded.
+
+    The class prior comes from the labelled rows unless it is given.
+    """
+    if prior is None:
+        share = labels.filter(~held_out(key)).agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
+        prior = min(max(share * PRIOR_MARGIN, PRIOR_BOUNDS[0]), PRIOR_BOUNDS[1])
     confirmed = labels.filter((F.col(label) == 1) & ~held_out(key)).select(F.col(key).alias("key")).distinct()
     rows = docs.filter(~held_out(key)).select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
     chosen_p = _sample(confirmed, positives).withColumn("positive", F.lit(True))
