@@ -94,10 +94,12 @@ def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Da
     Texts are shuffled twice: by their own id, which both joins share, and to
     the document that they follow.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
-    before = following(rows.select("doc_id")).select(F.col("doc_id").alias("to"), F.col("next_id").alias("from"))
-    sent = rows.join(before, F.col("doc_id").eqNullSafe(F.col("from"))).groupBy("to").agg(F.min("text").alias("next_text"))
-    return rows.join(sent, F.col("doc_id").eqNullSafe(F.col("to"))).select("doc_id", "text", "next_text")
+    # Ids as texts that are never null, so that grouping and joining share one partitioning.
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    rows = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("own", named("doc_id"))
+    before = following(rows.select("doc_id")).select(named("doc_id").alias("to"), named("next_id").alias("own"))
+    sent = rows.join(before, "own").groupBy("to").agg(F.min("text").alias("next_text"))
+    return rows.join(sent, F.col("own") == F.col("to")).select("doc_id", "text", "next_text")
 
 
 def compare_edited(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
