@@ -62,35 +62,40 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> Plan:
 def fillings(counts: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room`` with up to three pieces, least waste first, at most ``width`` of them.
 
-    One piece that fills the room as far as any other filling dominates them
-    all; among equals the filling with the largest piece comes first.
+    A filling with fewer and larger pieces dominates one that fills as much
+    with more, so among equals it comes first.
     """
-    found: list[tuple[int, ...]] = []
-    there = counts > 0
-    if room <= 0 or not there[1 : room + 1].any():
+    lengths = np.flatnonzero(counts[: room + 1] > 0)
+    if not lengths.size:
         return [()]
-    for total in range(room, 0, -1):
-        if there[total]:
-            found.append((total,))
-        else:
-            a = np.arange((total + 1) // 2, total)
-            ok = there[a] & there[total - a] & ((a * 2 != total) | (counts[a] > 1))
-            found += [(int(x), total - int(x)) for x in a[ok][::-1][:width]]
-            if not ok.any() and room - total < 4:
-                for big in np.nonzero(there[:total])[0][::-1][:16]:
-                    rest = total - int(big)
-                    b = np.arange((rest + 1) // 2, min(rest, int(big) + 1))
-                    b = b[there[b] & there[rest - b]] if len(b) else b
-                    for x in map(int, b[::-1][:width]):
-                        trio = (int(big), x, rest - x)
-                        if rest - x > 0 and all(counts[k] >= v for k, v in Counter(trio).items()):
-                            found.append(trio)
-                            break
-                    if len(found) >= width:
-                        break
-        if found:
-            break
-    return found[:width] or [()]
+    # The longest piece there is that is no longer than each length; 0 for none.
+    upto = np.zeros(room + 1, np.int64)
+    upto[lengths] = lengths
+    upto = np.maximum.accumulate(upto)
+
+    def partner(a: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The longest piece beside ``a`` that fits what is left and is not longer."""
+        b = upto[np.minimum(left, a)]
+        twice = (b == a) & (counts[a] < 2)
+        return np.where(twice, upto[np.minimum(left, a - 1)], b)
+
+    big = lengths[::-1]
+    second = partner(big, room - big)
+    found = {(int(big[0]),): int(big[0])}
+    sums = big + second
+    for i in np.argsort(-sums, kind="stable")[:width]:
+        if second[i]:
+            found[int(big[i]), int(second[i])] = int(sums[i])
+    if max(found.values()) < room:
+        for x in map(int, big[:16]):
+            b = lengths[lengths <= min(x, room - x)][::-1]
+            if b.size:
+                third = partner(b, room - x - b)
+                i = int(np.argmax(b + third))
+                trio = (x, int(b[i]), int(third[i]))
+                if trio[2] and all(counts[k] >= v for k, v in Counter(trio).items()):
+                    found[trio] = sum(trio)
+    return sorted(found, key=lambda f: (-found[f], len(f), tuple(-x for x in f)))[:width]
 
 
 def least_sequences(counts: np.ndarray, capacity: int) -> int:
