@@ -118,7 +118,7 @@ def task_tags(text: Column, cwd: Column | None = None, tags: Mapping[str, Sequen
     found = F.array_compact(F.array(*told))
     found = F.when(F.size(found) == 0, F.array(F.lit("recorded-task"))).otherwise(found)
     if cwd is not None:
-        place = slug(F.element_at(F.split(F.rtrim(cwd), "/"), -1))
+        place = slug(F.element_at(F.split(F.regexp_replace(cwd, "/+$", ""), "/"), -1))
         found = F.concat(found, F.array_compact(F.array(F.when(F.coalesce(place, F.lit("")) != "", F.concat(F.lit("workspace-"), place)))))
     return F.when(is_task_text(text), F.array_sort(found))
 
