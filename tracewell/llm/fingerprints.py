@@ -94,12 +94,16 @@ def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Da
     Texts are shuffled twice: by their own id, which both joins share, and to
     the document that they follow.
     """
-    # Ids as texts that are never null, so that grouping and joining share one partitioning.
+    # Ids as texts that are never null, so that grouping and joining share one partitioning. Rows carry nothing
+    # else, as the two joins read the same shuffle only if they need the same columns of it.
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    rows = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("own", named("doc_id"))
-    before = following(rows.select("doc_id")).select(named("doc_id").alias("to"), named("next_id").alias("own"))
+    ids = docs.select(F.col(key).alias("doc_id"))
+    rows = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text")).select(named("doc_id").alias("own"), "text")
+    before = following(ids).select(named("doc_id").alias("to"), named("next_id").alias("own"))
     sent = rows.join(before, "own").groupBy("to").agg(F.min("text").alias("next_text"))
-    return rows.join(sent, F.col("own") == F.col("to")).select("doc_id", "text", "next_text")
+    kind = docs.schema[key].dataType
+    doc_id = F.when(F.col("own") != "", F.expr("substring(own, 2)").cast(kind)).alias("doc_id")
+    return rows.join(sent, F.col("own") == F.col("to")).select(doc_id, "text", "next_text")
 
 
 def compare_edited(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
