@@ -47,8 +47,8 @@ _U = np.uint64
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """stretch (4096 entries, ln(p / (1 - p)) in 1/256) and its inverse squash (by stretch + 2048), both as integers from one rule."""
     x = (np.arange(4096) - 2047.5) / 256
-    squash = np.clip(np.floor(4096 / (1 + np.exp(-x)) + 0.5), 1, 4095).astype(np.int32)
-    stretch = np.searchsorted(squash, np.arange(4096), "left").clip(0, 4095).astype(np.int32) - 2048
+    squash = np.clip(np.floor(4096 / (1 + np.exp(-x)) + 0.5), 1, 4095).astype(np.int64)
+    stretch = np.searchsorted(squash, np.arange(4096), "left").clip(0, 4095).astype(np.int64) - 2048
     return stretch, squash
 
 
@@ -72,9 +72,9 @@ class _Coder:
 
     def narrow(self, i: np.ndarray, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         """Lanes i take the part [start, start + size) of 4096."""
-        low = self.low[i] + unit * start.astype(_U)
+        low = self.low.take(i) + unit * start.astype(_U)
         span = unit * size.astype(_U)
-        settled = ((low ^ (low + span)) >> _U(32)) == 0
+        settled = (low ^ (low + span)) < _U(1 << 32)
         move = np.flatnonzero(settled | (span < _U(1 << 20)))
         if move.size:
             m, lo, sp = i[move], low[move], span[move]
@@ -90,21 +90,21 @@ class _Coder:
 
     def flag(self, i: np.ndarray, p: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
         """One yes or no for each of the lanes i, yes with probability p / 4096."""
-        unit = self.range[i] >> _U(_BITS)
+        unit = self.range.take(i) >> _U(_BITS)
         if bit is None:
-            bit = (self.code[i] - self.low[i]) < unit * p.astype(_U)
+            bit = (self.code.take(i) - self.low.take(i)) < unit * p.astype(_U)
         self.narrow(i, unit, np.where(bit, 0, p), np.where(bit, p, _ONE - p))
         return bit
 
     def digit(self, i: np.ndarray, bounds: np.ndarray, digit: np.ndarray | None) -> np.ndarray:
         """One of 16 for each of the lanes i; bounds: its lower bounds out of 4096."""
-        unit = self.range[i] >> _U(_BITS)
+        unit = self.range.take(i) >> _U(_BITS)
         if digit is None:
-            value = np.minimum((self.code[i] - self.low[i]) // unit, _U(_ONE - 1)).astype(np.int16)
+            value = np.minimum((self.code.take(i) - self.low.take(i)) // unit, _U(_ONE - 1)).astype(np.int16)
             digit = (bounds <= value[:, None]).sum(1) - 1
-        k = np.arange(len(i))
-        start = bounds[k, digit].astype(np.int64)
-        end = np.where(digit < 15, bounds[k, np.minimum(digit + 1, 15)], _ONE)
+        flat, at = bounds.reshape(-1), np.arange(0, 16 * len(i), 16) + digit
+        start = flat.take(at).astype(np.int64)
+        end = np.where(digit < 15, flat.take(np.minimum(at + 1, 16 * len(i) - 1)), _ONE)
         self.narrow(i, unit, start, end - start)
         return digit
 
@@ -124,10 +124,9 @@ class _Model:
         self.one = np.zeros(lanes * _SLOTS, np.uint16)
         self.sure2 = np.zeros(lanes * _SLOTS, np.uint8)  # 0: none yet, else how often in a row it held
         self.sure1 = np.zeros(lanes * _SLOTS, np.uint8)
-        self.hit = np.full((lanes, 3, 8), _ONE // 2, np.int32)  # by question and reliability
-        self.weight = np.full((lanes, 2), 1 << 15, np.int32)
+        self.hit = np.full(lanes * 24, _ONE // 2, np.int64)  # by question (three of eight) and reliability
+        self.weight = np.full((2, lanes), 1 << 15, np.int64)
         self.digits = np.tile(_EVEN, (lanes * 273, 1))  # lower bounds; contexts: none, first digit, first two
-        self.last = np.full((lanes, 16), 0, np.int16)
 
 
 def _run(coder: _Coder, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
@@ -145,49 +144,53 @@ def _run(coder: _Coder, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarr
         c1, c2 = b1[:n], b2[:n]
         s1 = base_all[:n] + ((c1 * 40503) >> 4 & (_SLOTS - 1))
         s2 = base_all[:n] + (((c1 * 30011 + c2 * 12007) >> 3) & (_SLOTS - 1))
-        p1, p2 = m.one[s1].astype(np.int64), m.two[s2].astype(np.int64)
-        r1, r2 = m.sure1[s1], m.sure2[s2]
+        p1, p2 = m.one.take(s1).astype(np.int64), m.two.take(s2).astype(np.int64)
+        r1, r2 = m.sure1.take(s1), m.sure2.take(s2)
         value = np.full(n, -1, np.int64)
         # Order 2, its probability mixed from the record of both orders.
         i = np.flatnonzero(r2)
         if i.size:
-            agree = np.where((p1[i] == p2[i]) & (r1[i] > 0), r1[i], 0)
-            h0, h1 = m.hit[i, 0, r2[i]], m.hit[i, 1, agree]
-            x0, x1 = _STRETCH[h0], _STRETCH[h1]
-            w = m.weight[i]
-            p = _SQUASH[np.clip((w[:, 0] * x0 + w[:, 1] * x1) >> 16, -2047, 2047) + 2048]
-            bit = coder.flag(i, p, None if true is None else true[i] == p2[i])
-            goal = np.where(bit, _ONE - 1, 0)
-            m.hit[i, 0, r2[i]] = h0 + ((goal - h0) >> 4)
-            m.hit[i, 1, agree] = h1 + ((goal - h1) >> 4)
+            own2, own1 = r2.take(i).astype(np.int64), r1.take(i).astype(np.int64)
+            guess = p2.take(i)
+            at0 = i * 24 + own2
+            at1 = i * 24 + 8 + np.where(p1.take(i) == guess, own1, 0)
+            h0, h1 = m.hit.take(at0), m.hit.take(at1)
+            x0, x1 = _STRETCH.take(h0), _STRETCH.take(h1)
+            w0, w1 = m.weight[0].take(i), m.weight[1].take(i)
+            p = _SQUASH.take(np.minimum(np.maximum((w0 * x0 + w1 * x1) >> 16, -2047), 2047) + 2048)
+            bit = coder.flag(i, p, None if true is None else true.take(i) == guess)
+            goal = bit * (_ONE - 1)
+            m.hit[at0] = h0 + ((goal - h0) >> 4)
+            m.hit[at1] = h1 + ((goal - h1) >> 4)
             err = goal - p
-            w[:, 0] += (x0 * err) >> 10
-            w[:, 1] += (x1 * err) >> 10
-            m.weight[i] = np.clip(w, 0, 1 << 18)
-            value[i[bit]] = p2[i[bit]]
+            m.weight[0][i] = np.minimum(np.maximum(w0 + ((x0 * err) >> 10), 0), 1 << 18)
+            m.weight[1][i] = np.minimum(np.maximum(w1 + ((x1 * err) >> 10), 0), 1 << 18)
+            value[i[bit]] = guess[bit]
         # Order 1, unless it says what has just been ruled out.
         i = np.flatnonzero((value < 0) & (r1 > 0) & ((p1 != p2) | (r2 == 0)))
         if i.size:
-            h = m.hit[i, 2, r1[i]]
-            bit = coder.flag(i, np.clip(h, 32, _ONE - 32), None if true is None else true[i] == p1[i])
-            m.hit[i, 2, r1[i]] = h + ((np.where(bit, _ONE - 1, 0) - h) >> 4)
-            value[i[bit]] = p1[i[bit]]
+            guess = p1.take(i)
+            at0 = i * 24 + 16 + r1.take(i)
+            h = m.hit.take(at0)
+            bit = coder.flag(i, np.minimum(np.maximum(h, 32), _ONE - 32), None if true is None else true.take(i) == guess)
+            m.hit[at0] = h + ((bit * (_ONE - 1) - h) >> 4)
+            value[i[bit]] = guess[bit]
         # Order 0.
         i = np.flatnonzero(value < 0)
         if i.size:
             so_far = np.zeros(i.size, np.int64)
+            base, mine = i * 273, None if true is None else true.take(i)
             for k in range(4):
-                ctx = i * 273 + (0 if k == 0 else 1 + so_far if k == 1 else 17 + (so_far & 255))
-                want = None if true is None else (true[i] >> (12 - 4 * k)) & 15
-                bounds = m.digits[ctx]
+                ctx = base + (0 if k == 0 else 1 + so_far if k == 1 else 17 + (so_far & 255))
+                want = None if true is None else (mine >> (12 - 4 * k)) & 15
+                bounds = m.digits.take(ctx, axis=0)
                 d = coder.digit(i, bounds, want)
-                m.digits[ctx] = bounds + ((_SEEN[d] - bounds) >> (5 if k == 3 else 4))
+                m.digits[ctx] = bounds + ((_SEEN.take(d, axis=0) - bounds) >> (5 if k == 3 else 4))
                 so_far = so_far << 4 | d
             value[i] = so_far
         if ids is None:
             got[t, :n] = value
-        for s, p, table, sure in ((s1, p1, m.one, m.sure1), (s2, p2, m.two, m.sure2)):
-            r = sure[s]
+        for s, p, r, table, sure in ((s1, p1, r1, m.one, m.sure1), (s2, p2, r2, m.two, m.sure2)):
             held = (p == value) & (r > 0)
             # A prediction that fails loses its record, and its place at the second failure in a row.
             swap = ~held & (r <= 1)
