@@ -166,3 +166,10 @@ def hint_number(signature: Column, hints: Sequence[Hint] = HINTS) -> Column:
     for i, h in reversed(list(enumerate(hints))):
         out = F.when(signature.rlike(h.pattern), i).otherwise(out)
     return out
+
+
+def friction_kind(*, text: Column, abort_reason: Column, is_error: Column, exit_code: Column) -> Column:
+    """user_interrupt, tool_error or null."""
+    stopped = (F.trim(F.coalesce(abort_reason, F.lit(""))) == "interrupted") | F.ltrim(F.coalesce(text, F.lit(""))).startswith("[Request interrupted by user")
+    failed = F.coalesce(is_error, F.lit(False)) | F.coalesce(exit_code != 0, F.lit(False))
+    return F.when(stopped, "user_interrupt").when(failed, "tool_error")

@@ -134,3 +134,8 @@ def clusters(anchors: DataFrame, transitions: DataFrame, *, days: int = 5, least
     met = near_in_time(anchors.select(F.col("id").alias("anchor_id"), F.col("ts").alias("anchor_at")), transitions.select("asset_id", F.col("ts").alias("moved_at")), left_at="anchor_at", right_at="moved_at", days=days)
     sets = met.groupBy("anchor_id", "anchor_at").agg(F.array_sort(F.collect_set("asset_id")).alias("assets")).filter(F.size("assets") >= least)
     return sets.groupBy("anchor_at", "assets").agg(F.min("anchor_id").alias("anchor_id"))
+
+
+def disposition_flag(kind: Column) -> Column:
+    """The assessment flag that a user's disposition sets; ignoring sets none."""
+    return F.when(kind.isin("prune", "archive"), "archived").when(kind == "restore", "restore").when(kind == "modify", "request_resurrection")

@@ -132,7 +132,7 @@ def _(a):
 SELECT signature, project FROM p WHERE NOT contains(signature, 'tool0') AND NOT (contains(signature, 'tool1') AND project = 'p3')""")
 def _(a):
     pairs = a.friction.select("signature", S.bucketed(F.col("project_key")).alias("project")).distinct().withColumn("keywords", F.array(F.split_part("signature", F.lit("|"), F.lit(2)), F.lit("never")))
-    rules = pairs.limit(1).select(F.explode(F.array(F.struct(F.lit("tool0").alias("keyword"), F.lit("user").alias("scope"), F.lit(None).cast("string").alias("project")), F.struct(F.lit("tool1").alias("keyword"), F.lit("project").alias("scope"), F.lit("p3").alias("project")))).alias("m")).select("m.*")
+    rules = a.spark.range(1).select(F.explode(F.array(F.struct(F.lit("tool0").alias("keyword"), F.lit("user").alias("scope"), F.lit(None).cast("string").alias("project")), F.struct(F.lit("tool1").alias("keyword"), F.lit("project").alias("scope"), F.lit("p3").alias("project")))).alias("m")).select("m.*")
     return M.uncovered(pairs, rules).select("signature", "project")
 
 
@@ -140,7 +140,7 @@ def _(a):
 def _(a):
     per = a.friction.groupBy("signature", S.bucketed(F.col("project_key")).alias("project")).agg(F.countDistinct("session_id").alias("sessions")).filter("sessions >= 2")
     pairs = per.withColumn("keywords", F.array(F.split_part("signature", F.lit("|"), F.lit(2))))
-    rules = per.limit(1).select(F.lit("tool0").alias("keyword"), F.lit("user").alias("scope"), F.lit(None).cast("string").alias("project"))
+    rules = a.spark.range(1).select(F.lit("tool0").alias("keyword"), F.lit("user").alias("scope"), F.lit(None).cast("string").alias("project"))
     return M.uncovered(pairs, rules).select("signature", "project", "sessions")
 
 
@@ -150,7 +150,7 @@ SELECT 'r1' AS asset_id, mechanism, count(*) AS records, count(DISTINCT session_
 UNION ALL SELECT 'r2', mechanism, count(*), count(DISTINCT session_id) FROM h WHERE mechanism = 'tool1' AND project = 'p3' GROUP BY mechanism""")
 def _(a):
     hits = a.friction.select("signature", F.col("tool").alias("mechanism"), S.bucketed(F.col("project_key")).alias("project"), "session_id")
-    rules = a.friction.limit(1).select(F.explode(F.array(F.struct(F.lit("r1").alias("asset_id"), F.lit("tool0").alias("mechanism"), F.lit("user").alias("scope"), F.lit("").alias("project")), F.struct(F.lit("r2").alias("asset_id"), F.lit("tool1").alias("mechanism"), F.lit("project").alias("scope"), F.lit("p3").alias("project")))).alias("m")).select("m.*")
+    rules = a.spark.range(1).select(F.explode(F.array(F.struct(F.lit("r1").alias("asset_id"), F.lit("tool0").alias("mechanism"), F.lit("user").alias("scope"), F.lit("").alias("project")), F.struct(F.lit("r2").alias("asset_id"), F.lit("tool1").alias("mechanism"), F.lit("project").alias("scope"), F.lit("p3").alias("project")))).alias("m")).select("m.*")
     return C.adherence(rules, hits)
 
 
