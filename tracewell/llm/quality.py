@@ -40,6 +40,8 @@ def votes(text: str = "text") -> dict[str, Column]:
     c = lambda x: F.coalesce(x, F.lit(0.0))
     symbols, letters, stop_share, distinct = c(share(r"[#$%&*|<>{}@~^=+\\\\]")), c(share(r"\p{L}")), c(F.try_divide(stops, words)), c(F.try_divide(F.size(F.array_distinct(lines)), F.size(lines)))
     length = c(F.try_divide(n, words))
+    capitals, tokens = c(share(r"\p{Lu}")), F.split(F.lower(t), r"\s+")
+    varied = c(F.try_divide(F.size(F.array_distinct(tokens)), F.size(tokens)))
     return {
         "symbols": vote(symbols < 0.005, symbols > 0.03),
         "letters": vote(letters > 0.74, letters < 0.65),
@@ -47,6 +49,8 @@ def votes(text: str = "text") -> dict[str, Column]:
         "lines": vote(distinct > 0.9, distinct < 0.6),
         "size": vote(words >= 60, words < 12),
         "length": vote((length > 3.5) & (length < 9), (length < 2.5) | (length > 14)),
+        "case": vote(capitals < 0.1, capitals > 0.3),
+        "varied": vote(varied > 0.4, varied < 0.2),
         "ends": vote(F.rtrim(t).rlike(r"[.!?]$"), ~t.rlike(r"[.!?]")),
     }
 
