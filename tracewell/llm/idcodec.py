@@ -274,15 +274,15 @@ def decode_segment(data: bytes) -> list[np.ndarray]:
 
 
 def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, key: str = "doc_id", text: str = "text") -> None:
-    """Token-id files at ``path``: rows (part, segment, n_ids, first to last keys, data) in ascending order of key."""
+    """Token-id files at ``path``: rows (part, segment, ids before it in its part, n_ids, keys, data) in ascending order of key."""
     bpe, kind = tokenizer or tokenizer_path(), docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, number = encoder(bpe), TaskContext.get().partitionId(), 0
-        keys, held, n = [], [], 0
+        keys, held, n, before = [], [], 0, 0
 
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([n], pa.int64()), pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(keys[0].type)), pa.array([encode_segment(held)], pa.binary())], names=["part", "segment", "n_ids", "keys", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(keys[0].type)), pa.array([encode_segment(held)], pa.binary())], names=["part", "segment", "ids_before", "n_ids", "keys", "data"])
 
         for b in batches:
             for i, t in enumerate(b.column(1)):
@@ -291,22 +291,19 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, key: str
                 n += len(held[-1]) // 4
                 if n >= SEGMENT:
                     yield close()
-                    keys, held, n, number = [], [], 0, number + 1
+                    keys, held, n, before, number = [], [], 0, before + n, number + 1
         if held:
             yield close()
 
     ordered = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).repartitionByRange(partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-    ordered.mapInArrow(run, f"part int, segment int, n_ids long, keys array<{kind}>, data binary").write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(run, f"part int, segment int, ids_before long, n_ids long, keys array<{kind}>, data binary").write.option("compression", "none").parquet(path)
 
 
 def read(files: DataFrame) -> DataFrame:
     """key, place, start, n_tokens and ids (binary, unsigned 32-bit little-endian) of every document in ``files``."""
-    # Ids before each segment: within its part, and before the part, of which there are as many as write tasks.
-    sizes = files.select("part", "segment", "n_ids")
-    of_part = sizes.groupBy("part").agg(F.sum("n_ids").alias("_n"))
-    before = of_part.select("part", F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(1)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.coalesce(F.sum("n_ids").over(W.partitionBy("part").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("_inside", inside).join(F.broadcast(before), "part").select("part", "segment", (F.col("_before") + F.col("_inside")).alias("first"))
+    # Ids before each part, of which there are as many as write tasks.
+    of_part = files.groupBy("part").agg(F.sum("n_ids").alias("_n"))
+    parts = of_part.select("part", F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(1)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     kind = files.schema["keys"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,8 +316,8 @@ def read(files: DataFrame) -> DataFrame:
                     some = [d.astype("<u4").tobytes() for d in docs[a : a + 512]]
                     yield pa.RecordBatch.from_arrays([b.column(1)[row].values.slice(a, len(some)), pa.array(start[a : a + 512]), pa.array(n[a : a + 512]), pa.array([zlib.crc32(x) for x in some], pa.int64()), pa.array(some, pa.binary())], names=["key", "start", "n_tokens", "ids_crc32", "ids"])
 
-    placed = files.select("part", "segment", "keys", "data").join(F.broadcast(starts), ["part", "segment"])
-    return placed.select("first", "keys", "data").mapInArrow(run, f"key {kind}, start long, n_tokens long, ids_crc32 long, ids binary")
+    placed = files.join(F.broadcast(parts), "part").select((F.col("_before") + F.col("ids_before")).alias("first"), "keys", "data")
+    return placed.mapInArrow(run, f"key {kind}, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def write_and_read(docs: DataFrame, *, tokenizer: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -76,17 +76,18 @@ def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
         (F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")).alias("budget"),
     )
     same = F.col("source").eqNullSafe(F.col("_s"))
-    # open: low end of the bucket that is still to be split, and the budget left for it.
+    # low: low end of the bucket that is still to be split; budget: what is left for it. A row for each source, in a
+    # stored table, so that Spark broadcasts it only where its size allows.
     state = goal.withColumns({"low": F.lit(0).cast("long"), "done": F.lit(False)})
     for level in range(LEVELS):
         width = 1 << (60 - BITS * (level + 1))
-        inside = sizes.join(F.broadcast(state.filter(~F.col("done"))), same).filter(
+        inside = sizes.join(state.filter(~F.col("done")), same).filter(
             (F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + width * (1 << BITS))
         )
         cells = inside.groupBy("_s", ((F.col("h") - F.col("low")) / F.lit(width)).cast("long").alias("cell")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs"), F.min("h").alias("least"), F.max("h").alias("largest"))
         run = W.partitionBy("_s").orderBy("cell")
         cells = cells.withColumn("upto", F.sum("n").over(run))
-        cells = cells.join(F.broadcast(state.select(F.col("_s").alias("_t"), "budget", "low")), F.col("_s").eqNullSafe(F.col("_t")))
+        cells = cells.join(state.select(F.col("_s").alias("_t"), "budget", "low"), F.col("_s").eqNullSafe(F.col("_t")))
         # First cell whose end passes the budget; if there is none, all is taken.
         over = F.min(F.when(F.col("upto") > F.col("budget"), F.struct("cell", "n", "upto", "docs", "least", "largest"))).alias("edge")
         edge = cells.groupBy(F.col("_s").alias("_t")).agg(over)

@@ -92,7 +92,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, *, path: s
     texts are scanned, in place where the join leaves them.
     """
     every = blobs_of(versions, path, text)
-    # Chosen by position, as paths may repeat or be null.
+    # Paths may be null or repeat.
     first = every.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is not None:
         first = first.join(ledger.filter(F.col("rules_version") == rules_version).select("blob"), "blob", "left_anti")
