@@ -151,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """``docs`` with toxic_score, from the text alone."""
+    docs = docs.drop("toxic_score")  # a column of that name gives way to the score
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     scored = "_toxic_text"
