@@ -297,6 +297,23 @@ def test_a_large_group_is_one_class(spark):
     assert {r["class_id"] for r in neardup.classes(frame(spark, rows)).collect()} == {0}
 
 
+def test_links_of_a_group_without_a_hub_are_found(spark):
+    """Pages of one template at 0.72 to each other, and pairs of them at 0.8 and above."""
+    rng = np.random.default_rng(11)
+    base, rows, pairs = words(400, 6, 10**6), [], []
+    for g in range(60):
+        page = base + [f"p{g}x{k}" for k in range(68)]
+        other = list(page)
+        for at in range(400, 400 + 68 - 25):
+            other[at] = f"q{g}x{at}"
+        rows += [(2 * g, " ".join(page), "a"), (2 * g + 1, " ".join(other), "a")]
+        pairs.append(jaccard(rows[-2][1], rows[-1][1]))
+    assert min(pairs) >= neardup.SIMILAR and max(pairs) < 0.82 and jaccard(rows[0][1], rows[2][1]) < 0.78
+    rng.shuffle(rows)
+    got = neardup.classes(frame(spark, [(int(i), t, s) for i, t, s in rows])).collect()
+    assert all(r["class_id"] == r["doc_id"] // 2 * 2 for r in got) and len(got) == 120
+
+
 # Fingerprints
 
 

@@ -11,7 +11,9 @@ Signatures are banded; texts that share a band are candidates, and candidates
 are verified by the overlap of their multisets. Texts with equal multisets are
 one class from the start. In a small bucket all pairs are compared. In a large
 one every text is compared with the text that shares most buckets with others,
-and the bucket is split by further bands, down to small buckets again.
+and the bucket is split by further bands, down to small buckets again. Large
+buckets that still hold texts of several components go through an exact join
+(:func:`by_differences`) on what their texts differ in from the majority.
 
 Defined cases: a null or empty text has no words and is a class of its own; a
 text of fewer than ``SHINGLE`` words has one shingle; rows that repeat are
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.tables import stored, text_or_empty
@@ -150,22 +152,28 @@ def similarity(a: bytes, b: bytes) -> float:
     return same / (len(x) + len(y) - same)
 
 
+def row_mark(key: str = "doc_id", text: str = "text") -> Column:
+    """Hash of id and text: equal for rows that agree in both."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")), F.lit("\n"), text_or_empty(text))))
+
+
 def sketches(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row number, id, mark (hash of id and text), content key, bands and multiset of every row; numbers hold once stored."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, at = b.column(1).to_pylist(), 0
+            texts, at = b.column(3).to_pylist(), 0
             while at < len(texts):  # some millions of characters at a time
                 end, n = at, 0
                 while end < len(texts) and (n == 0 or n + len(texts[end]) < 3_000_000):
                     n += len(texts[end])
                     end += 1
                 k, bands, items = zip(*sketch(texts[at:end]), strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array(k, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(items, pa.binary())], names=["id", "content", "bands", "items"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, end - at) for c in range(3)), pa.array(k, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(items, pa.binary())], names=["id", "name", "mark", "content", "bands", "items"])
                 at = end
 
-    return docs.select(F.col(key).alias("id"), text_or_empty(text)).mapInArrow(run, f"id {kind}, content binary, bands array<long>, items binary")
+    return docs.select(F.monotonically_increasing_id(), F.col(key), row_mark(key, text), text_or_empty(text)).mapInArrow(run, f"id long, name {kind}, mark binary, content binary, bands array<long>, items binary")
 
 
 def _pairs(buckets: DataFrame) -> DataFrame:
@@ -180,13 +188,15 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "bucket")
 
 
-def candidates(banded: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) that share a band, as the module says."""
+def candidates(banded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a < b) that share a band, as the module says, and the large buckets (bucket, id) before any split."""
     rows = banded.select("id", "bands", F.posexplode("bands").alias("band", "bucket"))
     found: DataFrame | None = None
+    whole: DataFrame | None = None
     for level in range(len(SPLITS) + 1):
         buckets = stored(_shared(rows), f"near-buckets{level}")
         large = buckets.filter(F.col("n") > PAIRWISE)
+        whole = large.select("bucket", "id") if whole is None else whole
         here = _pairs(buckets)
         # The text that shares most buckets with others leads; ties go to the smaller id.
         popular = buckets.groupBy("id").agg(F.sum("n").alias("p"))
@@ -200,7 +210,111 @@ def candidates(banded: DataFrame) -> DataFrame:
         step = sum(SPLITS[:level])
         more = F.explode(F.array(*[F.xxhash64("bucket", F.get("bands", (F.col("band") + step + j) % BANDS)) for j in range(1, SPLITS[level] + 1)]))
         rows = large.select("id", "bands", "band", more.alias("bucket"))
-    return found.distinct()
+    return found.distinct(), whole
+
+
+def unsettled(large: DataFrame, joined: DataFrame) -> DataFrame:
+    """(bucket, id) of the texts of large buckets that hold several components; buckets that share texts are one."""
+    known = stored(large.join(joined, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")), "near-large")
+    open_ = known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("id").alias("first")).filter("x < y").select("bucket", "first")
+    stars = stored(known.join(open_, "bucket").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "near-open")
+    if stars.isEmpty():
+        return stars.select(F.col("a").alias("bucket"), F.col("b").alias("id"))
+    return components(stars).select(F.col("label").alias("bucket"), "id")
+
+
+def _differences(least: float):
+    """Functions that find, per (bucket, text), the differences from the majority, and those of them, rarest first, that a link needs."""
+    share = (1 - least) / (1 + least)
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, f, item, count = [], [], [], []
+            for added, c, kept, most, lack in zip(*(b.column(k) for k in range(2, 7)), strict=True):
+                added, c, kept, most, lack = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in (added, c, kept, most, lack))
+                gone = ~np.isin(most, kept)
+                item.append(np.concatenate((added, most[gone])))
+                count.append(np.concatenate((c, lack[gone])))
+                size.append(len(item[-1]))
+                f.append(len(item[-1]) - share * (len(added) + len(kept)))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(f, pa.float64()), pa.array(item, longs), pa.array(count, longs)], names=["bucket", "id", "size", "f", "item", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            which, out, seen = [], [], []
+            for i, (size, fs, lowest, items, counts) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 7)), strict=True)):
+                sure = fs + lowest <= 1e-9
+                # A link from x to y needs (f(x) + f(y)) / 2 common differences. Those near enough to the nearest are linked with it,
+                # so they look only for texts that are not, and f is above -lowest there.
+                need = max(1, int(np.ceil((fs + (-lowest if sure else lowest)) / 2 - 1e-6)))
+                item, count = np.asarray(items, np.int64), np.asarray(counts, np.int64)
+                order = np.lexsort((item, count))[: max(0, size - need + 1)]
+                order = order[count[order] > 1]
+                out += item[order].tolist()
+                which += [i] * len(order)
+                seen += [not sure] * len(order)
+            take = pa.array(which, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(out, pa.int64()), pa.array(seen, pa.bool_())], names=["bucket", "id", "item", "far"])
+
+    return differ, run
+
+
+def by_differences(members: DataFrame, items: DataFrame, labels: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Pairs (a < b) that, beside ``labels`` (id, label: what is linked already), join all texts of a bucket (bucket, id) that chains of similar ones of it join: an exact way.
+
+    M is what more than half of a bucket's texts hold, D(x) where x differs from
+    M. Similar texts differ in at most r (|x| + |y|), r = (1 - least) / (1 + least),
+    so with f(x) = |D(x)| - r |x| they share (f(x) + f(y)) / 2 differences or more.
+    If that is not above zero for some pair, both are similar to the text z of the
+    least f: pairs with z stand for those. All others meet by a common difference
+    in the rarest |D| - need + 1. Texts with a common difference are a bucket of
+    the next round, unless they are linked already; as at most half of the texts
+    have it, rounds end.
+    """
+    differ, run = _differences(least)
+    sets = items.select("id", F.col("items").alias("raw"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, x in enumerate(b.column(2)):
+                got = np.unique(np.frombuffer(x.as_py(), "<u4")).astype(np.int64)
+                take = pa.array(np.full(len(got), i))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(got)], names=["bucket", "id", "item"])
+
+    found: DataFrame | None = None
+    members = stored(members.select("bucket", "id"), "near-members")
+    level = 0
+    while True:
+        rows = stored(_shared(members), f"near-join{level}")
+        here = _pairs(rows)
+        large = rows.filter(F.col("n") > PAIRWISE)
+        if large.isEmpty():
+            return (here if found is None else found.unionByName(here)).distinct()
+        held = large.join(sets, "id").select("bucket", "id", "raw").mapInArrow(spread, "bucket long, id long, item long")
+        sizes = large.select("bucket", "n").distinct()
+        counts = stored(held.groupBy("bucket", "item").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").join(sizes, "bucket"), f"near-counts{level}")
+        common = counts.filter(F.col("c") * 2 > F.col("n")).groupBy("bucket").agg(F.collect_list(F.struct("item", (F.col("n") - F.col("c")).alias("c"))).alias("m"))
+        # Items held with how many hold them; those of the majority that a text lacks, with how many lack them.
+        usual = F.coalesce(F.col("c") * 2 > F.col("n"), F.lit(False))
+        own = held.join(counts, ["bucket", "item"], "left").groupBy("bucket", "id").agg(
+            F.collect_list(F.when(~usual, F.struct("item", F.coalesce("c", F.lit(1)).alias("c")))).alias("added"),
+            F.collect_list(F.when(usual, F.col("item"))).alias("kept"),
+        )
+        none = F.array().cast("array<bigint>")
+        told = own.join(common, "bucket", "left").select("bucket", "id", F.col("added")["item"].alias("i"), F.col("added")["c"].alias("c"), "kept", F.coalesce(F.col("m")["item"], none).alias("most"), F.coalesce(F.col("m")["c"], none).alias("lack"))
+        apart = stored(told.mapInArrow(differ, "bucket long, id long, size long, f double, item array<long>, c array<long>"), f"near-apart{level}")
+        nearest = apart.groupBy("bucket").agg(F.min("f").alias("lowest"), F.min_by("id", F.struct("f", "id")).alias("z"))
+        of = apart.join(nearest, "bucket")
+        stars = of.filter((F.col("f") + F.col("lowest") <= 1e-9) & (F.col("id") != F.col("z"))).select(F.least("id", "z").alias("a"), F.greatest("id", "z").alias("b"))
+        found = here.unionByName(stars) if found is None else found.unionByName(here).unionByName(stars)
+        posted = stored(of.select("bucket", "id", "size", "f", "lowest", "item", "c").mapInArrow(run, "bucket long, id long, item long, far boolean"), f"near-posted{level}")
+        labelled = posted.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        # Differences that the same texts share make one bucket, and one bucket of equal texts is enough.
+        sharing = labelled.groupBy("bucket", "item").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y")).filter("far AND low < high")
+        chosen = sharing.groupBy("n", "x", "y").agg(F.min(F.struct("bucket", "item")).alias("one")).select(F.col("one")["bucket"].alias("bucket"), F.col("one")["item"].alias("item"), F.xxhash64("n", "x", "y").alias("next"))
+        members = stored(posted.join(chosen, ["bucket", "item"]).select(F.col("next").alias("bucket"), "id").distinct(), f"near-members{level}")
+        level += 1
 
 
 def verified(pairs: DataFrame, items: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -235,17 +349,30 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("id", "label")
 
 
-def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
-    """doc_id and class_id (the least doc_id of its group) of every document."""
+def grouped(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
+    """name (the id), mark and label (the same for the texts of one group) of every row; ids may be null or repeat."""
     sketched = stored(sketches(docs, key=key, text=text), "near-sketches")
     worded = F.size("bands") > 0
-    # Copies: the least id stands for all texts with its content.
-    heads = sketched.filter(worded).groupBy("content").agg(F.min("id").alias("head"))
-    heads = stored(heads, "near-heads")
-    leading = sketched.filter(worded).join(heads.select(F.col("head").alias("id")).distinct(), "id", "left_semi")
-    pairs = stored(candidates(leading.select("id", "bands").dropDuplicates(["id"])), "near-pairs")
-    links = stored(verified(pairs, leading.select("id", "items").dropDuplicates(["id"]), least), "near-verified")
+    # Copies: the least row stands for all texts with its content.
+    heads = stored(sketched.filter(worded).groupBy("content").agg(F.min("id").alias("head")), "near-heads")
+    leading = sketched.filter(worded).join(heads.select(F.col("head").alias("id")), "id", "left_semi")
+    found, large = candidates(leading.select("id", "bands"))
+    links = stored(verified(stored(found, "near-pairs"), leading.select("id", "items"), least), "near-verified")
     joined = components(links)
-    of_head = heads.join(joined.select(F.col("id").alias("head"), "label"), "head", "left").select("content", F.coalesce("label", "head").alias("class_id"))
-    known = sketched.select("id", F.when(worded, F.col("content")).alias("content")).join(of_head, "content", "left")
-    return known.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
+    open_ = stored(unsettled(large, joined), "near-unsettled")
+    if not open_.isEmpty():
+        items = stored(leading.select("id", "items").join(open_.select("id"), "id", "left_semi"), "near-open-items")
+        label = lambda c: joined.select(F.col("id").alias(c), F.col("label").alias(f"_{c}"))
+        more = by_differences(open_, items, joined, least).join(label("a"), "a", "left").join(label("b"), "b", "left")
+        more = more.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+        joined = components(links.unionByName(verified(stored(more, "near-more"), items, least)))
+    of_head = heads.join(joined.select(F.col("id").alias("head"), "label"), "head", "left").select("content", F.coalesce("label", "head").alias("label"))
+    known = sketched.select("id", "name", "mark", F.when(worded, F.col("content")).alias("content")).join(of_head, "content", "left")
+    return known.select("name", "mark", F.coalesce("label", "id").alias("label"))
+
+
+def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
+    """doc_id and class_id (the least doc_id of its group, null only if it has no other) of every document."""
+    rows = stored(grouped(docs, key=key, text=text, least=least), "near-groups")
+    named = rows.groupBy("label").agg(F.min("name").alias("class_id"))
+    return rows.join(named, "label").select(F.col("name").alias("doc_id"), "class_id")
