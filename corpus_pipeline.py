@@ -6,6 +6,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.llm import mixing, neardup, packing, secrets, toxicity
@@ -19,9 +20,19 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group."""
-    kept = neardup.classes(docs).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One row of each group, the one with the least doc_id; null ids come last."""
+    groups = stored(neardup.grouped(docs), "near-groups")
+    rows = groups.groupBy("mark").agg(F.count(F.lit(1)).alias("rows"))
+    first = groups.groupBy("label").agg(F.min(F.struct(F.col("name").isNull(), "name", "mark"))["mark"].alias("mark"))
+    # Rows may agree in id and text: then as many stay as there are groups that they stand for.
+    kept = stored(first.groupBy("mark").agg(F.count(F.lit(1)).alias("most")).join(rows, "mark").withColumn("alike", F.col("most") < F.col("rows")), "near-kept")
+    marked = docs.withColumn("_mark", neardup.row_mark())
+    single = marked.join(kept.filter("NOT alike").select(F.col("mark").alias("_mark")), "_mark", "left_semi").select(docs.columns)
+    several = kept.filter("alike").select(F.col("mark").alias("_mark"), "most")
+    if several.isEmpty():
+        return single
+    nth = F.row_number().over(W.partitionBy("_mark").orderBy(F.xxhash64(*docs.columns)))
+    return single.unionByName(marked.join(several, "_mark").withColumn("_nth", nth).filter(F.col("_nth") <= F.col("most")).select(docs.columns))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +43,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it."""
-    times = mixing.mix(docs).filter("times > 0").select(F.col("key").alias("doc_id"), "times")
-    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+    return mixing.with_times(docs).withColumn("_copy", F.explode(F.when(F.col("_times") > 0, F.sequence(F.lit(1), F.col("_times"))))).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

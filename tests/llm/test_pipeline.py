@@ -47,3 +47,23 @@ def test_stages_take_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_neither_lose_nor_multiply_rows_with_null_or_repeated_ids(spark, tmp_path):
+    text = lambda n: " ".join(f"w{n}x{k}" for k in range(40))
+    rows = [(None, text(0), "en", "a", 1), (1, text(1), "en", "a", 1), (1, text(1), "en", "a", 1), (1, text(2), "en", "a", 1), (2, text(2), "en", "a", 1), (3, None, "en", None, 1), (3, "", "en", None, 1)]
+    rows += [(None, None, None, None, None), (None, "", None, None, None)] + [(7, text(10 + k), "en", "a", 1) for k in range(6)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/out/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/out/{name}")
+        seen[name] = sorted(((r["doc_id"], r["text"] or "") if name != "packing" else (r["doc_id"], "") for r in docs.collect()), key=str)
+    assert len(seen["toxicity"]) == len(rows)
+    want = [(None, text(0)), (1, text(1)), (1, text(2)), (3, ""), (3, ""), (None, ""), (None, "")] + [(7, text(10 + k)) for k in range(6)]
+    assert seen["near duplicates"] == seen["secrets"] == sorted(want, key=str)
+    assert max(seen["mixing"].count(r) for r in want if r[1]) <= 3 and {r for r in seen["mixing"] if r[1]} <= set(want)
+    assert sum(bool(t) for _, t in seen["mixing"]) == sum(bool(t) for _, t in want)
+    assert len(seen["packing"]) == len(seen["mixing"])

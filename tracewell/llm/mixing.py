@@ -112,11 +112,30 @@ def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     return state.select(F.col("_s").alias("source"), "whole", F.col("low").alias("below"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """key, source, size, source_size, target and times (how often each document is taken, 0 to ``most``)."""
-    sizes = stored(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), order_hash(key).alias("h")), "mix-sizes")
+def _rules(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """_s (source), source_size, target, whole and below of every source."""
     plan = stored(targets(sizes, weights=weights, most=most), "mix-targets")
     rules = thresholds(sizes, plan)
-    known = plan.alias("p").join(rules.alias("r"), F.col("p.source").eqNullSafe(F.col("r.source")), "left").select(F.col("p.source").alias("_s"), "source_size", "target", "whole", "below")
-    times = F.least(F.coalesce("whole", F.lit(0)) + F.when(F.col("h") < F.coalesce("below", F.lit(0)), 1).otherwise(0), F.lit(most))
-    return sizes.join(known, F.col("source").eqNullSafe(F.col("_s"))).select("key", "source", "size", "source_size", "target", times.cast("int").alias("times"))
+    return plan.alias("p").join(rules.alias("r"), F.col("p.source").eqNullSafe(F.col("r.source")), "left").select(F.col("p.source").alias("_s"), "source_size", "target", "whole", "below")
+
+
+def _times(h: Column, most: int, whole: str = "whole", below: str = "below") -> Column:
+    return F.least(F.coalesce(whole, F.lit(0)) + F.when(h < F.coalesce(below, F.lit(0)), 1).otherwise(0), F.lit(most)).cast("int")
+
+
+def _sizes(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
+    return stored(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), order_hash(key).alias("h")), "mix-sizes")
+
+
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """key, source, size, source_size, target and times (how often each document is taken, 0 to ``most``)."""
+    sizes = _sizes(docs, key, source, text)
+    known = _rules(sizes, weights, most)
+    return sizes.join(known, F.col("source").eqNullSafe(F.col("_s"))).select("key", "source", "size", "source_size", "target", _times(F.col("h"), most).alias("times"))
+
+
+def with_times(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """``docs`` with _times: no join on ids, so they may be null or repeat."""
+    known = stored(_rules(_sizes(docs, key, source, text), weights, most), "mix-rules")
+    named = known.select(F.col("_s").alias("_mix_source"), "whole", "below").withColumnsRenamed({"whole": "_whole", "below": "_below"})
+    return docs.join(named, F.col(source).cast("string").eqNullSafe(F.col("_mix_source"))).withColumn("_times", _times(order_hash(key), most, "_whole", "_below")).select(*docs.columns, "_times")
