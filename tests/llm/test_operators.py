@@ -207,6 +207,19 @@ def test_toxicity_generalises_to_held_out_rows(spark):
     assert np.mean(hits) > 0.9 and np.mean(false) < 0.02
 
 
+@pytest.mark.parametrize(("kinds", "each"), [(6, 4), (1500, 12)], ids=["few", "many"])
+def test_a_corpus_that_is_one_third_toxic(spark, kinds, each):
+    rng = np.random.default_rng(5)
+    bad = ["".join(chr(97 + k) for k in rng.integers(0, 26, 9)) for _ in range(kinds)]
+    n = 900 if kinds < 100 else 6000
+    rows = [(i, " ".join(words(30, i, 3000) + ([bad[k] for k in rng.integers(0, kinds, each)] if i % 3 == 0 else [])), "a") for i in range(n)]
+    docs, labels = frame(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(n)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["toxic_score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    held = [i for i in range(n) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([got[i] >= toxicity.REJECT for i in held if i % 3 == 0]) > 0.9
+    assert np.mean([got[i] >= toxicity.REJECT for i in held if i % 3]) < 0.02
+
+
 def test_toxicity_without_positives_scores_nothing(spark, odd, nothing):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(odd, none)

@@ -17,6 +17,7 @@ score is 0.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,9 @@ from tracewell.llm.tables import stored, text_or_empty
 #: Rows at most that the classifiers are fitted on: confirmed positives, and unlabelled texts.
 POSITIVES, UNLABELLED = 12_000, 24_000
 #: Classifiers, features at most, and the score from which a text is rejected.
-MEMBERS, FEATURES, REJECT = 3, 768, 0.7
+MEMBERS, FEATURES, REJECT = 3, 16_384, 0.7
+#: How many times as often as clean texts, by logarithm, toxic ones hold a term; standard errors that a term may need to show it.
+LIFT, CERTAIN = 1.6, 4.0
 #: Bounds of the class prior, and how much above the share of toxic rows among the labelled ones it is set:
 #: a prior below the true share would hold the scores of toxic texts down, one above it is caught by the bound at zero.
 PRIOR_BOUNDS, PRIOR_MARGIN = (0.01, 0.5), 1.15
@@ -59,13 +62,14 @@ def _sample(rows: DataFrame, most: int) -> DataFrame:
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of a batch hold each term, by ``positive``; the empty term counts the texts."""
     for b in batches:
-        which, terms = [], []
-        for i, t in enumerate(b.column(1)):
-            got = features(words(t.as_py()))
-            which += [i] * len(got)
-            terms += got
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), b.column(0).take(pa.array(which, pa.int64()))], names=["term", "positive"])
+        got = {True: Counter(), False: Counter()}
+        for positive, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            got[positive].update(features(words(t.as_py())))
+            got[positive][b""] += 1
+        for positive, n in got.items():
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array([positive] * len(n), pa.bool_()), pa.array(list(n.values()), pa.int64())], names=["term", "positive", "n"])
 
 
 def nn_pu(x: np.ndarray, positive: np.ndarray, prior: float, *, steps: int = 300, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -88,6 +92,25 @@ def nn_pu(x: np.ndarray, positive: np.ndarray, prior: float, *, steps: int = 300
     return w, float(b)
 
 
+class Sparse:
+    """Rows of features that are present or not, with the operations that :func:`nn_pu` needs."""
+
+    __array_ufunc__ = None  # numpy leaves ``a @ self`` to this class
+
+    def __init__(self, of: np.ndarray, what: np.ndarray, rows: int, columns: int):
+        self.of, self.what, self.shape = of, what, (rows, columns)
+
+    def __getitem__(self, chosen: np.ndarray) -> Sparse:
+        some = chosen[self.of]
+        return Sparse((np.cumsum(chosen) - 1)[self.of[some]], self.what[some], int(chosen.sum()), self.shape[1])
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, w[self.what], self.shape[0])
+
+    def __rmatmul__(self, c: np.ndarray) -> np.ndarray:
+        return np.bincount(self.what, c[self.of], self.shape[1])
+
+
 class Model:
     """Weight of each feature, and the bias."""
 
@@ -116,28 +139,34 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     confirmed = labels.filter((F.col(label) == 1) & ~held_out(key)).select(F.col(key).alias("key")).distinct()
     rows = docs.filter(~held_out(key)).select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
     chosen_p = _sample(confirmed, positives).withColumn("positive", F.lit(True))
-    chosen_u = _sample(rows.select("key"), unlabelled).withColumn("positive", F.lit(False))
+    chosen_u = _sample(rows.select("key").distinct(), unlabelled).withColumn("positive", F.lit(False))
     keys = chosen_p.unionByName(chosen_u)  # bounded by the two parameters
     sample = stored(rows.join(F.broadcast(keys), "key").select("positive", "text", "key"), "toxic-sample")
     if sample.filter("positive").isEmpty():
         return Model({}, 0.0)
-    n_p = sample.filter("positive").count()
-    n_u = sample.count() - n_p
-    terms = sample.select("positive", "text").mapInArrow(_spread, "term binary, positive boolean")
-    held = terms.groupBy("term").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
+    # Terms are counted over all rows that are not held out; the confirmed ones are in the corpus as well.
+    marked = rows.join(confirmed.withColumn("_toxic", F.lit(True)), "key", "left").select(F.coalesce("_toxic", F.lit(False)).alias("positive"), "text")
+    terms = marked.mapInArrow(_spread, "term binary, positive boolean, n long")
+    held = stored(terms.groupBy("term").agg(F.sum(F.when(F.col("positive"), F.col("n")).otherwise(0)).alias("p"), F.sum("n").alias("u")).filter("p >= 4 OR term = X''"), "toxic-terms")
+    all_rows = held.filter("term = X''").first()  # the empty term stands for the rows themselves
+    n_p, n_u = all_rows["p"], all_rows["u"]
     lift = F.log(((F.col("p") + 0.5) / n_p) / ((F.col("u") + 0.5) / n_u))
-    # Terms that positives hold oftener than the corpus; as the corpus holds positives too, the lift has the log of 1 / prior as its bound.
+    # Toxic texts are in the corpus too: with their share s, a term that they hold e**LIFT times as often as the others
+    # has this lift, and none has more than log(1 / s). By so low a lift a term has to show that it is not chance.
+    least = -float(np.log(prior / PRIOR_MARGIN + (1 - prior / PRIOR_MARGIN) * np.exp(-LIFT)))
+    by_chance = F.col("u") * F.lit(n_p / n_u)
+    apart = (lift > LIFT) | ((lift > least) & (F.col("p") > by_chance + CERTAIN * F.sqrt(by_chance)))
     strength = F.col("p") / n_p * lift
-    vocabulary = [bytes(r["term"]) for r in held.filter((F.col("p") >= max(4, n_p // 250)) & (lift > 1.6)).orderBy(strength.desc(), "term").limit(FEATURES).select("term").collect()]
+    vocabulary = [bytes(r["term"]) for r in held.filter(apart & (F.col("p") >= 4) & (F.length("term") > 0)).orderBy(strength.desc(), "term").limit(FEATURES).select("term").collect()]
     index = {t: i for i, t in enumerate(vocabulary)}
 
     def member(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf["positive"].to_numpy(bool)
         if not y.any() or y.all():
             return pd.DataFrame({"weights": [], "bias": []})
-        x = np.zeros((len(pdf), len(index)), np.float32)
-        for i, t in enumerate(pdf["text"]):
-            x[i, [index[f] for f in features(words(t)) if f in index]] = 1
+        held = [[index[f] for f in features(words(t)) if f in index] for t in pdf["text"]]
+        of = np.repeat(np.arange(len(held)), [len(h) for h in held])
+        x = Sparse(of, np.asarray([k for h in held for k in h], np.int64), len(held), len(index))
         w, b = nn_pu(x, y, prior)
         return pd.DataFrame({"weights": [w.tolist()], "bias": [b]})
 
