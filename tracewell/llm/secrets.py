@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.tables import stored, text_or_empty
 
 #: Raise when a rule changes: blobs are then scanned again.
-RULES_VERSION = 1
+RULES_VERSION = 3
 
 #: Fixed patterns: kind, pattern, group whose length counts, least length.
 BASE_RULES = (
@@ -31,12 +31,20 @@ BASE_RULES = (
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]+", 0, 16),
 )
+#: A private key: to the END of the same label where no other key begins before it, or else over headers and base64 lines.
+_PEM = (
+    r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY((?: BLOCK)?)-----"
+    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY\2-----"
+    r"|(?:(?:\\[rn]|[\s\"',>])*[A-Z][A-Za-z-]{1,30}: [^\n\\]*(?=\n|\\))*"
+    r"(?:(?:\\[rn]|[\s\"',>])*[A-Za-z0-9+/]{16,}={0,2})*"
+    r"(?:(?:\\n|\r?\n)[ \t]*[A-Za-z0-9+/]{1,15}={0,2}(?=[ \t]*(?:[\r\n\\\"']|\Z)))?)"
+)
 #: Rules of this operator beside the base ones.
 MORE_RULES = (
-    ("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    ("pem", _PEM, 0, 1),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
     ("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
-    ("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{6,128}@", 0, 1),
+    ("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]*:[^\s:/@]{6,}@", 0, 1),
 )
 KINDS = tuple(r[0] for r in BASE_RULES + MORE_RULES)
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
