@@ -4,7 +4,9 @@ Each paragraph (line) is hashed to a wide vector: dense lanes that every
 paragraph adds to, and sparse lanes of which it adds to one. Lanes are summed
 modulo 2**32, so the fingerprint does not depend on the order of paragraphs, and
 adding or taking away a paragraph is one vector addition. Equal multisets have
-equal fingerprints; the share of equal sparse lanes tells how alike two are.
+equal fingerprints; the share of equal sparse lanes tells how alike two are, within limits: a text of one or a
+few lines has few lanes to agree in, and past some 100 lines each lane holds
+several, so that half an edit makes both look unlike (figures in the README).
 
 Defined cases: a null text is empty; an empty text has one empty paragraph; rows
 that repeat a doc_id count as one place in the order of documents, held by the
