@@ -435,6 +435,20 @@ def test_search_recall_and_odd_vectors(spark):
     assert np.mean([len(found[q * 50] & set(t)) / 20 for q, t in enumerate(top)]) >= 0.9
 
 
+@pytest.mark.parametrize(("sigma", "offset"), [(1.0, 0.0), (0.6, 0.0), (0.0, 1.0)])
+def test_search_recall_with_varied_norms_and_an_offset(spark, sigma, offset):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) * np.exp(rng.normal(size=(3000, 1)) * sigma) + offset / 8
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(v, v.filter("vec_id % 50 = 0")).toPandas().groupby("query_id")["vec_id"].apply(set)
+    s = x[::50] @ x.T
+    s[np.arange(60), np.arange(0, 3000, 50)] = -np.inf
+    recall = [len(got[q * 50] & set(t)) / 20 for q, t in enumerate(np.argsort(-s, axis=1)[:, :20])]
+    print("RECALL", sigma, offset, np.mean(recall), min(recall))
+    assert np.mean(recall) >= 0.95
+
+
 def test_search_with_few_or_no_vectors(spark):
     v = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.search(v, v.filter("vec_id = 20")).orderBy("rank").collect()] == [(20, 1, 1), (20, 2, 2)]

@@ -6,6 +6,12 @@ its own. If two codes differ in at most ``RADIUS`` bits, then some substring
 differs in few: a probe looks up every substring value within that distance,
 which retrieves every code within the radius, and the floats rerank them.
 
+Codes measure angles, the order asked for is that of inner products. As q . v =
+q . (v - mean) + q . mean, rows are centred and queries are not, and rows are
+banded by their norms about the mean: a band whose norm can beat the k-th score
+at a larger angle is probed as far as that angle needs, and one whose norm
+cannot beat it at all is left.
+
 Rows and queries are dealt into blocks of bounded size; each pair of blocks is
 one task's work, and only the nearest few of each query leave it.
 
@@ -32,6 +38,8 @@ from tracewell.llm.tables import stored
 SAMPLE = 8_192
 #: Bits of a substring, and of 64 bits those that may differ.
 SUBSTRING, RADIUS = 4, 30
+#: Standard deviations of the number of differing bits that a probe allows beyond the angle, norm bands to each halving, and bands at most.
+SLACK, BANDS_TO_HALF, BANDS = 2.0, 4, 40
 ROWS_IN_BLOCK, QUERIES_IN_BLOCK = 4_096, 1_024
 
 
@@ -120,11 +128,28 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, radius: int |
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": pdf["id"].dtype, "vec_id": pdf["id"].dtype})
         x, y = np.stack(r["v"].to_numpy()), np.stack(q["v"].to_numpy())
         ids, names = r["id"].to_numpy(), q["id"].to_numpy()
-        index, asked_codes = MultiIndex(codes(x, *learnt)), codes(y, *learnt).astype(np.uint8)
+        mean, rotation = learnt
+        subs, asked_codes = codes(x, mean, rotation), codes(y, 0.0, rotation).astype(np.uint8)
+        norm = np.linalg.norm(x - mean, axis=1)
+        with np.errstate(divide="ignore"):
+            band = np.clip(np.nan_to_num(-np.log2(norm / max(norm.max(), 1e-300)) * BANDS_TO_HALF, posinf=BANDS), 0, BANDS - 1).astype(int)
+        bands = [(norm[at].max(), at, MultiIndex(subs[at])) for at in (np.flatnonzero(band == k) for k in np.unique(band))]
         got = []
         for name, v, code in zip(names, y, asked_codes, strict=True):
-            rows = index.within(code, near)
-            rows = rows[ids[rows] != name]
+            length, shift, rows, least = np.linalg.norm(v), float(v @ mean), np.zeros(0, np.int64), -np.inf
+            for top, at, index in bands:  # the largest norms first
+                reach = near
+                if least > -np.inf:
+                    cosine = (least - shift) / max(length * top, 1e-300)
+                    if cosine > 1 + 1e-9:
+                        break  # neither this band nor one of smaller norms
+                    share = np.arccos(np.clip(cosine, -1, 1)) / np.pi
+                    reach = max(near, int(np.ceil(bits * share + SLACK * np.sqrt(bits * share * (1 - share)))))
+                # A band that is to be probed for more than it holds of a few rows is read whole.
+                more = at if reach >= bits or len(at) <= k or least == -np.inf and len(bands) > 1 else at[index.within(code, reach)]
+                rows = np.concatenate((rows, more[ids[more] != name]))
+                if len(rows) >= k:
+                    least = np.partition(x[rows] @ v, -k)[-k]
             if len(rows) < k:
                 rows = np.flatnonzero(ids != name)
             score = x[rows] @ v
