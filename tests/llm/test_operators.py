@@ -346,6 +346,52 @@ def test_links_of_a_group_without_a_hub_are_found(spark):
     assert all(r["class_id"] == r["doc_id"] // 2 * 2 for r in got) and len(got) == 120
 
 
+@pytest.mark.parametrize("base_changes", [4, 6])
+def test_no_link_is_lost_among_texts_of_one_boilerplate(spark, base_changes):
+    """Texts on one boilerplate, each with a copy: some pairs just above the threshold, most of the others not far below it."""
+    rng = np.random.default_rng(21 + base_changes)
+    boilerplate, texts = words(220, 31, 10**6), []
+
+    def changed(of, n):
+        of = list(of)
+        for at in rng.integers(0, len(of), n):
+            of[at] = f"x{rng.integers(0, 10**9)}"
+        return of
+
+    for _ in range(100):
+        base = changed(boilerplate, base_changes)
+        texts += [" ".join(base), " ".join(changed(base, 3))]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(frame(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for t in texts]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= neardup.SIMILAR * len(sets[i] | sets[j])]
+    assert linked and [x for x in linked if got[x[0]] != got[x[1]]] == []
+
+
+def test_chains_in_a_large_bucket_are_one_class(spark):
+    """Each text is similar to the next only; all hold one passage that the bands of many share."""
+    passage, rows = words(300, 41, 10**6), []
+    window = [f"c{k}" for k in range(400)]
+    for i in range(60):
+        rows.append((i, " ".join(passage + window[4 * i : 4 * i + 60]), "a"))
+    got = neardup.classes(frame(spark, rows[::-1])).collect()
+    assert {r["class_id"] for r in got} == {0}
+
+
+def test_alike_links_as_all_pairs_do():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        sets = [np.unique(rng.integers(0, 12, rng.integers(1, 12))) for _ in range(9)]
+        label = list(range(9))
+        for i in range(9):
+            for j in range(i):
+                if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j])):
+                    label = [label[j] if x == label[i] else x for x in label]
+        got = list(range(9))
+        for j, i in neardup.alike(sets, 0.5):
+            got = [got[j] if x == got[i] else x for x in got]
+        assert len({*zip(label, got, strict=True)}) == len(set(label)) == len(set(got))
+
+
 # Fingerprints
 
 

@@ -9,11 +9,11 @@ signatures agree in a place with the weighted Jaccard similarity as probability.
 
 Signatures are banded; texts that share a band are candidates, and candidates
 are verified by the overlap of their multisets. Texts with equal multisets are
-one class from the start. In a small bucket all pairs are compared. In a large
-one every text is compared with the text that shares most buckets with others,
-and the bucket is split by further bands, down to small buckets again. Large
-buckets that still hold texts of several components go through an exact join
-(:func:`by_differences`) on what their texts differ in from the majority.
+one class from the start. In a bucket of up to ``PAIRWISE`` texts all pairs are
+compared. In a larger one every text is compared with the text that shares most
+buckets with others; large buckets that then still hold texts of several
+components go through an exact join (:func:`by_differences`) on what their
+texts differ in from the majority.
 
 Defined cases: a null or empty text has no words and is a class of its own; a
 text of fewer than ``SHINGLE`` words has one shingle; rows that repeat are
@@ -34,10 +34,8 @@ from tracewell.llm.tables import stored, text_or_empty
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
-#: Texts in a bucket up to which all its pairs are compared; larger ones go by leaders and splits.
-PAIRWISE = 8
-#: Further bands by which a large bucket is split, level by level.
-SPLITS = (2, 1, 1)
+#: Texts in a bucket up to which all its pairs are compared; larger ones go by leaders and the exact join.
+PAIRWISE = 32
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -176,51 +174,62 @@ def sketches(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.monotonically_increasing_id(), F.col(key), row_mark(key, text), text_or_empty(text)).mapInArrow(run, f"id long, name {kind}, mark binary, content binary, bands array<long>, items binary")
 
 
-def _pairs(buckets: DataFrame) -> DataFrame:
-    """All pairs of the small buckets."""
-    small = buckets.filter(F.col("n") <= PAIRWISE).select("bucket", "id")
-    return small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+def buckets_of(rows: DataFrame) -> DataFrame:
+    """(bucket, id, n) of the buckets in ``rows`` (bucket, id) with n > 1 texts; of buckets that hold the same texts, one."""
+    held = F.xxhash64("id"), F.xxhash64("id", F.lit(7))
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(h).alias(c) for c, h in zip("xy", held, strict=True)]).filter("n > 1")
+    chosen = sizes.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
+    return rows.join(chosen.select("bucket", "n"), "bucket")
+
+
+def alike(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Pairs that link what chains of similar sets (sorted, without repeats) link: at most one fewer than there are sets."""
+    sizes = np.asarray([len(x) for x in sets])
+    group, out = np.arange(len(sets)), []
+    for i in range(1, len(sets)):
+        # Sizes alone bound the similarity; what is linked already need not be compared again.
+        near = np.flatnonzero((np.minimum(sizes[:i], sizes[i]) >= least * np.maximum(sizes[:i], sizes[i]) - 1e-9) & (group[:i] != group[i]))
+        for j in near.tolist():
+            if group[j] == group[i]:
+                continue
+            at = np.searchsorted(sets[j], sets[i])
+            same = int((sets[j][np.minimum(at, sizes[j] - 1)] == sets[i]).sum())
+            if same >= least * (sizes[i] + sizes[j] - same) - 1e-9:
+                out.append((j, i))
+                group[group == group[i]] = group[j]
+    return out
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (id, bucket, ...) of the buckets that hold two or more, with n, their number."""
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return rows.join(sizes, "bucket")
+def compared(small: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """Links (a < b) among the texts of buckets (bucket, id) of at most ``PAIRWISE`` texts: all pairs of a bucket are compared."""
 
+    def run(one: pa.Table) -> pa.Table:
+        ids = one.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        held = one.column("items")
+        links = alike([np.unique(np.frombuffer(held[int(k)].as_py(), "<u4")) for k in order], least)
+        a, b = zip(*links, strict=True) if links else ((), ())
+        ids = ids[order]
+        return pa.table({"a": pa.array(ids[list(a)], pa.int64()), "b": pa.array(ids[list(b)], pa.int64())})
 
-def candidates(banded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a < b) that share a band, as the module says, and the large buckets (bucket, id) before any split."""
-    rows = banded.select("id", "bands", F.posexplode("bands").alias("band", "bucket"))
-    found: DataFrame | None = None
-    whole: DataFrame | None = None
-    for level in range(len(SPLITS) + 1):
-        buckets = stored(_shared(rows), f"near-buckets{level}")
-        large = buckets.filter(F.col("n") > PAIRWISE)
-        whole = large.select("bucket", "id") if whole is None else whole
-        here = _pairs(buckets)
-        # The text that shares most buckets with others leads; ties go to the smaller id.
-        popular = buckets.groupBy("id").agg(F.sum("n").alias("p"))
-        led = large.join(popular, "id")
-        leaders = led.groupBy("bucket").agg(F.min_by("id", F.struct(-F.col("p"), "id")).alias("leader"))
-        stars = large.select("bucket", "id").join(leaders, "bucket").filter(F.col("id") != F.col("leader"))
-        here = here.unionByName(stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")))
-        found = here if found is None else found.unionByName(here)
-        if level == len(SPLITS) or large.isEmpty():
-            break
-        step = sum(SPLITS[:level])
-        more = F.explode(F.array(*[F.xxhash64("bucket", F.get("bands", (F.col("band") + step + j) % BANDS)) for j in range(1, SPLITS[level] + 1)]))
-        rows = large.select("id", "bands", "band", more.alias("bucket"))
-    return found.distinct(), whole
+    return small.select("bucket", "id").join(items.select("id", "items"), "id").groupBy("bucket").applyInArrow(run, "a long, b long")
+
+
+def stars(large: DataFrame) -> DataFrame:
+    """Pairs (a < b) of every text of a large bucket with its leader: the text that shares most buckets with others, the smaller id at ties."""
+    popular = large.groupBy("id").agg(F.sum("n").alias("p"))
+    leaders = large.join(popular, "id").groupBy("bucket").agg(F.min_by("id", F.struct(-F.col("p"), "id")).alias("leader"))
+    return large.select("bucket", "id").join(leaders, "bucket").filter(F.col("id") != F.col("leader")).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
 def unsettled(large: DataFrame, joined: DataFrame) -> DataFrame:
     """(bucket, id) of the texts of large buckets that hold several components; buckets that share texts are one."""
     known = stored(large.join(joined, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")), "near-large")
     open_ = known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("id").alias("first")).filter("x < y").select("bucket", "first")
-    stars = stored(known.join(open_, "bucket").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "near-open")
-    if stars.isEmpty():
-        return stars.select(F.col("a").alias("bucket"), F.col("b").alias("id"))
-    return components(stars).select(F.col("label").alias("bucket"), "id")
+    chained = stored(known.join(open_, "bucket").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "near-open")
+    if chained.isEmpty():
+        return chained.select(F.col("a").alias("bucket"), F.col("b").alias("id"))
+    return components(chained).select(F.col("label").alias("bucket"), "id")
 
 
 def _differences(least: float):
@@ -261,7 +270,7 @@ def _differences(least: float):
 
 
 def by_differences(members: DataFrame, items: DataFrame, labels: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Pairs (a < b) that, beside ``labels`` (id, label: what is linked already), join all texts of a bucket (bucket, id) that chains of similar ones of it join: an exact way.
+    """Links (a < b) that, beside ``labels`` (id, label: what is linked already), join all texts of a bucket (bucket, id) that chains of similar ones of it join: an exact way.
 
     M is what more than half of a bucket's texts hold, D(x) where x differs from
     M. Similar texts differ in at most r (|x| + |y|), r = (1 - least) / (1 + least),
@@ -283,14 +292,15 @@ def by_differences(members: DataFrame, items: DataFrame, labels: DataFrame, leas
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(got)], names=["bucket", "id", "item"])
 
     found: DataFrame | None = None
-    members = stored(members.select("bucket", "id"), "near-members")
+    members = members.select("bucket", "id")
     level = 0
     while True:
-        rows = stored(_shared(members), f"near-join{level}")
-        here = _pairs(rows)
+        rows = stored(buckets_of(members), f"near-join{level}")
+        here = compared(rows.filter(F.col("n") <= PAIRWISE), items, least)
+        found = here if found is None else found.unionByName(here)
         large = rows.filter(F.col("n") > PAIRWISE)
         if large.isEmpty():
-            return (here if found is None else found.unionByName(here)).distinct()
+            return found
         held = large.join(sets, "id").select("bucket", "id", "raw").mapInArrow(spread, "bucket long, id long, item long")
         sizes = large.select("bucket", "n").distinct()
         counts = stored(held.groupBy("bucket", "item").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").join(sizes, "bucket"), f"near-counts{level}")
@@ -306,14 +316,13 @@ def by_differences(members: DataFrame, items: DataFrame, labels: DataFrame, leas
         apart = stored(told.mapInArrow(differ, "bucket long, id long, size long, f double, item array<long>, c array<long>"), f"near-apart{level}")
         nearest = apart.groupBy("bucket").agg(F.min("f").alias("lowest"), F.min_by("id", F.struct("f", "id")).alias("z"))
         of = apart.join(nearest, "bucket")
-        stars = of.filter((F.col("f") + F.col("lowest") <= 1e-9) & (F.col("id") != F.col("z"))).select(F.least("id", "z").alias("a"), F.greatest("id", "z").alias("b"))
-        found = here.unionByName(stars) if found is None else found.unionByName(here).unionByName(stars)
+        near = of.filter((F.col("f") + F.col("lowest") <= 1e-9) & (F.col("id") != F.col("z"))).select(F.least("id", "z").alias("a"), F.greatest("id", "z").alias("b"))
+        found = found.unionByName(near)
         posted = stored(of.select("bucket", "id", "size", "f", "lowest", "item", "c").mapInArrow(run, "bucket long, id long, item long, far boolean"), f"near-posted{level}")
         labelled = posted.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        # Differences that the same texts share make one bucket, and one bucket of equal texts is enough.
-        sharing = labelled.groupBy("bucket", "item").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y")).filter("far AND low < high")
-        chosen = sharing.groupBy("n", "x", "y").agg(F.min(F.struct("bucket", "item")).alias("one")).select(F.col("one")["bucket"].alias("bucket"), F.col("one")["item"].alias("item"), F.xxhash64("n", "x", "y").alias("next"))
-        members = stored(posted.join(chosen, ["bucket", "item"]).select(F.col("next").alias("bucket"), "id").distinct(), f"near-members{level}")
+        # A difference whose texts are all linked, or none of which still looks for others, leads no further.
+        open_ = labelled.groupBy("bucket", "item").agg(F.max("far").alias("far"), F.min("label").alias("low"), F.max("label").alias("high")).filter("far AND low < high")
+        members = stored(posted.join(open_.select("bucket", "item"), ["bucket", "item"]).select(F.xxhash64("bucket", "item").alias("bucket"), "id"), f"near-members{level}")
         level += 1
 
 
@@ -356,16 +365,17 @@ def grouped(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least:
     # Copies: the least row stands for all texts with its content.
     heads = stored(sketched.filter(worded).groupBy("content").agg(F.min("id").alias("head")), "near-heads")
     leading = sketched.filter(worded).join(heads.select(F.col("head").alias("id")), "id", "left_semi")
-    found, large = candidates(leading.select("id", "bands"))
-    links = stored(verified(stored(found, "near-pairs"), leading.select("id", "items"), least), "near-verified")
+    items = leading.select("id", "items")
+    buckets = stored(buckets_of(leading.select("id", F.explode("bands").alias("bucket"))), "near-buckets")
+    large = buckets.filter(F.col("n") > PAIRWISE)
+    links = compared(buckets.filter(F.col("n") <= PAIRWISE), items, least).unionByName(verified(stored(stars(large), "near-stars"), items, least).select("a", "b"))
+    links = stored(links.distinct(), "near-links")
     joined = components(links)
     open_ = stored(unsettled(large, joined), "near-unsettled")
     if not open_.isEmpty():
-        items = stored(leading.select("id", "items").join(open_.select("id"), "id", "left_semi"), "near-open-items")
-        label = lambda c: joined.select(F.col("id").alias(c), F.col("label").alias(f"_{c}"))
-        more = by_differences(open_, items, joined, least).join(label("a"), "a", "left").join(label("b"), "b", "left")
-        more = more.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
-        joined = components(links.unionByName(verified(stored(more, "near-more"), items, least)))
+        some = stored(items.join(open_.select("id"), "id", "left_semi"), "near-open-items")
+        more = stored(by_differences(open_, some, joined, least), "near-more")
+        joined = components(links.unionByName(more))
     of_head = heads.join(joined.select(F.col("id").alias("head"), "label"), "head", "left").select("content", F.coalesce("label", "head").alias("label"))
     known = sketched.select("id", "name", "mark", F.when(worded, F.col("content")).alias("content")).join(of_head, "content", "left")
     return known.select("name", "mark", F.coalesce("label", "id").alias("label"))
