@@ -30,11 +30,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.tables import stored, text_or_empty
+from tracewell.llm.tables import scratch, stored, text_or_empty
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
-#: Texts in a bucket up to which all its pairs are compared; larger ones go by leaders and the exact join.
+#: Texts in a bucket up to which all its pairs are compared, and texts of the smaller side of two that are; larger ones go by leaders and the exact join.
 PAIRWISE = 32
 
 _U = np.uint64
@@ -182,13 +182,19 @@ def buckets_of(rows: DataFrame) -> DataFrame:
     return rows.join(chosen.select("bucket", "n"), "bucket")
 
 
-def alike(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Pairs that link what chains of similar sets (sorted, without repeats) link: at most one fewer than there are sets."""
+def alike(sets: list[np.ndarray], least: float, group: np.ndarray | None = None, asks: np.ndarray | None = None, asked: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that link what chains of similar sets (sorted, without repeats) link: at most one fewer than there are sets.
+
+    ``group``: what is linked already; ``asks`` and ``asked``: only pairs of one that asks and one that is asked count.
+    """
     sizes = np.asarray([len(x) for x in sets])
-    group, out = np.arange(len(sets)), []
+    every = np.ones(len(sets), bool)
+    asks, asked = every if asks is None else asks, every if asked is None else asked
+    group, out = np.arange(len(sets)) if group is None else group.copy(), []
     for i in range(1, len(sets)):
         # Sizes alone bound the similarity; what is linked already need not be compared again.
-        near = np.flatnonzero((np.minimum(sizes[:i], sizes[i]) >= least * np.maximum(sizes[:i], sizes[i]) - 1e-9) & (group[:i] != group[i]))
+        meets = (asks[:i] & asked[i]) | (asked[:i] & asks[i])
+        near = np.flatnonzero(meets & (np.minimum(sizes[:i], sizes[i]) >= least * np.maximum(sizes[:i], sizes[i]) - 1e-9) & (group[:i] != group[i]))
         for j in near.tolist():
             if group[j] == group[i]:
                 continue
@@ -201,18 +207,24 @@ def alike(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
 
 
 def compared(small: DataFrame, items: DataFrame, least: float) -> DataFrame:
-    """Links (a < b) among the texts of buckets (bucket, id) of at most ``PAIRWISE`` texts: all pairs of a bucket are compared."""
+    """Links (a < b) among the texts of small buckets.
+
+    ``small``: bucket, id, label (equal for texts that are linked already), role
+    (bits: 1 is asked, 2 asks). In each bucket all that ask are compared with all
+    that are asked, but for those linked already.
+    """
 
     def run(one: pa.Table) -> pa.Table:
-        ids = one.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
+        ids, role, label = (one.column(c).to_numpy() for c in ("id", "role", "label"))
+        named, first, back = np.unique(ids, return_index=True, return_inverse=True)
+        roles = np.zeros(len(named), np.int64)
+        np.bitwise_or.at(roles, back, role)
         held = one.column("items")
-        links = alike([np.unique(np.frombuffer(held[int(k)].as_py(), "<u4")) for k in order], least)
+        links = alike([np.unique(np.frombuffer(held[int(k)].as_py(), "<u4")) for k in first], least, label[first], roles & 2 > 0, roles & 1 > 0)
         a, b = zip(*links, strict=True) if links else ((), ())
-        ids = ids[order]
-        return pa.table({"a": pa.array(ids[list(a)], pa.int64()), "b": pa.array(ids[list(b)], pa.int64())})
+        return pa.table({"a": pa.array(named[list(a)], pa.int64()), "b": pa.array(named[list(b)], pa.int64())})
 
-    return small.select("bucket", "id").join(items.select("id", "items"), "id").groupBy("bucket").applyInArrow(run, "a long, b long")
+    return small.select("bucket", "id", "label", "role").join(items.select("id", "items"), "id").groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
 def stars(large: DataFrame) -> DataFrame:
@@ -233,40 +245,45 @@ def unsettled(large: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _differences(least: float):
-    """Functions that find, per (bucket, text), the differences from the majority, and those of them, rarest first, that a link needs."""
+    """Functions that find, per (bucket, text), the differences from the majority, and those of them, rarest first, by which a link must show."""
     share = (1 - least) / (1 + least)
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, f, item, count = [], [], [], []
+            size, whole, f, item, count = [], [], [], [], []
             for added, c, kept, most, lack in zip(*(b.column(k) for k in range(2, 7)), strict=True):
                 added, c, kept, most, lack = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in (added, c, kept, most, lack))
                 gone = ~np.isin(most, kept)
                 item.append(np.concatenate((added, most[gone])))
                 count.append(np.concatenate((c, lack[gone])))
                 size.append(len(item[-1]))
-                f.append(len(item[-1]) - share * (len(added) + len(kept)))
+                whole.append(len(added) + len(kept))
+                f.append(len(item[-1]) - share * whole[-1])
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(f, pa.float64()), pa.array(item, longs), pa.array(count, longs)], names=["bucket", "id", "size", "f", "item", "c"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(whole, pa.int64()), pa.array(f, pa.float64()), pa.array(item, longs), pa.array(count, longs)], names=["bucket", "id", "size", "whole", "f", "item", "c"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            which, out, seen = [], [], []
-            for i, (size, fs, lowest, items, counts) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 7)), strict=True)):
-                sure = fs + lowest <= 1e-9
-                # A link from x to y needs (f(x) + f(y)) / 2 common differences. Those near enough to the nearest are linked with it,
-                # so they look only for texts that are not, and f is above -lowest there.
-                need = max(1, int(np.ceil((fs + (-lowest if sure else lowest)) / 2 - 1e-6)))
+            which, out, roles = [], [], []
+            for i, (size, whole, f, lowest, largest, items, counts) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 9)), strict=True)):
+                far = f + lowest > 1e-9
+                # As the partner with the smaller f: the other one is far, and not below this one.
+                asked = max(f, (f - lowest) / 2)
+                # As the one with the larger f: the other one has no more differences in common than it has at all.
+                asks = (f + max(lowest, f - 2 * share * min(largest, whole / least))) / 2
+                short, long = (max(0, size - max(1, int(np.ceil(need - 1e-6))) + 1) for need in (asked, asks))
+                long = long if far else 0
                 item, count = np.asarray(items, np.int64), np.asarray(counts, np.int64)
-                order = np.lexsort((item, count))[: max(0, size - need + 1)]
-                order = order[count[order] > 1]
-                out += item[order].tolist()
-                which += [i] * len(order)
-                seen += [not sure] * len(order)
+                order = np.lexsort((item, count))[: max(short, long)]
+                role = (np.arange(len(order)) < short) + 2 * (np.arange(len(order)) < long)
+                shared = count[order] > 1
+                out += item[order][shared].tolist()
+                roles += role[shared].tolist()
+                which += [i] * int(shared.sum())
             take = pa.array(which, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(out, pa.int64()), pa.array(seen, pa.bool_())], names=["bucket", "id", "item", "far"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(out, pa.int64()), pa.array(roles, pa.int32())], names=["bucket", "id", "item", "role"])
 
-    return differ, run
+    return differ, post
 
 
 def by_differences(members: DataFrame, items: DataFrame, labels: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -275,13 +292,17 @@ def by_differences(members: DataFrame, items: DataFrame, labels: DataFrame, leas
     M is what more than half of a bucket's texts hold, D(x) where x differs from
     M. Similar texts differ in at most r (|x| + |y|), r = (1 - least) / (1 + least),
     so with f(x) = |D(x)| - r |x| they share (f(x) + f(y)) / 2 differences or more.
-    If that is not above zero for some pair, both are similar to the text z of the
-    least f: pairs with z stand for those. All others meet by a common difference
-    in the rarest |D| - need + 1. Texts with a common difference are a bucket of
-    the next round, unless they are linked already; as at most half of the texts
-    have it, rounds end.
+    z is the text of the least f. Where f(x) + f(z) is not above zero, x is similar
+    to z, and that pair stands for those of such texts; the others are far. All
+    further links have a far text, which asks, and one of no larger f, which is
+    asked. In the order of rarity, a text that is asked posts as many differences as
+    leave fewer than max(f, (f - f(z)) / 2), and one that asks as many as leave
+    fewer than its own bound with the least f that a partner can have; so both post
+    one that they share. Where few ask or few are asked, they are compared;
+    otherwise the texts with a common difference are a bucket of the next round. As
+    at most half of the texts have it, rounds end.
     """
-    differ, run = _differences(least)
+    differ, post = _differences(least)
     sets = items.select("id", F.col("items").alias("raw"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,17 +313,11 @@ def by_differences(members: DataFrame, items: DataFrame, labels: DataFrame, leas
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(got)], names=["bucket", "id", "item"])
 
     found: DataFrame | None = None
-    members = members.select("bucket", "id")
+    rows = stored(buckets_of(members.select("bucket", "id")), "near-join0")
     level = 0
     while True:
-        rows = stored(buckets_of(members), f"near-join{level}")
-        here = compared(rows.filter(F.col("n") <= PAIRWISE), items, least)
-        found = here if found is None else found.unionByName(here)
-        large = rows.filter(F.col("n") > PAIRWISE)
-        if large.isEmpty():
-            return found
-        held = large.join(sets, "id").select("bucket", "id", "raw").mapInArrow(spread, "bucket long, id long, item long")
-        sizes = large.select("bucket", "n").distinct()
+        held = rows.join(sets, "id").select("bucket", "id", "raw").mapInArrow(spread, "bucket long, id long, item long")
+        sizes = rows.select("bucket", "n").distinct()
         counts = stored(held.groupBy("bucket", "item").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").join(sizes, "bucket"), f"near-counts{level}")
         common = counts.filter(F.col("c") * 2 > F.col("n")).groupBy("bucket").agg(F.collect_list(F.struct("item", (F.col("n") - F.col("c")).alias("c"))).alias("m"))
         # Items held with how many hold them; those of the majority that a text lacks, with how many lack them.
@@ -313,25 +328,36 @@ def by_differences(members: DataFrame, items: DataFrame, labels: DataFrame, leas
         )
         none = F.array().cast("array<bigint>")
         told = own.join(common, "bucket", "left").select("bucket", "id", F.col("added")["item"].alias("i"), F.col("added")["c"].alias("c"), "kept", F.coalesce(F.col("m")["item"], none).alias("most"), F.coalesce(F.col("m")["c"], none).alias("lack"))
-        apart = stored(told.mapInArrow(differ, "bucket long, id long, size long, f double, item array<long>, c array<long>"), f"near-apart{level}")
-        nearest = apart.groupBy("bucket").agg(F.min("f").alias("lowest"), F.min_by("id", F.struct("f", "id")).alias("z"))
+        apart = stored(told.mapInArrow(differ, "bucket long, id long, size long, whole long, f double, item array<long>, c array<long>"), f"near-apart{level}")
+        nearest = apart.groupBy("bucket").agg(F.min("f").alias("lowest"), F.max("whole").alias("largest"), F.min_by("id", F.struct("f", "id")).alias("z"))
         of = apart.join(nearest, "bucket")
         near = of.filter((F.col("f") + F.col("lowest") <= 1e-9) & (F.col("id") != F.col("z"))).select(F.least("id", "z").alias("a"), F.greatest("id", "z").alias("b"))
-        found = found.unionByName(near)
-        posted = stored(of.select("bucket", "id", "size", "f", "lowest", "item", "c").mapInArrow(run, "bucket long, id long, item long, far boolean"), f"near-posted{level}")
-        labelled = posted.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        # A difference whose texts are all linked, or none of which still looks for others, leads no further.
-        open_ = labelled.groupBy("bucket", "item").agg(F.max("far").alias("far"), F.min("label").alias("low"), F.max("label").alias("high")).filter("far AND low < high")
-        members = stored(posted.join(open_.select("bucket", "item"), ["bucket", "item"]).select(F.xxhash64("bucket", "item").alias("bucket"), "id"), f"near-members{level}")
+        found = near if found is None else found.unionByName(near)
+        posted = of.select("bucket", "id", "size", "whole", "f", "lowest", "largest", "item", "c").mapInArrow(post, "bucket long, id long, item long, role int")
+        posted = stored(posted.join(labels, "id", "left").select(F.xxhash64("bucket", "item").alias("bucket"), "id", "role", F.coalesce("label", "id").alias("label")), f"near-posted{level}")
+        # A difference whose texts are all linked, or that none asks for, leads no further.
+        role = lambda bit: F.count(F.when(F.col("role").bitwiseAND(bit) > 0, 1))
+        open_ = posted.groupBy("bucket").agg(role(1).alias("asked"), role(2).alias("asks"), F.min("label").alias("low"), F.max("label").alias("high")).filter("asked > 0 AND asks > 0 AND low < high")
+        met = stored(posted.join(open_.select("bucket", "asked", "asks"), "bucket"), f"near-met{level}")
+        few = met.filter(F.least("asked", "asks") <= PAIRWISE)
+        # The larger side is cut into parts, and the few of the other side go to each of them.
+        parts = F.ceil(F.greatest("asked", "asks") / PAIRWISE)
+        many = F.when(F.col("asked") > F.col("asks"), 1).otherwise(2)
+        cut = few.filter(F.col("role").bitwiseAND(many) > 0).withColumns({"part": F.pmod(F.xxhash64("id"), parts), "role": many})
+        whole = few.filter(F.col("role").bitwiseAND(3 - many) > 0).withColumns({"part": F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)), "role": 3 - many})
+        cells = cut.unionByName(whole).withColumn("bucket", F.xxhash64("bucket", "part"))
+        found = found.unionByName(compared(cells, items, least))
+        many_each = met.filter(F.least("asked", "asks") > PAIRWISE)
+        if many_each.isEmpty():
+            return found
         level += 1
+        rows = stored(buckets_of(many_each.select("bucket", "id")), f"near-join{level}")
 
 
 def verified(pairs: DataFrame, items: DataFrame, least: float = SIMILAR) -> DataFrame:
     """The pairs whose multisets are similar enough, with their similarity."""
     kind = pairs.schema["a"].dataType.simpleString()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = stored(items.join(wanted, "id", "left_semi"), "near-items")
-    both = pairs.join(some.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(some.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    both = pairs.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -360,29 +386,32 @@ def components(links: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
     """name (the id), mark and label (the same for the texts of one group) of every row; ids may be null or repeat."""
-    sketched = stored(sketches(docs, key=key, text=text), "near-sketches")
-    worded = F.size("bands") > 0
-    # Copies: the least row stands for all texts with its content.
-    heads = stored(sketched.filter(worded).groupBy("content").agg(F.min("id").alias("head")), "near-heads")
-    leading = sketched.filter(worded).join(heads.select(F.col("head").alias("id")), "id", "left_semi")
-    items = leading.select("id", "items")
-    buckets = stored(buckets_of(leading.select("id", F.explode("bands").alias("bucket"))), "near-buckets")
-    large = buckets.filter(F.col("n") > PAIRWISE)
-    links = compared(buckets.filter(F.col("n") <= PAIRWISE), items, least).unionByName(verified(stored(stars(large), "near-stars"), items, least).select("a", "b"))
-    links = stored(links.distinct(), "near-links")
-    joined = components(links)
-    open_ = stored(unsettled(large, joined), "near-unsettled")
-    if not open_.isEmpty():
-        some = stored(items.join(open_.select("id"), "id", "left_semi"), "near-open-items")
-        more = stored(by_differences(open_, some, joined, least), "near-more")
-        joined = components(links.unionByName(more))
-    of_head = heads.join(joined.select(F.col("id").alias("head"), "label"), "head", "left").select("content", F.coalesce("label", "head").alias("label"))
-    known = sketched.select("id", "name", "mark", F.when(worded, F.col("content")).alias("content")).join(of_head, "content", "left")
-    return known.select("name", "mark", F.coalesce("label", "id").alias("label"))
+    with scratch(docs.sparkSession):
+        sketched = stored(sketches(docs, key=key, text=text), "near-sketches")
+        worded = F.size("bands") > 0
+        # Copies: the least row stands for all texts with its content.
+        heads = stored(sketched.filter(worded).groupBy("content").agg(F.min("id").alias("head")), "near-heads")
+        banded = sketched.filter(worded).select("id", F.explode("bands").alias("bucket")).join(heads.select(F.col("head").alias("id")), "id", "left_semi")
+        buckets = stored(buckets_of(banded), "near-buckets")
+        # Multisets of the texts that share a bucket; no others are read again.
+        items = stored(sketched.select("id", "items").join(buckets.select("id").distinct(), "id", "left_semi"), "near-items")
+        large = buckets.filter(F.col("n") > PAIRWISE)
+        small = buckets.filter(F.col("n") <= PAIRWISE).select("bucket", "id", F.col("id").alias("label"), F.lit(3).alias("role"))
+        links = compared(small, items, least).unionByName(verified(stored(stars(large), "near-stars"), items, least).select("a", "b"))
+        links = stored(links.distinct(), "near-links")
+        joined = components(links)
+        open_ = stored(unsettled(large, joined), "near-unsettled")
+        if not open_.isEmpty():
+            some = stored(items.join(open_.select("id"), "id", "left_semi"), "near-open-items")
+            more = stored(by_differences(open_, some, joined, least), "near-more")
+            joined = components(links.unionByName(more))
+        of_head = heads.join(joined.select(F.col("id").alias("head"), "label"), "head", "left").select("content", F.coalesce("label", "head").alias("label"))
+        known = sketched.select("id", "name", "mark", F.when(worded, F.col("content")).alias("content")).join(of_head, "content", "left")
+        return stored(known.select("name", "mark", F.coalesce("label", "id").alias("label")), "near-groups", keep=True)
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
     """doc_id and class_id (the least doc_id of its group, null only if it has no other) of every document."""
-    rows = stored(grouped(docs, key=key, text=text, least=least), "near-groups")
+    rows = grouped(docs, key=key, text=text, least=least)
     named = rows.groupBy("label").agg(F.min("name").alias("class_id"))
     return rows.join(named, "label").select(F.col("name").alias("doc_id"), "class_id")

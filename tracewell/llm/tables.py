@@ -2,42 +2,114 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of the scratch blocks that are open, the innermost last.
+_OPEN: list[str] = []
+#: Buckets of the histogram from which a sample's threshold is read.
+HASH_BUCKETS = 1 << 16
+
+
+@lru_cache(maxsize=8)
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-tracewell-")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    It is the session's ``spark.checkpoint.dir``. Only a session without that
-    setting (local tests) gets a folder of its own.
+    It is the session's ``spark.checkpoint.dir``. Only a local session without
+    that setting (driver and executors are one process there) gets a folder of
+    its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "/tmp/tracewell-shared"
+    return f"file://{_own_dir(spark.sparkContext.applicationId)}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@lru_cache(maxsize=8)
+def _application_dir(spark: SparkSession, base: str) -> str:
+    """Folder of this application's tables; it goes when the driver's process ends with the session still up."""
+    path = f"{base}/tracewell/{spark.sparkContext.applicationId}"
+
+    def leave() -> None:
+        if spark.sparkContext._jsc is not None:
+            remove(spark, path)
+
+    atexit.register(leave)
+    return path
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
+    return f"{_application_dir(spark, shared_dir(spark))}/{name}-{uuid.uuid4().hex}"
+
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are removed at the end, but those that are kept."""
+    path = new_path(spark, "scratch")
+    _OPEN.append(path)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+        remove(spark, path)
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+
+def stored(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read again.
 
     Cuts the lineage with files that outlive executors, so that a later pass
-    neither repeats the work nor sees other values.
+    neither repeats the work nor sees other values. ``keep``: the table outlives
+    the innermost scratch block.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    spark, around = df.sparkSession, _OPEN[:-1] if keep else _OPEN
+    path = f"{around[-1]}/{name}-{uuid.uuid4().hex}" if around else new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` of ``rows``, whose ``key`` is distinct: those with the least hashes, the same in a rerun.
+
+    The threshold comes from a histogram of hashes, of at most ``HASH_BUCKETS``
+    rows, so nothing is sorted or gathered; where the buckets are all larger than
+    ``most``, the first one is split by further hash bits.
+    """
+    seed, chosen = 0, rows
+    while True:
+        h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(HASH_BUCKETS))
+        n = {r["h"]: r["n"] for r in chosen.groupBy(h.alias("h")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most HASH_BUCKETS rows
+        if sum(n.values()) <= most:
+            return chosen
+        total, below = 0, 0
+        for k in sorted(n):
+            if total + n[k] > most:
+                below = k
+                break
+            total += n[k]
+        if total:
+            return chosen.filter(h < below)
+        chosen, seed = chosen.filter(h == below), seed + 1
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
