@@ -30,22 +30,27 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
 
 
 class _Pieces(dict):
-    def __init__(self, encode):
-        self.encode = encode
+    """Ids of pieces; what is not here is taken from the generation before, or encoded."""
+
+    def __init__(self, encode, before: dict[str, bytes]):
+        self.encode, self.before = encode, before
 
     def __missing__(self, piece: str) -> bytes:
-        got = self[piece] = np.asarray(self.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        got = self.before.get(piece)
+        if got is None:
+            got = np.asarray(self.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        self[piece] = got
         return got
 
 
 class Encoder:
     """ids(text) gives the ids as little-endian unsigned 32-bit bytes, the end id included."""
 
-    def __init__(self, path: str, end_id: int = END_ID, kept_pieces: int = 800_000):
+    def __init__(self, path: str, end_id: int = END_ID, kept_pieces: int = 900_000):
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode
-        self.pieces, self.kept = _Pieces(self.encode), kept_pieces
+        self.pieces, self.kept = _Pieces(self.encode, {}), kept_pieces
         self.end = np.asarray([end_id], "<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
@@ -53,8 +58,8 @@ class Encoder:
             return self.end
         if "<|" in text or _ODD.search(text):
             return np.asarray(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
-        if len(self.pieces) > self.kept:  # bounds a worker's memory
-            self.pieces.clear()
+        if 2 * len(self.pieces) > self.kept:  # bounds a worker's memory; pieces that are met again move to the new generation
+            self.pieces = _Pieces(self.encode, dict(self.pieces))
         return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text))) + self.end
 
 
