@@ -1,13 +1,14 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
 Sizes are summed by source and hash bucket. The bucket in which a source's
-budget ends is found from running sums, and only that bucket is split by the
-next hash bits, until one hash value is left. A document is taken by comparing
+budget ends is found from running sums, and only the rows of that bucket are
+split by the next hash bits, until few are left. A document is taken by comparing
 its hash with its source's threshold, so nothing is sorted.
 
 Defined cases: a null text has size 0; a null source is a source of its own
-and the last; rows with equal doc_id have equal hashes and are taken or left
-together; an empty table gives an empty result; other columns are left out.
+and the last; rows with equal doc_id have equal hashes and are ordered by size,
+and of rows equal in both as many are taken as the budget asks for; an empty
+table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.tables import stored, text_or_empty
+from tracewell.llm.tables import scratch, stored, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hash bits that one histogram resolves, and the number of histograms that use up 60 bits.
-BITS, LEVELS = 12, 5
+#: Bits of a hash, those that one histogram resolves, and rows of a source's boundary bucket from which it is split again.
+HASH, BITS, FEW = 60, 12, 10_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -66,61 +67,66 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int
 
 
 def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
-    """source, whole (times every document is taken) and below (hashes under it are taken once more).
+    """_s (source), whole (times every document is taken), and what is taken once more: rows before (last_h, last_size) in that order, and ``more`` of the ``most_more`` rows at it.
 
-    The last bucket is taken or left so that the sum comes nearer to the budget.
+    The last row is taken or left so that the sum comes nearer to the budget.
     """
-    goal = plan.filter(F.col("source_size") > 0).select(
-        F.col("source").alias("_s"),
-        F.floor(F.col("target") / F.col("source_size")).alias("whole"),
-        (F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")).alias("budget"),
-    )
-    same = F.col("source").eqNullSafe(F.col("_s"))
-    # low: low end of the bucket that is still to be split; budget: what is left for it. A row for each source, in a
-    # stored table, so that Spark broadcasts it only where its size allows.
-    state = goal.withColumns({"low": F.lit(0).cast("long"), "done": F.lit(False)})
-    for level in range(LEVELS):
-        width = 1 << (60 - BITS * (level + 1))
-        inside = sizes.join(state.filter(~F.col("done")), same).filter(
-            (F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + width * (1 << BITS))
-        )
-        cells = inside.groupBy("_s", ((F.col("h") - F.col("low")) / F.lit(width)).cast("long").alias("cell")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs"), F.min("h").alias("least"), F.max("h").alias("largest"))
-        run = W.partitionBy("_s").orderBy("cell")
-        cells = cells.withColumn("upto", F.sum("n").over(run))
-        cells = cells.join(state.select(F.col("_s").alias("_t"), "budget", "low"), F.col("_s").eqNullSafe(F.col("_t")))
-        # First cell whose end passes the budget; if there is none, all is taken.
-        over = F.min(F.when(F.col("upto") > F.col("budget"), F.struct("cell", "n", "upto", "docs", "least", "largest"))).alias("edge")
-        edge = cells.groupBy(F.col("_s").alias("_t")).agg(over)
-        step = state.join(edge, F.col("_s").eqNullSafe(F.col("_t")), "left")
-        e = F.col("edge")
-        left = F.col("budget") - (e["upto"] - e["n"])
-        single = (e["least"] == e["largest"]) | F.lit(level == LEVELS - 1)
-        near = F.when(left * 2 >= e["n"], e["largest"] + 1).otherwise(e["least"])
-        open_low = F.col("low") + e["cell"] * width
-        state = stored(
-            step.select(
-                "_s",
-                "whole",
-                F.when(F.col("done") | e.isNull(), F.col("budget")).otherwise(left).alias("budget"),
-                F.when(F.col("done"), F.col("low")).when(e.isNull(), F.col("low") + width * (1 << BITS)).when(single, near).otherwise(open_low).alias("low"),
-                (F.col("done") | e.isNull() | single).alias("done"),
-            ),
-            f"mix-level{level}",
-        )
-        if state.filter(~F.col("done")).isEmpty():
+    share = F.floor(F.col("target") / F.col("source_size"))
+    state = plan.filter(F.col("source_size") > 0).select(F.col("source").alias("_s"), share.alias("whole"), (F.col("target") - share * F.col("source_size")).alias("budget"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    goal, rows, bits = stored(state.select("_s", F.col("budget").alias("left")), "mix-goal"), sizes, HASH
+    while True:
+        bits -= BITS
+        cell = F.shiftright("h", bits).alias("cell")
+        counted = rows.groupBy(F.col("source").alias("_t"), cell).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"))
+        sums = counted.withColumn("upto", F.sum("n").over(W.partitionBy("_t").orderBy("cell")))
+        # First cell whose end passes what is left; where there is none, all is taken.
+        edges = goal.join(sums, same("_s", "_t")).filter(F.col("upto") > F.col("left")).groupBy("_s").agg(F.min(F.struct("cell", "n", "upto", "rows", "left")).alias("e"))
+        edges = stored(edges.select("_s", F.col("e.cell").alias("edge"), (F.col("e.left") - (F.col("e.upto") - F.col("e.n"))).alias("left"), F.col("e.rows").alias("rows")), "mix-edges")
+        rows = stored(rows.join(edges.select("_s", "edge"), same("source", "_s") & (F.shiftright("h", bits) == F.col("edge"))).select("source", "size", "h"), "mix-boundary")
+        goal = edges.select("_s", "left")
+        if bits < BITS or edges.filter(F.col("rows") > FEW).isEmpty():
             break
-    return state.select(F.col("_s").alias("source"), "whole", F.col("low").alias("below"))
+    cells = rows.groupBy(F.col("source").alias("_t"), "h", "size").agg(F.count(F.lit(1)).alias("rows"))
+    sums = cells.withColumn("upto", F.sum(F.col("size") * F.col("rows")).over(W.partitionBy("_t").orderBy("h", "size")))
+    last = goal.join(sums, same("_s", "_t")).filter(F.col("upto") > F.col("left")).groupBy(F.col("_s").alias("_t")).agg(F.min(F.struct("h", "size", "rows", "upto", "left")).alias("e"))
+    e = F.col("e")
+    before = e["left"] - (e["upto"] - e["size"] * e["rows"])
+    more = F.least(F.floor(before / e["size"] + 0.5), e["rows"])
+    return state.join(last, same("_s", "_t"), "left").select("_s", "whole", e["h"].alias("last_h"), e["size"].alias("last_size"), more.alias("more"), e["rows"].alias("most_more"))
 
 
 def _rules(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """_s (source), source_size, target, whole and below of every source."""
-    plan = stored(targets(sizes, weights=weights, most=most), "mix-targets")
-    rules = thresholds(sizes, plan)
-    return plan.alias("p").join(rules.alias("r"), F.col("p.source").eqNullSafe(F.col("r.source")), "left").select(F.col("p.source").alias("_s"), "source_size", "target", "whole", "below")
-
-
-def _times(h: Column, most: int, whole: str = "whole", below: str = "below") -> Column:
-    return F.least(F.coalesce(whole, F.lit(0)) + F.when(h < F.coalesce(below, F.lit(0)), 1).otherwise(0), F.lit(most)).cast("int")
+    """Source, source_size, target and threshold of every source; all names begin with _m_. A row for each source, in a stored table, so that Spark broadcasts it only where its size allows."""
+    with scratch(sizes.sparkSession):
+        plan = stored(targets(sizes, weights=weights, most=most), "mix-targets")
+        both = plan.join(thresholds(sizes, plan), F.col("source").eqNullSafe(F.col("_s")), "left")
+        names = ("source", "source_size", "target", "whole", "last_h", "last_size", "more", "most_more")
+        return stored(both.select(*[F.col(c).alias(f"_m_{c}") for c in names]), "mix-rules", keep=True)
+
+
+def _counted(rows: DataFrame, rules: DataFrame, source: Column, h: Column, size: Column, most: int) -> DataFrame:
+    """``rows`` with the columns of ``rules`` and _m_times, how often each is taken."""
+    known = rows.join(rules, source.eqNullSafe(F.col("_m_source")))
+    whole = F.coalesce("_m_whole", F.lit(0))
+    at = (h == F.col("_m_last_h")) & (size == F.col("_m_last_size"))
+    first = F.col("_m_last_h").isNull() & (F.col("_m_source_size") > 0) | (h < F.col("_m_last_h")) | ((h == F.col("_m_last_h")) & (size < F.col("_m_last_size")))
+    extra = F.when(at, (F.col("_m_more") > 0).cast("int")).when(first, 1).otherwise(0)
+    some = at & (F.col("_m_more") > 0) & (F.col("_m_more") < F.col("_m_most_more"))
+    known = known.withColumn("_m_times", F.when(~F.coalesce(some, F.lit(False)), F.least(whole + extra, F.lit(most))).cast("int"))
+    if rules.filter("_m_more > 0 AND _m_more < _m_most_more").isEmpty():
+        return known
+    # Some of the rows that agree in source, hash and size are taken: as many as are numbered below ``_m_more``, by
+    # the order in which they lie in a stored table.
+    open_ = F.col("_m_times").isNull()
+    tied = stored(known.filter(open_).withColumn("_m_row", F.monotonically_increasing_id()), "mix-ties", keep=True)
+    part = F.shiftright("_m_row", 33).alias("_m_part")
+    each = tied.groupBy("_m_source", part).agg(F.count(F.lit(1)).alias("_m_n"))
+    starts = each.select(F.col("_m_source").alias("_m_s"), F.col("_m_part").alias("_m_p"), F.coalesce(F.sum("_m_n").over(W.partitionBy("_m_source").orderBy("_m_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_m_start"))
+    nth = F.row_number().over(W.partitionBy("_m_source", "_m_part").orderBy("_m_row"))
+    numbered = tied.withColumn("_m_part", part).join(starts, F.col("_m_source").eqNullSafe(F.col("_m_s")) & (F.col("_m_part") == F.col("_m_p"))).withColumn("_m_nth", F.col("_m_start") + nth)
+    settled = numbered.withColumn("_m_times", F.least(whole + F.when(F.col("_m_nth") <= F.col("_m_more"), 1).otherwise(0), F.lit(most)).cast("int"))
+    return known.filter(~open_).unionByName(settled.select(known.columns))
 
 
 def _sizes(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
@@ -130,12 +136,12 @@ def _sizes(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """key, source, size, source_size, target and times (how often each document is taken, 0 to ``most``)."""
     sizes = _sizes(docs, key, source, text)
-    known = _rules(sizes, weights, most)
-    return sizes.join(known, F.col("source").eqNullSafe(F.col("_s"))).select("key", "source", "size", "source_size", "target", _times(F.col("h"), most).alias("times"))
+    known = _counted(sizes, _rules(sizes, weights, most), F.col("source"), F.col("h"), F.col("size"), most)
+    return known.select("key", "source", "size", F.col("_m_source_size").alias("source_size"), F.col("_m_target").alias("target"), F.col("_m_times").alias("times"))
 
 
 def with_times(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """``docs`` with _times: no join on ids, so they may be null or repeat."""
-    known = stored(_rules(_sizes(docs, key, source, text), weights, most), "mix-rules")
-    named = known.select(F.col("_s").alias("_mix_source"), "whole", "below").withColumnsRenamed({"whole": "_whole", "below": "_below"})
-    return docs.join(named, F.col(source).cast("string").eqNullSafe(F.col("_mix_source"))).withColumn("_times", _times(order_hash(key), most, "_whole", "_below")).select(*docs.columns, "_times")
+    """``docs`` with _m_times: no join on ids, so they may be null or repeat. Names of columns must not begin with _m_."""
+    with scratch(docs.sparkSession):
+        rules = stored(_rules(_sizes(docs, key, source, text), weights, most), "mix-rules", keep=True)
+    return _counted(docs, rules, F.col(source).cast("string"), order_hash(key), word_count(text), most).select(*docs.columns, "_m_times")

@@ -113,17 +113,14 @@ WITH s AS (
     FROM w WINDOW p AS (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
     SELECT source, source_size, round(least(cap, coalesce(max(CASE WHEN level * w <= cap THEN level END) OVER () * w, cap)), 6) AS target FROM f
-), g AS (
-    SELECT source, h, sum(size) AS n, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM s GROUP BY source, h
 ), r AS (
     SELECT *, floor(target / nullif(source_size, 0)) AS whole, target - floor(target / nullif(source_size, 0)) * source_size AS budget FROM t
-), e AS (
-    SELECT g.source, arg_min(CASE WHEN (r.budget - (g.upto - g.n)) * 2 >= g.n THEN g.h + 1 ELSE g.h END, g.h) AS below
-    FROM g JOIN r ON g.source IS NOT DISTINCT FROM r.source WHERE g.upto > r.budget GROUP BY g.source
+), c AS (
+    SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s
 )
-SELECT s.doc_id, s.size, r.source_size, r.target,
-    (s.size * least(3, coalesce(r.whole, 0) + CASE WHEN r.source_size > 0 AND (e.below IS NULL OR s.h < e.below) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source LEFT JOIN e ON s.source IS NOT DISTINCT FROM e.source
+SELECT c.doc_id, c.size, r.source_size, r.target,
+    (c.size * least(3, coalesce(r.whole, 0) + CASE WHEN (r.budget - c.before) * 2 >= c.size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source
 """
 
 
