@@ -2,8 +2,10 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -437,6 +439,35 @@ def test_codec_learns_and_finds_damage():
         idcodec.decode_segment(bytes(broken))
 
 
+def test_every_damaged_byte_is_found_and_stays_in_its_block():
+    rng = np.random.default_rng(2)
+    ids = (rng.zipf(1.2, 5000) % 3000).astype("<u4")
+    data = idcodec.encode_segment([ids.tobytes()])
+    for at in rng.integers(0, len(data), 60).tolist():
+        broken = bytearray(data)
+        broken[at] ^= 1 << int(rng.integers(0, 8))
+        with pytest.raises(ValueError):
+            idcodec.decode_segment(bytes(broken))
+    orders, blocks = idcodec.encode_blocks(ids.astype(np.uint16))
+    lengths = np.full(len(blocks), idcodec.BLOCK)
+    lengths[-1] = len(ids) - idcodec.BLOCK * (len(blocks) - 1)
+    blocks[1] = bytes(len(blocks[1]))
+    got = idcodec.decode_blocks(orders, blocks, lengths)
+    same = (got == ids).reshape(-1)
+    assert same[: idcodec.BLOCK].all() and same[2 * idcodec.BLOCK :].all() and not same[idcodec.BLOCK : 2 * idcodec.BLOCK].all()
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").is_dir(), reason="no tables here")
+def test_coded_ids_are_smaller_than_simpler_codes_make_them():
+    enc = tokens.encoder(tokens.tokenizer_path())
+    raw = [enc.ids(t) for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    ids = np.frombuffer(b"".join(raw), "<u4")
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    order0 = -(share * np.log2(share)).sum() / 8 * len(ids)
+    size = len(idcodec.encode_segment(raw))
+    assert size < 0.85 * order0 and size < 0.85 * len(zlib.compress(ids.astype("<u2").tobytes(), 6))
+
+
 def test_cached_pieces_give_the_tokenizer_ids():
     enc = tokens.encoder(tokens.tokenizer_path())
     for text in ("It's  we'll _x_  \n\n tab\t end ", "é ñ 日本 ☃ ​ x\x1f ² ªº", "a<|endoftext|>b", "12,345.6 %$ '' 'S", "Ǆ‘quotes’ ‐ \xa0nbsp \xad"):
@@ -536,6 +567,33 @@ def test_mix_meets_targets(spark, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+@pytest.mark.parametrize("one_key", [7, None])
+def test_mix_splits_rows_with_one_key(spark, one_key):
+    """Rows of one doc_id, equal or not, are taken as the budget asks for, in the operator and as rows of the pipeline's stage."""
+    rows = [(one_key, "w " * 10, "a")] * 5 + [(one_key, "w " * 3, "a")] * 2 + [(k, "w " * 4, s) for k, s in ((20, "b"), (21, "b"), (22, "c"))]
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = brute_targets(dict(sizes))
+    got = mixing.mix(frame(spark, rows)).collect()
+    taken = Counter()
+    for r in got:
+        assert 0 <= r["times"] <= 3
+        taken[r["source"]] += r["size"] * r["times"]
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 5 for s in want)
+    again = mixing.with_times(frame(spark, rows)).collect()
+    key = lambda i, t, n: (str(i), t, n)
+    assert sorted(key(r["doc_id"], len(r["text"].split()), r["_m_times"]) for r in again) == sorted(key(r["key"], r["size"], r["times"]) for r in got)
+
+
+def test_mix_refines_large_boundary_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, "w " * int(rng.integers(1, 9)), "ab"[i % 2]) for i in range(600)]
+    want = {(r["key"], r["times"]) for r in mixing.mix(frame(spark, rows)).collect()}
+    monkeypatch.setattr(mixing, "FEW", 0)
+    assert {(r["key"], r["times"]) for r in mixing.mix(frame(spark, rows)).collect()} == want
+
+
 # All of them on odd and empty tables
 
 

@@ -119,7 +119,7 @@ def findings(versions: DataFrame, ledger: DataFrame, *, path: str = "doc_id", te
 
 def scan_all(versions: DataFrame, ledger: DataFrame | None = None, *, path: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings of every version, ledger with what was new)."""
-    new = stored(scan_unseen(versions, ledger, path=path, text=text), "blob-ledger")
+    new = stored(scan_unseen(versions, ledger, path=path, text=text), "blob-ledger", keep=True)
     whole = new if ledger is None else ledger.select(new.columns).unionByName(new)
     return findings(versions, whole, path=path, text=text), whole
 

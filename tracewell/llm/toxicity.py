@@ -25,8 +25,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tracewell.llm.tables import stored, text_or_empty
+from tracewell.llm.tables import hash_sample, scratch, stored, text_or_empty
 
 #: Rows at most that the classifiers are fitted on: confirmed positives, and unlabelled texts.
 POSITIVES, UNLABELLED = 12_000, 24_000
@@ -56,11 +57,6 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "utf-8")) % 3 == 1
 
 
-def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` rows, those with the least hashes: the same rows again in a rerun."""
-    return rows.orderBy(F.xxhash64("key"), "key").limit(most)
-
-
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many texts of a batch hold each term, by ``positive``; the empty term counts the texts."""
     for b in batches:
@@ -133,15 +129,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
     The class prior comes from the labelled rows unless it is given.
     """
+    with scratch(docs.sparkSession):
+        return _fit(docs, labels, key, text, label, prior, positives, unlabelled)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, prior: float | None, positives: int, unlabelled: int) -> Model:
     if prior is None:
         share = labels.filter(~held_out(key)).agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
         prior = min(max(share * PRIOR_MARGIN, PRIOR_BOUNDS[0]), PRIOR_BOUNDS[1])
     confirmed = labels.filter((F.col(label) == 1) & ~held_out(key)).select(F.col(key).alias("key")).distinct()
     rows = docs.filter(~held_out(key)).select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
-    chosen_p = _sample(confirmed, positives).withColumn("positive", F.lit(True))
-    chosen_u = _sample(rows.select("key").distinct(), unlabelled).withColumn("positive", F.lit(False))
+    chosen_p = hash_sample(confirmed, "key", positives).withColumn("positive", F.lit(True))
+    chosen_u = hash_sample(rows.select("key").distinct(), "key", unlabelled).withColumn("positive", F.lit(False))
     keys = chosen_p.unionByName(chosen_u)  # bounded by the two parameters
-    sample = stored(rows.join(F.broadcast(keys), "key").select("positive", "text", "key"), "toxic-sample")
+    # A key may repeat with other texts; the least of them stands for it.
+    sample = stored(rows.join(F.broadcast(keys), "key").groupBy("positive", "key").agg(F.min("text").alias("text")), "toxic-sample")
     if sample.filter("positive").isEmpty():
         return Model({}, 0.0)
     # Terms are counted over all rows that are not held out; the confirmed ones are in the corpus as well.
@@ -181,13 +183,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """``docs`` with toxic_score, from the text alone."""
     docs = docs.drop("toxic_score")  # a column of that name gives way to the score
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    scored = "_toxic_text"
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = pa.array([model.score(t.as_py()) for t in b.column(b.schema.get_field_index(scored))], pa.float64())
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(names))], got], names=[*names, "toxic_score"])
+            got = pa.array([model.score(str(t.as_py() or "")) for t in b.column(at)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*b.schema.names, "toxic_score"])
 
-    return docs.withColumn(scored, text_or_empty(text)).mapInArrow(run, f"{schema}, toxic_score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())]))
