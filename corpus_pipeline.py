@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.llm import mixing, neardup, packing, secrets, toxicity
-from tracewell.llm.tables import stored, table
+from tracewell.llm.tables import new_path, remove, scratch, stored, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +20,18 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group, the one with the least doc_id; null ids come last."""
-    groups = stored(neardup.grouped(docs), "near-groups")
-    rows = groups.groupBy("mark").agg(F.count(F.lit(1)).alias("rows"))
-    first = groups.groupBy("label").agg(F.min(F.struct(F.col("name").isNull(), "name", "mark"))["mark"].alias("mark"))
-    # Rows may agree in id and text: then as many stay as there are groups that they stand for.
-    kept = stored(first.groupBy("mark").agg(F.count(F.lit(1)).alias("most")).join(rows, "mark").withColumn("alike", F.col("most") < F.col("rows")), "near-kept")
+    """One row of each group, the one with the least doc_id; null ids come last.
+
+    Rows may agree in id and text, with texts of other rows between them in no
+    order: then as many stay as there are groups that they stand for. A null or
+    empty text is a group of its own and stays.
+    """
+    with scratch(spark):
+        groups = neardup.grouped(docs)
+        rows = groups.groupBy("mark").agg(F.count(F.lit(1)).alias("rows"))
+        first = groups.groupBy("label").agg(F.min(F.struct(F.col("name").isNull(), "name", "mark"))["mark"].alias("mark"))
+        most = first.groupBy("mark").agg(F.count(F.lit(1)).alias("most"))
+        kept = stored(most.join(rows, "mark").withColumn("alike", F.col("most") < F.col("rows")), "near-kept", keep=True)
     marked = docs.withColumn("_mark", neardup.row_mark())
     single = marked.join(kept.filter("NOT alike").select(F.col("mark").alias("_mark")), "_mark", "left_semi").select(docs.columns)
     several = kept.filter("alike").select(F.col("mark").alias("_mark"), "most")
@@ -43,7 +49,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it."""
-    return mixing.with_times(docs).withColumn("_copy", F.explode(F.when(F.col("_times") > 0, F.sequence(F.lit(1), F.col("_times"))))).select(docs.columns)
+    return mixing.with_times(docs).withColumn("_copy", F.explode(F.when(F.col("_m_times") > 0, F.sequence(F.lit(1), F.col("_m_times"))))).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +70,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, each written to the shared folder and read again; what a stage leaves behind goes once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        path = new_path(spark, f"pipeline-{name.replace(' ', '-')}")
+        with scratch(spark):
+            staged = stage(spark, docs, sf_dir)
+            staged.write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.schema(staged.schema).parquet(path), path
     return docs
