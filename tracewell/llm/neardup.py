@@ -224,7 +224,7 @@ def compared(small: DataFrame, items: DataFrame, least: float) -> DataFrame:
         a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(named[list(a)], pa.int64()), "b": pa.array(named[list(b)], pa.int64())})
 
-    return small.select("bucket", "id", "label", "role").join(items.select("id", "items"), "id").groupBy("bucket").applyInArrow(run, "a long, b long")
+    return small.select("bucket", "id", "label", "role").hint("merge").join(items.select("id", "items"), "id").groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
 def stars(large: DataFrame) -> DataFrame:
@@ -248,38 +248,39 @@ def _differences(least: float):
     """Functions that find, per (bucket, text), the differences from the majority, and those of them, rarest first, by which a link must show."""
     share = (1 - least) / (1 + least)
 
+    longs, counted = pa.list_(pa.int64()), pa.list_(pa.struct([("item", pa.int64()), ("c", pa.int64())]))
+
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, whole, f, item, count = [], [], [], [], []
-            for added, c, kept, most, lack in zip(*(b.column(k) for k in range(2, 7)), strict=True):
-                added, c, kept, most, lack = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in (added, c, kept, most, lack))
-                gone = ~np.isin(most, kept)
-                item.append(np.concatenate((added, most[gone])))
-                count.append(np.concatenate((c, lack[gone])))
-                size.append(len(item[-1]))
-                whole.append(len(added) + len(kept))
-                f.append(len(item[-1]) - share * whole[-1])
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(whole, pa.int64()), pa.array(f, pa.float64()), pa.array(item, longs), pa.array(count, longs)], names=["bucket", "id", "size", "whole", "f", "item", "c"])
+            size, whole, f, more, less = [], [], [], [], []
+            for raw, most, lack in zip(*(b.column(k) for k in range(2, 5)), strict=True):
+                own = np.unique(np.frombuffer(raw.as_py(), "<u4")).astype(np.int64)
+                most, lack = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in (most, lack))
+                gone = ~np.isin(most, own)
+                more.append(own[~np.isin(own, most)])
+                less.append([{"item": i, "c": c} for i, c in zip(most[gone].tolist(), lack[gone].tolist(), strict=True)])
+                size.append(len(more[-1]) + len(less[-1]))
+                whole.append(len(own))
+                f.append(size[-1] - share * whole[-1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(whole, pa.int64()), pa.array(f, pa.float64()), pa.array(more, longs), pa.array(less, counted)], names=["bucket", "id", "size", "whole", "f", "added", "gone"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             which, out, roles = [], [], []
-            for i, (size, whole, f, lowest, largest, items, counts) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 9)), strict=True)):
+            for i, (size, whole, f, lowest, largest, met) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 8)), strict=True)):
                 far = f + lowest > 1e-9
                 # As the partner with the smaller f: the other one is far, and not below this one.
                 asked = max(f, (f - lowest) / 2)
                 # As the one with the larger f: the other one has no more differences in common than it has at all.
                 asks = (f + max(lowest, f - 2 * share * min(largest, whole / least))) / 2
-                short, long = (max(0, size - max(1, int(np.ceil(need - 1e-6))) + 1) for need in (asked, asks))
+                # Differences that no other text has come first in the order of rarity; they need not be posted.
+                alone = size - len(met)
+                short, long = (max(0, size - max(1, int(np.ceil(need - 1e-6))) + 1 - alone) for need in (asked, asks))
                 long = long if far else 0
-                item, count = np.asarray(items, np.int64), np.asarray(counts, np.int64)
-                order = np.lexsort((item, count))[: max(short, long)]
-                role = (np.arange(len(order)) < short) + 2 * (np.arange(len(order)) < long)
-                shared = count[order] > 1
-                out += item[order][shared].tolist()
-                roles += role[shared].tolist()
-                which += [i] * int(shared.sum())
+                for n, (_, item) in enumerate(sorted((x["c"], x["item"]) for x in met)[: max(short, long)]):
+                    which.append(i)
+                    out.append(item)
+                    roles.append((n < short) + 2 * (n < long))
             take = pa.array(which, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(out, pa.int64()), pa.array(roles, pa.int32())], names=["bucket", "id", "item", "role"])
 
@@ -316,24 +317,25 @@ def by_differences(members: DataFrame, items: DataFrame, labels: DataFrame, leas
     rows = stored(buckets_of(members.select("bucket", "id")), "near-join0")
     level = 0
     while True:
-        held = rows.join(sets, "id").select("bucket", "id", "raw").mapInArrow(spread, "bucket long, id long, item long")
-        sizes = rows.select("bucket", "n").distinct()
-        counts = stored(held.groupBy("bucket", "item").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").join(sizes, "bucket"), f"near-counts{level}")
-        common = counts.filter(F.col("c") * 2 > F.col("n")).groupBy("bucket").agg(F.collect_list(F.struct("item", (F.col("n") - F.col("c")).alias("c"))).alias("m"))
-        # Items held with how many hold them; those of the majority that a text lacks, with how many lack them.
-        usual = F.coalesce(F.col("c") * 2 > F.col("n"), F.lit(False))
-        own = held.join(counts, ["bucket", "item"], "left").groupBy("bucket", "id").agg(
-            F.collect_list(F.when(~usual, F.struct("item", F.coalesce("c", F.lit(1)).alias("c")))).alias("added"),
-            F.collect_list(F.when(usual, F.col("item"))).alias("kept"),
-        )
+        held = rows.join(sets, "id")
+        counts = held.select("bucket", "id", "raw").mapInArrow(spread, "bucket long, id long, item long").groupBy("bucket", "item").agg(F.count(F.lit(1)).alias("c"))
+        usual = counts.join(rows.select("bucket", "n").distinct(), "bucket").filter(F.col("c") * 2 > F.col("n"))
+        common = stored(usual.groupBy("bucket").agg(F.collect_list(F.struct("item", (F.col("n") - F.col("c")).alias("c"))).alias("m")), f"near-common{level}")
         none = F.array().cast("array<bigint>")
-        told = own.join(common, "bucket", "left").select("bucket", "id", F.col("added")["item"].alias("i"), F.col("added")["c"].alias("c"), "kept", F.coalesce(F.col("m")["item"], none).alias("most"), F.coalesce(F.col("m")["c"], none).alias("lack"))
-        apart = stored(told.mapInArrow(differ, "bucket long, id long, size long, whole long, f double, item array<long>, c array<long>"), f"near-apart{level}")
+        told = held.join(common, "bucket", "left").select("bucket", "id", "raw", F.coalesce(F.col("m")["item"], none).alias("most"), F.coalesce(F.col("m")["c"], none).alias("lack"))
+        apart = stored(told.mapInArrow(differ, "bucket long, id long, size long, whole long, f double, added array<long>, gone array<struct<item:bigint,c:bigint>>"), f"near-apart{level}")
+        # Of what texts hold beside the majority, that which several hold.
+        added = apart.select("bucket", "id", F.explode("added").alias("item"))
+        several = added.groupBy("bucket", "item").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+        met = added.join(several, ["bucket", "item"]).groupBy("bucket", "id").agg(F.collect_list(F.struct("item", "c")).alias("met"))
         nearest = apart.groupBy("bucket").agg(F.min("f").alias("lowest"), F.max("whole").alias("largest"), F.min_by("id", F.struct("f", "id")).alias("z"))
         of = apart.join(nearest, "bucket")
         near = of.filter((F.col("f") + F.col("lowest") <= 1e-9) & (F.col("id") != F.col("z"))).select(F.least("id", "z").alias("a"), F.greatest("id", "z").alias("b"))
         found = near if found is None else found.unionByName(near)
-        posted = of.select("bucket", "id", "size", "whole", "f", "lowest", "largest", "item", "c").mapInArrow(post, "bucket long, id long, item long, role int")
+        # Of what texts lack of the majority, that which several lack.
+        lacked = F.filter("gone", lambda x: x["c"] > 1)
+        every = of.join(met, ["bucket", "id"], "left").select("bucket", "id", "size", "whole", "f", "lowest", "largest", F.concat(F.coalesce("met", F.array().cast("array<struct<item:bigint,c:bigint>>")), lacked).alias("met"))
+        posted = every.mapInArrow(post, "bucket long, id long, item long, role int")
         posted = stored(posted.join(labels, "id", "left").select(F.xxhash64("bucket", "item").alias("bucket"), "id", "role", F.coalesce("label", "id").alias("label")), f"near-posted{level}")
         # A difference whose texts are all linked, or that none asks for, leads no further.
         role = lambda bit: F.count(F.when(F.col("role").bitwiseAND(bit) > 0, 1))
@@ -391,10 +393,10 @@ def grouped(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least:
         worded = F.size("bands") > 0
         # Copies: the least row stands for all texts with its content.
         heads = stored(sketched.filter(worded).groupBy("content").agg(F.min("id").alias("head")), "near-heads")
-        banded = sketched.filter(worded).select("id", F.explode("bands").alias("bucket")).join(heads.select(F.col("head").alias("id")), "id", "left_semi")
+        banded = sketched.filter(worded).select("id", F.explode("bands").alias("bucket")).join(heads.select(F.col("head").alias("id")).hint("merge"), "id", "left_semi")
         buckets = stored(buckets_of(banded), "near-buckets")
         # Multisets of the texts that share a bucket; no others are read again.
-        items = stored(sketched.select("id", "items").join(buckets.select("id").distinct(), "id", "left_semi"), "near-items")
+        items = stored(sketched.select("id", "items").join(buckets.select("id").distinct().hint("merge"), "id", "left_semi"), "near-items")
         large = buckets.filter(F.col("n") > PAIRWISE)
         small = buckets.filter(F.col("n") <= PAIRWISE).select("bucket", "id", F.col("id").alias("label"), F.lit(3).alias("role"))
         links = compared(small, items, least).unionByName(verified(stored(stars(large), "near-stars"), items, least).select("a", "b"))
