@@ -2,9 +2,12 @@
 
 The automaton holds every template and phrase. A text streams through it word by
 word, which gives the matching statistics: at each word the length of the
-longest run ending there that occurs in some template. Phrases are read off the
-automaton's states; long runs are chained into spans of a template, and a
-template that is covered well enough gives its label.
+longest run ending there that occurs in some template, and all places of that run.
+Phrases are read off the automaton's states. Long runs are chained where they
+follow each other both in the text and in the template, with small gaps in both;
+a chain that covers enough of its template, and is mostly the template's words,
+is a span. Where spans of several templates overlap, the one that covers most
+words stands, so that the words in which licences differ decide between them.
 
 Defined cases: a null or empty text has no words and no labels; a long text is
 streamed whole; repeated rows are repeated in the result; other columns are
@@ -13,6 +16,7 @@ left out.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.license_texts import TEMPLATES
 from tracewell.llm.tables import text_or_empty
 
 #: Phrase and label.
@@ -30,20 +35,9 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Words that public licences share, by label; a text that holds enough of one gets the label.
-TEMPLATES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-    "apache-2": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "cc-by-nc": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
-    "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
-}
-
-#: Words of a run that is long enough to chain, words that a gap between two runs may have, and the share of a template that must be covered.
-LONG_RUN, GAP, COVERED = 5, 12, 0.6
+#: Words of a run that is long enough to chain, words that a gap between two runs may have in the text or in the template,
+#: and the share of a template that a span must cover, and of its own words that must be the template's.
+LONG_RUN, GAP, COVERED, OWN = 5, 12, 0.6, 0.6
 
 _SEPARATORS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -57,24 +51,26 @@ class Automaton:
     """Suffix automaton of several word sequences.
 
     For each state: steps by word, suffix link, longest length; the phrases
-    that end there; and a place (template, end) where its strings occur.
+    that end there; and, for states of long runs, all places (template, end)
+    where its strings occur.
     """
 
     def __init__(self, phrases: dict[str, str], templates: dict[str, str]):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.where = [-1], [0], [(-1, -1)]
+        self.link, self.length = [-1], [0]
         self.names = sorted(templates)
         self.sizes = [len(templates[n].split()) for n in self.names]
         self.phrase_labels = list(phrases.values())
         self.phrase_sizes = [len(p.split()) for p in phrases]
         every = [templates[n] for n in self.names] + list(phrases)
         self.word_ids = {w.encode(): i for i, w in enumerate(sorted({w for t in every for w in t.split()}))}
-        ends = []
+        here: dict[int, set[tuple[int, int]]] = {}
         for k, t in enumerate(every):
             last = 0
             for i, w in enumerate(t.split()):
-                last = self._extend(last, self.word_ids[w.encode()], (k if k < len(self.names) else -1, i))
-            ends.append(last)
+                last = self._extend(last, self.word_ids[w.encode()])
+                if k < len(self.names):
+                    here.setdefault(last, set()).add((k, i + 1))
         # A phrase ends in the state that its own words reach.
         ends_here: list[list[int]] = [[] for _ in self.next]
         for p, text in enumerate(phrases):
@@ -85,21 +81,20 @@ class Automaton:
         self.phrases: list[list[int]] = [[] for _ in self.next]
         for s in sorted(range(len(self.next)), key=self.length.__getitem__):
             self.phrases[s] = ends_here[s] + (self.phrases[self.link[s]] if s else [])
-        # Places of templates also hold for the states that suffix links lead to.
+        # Places of a state also hold for the one that its suffix link leads to.
         for s in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
-            up = self.link[s]
-            if up > 0 and self.where[up][0] < 0:
-                self.where[up] = self.where[s]
+            if s in here and self.length[self.link[s]] >= LONG_RUN:
+                here.setdefault(self.link[s], set()).update(here[s])
+        self.places = {s: sorted(at) for s, at in here.items() if self.length[s] >= LONG_RUN}
 
-    def _new(self, length: int, where: tuple[int, int]) -> int:
+    def _new(self, length: int) -> int:
         self.next.append({})
         self.link.append(0)
         self.length.append(length)
-        self.where.append(where)
         return len(self.next) - 1
 
     def _split(self, p: int, w: int, q: int) -> int:
-        c = self._new(self.length[p] + 1, self.where[q])
+        c = self._new(self.length[p] + 1)
         self.next[c] = dict(self.next[q])
         self.link[c] = self.link[q]
         self.link[q] = c
@@ -108,11 +103,11 @@ class Automaton:
             p = self.link[p]
         return c
 
-    def _extend(self, last: int, w: int, where: tuple[int, int]) -> int:
+    def _extend(self, last: int, w: int) -> int:
         q = self.next[last].get(w)
         if q is not None:
             return q if self.length[q] == self.length[last] + 1 else self._split(last, w, q)
-        s, p = self._new(self.length[last] + 1, where), last
+        s, p = self._new(self.length[last] + 1), last
         while p >= 0 and w not in self.next[p]:
             self.next[p][w] = s
             p = self.link[p]
@@ -139,7 +134,7 @@ class Automaton:
         """Words, places of phrases (phrase, first word) and chained spans (template, first word, end word, covered share)."""
         got = words(text)
         ids = list(map(self.word_ids.get, got))
-        places, runs = [], []
+        places, runs, spans = [], {}, []
         # Words outside the templates end every match, so only runs of known words are streamed.
         known = np.fromiter((i is not None for i in ids), bool, len(ids))
         edges = np.flatnonzero(np.diff(np.concatenate(([False], known, [False])).astype(np.int8)))
@@ -147,34 +142,69 @@ class Automaton:
         for a, b in edges.reshape(-1, 2).tolist():
             if b - a < least:
                 continue
-            before = (0, 0)
             for i, (state, size) in enumerate(self.stream(ids[a:b]), a):
                 for p in self.phrases[state] if size >= least else ():
                     if size >= self.phrase_sizes[p]:
                         places.append((p, i + 1 - self.phrase_sizes[p]))
-                if size <= before[1] and before[1] >= LONG_RUN:
-                    runs.append((*self.where[before[0]], i, before[1]))
-                before = (state, size)
-            if before[1] >= LONG_RUN:
-                runs.append((*self.where[before[0]], b, before[1]))
-        return {"n_words": len(got), "places": places, "spans": self._chain([r for r in runs if r[0] >= 0])}
-
-    def _chain(self, runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """Runs of a template that follow each other both in it and in the text, with small gaps, become one span."""
-        spans = []
-        for k in {r[0] for r in runs}:
-            chain: list[tuple[int, int, int, int]] = []
-            for _, t_last, d_end, size in [r for r in runs if r[0] == k] + [(k, -1, -1, 0)]:
-                t_end = t_last + 1
-                if chain and (size == 0 or d_end - size - chain[-1][1] > GAP or t_end <= chain[-1][0]):
-                    covered = np.zeros(self.sizes[k], bool)
-                    for e, _, n, _ in chain:
-                        covered[max(0, e - n) : e] = True
-                    spans.append((k, chain[0][1] - chain[0][2], chain[-1][1], float(covered.mean())))
-                    chain = []
-                if size:
-                    chain.append((t_end, d_end, size, 0))
-        return sorted(spans, key=lambda s: s[1])
+                if size < LONG_RUN:
+                    continue
+                for k, end in self.places.get(state, ()):
+                    # A run is known by its template and how far the text is ahead of it.
+                    run = runs.get((k, i + 1 - end))
+                    if run and run[1] >= i + 1 - size:
+                        run[1] = i + 1
+                    else:
+                        if run:
+                            spans.append((k, i + 1 - end, *run))
+                        runs[k, i + 1 - end] = [i + 1 - size, i + 1]
+        spans += [(*of, *run) for of, run in runs.items()]
+        return {"n_words": len(got), "places": places, "spans": self._best(self._chain(spans))}
+
+    def _chain(self, runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float, int]]:
+        """Runs (template, lead of the text, first, end) to chains (template, first word, end word, covered share, covered words).
+
+        A run follows the one that gives the longest chain among those that end up
+        to ``GAP`` words before it, in the text and in the template; where runs
+        overlap, the later one counts from where the earlier ends.
+        """
+        chains = []
+        for k in sorted({r[0] for r in runs}):
+            mine = sorted((a, b, lead) for t, lead, a, b in runs if t == k)
+            best: list[tuple[int, int, int]] = []  # covered words, run before, first word
+            low = 0
+            ends_upto: list[int] = []
+            for n, (a, b, lead) in enumerate(mine):
+                covered, before, first = b - a, -1, a
+                while low < n and ends_upto[low] < a - GAP:
+                    low += 1
+                for m in range(low, n):
+                    a1, b1, lead1 = mine[m]
+                    cut = max(0, b1 - a, (b1 - lead1) - (a - lead))
+                    gap_text, gap_template = a - b1, (a - lead) - (b1 - lead1)
+                    if cut < b - a and lead1 != lead and gap_text <= GAP and gap_template <= GAP and best[m][0] + b - a - cut > covered:
+                        covered, before, first = best[m][0] + b - a - cut, m, best[m][2]
+                best.append((covered, before, first))
+                ends_upto.append(max(b, ends_upto[-1] if ends_upto else 0))
+            used = set()
+            for n in sorted(range(len(mine)), key=lambda n: -best[n][0]):
+                m, whole = n, []
+                while m >= 0 and m not in used:
+                    whole.append(m)
+                    m = best[m][1]
+                if m >= 0 or not whole:
+                    continue  # joins a longer chain
+                used.update(whole)
+                chains.append((k, best[n][2], mine[n][1], best[n][0] / self.sizes[k], best[n][0]))
+        return chains
+
+    def _best(self, chains: list[tuple[int, int, int, float, int]]) -> list[tuple[int, int, int, float]]:
+        """Of chains that overlap in the text, those that cover most words, the greater share of their template at ties; by place."""
+        kept: list[tuple[int, int, int, float]] = []
+        for k, a, b, share, words_ in sorted(chains, key=lambda c: (-c[4], -c[3], self.names[c[0]], c[1])):
+            at = bisect_left(kept, a, key=lambda c: c[2] - 1)  # the first that ends beyond a
+            if words_ >= OWN * (b - a) and (at == len(kept) or kept[at][1] >= b):
+                kept.insert(at, (k, a, b, share))
+        return kept
 
 
 @lru_cache(maxsize=4)
