@@ -2,7 +2,9 @@
 
 Every version of a file is addressed by the SHA-256 of its whole text. A blob
 is scanned once for each version of the rules, whatever the number of paths
-that hold it, and the findings are joined back to all paths.
+that hold it, and the findings are joined back to all paths. The ledger of what
+has been scanned lies in a table of its own (:func:`scan_into`): a later run reads
+it, scans what it lacks, and adds that.
 
 Defined cases: a null text is an empty blob; an empty blob has no findings;
 repeated rows are repeated in the result; a null path is kept as a path;
@@ -16,14 +18,15 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.tables import stored, text_or_empty
+from tracewell.llm.tables import exists, stored, text_or_empty
 
 #: Raise when a rule changes: blobs are then scanned again.
-RULES_VERSION = 3
+RULES_VERSION = 4
 
 #: Fixed patterns: kind, pattern, group whose length counts, least length.
 BASE_RULES = (
@@ -42,8 +45,8 @@ _PEM = (
 #: Rules of this operator beside the base ones.
 MORE_RULES = (
     ("pem", _PEM, 0, 1),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
-    ("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("forge", r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
     ("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]*:[^\s:/@]{6,}@", 0, 1),
 )
 KINDS = tuple(r[0] for r in BASE_RULES + MORE_RULES)
@@ -124,27 +127,43 @@ def scan_all(versions: DataFrame, ledger: DataFrame | None = None, *, path: str
     return findings(versions, whole, path=path, text=text), whole
 
 
+def scan_into(versions: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(findings of every version, ledger), with the ledger kept as a table at ``path``.
+
+    Blobs that an earlier run scanned with these rules are not scanned again. What
+    two runs at one time both add counts once.
+    """
+    spark = versions.sparkSession
+    read = lambda: spark.read.schema(f"blob string, spans {SPANS}, rules_version int").parquet(path).dropDuplicates(["blob", "rules_version"])
+    before = read() if exists(spark, path) else None
+    scan_unseen(versions, before, path=key, text=text).write.mode("append").parquet(path)
+    ledger = read()
+    return findings(versions, ledger, path=key, text=text), ledger
+
+
+def cut_out(text: str, starts: list[int], ends: list[int]) -> str:
+    """``text`` with each span replaced by ``<secret>``, in one pass; spans are in order of their starts and may overlap, then one mark stands for them."""
+    out, at = [], 0
+    for s, e in zip(starts, ends, strict=True):
+        if s >= at:
+            out += [text[at:s], "<secret>"]
+        at = max(at, e)
+    return "".join([*out, text[at:]])
+
+
 def redact(versions: DataFrame, ledger: DataFrame, *, text: str = "text") -> DataFrame:
-    """``versions`` with every secret span of ``text`` replaced by ``<secret>``; texts without one stay as they are."""
-    body, spans = text_or_empty(text), F.col("_spans")
-    # Spans may overlap: a span starts at the furthest end of those before it.
-    parts = F.aggregate(
-        spans,
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(
-                s["end"] > a["at"],
-                F.concat(a["out"], F.substring(F.col("_body"), (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int")), F.when(s["start"] >= a["at"], F.lit("<secret>")).otherwise("")),
-            )
-            .otherwise(a["out"])
-            .alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(F.col("_body"), (a["at"] + 1).cast("int"), F.length("_body"))),
-    )
-    known = ledger.filter((F.col("rules_version") == RULES_VERSION) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    joined = versions.withColumns({"_blob": F.sha2(body, 256), "_body": body}).join(known, "_blob", "left")
-    return joined.withColumn(text, F.when(spans.isNull(), F.col(text)).otherwise(parts)).select(versions.columns)
+    """``versions`` with every secret span of ``text`` replaced by ``<secret>``; texts without one stay as they are. Names of columns must not begin with _s_."""
+
+    @F.pandas_udf("string")
+    def cut(body: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else cut_out(t, list(s), list(e)) for t, s, e in zip(body, starts, ends, strict=True)], dtype=object)
+
+    known = ledger.filter((F.col("rules_version") == RULES_VERSION) & (F.size("spans") > 0)).select(F.col("blob").alias("_s_blob"), F.col("spans").alias("_s_spans"))
+    joined = versions.withColumn("_s_blob", F.sha2(text_or_empty(text), 256)).join(known, "_s_blob", "left")
+    found = F.col("_s_spans").isNotNull()
+    # Only texts with a secret go to the function.
+    redacted = cut(F.when(found, F.col(text).cast("string")), F.col("_s_spans")["start"], F.col("_s_spans")["end"])
+    return joined.withColumn("_s_text", redacted).withColumn(text, F.when(found, F.col("_s_text")).otherwise(F.col(text))).select(versions.columns)
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -44,6 +44,11 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 @lru_cache(maxsize=8)
 def _application_dir(spark: SparkSession, base: str) -> str:
     """Folder of this application's tables; it goes when the driver's process ends with the session still up."""
