@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.tables import stored, text_or_empty
+from tracewell.llm.tables import hash_sample, stored, text_or_empty
 
-#: Rows at most that the scorer is trained on, its buckets and its passes.
-TRAINED_ON, BUCKETS, STEPS = 20_000, 1 << 12, 300
+#: Rows at most that the scorer is trained on, its buckets, its passes, and rows that a pass reads at a time.
+TRAINED_ON, BUCKETS, STEPS, PART = 12_000, 1 << 12, 200, 2_000
 
 
 def votes(text: str = "text") -> dict[str, Column]:
@@ -74,18 +74,32 @@ def agree(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[
     return good, chance, post
 
 
+#: Bytes by class: other, letter, digit, space, line end, sign.
+_CLASS = np.array([4 if c == 10 else 3 if c <= 32 else 2 if 48 <= c <= 57 else 1 if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 5 for c in range(256)], np.uint8)
+#: Features beside the buckets of byte pairs: pairs of classes, lengths of words, distinct lines and words, length, one.
+CLASSES, LENGTHS = 6, 16
+FEATURES = BUCKETS + CLASSES * CLASSES + LENGTHS + 4
+
+
 def hashed(text: str) -> np.ndarray:
-    """Buckets of a text: characters by class and pair, word lengths, repeated words; each counted as a share."""
-    x = np.zeros(BUCKETS + 3, np.float32)
+    """Byte pairs by bucket, pairs of byte classes and lengths of words as roots of shares; shares of distinct lines and words; length."""
+    x = np.zeros(FEATURES, np.float32)
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    x[BUCKETS + 2] = 1
+    x[-1] = 1
     if not len(raw):
         return x
     pairs = (raw[:-1].astype(np.uint32) * 31 + raw[1:]) * np.uint32(2654435761) >> np.uint32(20)
     x[:BUCKETS] = np.sqrt(np.bincount(pairs, minlength=BUCKETS)[:BUCKETS] / len(raw))
+    kind = _CLASS[raw]
+    x[BUCKETS : BUCKETS + CLASSES * CLASSES] = np.sqrt(np.bincount(kind[:-1] * CLASSES + kind[1:], minlength=CLASSES * CLASSES) / len(raw))
+    found = text.split()
+    if found:
+        sizes = np.minimum(np.fromiter(map(len, found), np.int64, len(found)), LENGTHS - 1)
+        x[-4 - LENGTHS : -4] = np.sqrt(np.bincount(sizes, minlength=LENGTHS) / len(found))
+        x[-3] = len(set(found)) / len(found)
     lines = text.split("\n")
-    x[BUCKETS] = len(set(lines)) / len(lines)
-    x[BUCKETS + 1] = np.log1p(len(raw)) / 10
+    x[-4] = len(set(lines)) / len(lines)
+    x[-2] = np.log1p(len(raw)) / 10
     return x
 
 
@@ -110,27 +124,39 @@ def label(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def fit(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: str = "text", rows: int = TRAINED_ON) -> Scorer:
-    """Logistic scorer on the posteriors of at most ``rows`` documents, fitted in one bounded task."""
-    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "good")
-    sample = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "good")
+    """Logistic scorer on the posteriors of at most ``rows`` documents, fitted in one bounded task.
+
+    Of a doc_id that repeats with other texts the least text counts, with its own votes.
+    """
+    given = votes("text")
+    known = labelled.select(*given, "good").distinct()  # at most 3 ** labellers rows
+    keys = hash_sample(docs.select(F.col(key).alias("key")).distinct(), "key", rows)
+    same = F.col("d.key").eqNullSafe(F.col("k.key"))
+    texts = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).alias("d").join(F.broadcast(keys.alias("k")), same).groupBy("d.key").agg(F.min("text").alias("text"))
+    sample = texts.select("text", *[v.cast("int").alias(n) for n, v in given.items()]).join(F.broadcast(known), list(given)).select("text", "good")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([hashed(t.as_py()).astype(np.float16).tobytes() for t in b.column(0)], pa.binary()), b.column(1)], names=["x", "good"])
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.frombuffer(v, np.float16) for v in pdf["x"]]).astype(np.float32)
         y = pdf["good"].to_numpy(np.float32)
-        w = np.zeros(x.shape[1], np.float32)
+        x = np.empty((len(pdf), FEATURES), np.float16)  # bounded by ``rows``; steps read it in parts
+        for i, v in enumerate(pdf.pop("x")):
+            x[i] = np.frombuffer(v, np.float16)
+        w = np.zeros(FEATURES, np.float32)
         m, s = np.zeros_like(w), np.zeros_like(w)
         for t in range(1, STEPS + 1):
-            g = x.T @ (1 / (1 + np.exp(-(x @ w))) - y) / len(y) + 1e-5 * w
+            g = 1e-5 * w
+            for a in range(0, len(y), PART):
+                part = x[a : a + PART].astype(np.float32)
+                g += part.T @ (1 / (1 + np.exp(-(part @ w))) - y[a : a + PART]) / len(y)
             m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
             w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
         return pd.DataFrame({"w": [w.tolist()]})
 
     got = sample.mapInArrow(spread, "x binary, good double").withColumn("one", F.lit(1)).groupBy("one").applyInPandas(train, "w array<double>").collect()
-    return Scorer(np.asarray(got[0]["w"])) if got else Scorer(np.zeros(BUCKETS + 3))
+    return Scorer(np.asarray(got[0]["w"])) if got else Scorer(np.zeros(FEATURES))
 
 
 def score(docs: DataFrame, scorer: Scorer, *, key: str = "doc_id", text: str = "text") -> DataFrame:
