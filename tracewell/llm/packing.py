@@ -31,6 +31,8 @@ from tracewell.llm.tokens import encoder, tokenizer_path
 CAPACITY = 1024
 #: Nodes that the branch and bound may open; the best solution so far is used then.
 NODES = 4_000
+#: Longest pieces around which a filling of three is looked for.
+TRIOS = 16
 
 Plan = list[tuple[int, tuple[int, ...]]]  # (number of sequences, lengths in each)
 
@@ -59,11 +61,23 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> Plan:
     return [(m, f) for bins in rooms.values() for f, m in bins.items()]
 
 
+def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether the pieces of ``b`` fit into those of ``a``, each of ``a`` taking none, one or several: then ``a`` can stand for ``b`` in any packing."""
+
+    def fits(rooms: tuple[int, ...], rest: tuple[int, ...]) -> bool:
+        if not rest:
+            return True
+        return any(fits((*rooms[:i], r - rest[0], *rooms[i + 1 :]), rest[1:]) for i, r in enumerate(rooms) if r >= rest[0] and r not in rooms[:i])
+
+    return a != b and sum(a) >= sum(b) and fits(a, tuple(sorted(b, reverse=True)))
+
+
 def fillings(counts: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room`` with up to three pieces, least waste first, at most ``width`` of them.
 
-    A filling with fewer and larger pieces dominates one that fills as much
-    with more, so among equals it comes first.
+    Beside a piece, only the longest that fits counts, as it dominates the shorter
+    ones. Candidates are taken by waste, those with fewer and larger pieces first,
+    and each is tested against those taken before.
     """
     lengths = np.flatnonzero(counts[: room + 1] > 0)
     if not lengths.size:
@@ -83,11 +97,11 @@ def fillings(counts: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]
     second = partner(big, room - big)
     found = {(int(big[0]),): int(big[0])}
     sums = big + second
-    for i in np.argsort(-sums, kind="stable")[:width]:
+    for i in np.argsort(-sums, kind="stable")[: 4 * width]:
         if second[i]:
             found[int(big[i]), int(second[i])] = int(sums[i])
-    if max(found.values()) < room:
-        for x in map(int, big[:16]):
+    if sum(s == room for s in found.values()) < width:
+        for x in map(int, big[:TRIOS]):
             b = lengths[lengths <= min(x, room - x)][::-1]
             if b.size:
                 third = partner(b, room - x - b)
@@ -95,7 +109,13 @@ def fillings(counts: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]
                 trio = (x, int(b[i]), int(third[i]))
                 if trio[2] and all(counts[k] >= v for k, v in Counter(trio).items()):
                     found[trio] = sum(trio)
-    return sorted(found, key=lambda f: (-found[f], len(f), tuple(-x for x in f)))[:width]
+    taken: list[tuple[int, ...]] = []
+    for f in sorted(found, key=lambda f: (-found[f], len(f), tuple(-x for x in f))):
+        if len(taken) == width:
+            break
+        if not any(dominates(t, f) for t in taken):
+            taken.append(f)
+    return taken
 
 
 def least_sequences(counts: np.ndarray, capacity: int) -> int:
