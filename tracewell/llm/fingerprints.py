@@ -33,9 +33,10 @@ def _word(h: Column, i: int) -> Column:
 
 def lanes(text: Column, sign: int = 1) -> Column:
     """array<long>: DENSE lanes, then SPARSE lanes, each modulo 2**32."""
-    vector = lambda p: F.struct(*[_word(F.sha2(p, 256), i).alias(f"d{i}") for i in range(DENSE + 2)])
+    words = lambda h: F.struct(*[_word(h, i).alias(f"d{i}") for i in range(DENSE + 2)])
     zero = F.array_repeat(F.lit(0).cast("long"), DENSE + SPARSE)
-    paragraphs = F.transform(F.split(text, "\n"), vector)
+    # A first pass hashes each paragraph, once.
+    paragraphs = F.transform(F.transform(F.split(text, "\n"), lambda p: F.sha2(p, 256)), words)
 
     def add(total: Column, v: Column) -> Column:
         own = (v[f"d{DENSE}"] % SPARSE).cast("int")
