@@ -115,15 +115,9 @@ def test_turn_costs(spark):
 
 
 def test_streamed_ingest_equals_one_batch_and_may_be_replayed(spark, tmp_path):
-    tables, names = {}, iter(range(1000))
-
-    def save(name, rows):
-        path = f"{tmp_path}/tables/{name}-{next(names)}"
-        rows.write.parquet(path)
-        tables[name] = path
-
-    load = lambda name: spark.read.parquet(tables[name]) if name in tables else None
-    run = lambda check: jobs.ingest(spark, "nested", f"{tmp_path}/in", load=load, save=save, checkpoint=f"{tmp_path}/{check}").awaitTermination(120)
+    store = jobs.Store(spark, f"file://{tmp_path}/tables", parts=4)
+    load = store.load
+    run = lambda check: jobs.ingest(spark, "nested", f"{tmp_path}/in", store=store, checkpoint=f"{tmp_path}/{check}").awaitTermination(120)
     write(tmp_path / "in/s1.jsonl", nested("s1", 1)[:2])
     run("c")
     write(tmp_path / "in/s1b.jsonl", nested("s1", 1))

@@ -117,7 +117,7 @@ def state_history(transitions: DataFrame, *, asset: str = "asset_id", at: str =
 def opportunity_facts(tags: DataFrame, assets: DataFrame) -> DataFrame:
     """One opportunity for each (session, shape class, asset): the shape is the session's distinct tags in order."""
     shape = tags.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set(F.lower(F.trim("tag")))), "|").alias("shape_class"), F.min("ts").alias("detected_at"))
-    return shape.filter(F.col("shape_class") != "").join(F.broadcast(assets.select("asset_id", "shape_class").distinct()), "shape_class").dropDuplicates(["session_id", "shape_class", "asset_id"])
+    return shape.filter(F.col("shape_class") != "").join(assets.select("asset_id", "shape_class").distinct(), "shape_class").dropDuplicates(["session_id", "shape_class", "asset_id"])
 
 
 def notifications(transitions: DataFrame, ignored: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -131,7 +131,10 @@ def clusters(anchors: DataFrame, transitions: DataFrame, *, days: int = 5, least
     """Anchors with the distinct assets that changed within ``days`` of them; those with ``least`` or more, one for each instant and set."""
     from tracewell.operators.ordered import near_in_time
 
-    met = near_in_time(anchors.select(F.col("id").alias("anchor_id"), F.col("ts").alias("anchor_at")), transitions.select("asset_id", F.col("ts").alias("moved_at")), left_at="anchor_at", right_at="moved_at", days=days)
+    # Of an asset's moves on one day, the first and the last say whether it moved near an anchor.
+    day = transitions.groupBy("asset_id", F.to_date("ts").alias("_day")).agg(F.array_distinct(F.array(F.min("ts"), F.max("ts"))).alias("_at"))
+    moves = day.select("asset_id", F.explode("_at").alias("moved_at"))
+    met = near_in_time(anchors.select(F.col("id").alias("anchor_id"), F.col("ts").alias("anchor_at")), moves, left_at="anchor_at", right_at="moved_at", days=days)
     sets = met.groupBy("anchor_id", "anchor_at").agg(F.array_sort(F.collect_set("asset_id")).alias("assets")).filter(F.size("assets") >= least)
     return sets.groupBy("anchor_at", "assets").agg(F.min("anchor_id").alias("anchor_id"))
 

@@ -156,12 +156,18 @@ def audit(raw: DataFrame, derived: DataFrame, *, key: str, fields: list[str]) ->
 def adherence(mentions: DataFrame, hits: DataFrame) -> DataFrame:
     """For each rule and the mechanism that its text mentions: records and sessions of the signatures the mechanism explains.
 
-    mentions: asset_id, mechanism, scope, project. hits: signature, mechanism, project, session_id.
+    mentions: asset_id, mechanism, scope, project. hits: signature, mechanism, project,
+    session_id; a session lies in one project. A rule of user scope covers all
+    projects. Hits are counted before rules meet them, so no rule meets a hit.
     """
-    m = mentions.withColumn("_everywhere", F.col("scope") == "user")
-    met = hits.join(m.withColumnRenamed("project", "_p"), "mechanism").filter(F.col("_everywhere") | (F.col("project") == F.col("_p")))
-    per = met.groupBy("asset_id", "mechanism", "session_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("asset_id", "mechanism").agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("sessions"))
+    def counts(*key: str) -> DataFrame:
+        per = hits.groupBy(*key, "session_id").agg(F.count(F.lit(1)).alias("n"))
+        return per.groupBy(*key).agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("sessions"))
+
+    everywhere = mentions.filter(F.col("scope") == "user").select("asset_id", "mechanism").distinct()
+    local = mentions.filter(~F.col("scope").eqNullSafe("user")).select("asset_id", "mechanism", "project").distinct().join(everywhere, ["asset_id", "mechanism"], "left_anti")
+    met = everywhere.join(counts("mechanism"), "mechanism").unionByName(local.join(counts("mechanism", "project"), ["mechanism", "project"]).drop("project"))
+    return met.groupBy("asset_id", "mechanism").agg(F.sum("records").alias("records"), F.sum("sessions").alias("sessions"))
 
 
 def first_of_keys(rows: DataFrame, *, by: list[str], order: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewell.operators.ordered import asof_backward, range_sum
 from tracewell.operators.sessions import bucketed
 
 
@@ -106,12 +107,15 @@ def stuck_loops(rows: DataFrame, *, least: int = 5) -> DataFrame:
 def what_followed(rows: DataFrame, actions: DataFrame, *, first: int = 5) -> DataFrame:
     """The first actions after the last hit of each signature in a session: signature, session_id, position, kind and label.
 
-    ``actions``: session_id, ts, event_id, kind, label.
+    ``actions``: session_id, ts, event_id, kind, label. They are numbered once for
+    each session; a hit finds the number of the last one at or before it, and meets
+    the ``first`` numbers that follow, no others.
     """
     last = rows.groupBy("signature", "session_id").agg(F.max("ts").alias("hit_at"))
-    after = actions.join(last, "session_id").filter(F.col("ts") > F.col("hit_at"))
-    w = W.partitionBy("signature", "session_id").orderBy("ts", "event_id")
-    return after.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= first).select("signature", "session_id", "position", "kind", "label")
+    numbered = actions.withColumn("_n", F.row_number().over(W.partitionBy("session_id").orderBy("ts", "event_id")))
+    at = asof_backward(last, numbered, by=["session_id"], left_at="hit_at", right_at="ts", tie="_n", take=["_n"])
+    wanted = at.withColumn("position", F.explode(F.sequence(F.lit(1), F.lit(first)))).withColumn("_n", F.coalesce("last__n", F.lit(0)) + F.col("position"))
+    return wanted.join(numbered, ["session_id", "_n"]).select("signature", "session_id", "position", "kind", "label")
 
 
 def resolutions(rows: DataFrame, actions: DataFrame, sessions: DataFrame, *, first: int = 5) -> DataFrame:
@@ -146,20 +150,21 @@ def weekly_series(rows: DataFrame, sessions: DataFrame, *, now: datetime, weeks:
 
 def interrupts(rows: DataFrame, calls: DataFrame) -> DataFrame:
     """Each interrupt with the tool of the last call at or before it."""
-    from tracewell.operators.ordered import asof_backward
-
     hits = rows.filter(F.col("kind") == "user_interrupt").select("session_id", "event_id", "ts", "project_key")
     return asof_backward(hits, calls, by=["session_id"], left_at="ts", right_at="ts", tie="event_id", take=["tool", "event_id"])
 
 
 def watches(watched: DataFrame, rows: DataFrame, sessions: DataFrame, *, now: datetime) -> DataFrame:
-    """Verdict of each watch (watch_id, signature, project, created_at, days): no_change, watching, unobservable or verified."""
-    hits = rows.select("signature", bucketed(F.col("project_key")).alias("project"), "ts")
-    runs = sessions.select(bucketed(F.col("project_key")).alias("project"), "started_at")
-    until = F.col("created_at") + F.make_interval(days=F.col("days"))
-    w = watched.withColumn("ends_at", until)
-    after = w.join(hits, ["signature", "project"]).filter((F.col("ts") > F.col("created_at")) & (F.col("ts") <= F.least("ends_at", F.lit(now)))).groupBy("watch_id").agg(F.count(F.lit(1)).alias("post"))
-    ran = w.join(runs, "project").filter((F.col("started_at") > F.col("created_at")) & (F.col("started_at") <= F.least("ends_at", F.lit(now)))).groupBy("watch_id").agg(F.count(F.lit(1)).alias("ran"))
+    """Verdict of each watch (watch_id, signature, project, created_at, days): no_change, watching, unobservable or verified.
+
+    What came in a watch's time is a difference of running counts at its ends.
+    """
+    hits = rows.select("signature", bucketed(F.col("project_key")).alias("project"), "ts", F.lit(1).alias("one"))
+    runs = sessions.select(bucketed(F.col("project_key")).alias("project"), F.col("started_at").alias("ts"), F.lit(1).alias("one"))
+    ends = F.col("created_at") + F.make_interval(days=F.col("days"))
+    w = watched.withColumn("ends_at", ends).withColumn("until", F.greatest("created_at", F.least("ends_at", F.lit(now))))
+    counted = range_sum(w, hits, by=["signature", "project"], start="created_at", end="until", at="ts", value="one", out="post")
+    counted = range_sum(counted, runs, by=["project"], start="created_at", end="until", at="ts", value="one", out="ran")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     status = F.when(zero("post") > 0, "no_change").when(F.col("ends_at") > F.lit(now), "watching").when(zero("ran") == 0, "unobservable").otherwise("verified")
-    return w.join(after, "watch_id", "left").join(ran, "watch_id", "left").select("watch_id", zero("post").alias("post"), zero("ran").alias("ran"), status.alias("status"))
+    return counted.select("watch_id", zero("post").alias("post"), zero("ran").alias("ran"), status.alias("status"))

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Parts into which the rows of one time bucket are dealt where nothing else is a key.
+SALTS = 32
+
 
 def asof_backward(left: DataFrame, right: DataFrame, *, by: list[str], left_at: str, right_at: str, tie: str, take: list[str], strict: bool = False, not_same: str | None = None) -> DataFrame:
     """``left`` with the columns ``take`` of the last row of ``right`` at or before it (before it, if strict); null where there is none.
@@ -71,14 +74,21 @@ def near_in_time(left: DataFrame, right: DataFrame, *, left_at: str, right_at: s
     """Pairs of rows at most ``days`` days apart; both sides' columns must differ in name apart from ``by``.
 
     Times fall in buckets as long as the distance, and a row meets its own
-    bucket and the two beside it.
+    bucket and the two beside it. Without ``by`` a bucket alone would be the key:
+    rows of ``left`` are then dealt to ``SALTS`` parts of it, and those of
+    ``right`` go to each.
     """
     width = days * 86_400
     bucket = lambda c: F.floor(F.unix_seconds(F.col(c)) / width)
     a = left.withColumn("_bucket", F.explode(F.array(bucket(left_at) - 1, bucket(left_at), bucket(left_at) + 1)))
     b = right.withColumn("_bucket", bucket(right_at))
+    keys = [*by, "_bucket"]
+    if not by:
+        keys.append("_salt")
+        a = a.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))
+        b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     apart = F.abs(F.unix_micros(F.col(left_at)) - F.unix_micros(F.col(right_at)))
-    return a.join(b, [*by, "_bucket"]).filter(apart <= width * 1_000_000).drop("_bucket")
+    return a.join(b, keys).filter(apart <= width * 1_000_000).drop("_bucket", "_salt")
 
 
 def valid_intervals(rows: DataFrame, *, by: list[str], at: str, tie: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
@@ -87,13 +97,16 @@ def valid_intervals(rows: DataFrame, *, by: list[str], at: str, tie: str, start:
     return rows.withColumns({start: F.col(at), end: F.lead(at).over(order)})
 
 
-def versions_in_force(sessions: DataFrame, versions: DataFrame, *, session: str, at: str, asset: str, seen: str, version: str, share: list[str] = ()) -> DataFrame:
-    """session and a map of each asset to its greatest version seen by then; assets not seen yet are left out."""
-    spans = valid_intervals(versions, by=[*share, asset], at=seen, tie=version)
-    inside = (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
-    named = sessions.select(F.col(session).alias("_session"), F.col(at).alias("_at"), *share)
-    met = (named.join(spans, list(share)) if share else named.join(spans, inside)).filter(inside)
-    entries = F.array_sort(F.collect_list(F.struct(F.col(asset).alias("key"), F.col(version).alias("value"))))
+def versions_in_force(sessions: DataFrame, versions: DataFrame, *, session: str, at: str, asset: str, seen: str, version: str, share: list[str]) -> DataFrame:
+    """session and a map of each asset of its ``share`` to the greatest version seen by then; assets not seen yet are left out.
+
+    A session meets each asset of its share once, as the map has it, and finds the
+    version as of its time; it never meets the versions one by one.
+    """
+    named = sessions.select(F.col(session).alias("_session"), F.col(at).alias("_start"), *share)
+    asked = named.join(versions.groupBy(*share, asset).agg(F.min(seen).alias("_first")), list(share)).filter(F.col("_first") <= F.col("_start")).drop("_first")
+    met = asof_backward(asked, versions, by=[*share, asset], left_at="_start", right_at=seen, tie=version, take=[version])
+    entries = F.array_sort(F.collect_list(F.struct(F.col(asset).alias("key"), F.col(f"last_{version}").alias("value"))))
     return met.groupBy(F.col("_session").alias(session)).agg(F.map_from_entries(entries).alias("bundle"))
 
 
@@ -126,6 +139,26 @@ def peak_parallelism(spans: DataFrame, *, start: str, end: str) -> DataFrame:
     return peak.crossJoin(spans.agg(F.count_if(whole).alias("considered"), F.count_if(~whole).alias("unbounded")))
 
 
+def numbered(rows: DataFrame, *, ranks: list[Column], last: str, out: str, prefix: int = 4) -> DataFrame:
+    """``rows`` numbered from 1 in the order of ``ranks`` (rising; put a minus before numbers that fall), then of the text ``last``.
+
+    Rows are numbered within a cell of equal ranks and equal first characters of
+    ``last``; a cell starts where those before it end, and only the table of cells
+    is ordered as a whole.
+    """
+    names = [f"_rank{i}" for i in range(len(ranks))]
+    cells = [*names, "_head"]
+    named = rows.withColumns({**dict(zip(names, ranks, strict=True)), "_head": F.substring(F.coalesce(last, F.lit("")), 1, prefix)})
+    sizes = named.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(F.lit(1)).orderBy(*cells).rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(*[F.col(c).alias(f"{c}_of") for c in cells], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    same = F.lit(True)
+    for c in cells:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+    nth = F.row_number().over(W.partitionBy(*cells).orderBy(last))
+    return named.join(starts, same).withColumn(out, F.col("_from") + nth).select(*rows.columns, out)
+
+
 def previous_change(rows: DataFrame, *, by: list[str], order: list[str], fields: list[str]) -> DataFrame:
     """One row for each field that is filled in a row and in the one before it, and differs."""
     w = W.partitionBy(*by).orderBy(*order)

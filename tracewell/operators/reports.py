@@ -67,11 +67,26 @@ def insights(sessions: DataFrame, hits: DataFrame, commands: DataFrame, files: D
     return out.filter("n > 0")
 
 
-def briefing(key: str, sessions: DataFrame, hits: DataFrame, files: DataFrame, *, most: int = 5) -> dict[str, DataFrame]:
-    """What is known of a project: sessions, recurring signatures, most-read files, and the other projects."""
-    mine = sessions.filter(bucketed(F.col("project_key")) == key).select("session_id")
-    of = lambda df: df.join(mine, "session_id", "left_semi")
-    recurring = friction.by_dimension(of(hits), F.col("signature"), name="signature").filter("sessions >= 2").orderBy(F.col("sessions").desc(), F.col("records").desc(), "signature").limit(most)
-    read = of(files).filter("action = 'read'").groupBy("path").agg(F.count(F.lit(1)).alias("reads")).orderBy(F.col("reads").desc(), "path").limit(most)
+def briefing(key: str, sessions: DataFrame, hits: DataFrame, commands: DataFrame, files: DataFrame, *, most: int = 5) -> dict[str, DataFrame]:
+    """What is known of a project: sessions, commands that worked in two of them or more, recurring signatures with the sessions that went on after the last hit, most-read files, and the other projects."""
+    mine = sessions.filter(bucketed(F.col("project_key")) == key)
+    of = lambda df: df.join(mine.select("session_id"), "session_id", "left_semi")
+    worked = of(commands).filter("exit_code = 0").select("command", "session_id").distinct().groupBy("command").agg(F.count(F.lit(1)).alias("sessions"))
+    per = of(hits).groupBy("signature", "session_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("hit_at")).join(mine.select("session_id", "ended_at"), "session_id")
+    recurring = per.groupBy("signature").agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("sessions"), F.count_if(F.col("ended_at") > F.col("hit_at")).alias("corroborated")).filter("sessions >= 2")
+    read = of(files).filter("action = 'read'").groupBy("path").agg(F.count(F.lit(1)).alias("reads"))
     others = sessions.groupBy(bucketed(F.col("project_key")).alias("project")).agg(F.count(F.lit(1)).alias("sessions")).filter(F.col("project") != key)
-    return {"sessions": mine, "signatures": recurring, "files": read, "others": others}
+    return {
+        "sessions": mine, "commands": worked.filter("sessions >= 2").orderBy(F.col("sessions").desc(), "command").limit(most),
+        "signatures": recurring.orderBy(F.col("sessions").desc(), F.col("records").desc(), "signature").limit(most), "files": read.orderBy(F.col("reads").desc(), "path").limit(most), "others": others,
+    }
+
+
+def as_rows(panels: dict[str, DataFrame], wanted: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
+    """A report as rows (panel, key, measure, value). wanted: panel -> (key columns, whole-number measures)."""
+    out: DataFrame | None = None
+    for name, (keys, measures) in wanted.items():
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("long").alias("value")) for m in measures]))
+        rows = panels[name].select(F.lit(name).alias("panel"), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]).alias("key"), each.alias("m")).select("panel", "key", "m.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -13,11 +13,12 @@ from tracewell.operators import stats
 from tracewell.plans.catalog import END, START, on_activity, on_tables
 
 
-@on_activity("H10_commands_of_calls", "SELECT event_id, CASE k % 3 WHEN 0 THEN 'run ' || k WHEN 1 THEN 'a \"b\" ' || k END AS command FROM v_events WHERE event_type = 'purchase' AND k % 3 <> 2")
-def _(a):
-    k = F.col("k").cast("string")
-    given = F.when(F.col("k") % 3 == 0, F.concat(F.lit('{"cmd": "run '), k, F.lit('"}'))).when(F.col("k") % 3 == 1, F.concat(F.lit('const r = tools.exec({\n cmd: "a \\"b\\" '), k, F.lit('", x: 1})'))).otherwise("plain")
-    return a.events.filter("event_type = 'purchase'").select("event_id", F.explode(C.commands_of(given)).alias("command"))
+@on_tables("H10_commands_of_calls", "SELECT conv_id, turn, text AS command FROM conversations WHERE text IS NOT NULL AND turn % 3 <> 2")
+def _(read):
+    """Texts as commands: in a JSON field, and as a quoted literal of a script."""
+    quoted = F.replace(F.replace(F.col("text"), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    given = F.when(F.col("turn") % 3 == 0, F.to_json(F.struct(F.col("text").alias("cmd")))).when(F.col("turn") % 3 == 1, F.concat(F.lit('const r = tools.exec({\n cmd: "'), quoted, F.lit('", x: 1})'))).otherwise("plain")
+    return read("conversations").filter("text is not null").select("conv_id", "turn", F.explode(C.commands_of(given)).alias("command"))
 
 
 @on_activity("H11_files_of_calls", """
@@ -30,17 +31,19 @@ def _(a):
     return a.events.filter("event_type = 'view'").select("event_id", F.explode(C.files_of(tool, given, F.lit("/w/"))).alias("f")).select("event_id", "f.path", "f.action")
 
 
-@on_activity("H12_line_changes", "SELECT event_id, (k % 4 + 1)::INT AS added, CASE WHEN k % 2 = 0 THEN 0 ELSE 2 END::INT AS removed FROM v_events WHERE event_type = 'purchase'")
-def _(a):
-    lines = F.array_join(F.array_repeat(F.lit("x"), F.col("k") % 4 + 1), "\\n")
-    given = F.when(F.col("k") % 2 == 0, F.concat(F.lit('{"content": "'), lines, F.lit('"}'))).otherwise(F.concat(F.lit('{"old_string": "a\\nb", "new_string": "'), lines, F.lit('"}')))
-    added, removed = C.line_changes(F.when(F.col("k") % 2 == 0, "Write").otherwise("Edit"), given)
-    return a.events.filter("event_type = 'purchase'").select("event_id", added.alias("added"), removed.alias("removed"))
+@on_tables("H12_line_changes", """
+WITH n AS (SELECT conv_id, turn, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS n FROM conversations)
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN n ELSE 3 END::INT AS added, CASE WHEN turn % 2 = 0 THEN 0 ELSE n END::INT AS removed FROM n""")
+def _(read):
+    even = F.col("turn") % 2 == 0
+    given = F.when(even, F.to_json(F.struct(F.col("text").alias("content")))).otherwise(F.to_json(F.struct(F.col("text").alias("old_string"), F.lit("a\nb\nc").alias("new_string"))))
+    added, removed = C.line_changes(F.when(even, "Write").otherwise("Edit"), given)
+    return read("conversations").select("conv_id", "turn", added.alias("added"), removed.alias("removed"))
 
 
-@on_tables("H18_user_shell", "SELECT conv_id, turn, 'run ' || turn AS command FROM conversations WHERE turn % 2 = 0")
+@on_tables("H18_user_shell", "SELECT conv_id, turn, nullif(trim(text), '') AS command FROM conversations WHERE turn % 2 = 0 AND trim(text) <> ''")
 def _(read):
-    t = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("  <bash-input> run "), F.col("turn").cast("string"), F.lit(" </bash-input>"))).otherwise(F.col("text"))
+    t = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("  <bash-input> "), F.col("text"), F.lit(" </bash-input>"))).otherwise(F.col("text"))
     return read("conversations").select("conv_id", "turn", text.user_shell_command(t).alias("command")).filter("command is not null")
 
 
@@ -49,10 +52,13 @@ def _(read):
     return C.bounded_fields(read("conversations"), ["text"]).select("conv_id", "turn", "text", "truncated")
 
 
-@on_tables("P14_display_titles", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 't' || conv_id WHEN 1 THEN 'task' ELSE 'sum' || turn END AS title, CASE turn % 3 WHEN 0 THEN 'ai' WHEN 1 THEN 'task' ELSE 'synthesized' END AS title_source FROM conversations")
+@on_tables("P14_display_titles", """
+WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN nullif(trim(text), '') END AS ai, CASE WHEN turn % 3 = 1 THEN nullif(trim(text), '') END AS task, nullif(substr(split_part(replace(text, '"', ''), chr(10), 1), 1, 120), '') AS made FROM conversations)
+SELECT conv_id, turn, coalesce(ai, task, made) AS title, CASE WHEN ai IS NOT NULL THEN 'ai' WHEN task IS NOT NULL THEN 'task' WHEN made IS NOT NULL THEN 'synthesized' ELSE 'none' END AS title_source FROM t""")
 def _(read):
     m = F.col("turn") % 3
-    title, origin = text.display_title(F.when(m == 0, F.concat(F.lit("t"), F.col("conv_id").cast("string"))), F.when(m == 1, "task").otherwise(" "), F.concat(F.lit('<teammate-message summary="sum'), F.col("turn").cast("string"), F.lit('">x')))
+    line = F.split_part(F.replace(F.col("text"), F.lit('"'), F.lit("")), F.lit("\n"), F.lit(1))
+    title, origin = text.display_title(F.when(m == 0, F.col("text")), F.when(m == 1, F.col("text")).otherwise(" "), F.concat(F.lit('<teammate-message summary="'), line, F.lit('">x')))
     return read("conversations").select("conv_id", "turn", title.alias("title"), origin.alias("title_source"))
 
 
@@ -264,10 +270,11 @@ def _(a):
 SELECT session_id, place FROM (SELECT s.session_id, (row_number() OVER (ORDER BY thread_kind = 'main' DESC, (SELECT count(*) FROM v_sessions c WHERE c.parent_session_id = s.session_id AND c.ended_at > TIMESTAMP '2024-01-30 12:00:00') DESC, s.session_id))::INT AS place
     FROM v_sessions s WHERE s.ended_at > TIMESTAMP '2024-01-30 12:00:00')""")
 def _(a):
-    from pyspark.sql import Window as W
+    from tracewell.operators.ordered import numbered
 
     rows = S.live(a.sessions, a.events.select("session_id", F.col("ts").alias("mtime")), now=END, minutes=720)
-    return rows.select("session_id", F.row_number().over(W.partitionBy(F.lit(1)).orderBy((F.col("thread_kind") == "main").desc(), F.col("live_children").desc(), "session_id")).alias("place"))
+    placed = numbered(rows, ranks=[F.when(F.col("thread_kind") == "main", 0).otherwise(1), -F.col("live_children")], last="session_id", out="place")
+    return placed.select("session_id", F.col("place").cast("int").alias("place"))
 
 
 @on_activity("S13_rescued", "SELECT count(DISTINCT 'f' || session_id) AS files, count(DISTINCT session_id) AS sessions FROM v_events WHERE user_id % 5 = 0")

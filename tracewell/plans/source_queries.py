@@ -14,26 +14,34 @@ from tracewell.plans.catalog import END, START, on_activity, on_tables
 from tracewell.sources import transcripts as T
 
 
-def as_lines(rows: DataFrame, path: str, order: str, *records: F.Column) -> DataFrame:
-    """Records as one file of JSON lines for each ``path``."""
-    files = rows.groupBy(F.col(path).cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct(order, F.concat_ws("\n", *records).alias("raw")))).alias("r"))
-    return T.split_lines(files.select("path", F.array_join(F.transform("r", lambda x: x["raw"]), "\n").alias("value")))
+def records(rows: DataFrame, path: str, order: str, *lines: F.Column) -> DataFrame:
+    """JSON lines of each ``path`` in ``order``, several for a row, placed as lines of a file are."""
+    each = F.posexplode(F.filter(F.array(*lines), lambda x: x.isNotNull())).alias("nth", "value")
+    return rows.select(F.col(path).cast("string").alias("path"), order, each).select("path", F.struct(order, "nth").alias("place"), "value")
+
+
+def as_lines(rows: DataFrame, path: str, order: str, *lines: F.Column) -> DataFrame:
+    return T.numbered_lines(records(rows, path, order, *lines))
 
 
 def stamp(c: F.Column) -> F.Column:
     return F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def nested_lines(read) -> DataFrame:
+def nested_records(read) -> DataFrame:
     """Conversations as nested-message transcripts."""
     at, n = stamp(F.lit(1_700_000_000) + F.col("turn")), F.col("turn").cast("string")
     block = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
-    return as_lines(
+    return records(
         read("conversations"), "conv_id", "turn",
         F.to_json(F.struct(F.col("role").alias("type"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("sessionId"), F.concat(F.lit("u"), n).alias("uuid"), at.alias("timestamp"), F.lit("/p").alias("cwd"), F.struct(F.col("role"), block.alias("content")).alias("message"))),
     )
 
 
+def nested_lines(read) -> DataFrame:
+    return T.numbered_lines(nested_records(read))
+
+
 @on_tables("S1_transcript_lines", "SELECT conv_id::VARCHAR AS path, (turn + 1)::INT AS line_no FROM conversations")
 def _(read):
     return nested_lines(read).select("path", "line_no")
@@ -135,14 +143,55 @@ def _(a):
     return a.events.select("user_id", "event_id", disposition_flag(kind).alias("flag")).filter("flag is not null")
 
 
-@on_activity("T6_state_machine")
+MESSAGES_SQL = "SELECT 'c' || conv_id AS session_id, 'u' || turn || '-0' AS source_event_id, role, CASE WHEN length(trim(text)) > 4096 THEN substr(trim(text), 1, 4096) || '…' ELSE trim(text) END AS text FROM conversations WHERE trim(text) <> '' AND role IN ('user', 'assistant', 'tool')"
+
+
+@on_tables("T1_stream_ingest", MESSAGES_SQL)
+def _(read):
+    """Conversations written as transcript files, ingested as a stream and then all once more, as a replay does."""
+    from tracewell.streaming import jobs
+
+    lines = nested_records(read)
+    spark = lines.sparkSession
+    root = jobs.shared_path(spark, "ingest")
+    lines.select("value").write.text(f"{root}/in")
+    store = jobs.Store(spark, f"{root}/tables", parts=16)
+    for checkpoint in ("first", "replay"):
+        jobs.ingest(spark, "nested", f"{root}/in", store=store, checkpoint=f"{root}/{checkpoint}", pattern="*.txt").awaitTermination()
+    return store.load("events").select("session_id", "source_event_id", "role", "text")
+
+
+#: One assessment after the other, as a recursion over each asset's numbered assessments.
+STATES_SQL = """
+, a AS (SELECT 'a' || user_id AS asset_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i,
+    k % 19 = 0 AS archived, k % 11 = 0 AS restore, k % 13 = 0 AS request, k % 7 = 1 AS resurrected, k % 7 = 2 AS failed, k % 17 = 3 AS broken, k % 2 = 0 AS took_part, k > 50 AS baseline, k % 3 = 0 AS degraded,
+    CASE WHEN k % 23 = 1 THEN 'bypassed' WHEN k % 5 = 0 THEN 'silent' WHEN k % 29 = 0 THEN 'dormant' WHEN k % 31 = 0 THEN 'no_opportunity' WHEN k % 37 = 5 THEN 'unobservable' END AS verdict FROM v_events)
+SELECT asset_id, at_us, from_state, state, overlay, transition, alert, resurrection FROM (
+    WITH RECURSIVE r AS (
+        SELECT asset_id, 0::BIGINT AS i, NULL::BIGINT AS at_us, NULL::VARCHAR AS from_state, NULL::VARCHAR AS state, false AS overlay, false AS transition, false AS alert, false AS resurrection FROM a WHERE i = 1
+        UNION ALL
+        SELECT asset_id, i, at_us, before, state, now, moved, moved AND state <> 'archived' AND (again OR now OR state IN ('silent', 'broken', 'bypassed', 'degraded', 'healthy')) AND NOT (before IS NULL AND state = 'healthy' AND NOT now), again
+        FROM (
+            SELECT *, before IS NULL OR state <> before OR now <> was AS moved
+            FROM (
+                SELECT asset_id, i, at_us, before, rule = 5 AS now, overlay AND rule NOT IN (2, 3, 4) AS was, rule = 4 AND (resurrected OR failed) AS again,
+                    CASE rule WHEN 1 THEN 'archived' WHEN 2 THEN 'dormant' WHEN 3 THEN 'awaiting_resurrection' WHEN 4 THEN CASE WHEN resurrected THEN 'healthy' WHEN failed THEN 'silent' ELSE before END WHEN 5 THEN coalesce(before, 'broken')
+                        ELSE CASE WHEN verdict IS NOT NULL THEN verdict WHEN before IS NULL THEN CASE WHEN took_part THEN 'healthy' ELSE 'dormant' END WHEN degraded THEN 'degraded' WHEN before = 'dormant' AND NOT took_part AND NOT baseline THEN 'dormant' ELSE 'healthy' END END AS state
+                FROM (
+                    SELECT a.*, epoch_us(a.ts) AS at_us, r.state AS before, r.overlay,
+                        CASE WHEN archived OR (r.state = 'archived' AND NOT restore) THEN 1 WHEN r.state = 'archived' THEN 2 WHEN request AND (r.overlay OR r.state IN ('silent', 'broken', 'bypassed')) THEN 3 WHEN r.state = 'awaiting_resurrection' THEN 4 WHEN broken THEN 5 ELSE 6 END AS rule
+                    FROM r JOIN a ON a.asset_id = r.asset_id AND a.i = r.i + 1))))
+    SELECT * FROM r WHERE i > 0)"""
+
+
+@on_activity("T6_state_machine", STATES_SQL)
 def _(a):
     from tracewell.streaming import vital
 
     k = F.col("k")
     on = {"archived": k % 19 == 0, "restore": k % 11 == 0, "request_resurrection": k % 13 == 0, "resurrected": k % 7 == 1, "resurrection_failed": k % 7 == 2, "broken": k % 17 == 3, "bypassed": k % 23 == 1, "silent": k % 5 == 0, "dormant": k % 29 == 0, "no_opportunity": k % 31 == 0, "unobservable": k % 37 == 5, "degraded": k % 3 == 0, "participated": k % 2 == 0, "has_baseline": k > 50}
     rows = a.events.select(F.concat(F.lit("a"), F.col("user_id").cast("string")).alias("asset_id"), F.col("ts").alias("at"), F.col("event_id").cast("int").alias("seq"), *[c.alias(n) for n, c in on.items()])
-    return vital.replay(rows)
+    return vital.replay(rows).withColumn("at_us", F.unix_micros("at")).drop("at")
 
 
 @on_activity("A54_friction_records", """
@@ -224,14 +273,64 @@ def _(a):
     return totals.select("sessions", (F.col("tool_errors") + F.col("interrupts")).alias("friction"))
 
 
-@on_activity("Q1_overview", "SELECT ts::DATE::VARCHAR AS day, count(*) AS events FROM v_events WHERE ts BETWEEN TIMESTAMP '2024-01-15' AND TIMESTAMP '2024-01-31' GROUP BY 1")
+def panels_sql(**panels: tuple[str, str, list[str]]) -> str:
+    """name -> (rows as SQL, key as SQL, measures) as rows (panel, key, measure, value)."""
+    one = "SELECT '{p}' AS panel, {k} AS key, '{m}' AS measure, {m}::BIGINT AS value FROM {p}_rows"
+    parts = [one.format(p=p, k=k, m=m) for p, (_, k, measures) in panels.items() for m in measures]
+    return "".join(f"\n, {p}_rows AS ({rows})" for p, (rows, _, _) in panels.items()) + "\n" + "\nUNION ALL ".join(parts)
+
+
+INSIDE = "BETWEEN TIMESTAMP '2024-01-15' AND TIMESTAMP '2024-01-31'"
+LIFE_SQL = f"""SELECT status, signature, records, sessions, window_sessions FROM (
+    SELECT *, row_number() OVER (PARTITION BY status ORDER BY window_sessions DESC, sessions DESC, signature) AS rank FROM (
+        SELECT *, CASE WHEN sessions <= 1 THEN 'once' WHEN first_at >= TIMESTAMP '2024-01-15' THEN 'new' WHEN window_records > 0 THEN 'active' ELSE 'quiet' END AS status FROM (
+            SELECT signature, count(*) AS records, count(*) FILTER (ts {INSIDE}) AS window_records, count(DISTINCT session_id) AS sessions, count(DISTINCT session_id) FILTER (ts {INSIDE}) AS window_sessions, min(ts) AS first_at FROM v_friction GROUP BY signature))) WHERE rank <= 5"""
+PROGRAM_SQL = "SELECT program, count(*) AS calls, count(DISTINCT session_id) AS sessions, count(exit_code) AS known, count(*) FILTER (exit_code <> 0 AND NOT expected_exit) AS failures, count(*) FILTER (expected_exit) AS expected FROM v_commands {where} GROUP BY program"
+FILE_SQL = "SELECT path, count(DISTINCT session_id) AS sessions, count(*) FILTER (action = 'read') AS reads, count(*) FILTER (action = 'edit') AS edits FROM v_files {where} GROUP BY path"
+KPI_SQL = """SELECT kpi, sum(v) FILTER (now) AS value, sum(v) FILTER (NOT now) AS previous FROM (
+    SELECT kpi, t >= TIMESTAMP '2024-01-15' AS now, v FROM (
+        SELECT 'sessions' AS kpi, started_at AS t, 1 AS v FROM v_sessions UNION ALL SELECT 'duration_ms', started_at, epoch_us(ended_at) // 1000 - epoch_us(started_at) // 1000 FROM v_sessions UNION ALL SELECT 'friction', ts, 1 FROM v_friction)
+    WHERE t BETWEEN TIMESTAMP '2023-12-29 23:59:59.999' AND TIMESTAMP '2024-01-14 23:59:59.999' OR t BETWEEN TIMESTAMP '2024-01-15' AND TIMESTAMP '2024-01-31') GROUP BY kpi"""
+
+OVERVIEW = {
+    "totals": ([], ["sessions", "main_sessions", "subagent_sessions", "duration_ms", "projects", "events", "tool_errors", "interrupts"]), "days": (["day"], ["sessions", "events", "friction"]), "projects": (["project"], ["sessions", "friction"]), "tools": (["tool"], ["records", "sessions"]),
+    "signatures": (["status", "signature"], ["records", "sessions", "window_sessions"]), "programs": (["program"], ["calls", "sessions", "known", "failures", "expected"]), "files": (["path"], ["sessions", "reads", "edits"]), "changes": (["kpi"], ["value", "previous"]),
+}
+
+
+@on_activity("Q1_overview", panels_sql(
+    totals=(f"""SELECT count(*) AS sessions, count(*) FILTER (thread_kind = 'main') AS main_sessions, count(*) FILTER (thread_kind = 'subagent') AS subagent_sessions, sum(epoch_us(ended_at) // 1000 - epoch_us(started_at) // 1000) AS duration_ms, count(DISTINCT project_key) AS projects,
+        (SELECT count(*) FROM v_events WHERE ts {INSIDE}) AS events, (SELECT count(*) FROM v_friction WHERE ts {INSIDE} AND kind = 'tool_error') AS tool_errors, (SELECT count(*) FROM v_friction WHERE ts {INSIDE} AND kind = 'user_interrupt') AS interrupts FROM v_sessions WHERE started_at {INSIDE}""", "''", OVERVIEW["totals"][1]),
+    days=(f"SELECT day::VARCHAR AS day, sum(s) AS sessions, sum(e) AS events, sum(f) AS friction FROM (SELECT started_at::DATE AS day, 1 AS s, 0 AS e, 0 AS f FROM v_sessions WHERE started_at {INSIDE} UNION ALL SELECT ts::DATE, 0, 1, 0 FROM v_events WHERE ts {INSIDE} UNION ALL SELECT ts::DATE, 0, 0, 1 FROM v_friction WHERE ts {INSIDE}) GROUP BY 1", "day", OVERVIEW["days"][1]),
+    projects=(f"SELECT project, sum(s) AS sessions, sum(f) AS friction FROM (SELECT coalesce(project_key, '__unrecorded__') AS project, 1 AS s, 0 AS f FROM v_sessions WHERE started_at {INSIDE} UNION ALL SELECT coalesce(project_key, '__unrecorded__'), 0, 1 FROM v_friction WHERE ts {INSIDE}) GROUP BY project HAVING sum(s) > 0", "project", OVERVIEW["projects"][1]),
+    tools=(f"SELECT tool, count(*) AS records, count(DISTINCT session_id) AS sessions FROM v_friction WHERE ts {INSIDE} GROUP BY tool", "tool", OVERVIEW["tools"][1]),
+    signatures=(LIFE_SQL, "status || '/' || signature", OVERVIEW["signatures"][1]),
+    programs=(PROGRAM_SQL.format(where=f"WHERE ts {INSIDE}"), "program", OVERVIEW["programs"][1]),
+    files=(FILE_SQL.format(where=f"WHERE ts {INSIDE}"), "path", OVERVIEW["files"][1]),
+    changes=(KPI_SQL, "kpi", OVERVIEW["changes"][1]),
+))
 def _(a):
-    return reports.overview(a.sessions, a.events, a.friction, a.commands, a.files, start=START, end=END)["days"].select(F.col("day").cast("string").alias("day"), "events").filter("events > 0")
+    """All panels but sums of distinct projects by window, which A30 has."""
+    got = reports.overview(a.sessions, a.events, a.friction, a.commands, a.files, start=START, end=END)
+    return reports.as_rows({**got, "changes": got["changes"].filter("kpi <> 'projects'")}, OVERVIEW)
+
 
+PROJECT = {
+    "weeks": (["week"], ["sessions", "duration_ms", "friction"]), "friction": ([], ["total", "tool_errors", "interrupts", "sessions", "recurring"]), "programs": (["program"], ["calls", "sessions", "known", "failures", "expected"]), "files": (["path"], ["sessions", "reads", "edits"]),
+    "sessions": (["session_id"], ["n_events"]),
+}
+MINE = "WHERE session_id IN (SELECT session_id FROM v_sessions WHERE project_key = 'p3')"
 
-@on_activity("Q2_project", "SELECT program, count(*) AS calls FROM v_commands JOIN v_sessions USING (session_id) WHERE project_key = 'p3' GROUP BY program")
+
+@on_activity("Q2_project", panels_sql(
+    weeks=("SELECT week::VARCHAR AS week, sum(s) AS sessions, sum(d) AS duration_ms, sum(f) AS friction FROM (SELECT date_trunc('week', started_at)::DATE AS week, 1 AS s, epoch_us(ended_at) // 1000 - epoch_us(started_at) // 1000 AS d, 0 AS f FROM v_sessions WHERE project_key = 'p3' UNION ALL SELECT date_trunc('week', ts)::DATE, 0, 0, 1 FROM v_friction WHERE project_key = 'p3') GROUP BY 1", "week", PROJECT["weeks"][1]),
+    friction=("SELECT count(*) AS total, count(*) FILTER (kind = 'tool_error') AS tool_errors, count(*) FILTER (kind = 'user_interrupt') AS interrupts, count(DISTINCT session_id) AS sessions, (SELECT count(*) FROM (SELECT signature FROM v_friction WHERE project_key = 'p3' GROUP BY 1 HAVING count(DISTINCT session_id) >= 2)) AS recurring FROM v_friction WHERE project_key = 'p3'", "''", PROJECT["friction"][1]),
+    programs=(PROGRAM_SQL.format(where=MINE), "program", PROJECT["programs"][1]),
+    files=(FILE_SQL.format(where=MINE), "path", PROJECT["files"][1]),
+    sessions=("SELECT session_id, n_events FROM v_sessions WHERE project_key = 'p3'", "session_id", PROJECT["sessions"][1]),
+))
 def _(a):
-    return reports.project("p3", a.sessions, a.friction, a.commands, a.files)["programs"].select("program", "calls")
+    return reports.as_rows(reports.project("p3", a.sessions, a.friction, a.commands, a.files), PROJECT)
 
 
 @on_activity("Q3_insights", """
@@ -245,9 +344,22 @@ def _(a):
     return reports.insights(a.sessions, a.friction, a.commands, a.files, outputs, outputs.filter("false").select("session_id", "ts", F.lit("x").alias("name")), repeats=2, rereads=2)
 
 
-@on_activity("A51_briefing", "SELECT path, count(*) AS reads FROM v_files JOIN v_sessions USING (session_id) WHERE project_key = 'p3' AND action = 'read' GROUP BY path ORDER BY reads DESC, path LIMIT 5")
+BRIEFING = {
+    "sessions": (["session_id"], ["n_events"]), "commands": (["command"], ["sessions"]), "signatures": (["signature"], ["records", "sessions", "corroborated"]), "files": (["path"], ["reads"]), "others": (["project"], ["sessions"]),
+}
+
+
+@on_activity("A51_briefing", panels_sql(
+    sessions=("SELECT session_id, n_events FROM v_sessions WHERE project_key = 'p3'", "session_id", BRIEFING["sessions"][1]),
+    commands=(f"SELECT program AS command, count(DISTINCT session_id) AS sessions FROM v_commands {MINE} AND exit_code = 0 GROUP BY program HAVING count(DISTINCT session_id) >= 2 ORDER BY sessions DESC, program LIMIT 5", "command", BRIEFING["commands"][1]),
+    signatures=("""SELECT signature, count(*) AS records, count(DISTINCT session_id) AS sessions, count(DISTINCT CASE WHEN ended_at > hit_at THEN session_id END) AS corroborated FROM (SELECT f.signature, f.session_id, s.ended_at, max(f.ts) OVER (PARTITION BY f.signature, f.session_id) AS hit_at FROM v_friction f JOIN v_sessions s USING (session_id) WHERE f.project_key = 'p3')
+        GROUP BY signature HAVING count(DISTINCT session_id) >= 2 ORDER BY sessions DESC, records DESC, signature LIMIT 5""", "signature", BRIEFING["signatures"][1]),
+    files=(f"SELECT path, count(*) AS reads FROM v_files {MINE} AND action = 'read' GROUP BY path ORDER BY reads DESC, path LIMIT 5", "path", BRIEFING["files"][1]),
+    others=("SELECT coalesce(project_key, '__unrecorded__') AS project, count(*) AS sessions FROM v_sessions WHERE coalesce(project_key, '__unrecorded__') <> 'p3' GROUP BY 1", "project", BRIEFING["others"][1]),
+))
 def _(a):
-    return reports.briefing("p3", a.sessions, a.friction, a.files)["files"]
+    commands = a.commands.withColumn("command", F.col("program"))
+    return reports.as_rows(reports.briefing("p3", a.sessions, a.friction, commands, a.files), BRIEFING)
 
 
 @on_activity("Q10_asset_detail", "SELECT path, 'version' AS row_kind, event_id FROM v_files WHERE action = 'edit' AND path = 'f1' UNION ALL SELECT path, 'participation', event_id FROM v_files WHERE action = 'read' AND path = 'f1'")

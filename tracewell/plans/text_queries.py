@@ -74,9 +74,12 @@ def _(read):
     return read("conversations").select("conv_id", "turn", t.alias("text"), cut.alias("cut"))
 
 
-@on_tables("H5_outcomes", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'true' END AS is_error, CASE WHEN doc_id % 4 = 1 THEN (doc_id % 7)::INT END AS exit_code FROM documents")
+@on_tables("H5_outcomes", r"""
+WITH o AS (SELECT doc_id, concat_ws(chr(10), CASE WHEN doc_id % 3 = 0 THEN 'Script failed' END, coalesce(text, ''), CASE WHEN doc_id % 4 = 1 THEN ' exit code: ' || (doc_id % 7) END) AS output FROM documents)
+SELECT doc_id, CASE WHEN contains(output, '<tool_use_error>') OR starts_with(ltrim(output), 'Script failed') THEN 'true' END AS is_error,
+    TRY_CAST(coalesce(nullif(regexp_extract(output, '(?im)^\s*exit\s+(?:code|status)\s*[:=]?\s*([0-9]+)\b', 1), ''), nullif(regexp_extract(output, '\bProcess exited with code ([0-9]+)', 1), '')) AS INT) AS exit_code FROM o""")
 def _(read):
-    out = F.concat_ws("\n", F.when(F.col("doc_id") % 3 == 0, "Script failed"), F.lit("body"), F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit(" exit code: "), (F.col("doc_id") % 7).cast("string"))))
+    out = F.concat_ws("\n", F.when(F.col("doc_id") % 3 == 0, "Script failed"), F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit(" exit code: "), (F.col("doc_id") % 7).cast("string"))))
     err, code = text.outcome(out, F.lit(None).cast("boolean"), F.lit(None).cast("int"))
     return read("documents").select("doc_id", err.cast("string").alias("is_error"), code.alias("exit_code"))
 
@@ -112,9 +115,13 @@ def _(read):
     return M.trigram_search(M.trigram_index(rows, key="item_id", text="text"), rows, "The ", key="item_id", text="text").select("item_id")
 
 
-@on_tables("H17_references", "SELECT doc_id, 'command' AS kind, 'run' || (doc_id % 3) AS value FROM documents UNION ALL SELECT doc_id, 'path', '/a/b' || doc_id FROM documents WHERE doc_id % 2 = 0")
+@on_tables("H17_references", r"""
+WITH m AS (SELECT doc_id, coalesce(text, '') || chr(10) || '- Reference: command run' || (doc_id % 3) || chr(10) || 'reference: other x' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || ' reference:  PATH /a/b ' || doc_id ELSE '' END AS made FROM documents),
+l AS (SELECT doc_id, unnest(string_split(made, chr(10))) AS line FROM m)
+SELECT doc_id, lower(regexp_extract(line, '(?i)^\s*[-*]?\s*reference:\s*(command|path|tool)\s+(\S.*?)\s*$', 1)) AS kind, regexp_extract(line, '(?i)^\s*[-*]?\s*reference:\s*(command|path|tool)\s+(\S.*?)\s*$', 2) AS value
+FROM l WHERE regexp_matches(line, '(?i)^\s*[-*]?\s*reference:\s*(command|path|tool)\s+(\S.*?)\s*$')""")
 def _(read):
-    made = F.concat(F.lit("words\n- Reference: command run"), (F.col("doc_id") % 3).cast("string"), F.lit("\nreference: other x"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n reference:  PATH /a/b"), F.col("doc_id").cast("string"))).otherwise(""))
+    made = F.concat(F.coalesce("text", F.lit("")), F.lit("\n- Reference: command run"), (F.col("doc_id") % 3).cast("string"), F.lit("\nreference: other x"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n reference:  PATH /a/b "), F.col("doc_id").cast("string"))).otherwise(""))
     return read("documents").select("doc_id", F.explode(text.references(made)).alias("r")).select("doc_id", "r.kind", "r.value")
 
 

@@ -42,15 +42,28 @@ def parse(name: str, lines_: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def lines(spark: SparkSession, roots: Sequence[str], *, subagents: bool = True) -> DataFrame:
     """path, line_no (from 1) and raw of every line of the ``*.jsonl`` files below the roots, up to the first bad record of a file."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(list(roots), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = placed(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(list(roots), lineSep="\n"))
     if not subagents:
         files = files.filter(~F.col("path").contains("/subagents/"))
-    return split_lines(files)
+    return numbered_lines(in_order(files))
 
 
-def split_lines(files: DataFrame) -> DataFrame:
-    """(path, value) with whole files to (path, line_no, raw); blank lines are skipped, a bad record ends its file."""
-    rows = files.select("path", F.posexplode(F.split("value", "\n")).alias("_i", "raw")).select("path", (F.col("_i") + 1).alias("line_no"), "raw").filter(F.trim("raw") != "")
+def placed(files: DataFrame) -> DataFrame:
+    """path, block (where in the file a task began to read) and value of every line of a text source, batch or stream."""
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def in_order(lines_: DataFrame) -> DataFrame:
+    """path, place and value: within a block, lines come in the order in which a task reads them."""
+    return lines_.select("path", F.struct("block", F.monotonically_increasing_id().alias("nth")).alias("place"), "value")
+
+
+def numbered_lines(files: DataFrame) -> DataFrame:
+    """(path, place, value) to (path, line_no, raw); blank lines are counted but left out, a bad record ends its file.
+
+    Files are read by lines, so no row holds more than one line, and a large file is read by several tasks.
+    """
+    rows = files.select("path", F.row_number().over(W.partitionBy("path").orderBy("place")).alias("line_no"), F.col("value").alias("raw")).filter(F.trim("raw") != "")
     bad = F.from_json("raw", "map<string,string>").isNull()
     first_bad = F.min(F.when(bad, F.col("line_no"))).over(W.partitionBy("path"))
     return rows.withColumn("_bad", first_bad).filter(F.col("_bad").isNull() | (F.col("line_no") < F.col("_bad"))).drop("_bad")

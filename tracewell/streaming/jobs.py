@@ -2,36 +2,78 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.operators.sets import upsert_events, upsert_sessions
-from tracewell.sources.transcripts import parse, split_lines, valid
+from tracewell.sources.transcripts import in_order, numbered_lines, parse, placed, valid
 
 
-def ingest(spark: SparkSession, source: str, root: str, *, load: Callable[[str], DataFrame | None], save: Callable[[str, DataFrame], None], checkpoint: str):
-    """Reads new transcripts below ``root`` and merges them into the canonical tables.
+#: Parts into which stored tables are cut by session.
+PARTS = 256
 
-    ``load(name)`` gives a stored table or None, ``save(name, rows)`` replaces
-    it. Rows read again take the place of stored ones, spans only widen, and
-    nothing is dropped for being late, so a batch may be replayed.
+
+class Store:
+    """Canonical tables as Parquet below ``root``, cut into parts by session, so that a batch rewrites only the parts it touches."""
+
+    def __init__(self, spark: SparkSession, root: str, parts: int = PARTS):
+        self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
+
+    def part(self) -> Column:
+        return F.pmod(F.xxhash64("session_id"), F.lit(self.parts)).cast("int")
+
+    def load(self, name: str, parts: list[int] | None = None) -> DataFrame | None:
+        """The table, or those of its parts; None where nothing has been saved."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return None
+        rows = self.spark.read.parquet(f"{self.root}/{name}")
+        return (rows if parts is None else rows.filter(F.col("_part").isin(parts))).drop("_part")
+
+    def save(self, name: str, rows: DataFrame) -> None:
+        """Replaces the parts that ``rows`` has rows in."""
+        dealt = rows.withColumn("_part", self.part()).repartition("_part")
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(f"{self.root}/{name}")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors see: below ``spark.checkpoint.dir``, or one of its own in a local session without it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='spark-tracewell-')}"
+    return f"{shared.rstrip('/')}/tracewell-core/{name}-{uuid.uuid4().hex}"
+
+
+def ingest(spark: SparkSession, source: str, root: str, *, store: Store, checkpoint: str, pattern: str = "*.jsonl"):
+    """Reads new transcripts below ``root`` and merges them into the canonical tables of ``store``.
+
+    Rows read again take the place of stored ones, spans only widen, and nothing
+    is dropped for being late, so a batch may be replayed. A batch reads and
+    writes only the parts of its own sessions.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        sessions, events = parse(source, split_lines(batch))
+        sessions, events = parse(source, numbered_lines(in_order(batch)))
         good, _bad = valid(events)
-        stored = load("events")
-        save("events", good if stored is None else upsert_events(stored, good))
-        known, first = load("sessions"), ["cwd", "version", "model", "parent_session_id", "thread_kind"]
+        both = sessions.select("session_id").unionByName(good.select("session_id"))
+        parts = [r[0] for r in both.select(store.part()).distinct().collect()]  # at most as many as the store has
+        if not parts:
+            return
+        stored, known = store.load("events", parts), store.load("sessions", parts)
+        store.save("events", good if stored is None else upsert_events(stored, good))
+        first = ["cwd", "version", "model", "parent_session_id", "thread_kind"]
         rows = sessions.select("session_id", "started_at", "ended_at", *[c for c in ("title", *first) if c in sessions.columns])
         own = [c for c in first if c in rows.columns]
-        save("sessions", rows if known is None else upsert_sessions(known, rows, newer_wins=[c for c in ("title",) if c in rows.columns], first_wins=own))
+        store.save("sessions", rows if known is None else upsert_sessions(known, rows, newer_wins=[c for c in ("title",) if c in rows.columns], first_wins=own))
 
-    files = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
-    return files.select(F.col("_metadata.file_path").alias("path"), "value").writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    files = spark.readStream.format("text").option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return placed(files).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def loops(friction: DataFrame, *, window: str = "60 minutes", slide: str = "5 minutes", least: int = 5, late: str = "10 minutes") -> DataFrame:
