@@ -348,6 +348,38 @@ def test_cuts_of_overlapping_spans_leave_one_mark():
     assert secrets.cut_out("0123456789", [1, 2, 6, 8], [4, 6, 7, 9]) == "0<secret><secret>7<secret>9"
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").is_dir(), reason="no tables here")
+def test_quality_scores_agree_with_labels(spark):
+    got = queries.op8_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
+    rank, good = got["score"].rank().to_numpy(), got["quality"].to_numpy() == 1
+    assert (rank[good].mean() - (good.sum() + 1) / 2) / (~good).sum() >= 0.75
+    assert (got["predicted"] == got["quality"]).mean() > max(good.mean(), 1 - good.mean())
+
+
+# Toxicity at several shares
+
+
+@pytest.mark.parametrize("share", [0.02, 0.1, 0.25, 0.5])
+def test_toxic_texts_are_found_at_any_share(spark, share):
+    """Held-out precision and recall; one doc_id repeats many times."""
+    rng = np.random.default_rng(int(share * 100))
+    rows, marks = [], []
+    for i in range(3000):
+        toxic = rng.random() < share
+        text = words(40, 1000 + i, 800) + [f"slur{k}" for k in rng.integers(0, 6, 3)] * toxic
+        rows.append((i, " ".join(rng.permutation(text)), "a"))
+        if i % 2:
+            marks.append((i, int(toxic)))
+        rows[-1] += (toxic,)
+    docs = frame(spark, [r[:3] for r in rows] + [(2, f"again {k}", "a") for k in range(300)])
+    model = toxicity.fit(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["toxic_score"] for r in toxicity.score(docs.filter(toxicity.held_out()), model).collect()}
+    truth = {i: t for i, _, _, t in rows}
+    said = {i for i, s in got.items() if s >= toxicity.REJECT}
+    right = sum(truth[i] for i in said)
+    assert right >= 0.95 * sum(truth[i] for i in got) and right >= 0.95 * len(said)
+
+
 # Near duplicates
 
 
@@ -615,6 +647,24 @@ def test_search_recall_with_varied_norms_and_an_offset(spark, sigma, offset):
     assert np.mean(recall) >= 0.95
 
 
+@pytest.mark.parametrize(("kind", "most"), [("even", 0.5), ("norms", 0.15), ("wide", 0.5), ("clustered", 0.05)])
+def test_share_of_rows_reranked_and_recall(kind, most):
+    """Vectors without structure let little be left out, those of varied norms or in clusters nearly all."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(5000, 256 if kind == "wide" else 64))
+    if kind == "clustered":
+        x = rng.normal(size=(50, 64))[rng.integers(0, 50, 5000)] + 0.25 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "norms":
+        x *= np.exp(0.7 * rng.normal(size=(5000, 1)))
+    ids, bits = np.arange(5000), x.shape[1]
+    got, probed = neighbours.nearest(ids, x, ids[::50], x[::50], neighbours.learn_rotation(x), bits // neighbours.START, 20)
+    s = x[::50] @ x.T
+    s[np.arange(100), ids[::50]] = -np.inf
+    recall = np.mean([len(set(rows.tolist()) & set(t.tolist())) / 20 for (rows, _), t in zip(got, np.argsort(-s, axis=1)[:, :20], strict=True)])
+    assert recall >= 0.95 and probed / (100 * 5000) <= most
+
+
 def test_search_with_few_or_no_vectors(spark):
     v = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.search(v, v.filter("vec_id = 20")).orderBy("rank").collect()] == [(20, 1, 1), (20, 2, 2)]
@@ -697,8 +747,9 @@ def test_mix_refines_large_boundary_buckets(spark, monkeypatch):
         idcodec.write_and_read,
         lambda d: quality.score(d, quality.fit(d, quality.label(d))),
         mixing.mix,
+        lambda d: toxicity.score(d, toxicity.fit(d, d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).distinct())),
     ],
-    ids=["licenses", "packing", "secrets", "neardup", "fingerprints", "idcodec", "quality", "mixing"],
+    ids=["licenses", "packing", "secrets", "neardup", "fingerprints", "idcodec", "quality", "mixing", "toxicity"],
 )
 def test_odd_rows_and_empty_tables(odd, nothing, run):
     got = run(odd)

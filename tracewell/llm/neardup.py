@@ -244,12 +244,18 @@ def unsettled(large: DataFrame, joined: DataFrame) -> DataFrame:
     return components(chained).select(F.col("label").alias("bucket"), "id")
 
 
+def _lists(rows: list, names: tuple[str, ...] = ()) -> pa.Array:
+    """Arrays, or tuples of arrays for the fields ``names`` of structs, as a column of lists."""
+    columns = list(zip(*rows, strict=True)) if names else [rows]
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in columns[0]]))) if columns and len(columns[0]) else np.zeros(1, np.int64)
+    flat = [pa.array(np.concatenate(c) if len(c) else np.zeros(0, np.int64), pa.int64()) for c in (columns or [[]] * len(names))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, list(names)) if names else flat[0])
+
+
 def _differences(least: float):
     """Functions that find, per (bucket, text), the differences from the majority, and those of them, rarest first, by which a link must show."""
     share = (1 - least) / (1 + least)
 
-    longs, counted = pa.list_(pa.int64()), pa.list_(pa.struct([("item", pa.int64()), ("c", pa.int64())]))
-
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, whole, f, more, less = [], [], [], [], []
@@ -258,31 +264,34 @@ def _differences(least: float):
                 most, lack = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in (most, lack))
                 gone = ~np.isin(most, own)
                 more.append(own[~np.isin(own, most)])
-                less.append([{"item": i, "c": c} for i, c in zip(most[gone].tolist(), lack[gone].tolist(), strict=True)])
-                size.append(len(more[-1]) + len(less[-1]))
+                less.append((most[gone], lack[gone]))
+                size.append(len(more[-1]) + int(gone.sum()))
                 whole.append(len(own))
                 f.append(size[-1] - share * whole[-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(whole, pa.int64()), pa.array(f, pa.float64()), pa.array(more, longs), pa.array(less, counted)], names=["bucket", "id", "size", "whole", "f", "added", "gone"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(whole, pa.int64()), pa.array(f, pa.float64()), _lists(more), _lists(less, ("item", "c"))], names=["bucket", "id", "size", "whole", "f", "added", "gone"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             which, out, roles = [], [], []
-            for i, (size, whole, f, lowest, largest, met) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 8)), strict=True)):
+            met = b.column(7)
+            for i, (size, whole, f, lowest, largest) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 7)), strict=True)):
                 far = f + lowest > 1e-9
                 # As the partner with the smaller f: the other one is far, and not below this one.
                 asked = max(f, (f - lowest) / 2)
                 # As the one with the larger f: the other one has no more differences in common than it has at all.
                 asks = (f + max(lowest, f - 2 * share * min(largest, whole / least))) / 2
+                item, count = (met[i].values.field(k).to_numpy(zero_copy_only=False) for k in ("item", "c"))
                 # Differences that no other text has come first in the order of rarity; they need not be posted.
-                alone = size - len(met)
+                alone = size - len(item)
                 short, long = (max(0, size - max(1, int(np.ceil(need - 1e-6))) + 1 - alone) for need in (asked, asks))
                 long = long if far else 0
-                for n, (_, item) in enumerate(sorted((x["c"], x["item"]) for x in met)[: max(short, long)]):
-                    which.append(i)
-                    out.append(item)
-                    roles.append((n < short) + 2 * (n < long))
+                first = item[np.lexsort((item, count))[: max(short, long)]]
+                which.append(np.full(len(first), i))
+                out.append(first)
+                roles.append((np.arange(len(first)) < short) + 2 * (np.arange(len(first)) < long))
+            which, out, roles = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (which, out, roles))
             take = pa.array(which, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(out, pa.int64()), pa.array(roles, pa.int32())], names=["bucket", "id", "item", "role"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(out, pa.int64()), pa.array(roles.astype(np.int32))], names=["bucket", "id", "item", "role"])
 
     return differ, post
 

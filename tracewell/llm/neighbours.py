@@ -2,15 +2,16 @@
 
 A rotation learned from a bounded sample turns each vector into a code of as many
 bits as it has dimensions. Codes are cut into substrings, each with an index of
-its own. If two codes differ in at most ``RADIUS`` bits, then some substring
-differs in few: a probe looks up every substring value within that distance,
-which retrieves every code within the radius, and the floats rerank them.
+its own. If two codes differ in at most r bits, then some substring differs in
+few: a probe looks up every substring value within that distance, which retrieves
+every code within the radius r, and the floats rerank them. A query's radius grows
+until it holds the bits in which a vector at its k-th score would differ.
 
 Codes measure angles, the order asked for is that of inner products. As q . v =
 q . (v - mean) + q . mean, rows are centred and queries are not, and rows are
-banded by their norms about the mean: a band whose norm can beat the k-th score
-at a larger angle is probed as far as that angle needs, and one whose norm
-cannot beat it at all is left.
+banded by their norms about the mean, the largest first: the radius in a band
+follows from the angle at which its norm reaches the k-th score, and a band whose
+norm cannot reach it ends the search.
 
 Rows and queries are dealt into blocks of bounded size; each pair of blocks is
 one task's work, and only the nearest few of each query leave it.
@@ -32,15 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.tables import stored
+from tracewell.llm.tables import hash_sample, stored
 
 #: Vectors at most that the rotation is learned from.
 SAMPLE = 8_192
-#: Bits of a substring, and of 64 bits those that may differ.
-SUBSTRING, RADIUS = 4, 30
-#: Standard deviations of the number of differing bits that a probe allows beyond the angle, norm bands to each halving, and bands at most.
-SLACK, BANDS_TO_HALF, BANDS = 2.0, 4, 40
-ROWS_IN_BLOCK, QUERIES_IN_BLOCK = 4_096, 1_024
+#: Bits of a substring, and the part of all bits (one in so many) with which a query's radius begins.
+SUBSTRING, START = 4, 4
+#: Standard deviations of the number of differing bits that a radius allows beyond the angle, norm bands to each halving, and bands at most.
+SLACK, BANDS_TO_HALF, BANDS = 0.8, 4, 40
+ROWS_IN_BLOCK, QUERIES_IN_BLOCK = 8_192, 8_192
 
 
 def usable(embedding: str = "embedding") -> Column:
@@ -101,12 +102,64 @@ class MultiIndex:
         return rows[apart <= radius]
 
 
+def reaches(score: float, norms: float, bits: int) -> int:
+    """Bits in which a code may differ if its vector is to have ``score``, with the slack; below zero if none can."""
+    cosine = score / max(norms, 1e-300)
+    if cosine > 1 + 1e-9:
+        return -1
+    share = np.arccos(np.clip(cosine, -1, 1)) / np.pi
+    return int(np.ceil(bits * share + SLACK * np.sqrt(bits * share * (1 - share))))
+
+
+def nearest(ids: np.ndarray, x: np.ndarray, names: np.ndarray, y: np.ndarray, learnt: tuple[np.ndarray, np.ndarray], start: int, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """Rows and scores of the k nearest of each query (names, y) among the rows (ids, x), and how many rows were reranked in all."""
+    mean, rotation = learnt
+    subs, asked_codes = codes(x, mean, rotation), codes(y, 0.0, rotation).astype(np.uint8)
+    bits = subs.shape[1] * SUBSTRING
+    norm = np.linalg.norm(x - mean, axis=1)
+    with np.errstate(divide="ignore"):
+        band = np.clip(np.nan_to_num(-np.log2(norm / max(norm.max(), 1e-300)) * BANDS_TO_HALF, posinf=BANDS), 0, BANDS - 1).astype(int)
+    bands = [(norm[at].max(), at, MultiIndex(subs[at])) for at in (np.flatnonzero(band == k) for k in np.unique(band))]
+    got, probed = [], 0
+    for name, v, code in zip(names, y, asked_codes, strict=True):
+        length, shift, rows, least = np.linalg.norm(v), float(v @ mean), np.zeros(0, np.int64), -np.inf
+        for top, at, index in bands:  # the largest norms first
+            reach, own = start, np.zeros(0, np.int64)
+            if least > -np.inf and (reach := reaches(least - shift, length * top, bits)) < 0:
+                break  # neither this band nor one of smaller norms
+            while True:
+                # A band that is to be probed for more than it holds of a few rows is read whole.
+                whole = reach >= bits or len(at) <= k
+                own = at if whole else at[index.within(code, reach)]
+                own = own[ids[own] != name]
+                both = np.concatenate((rows, own))
+                if len(both) >= k:
+                    least = np.partition(x[both] @ v, -k)[-k]
+                further = reaches(least - shift, length * top, bits) if least > -np.inf else reach + max(1, bits // 16)
+                if whole or further <= reach:
+                    break
+                reach = further
+            rows = both
+        if len(rows) < k:
+            rows = np.flatnonzero(ids != name)
+        probed += len(rows)
+        score = x[rows] @ v
+        if len(rows) > k:  # all that tie with the k-th stay until ids decide
+            some = score >= np.partition(score, -k)[-k]
+            rows, score = rows[some], score[some]
+        best = np.lexsort((ids[rows], -score))[:k]
+        got.append((rows[best], score[best]))
+    return got, probed
+
+
 def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, radius: int | None = None, key: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id and score (inner product) of the k nearest found of each query among ``vectors``."""
     kind = vectors.schema[key].dataType.simpleString()
     tidy = lambda df: df.filter(usable(embedding)).select(F.col(key).alias("id"), F.col(embedding).cast("array<double>").alias("v"))
     rows, asked = tidy(vectors), tidy(queries)
-    fit_on = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()  # bounded by ``sample``
+    # Bounded by ``sample``; of vectors with one id, the least.
+    ids_ = hash_sample(rows.select("id").distinct(), "id", sample)
+    fit_on = rows.join(F.broadcast(ids_), "id").groupBy("id").agg(F.min("v").alias("v")).orderBy("id").select("v").collect()
     out = f"query_id {kind}, vec_id {kind}, score double"
     if not fit_on:
         return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
@@ -114,7 +167,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, radius: int |
     size = int(sizes.mode()[0])
     learnt = learn_rotation(np.asarray([r["v"] for r in fit_on if len(r["v"]) == size]))
     bits = -(-size // SUBSTRING) * SUBSTRING
-    near = radius if radius is not None else RADIUS * bits // 64
+    start = radius if radius is not None else bits // START
     rows, asked = (df.filter(F.size("v") == size) for df in (rows, asked))
     row_blocks = max(1, -(-rows.count() // ROWS_IN_BLOCK))
     query_blocks = max(1, -(-asked.count() // QUERIES_IN_BLOCK))
@@ -128,38 +181,9 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, radius: int |
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": pdf["id"].dtype, "vec_id": pdf["id"].dtype})
         x, y = np.stack(r["v"].to_numpy()), np.stack(q["v"].to_numpy())
         ids, names = r["id"].to_numpy(), q["id"].to_numpy()
-        mean, rotation = learnt
-        subs, asked_codes = codes(x, mean, rotation), codes(y, 0.0, rotation).astype(np.uint8)
-        norm = np.linalg.norm(x - mean, axis=1)
-        with np.errstate(divide="ignore"):
-            band = np.clip(np.nan_to_num(-np.log2(norm / max(norm.max(), 1e-300)) * BANDS_TO_HALF, posinf=BANDS), 0, BANDS - 1).astype(int)
-        bands = [(norm[at].max(), at, MultiIndex(subs[at])) for at in (np.flatnonzero(band == k) for k in np.unique(band))]
-        got = []
-        for name, v, code in zip(names, y, asked_codes, strict=True):
-            length, shift, rows, least = np.linalg.norm(v), float(v @ mean), np.zeros(0, np.int64), -np.inf
-            for top, at, index in bands:  # the largest norms first
-                reach = near
-                if least > -np.inf:
-                    cosine = (least - shift) / max(length * top, 1e-300)
-                    if cosine > 1 + 1e-9:
-                        break  # neither this band nor one of smaller norms
-                    share = np.arccos(np.clip(cosine, -1, 1)) / np.pi
-                    reach = max(near, int(np.ceil(bits * share + SLACK * np.sqrt(bits * share * (1 - share)))))
-                # A band that is to be probed for more than it holds of a few rows is read whole.
-                more = at if reach >= bits or len(at) <= k or least == -np.inf and len(bands) > 1 else at[index.within(code, reach)]
-                rows = np.concatenate((rows, more[ids[more] != name]))
-                if len(rows) >= k:
-                    least = np.partition(x[rows] @ v, -k)[-k]
-            if len(rows) < k:
-                rows = np.flatnonzero(ids != name)
-            score = x[rows] @ v
-            if len(rows) > k:  # all that tie with the k-th stay until ids decide
-                some = score >= np.partition(score, -k)[-k]
-                rows, score = rows[some], score[some]
-            best = np.lexsort((ids[rows], -score))[:k]
-            got.append((np.full(len(best), name), ids[rows][best], score[best]))
-        a, b, c = (np.concatenate(z) for z in zip(*got, strict=True))
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+        got, _ = nearest(ids, x, names, y, learnt, start, k)
+        rows, score = (np.concatenate(c) for c in zip(*got, strict=True))
+        return pd.DataFrame({"query_id": np.repeat(names, [len(r) for r, _ in got]), "vec_id": ids[rows], "score": score})
 
     found = cells.groupBy("rb", "qb").applyInPandas(meet, out)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

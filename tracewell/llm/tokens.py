@@ -46,7 +46,7 @@ class _Pieces(dict):
 class Encoder:
     """ids(text) gives the ids as little-endian unsigned 32-bit bytes, the end id included."""
 
-    def __init__(self, path: str, end_id: int = END_ID, kept_pieces: int = 900_000):
+    def __init__(self, path: str, end_id: int = END_ID, kept_pieces: int = 500_000):
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode
