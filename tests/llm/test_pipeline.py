@@ -67,3 +67,23 @@ def test_stages_neither_lose_nor_multiply_rows_with_null_or_repeated_ids(spark,
     assert max(seen["mixing"].count(r) for r in want if r[1]) <= 3 and {r for r in seen["mixing"] if r[1]} <= set(want)
     assert sum(bool(t) for _, t in seen["mixing"]) == sum(bool(t) for _, t in want)
     assert len(seen["packing"]) == len(seen["mixing"])
+
+
+def test_stages_keep_columns_whose_names_clash_and_long_texts(spark, tmp_path):
+    names = ["_blob", "_spans", "_text", "_mark", "_most", "_nth", "_copy", "_score", "_m_times", "_m_source", "times", "mark", "label", "toxic_score", "blob", "size", "most"]
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 5000, 60)) for _ in range(20)] + ["long " * 60_000, None, "", "token = abcdefghijklmnop0123"]
+    rows = [(i, t, "en", "ab"[i % 2], 1, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    schema = SCHEMA + "".join(f", `{n}` string" for n in names)
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, i % 2) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        given = docs
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/out/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/out/{name}")
+        if name != "packing":
+            assert docs.columns == given.columns
+            for r in docs.collect():
+                assert all(r[n] == f"{n}{r['doc_id']}" for n in names)

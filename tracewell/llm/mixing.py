@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.tables import scratch, stored, text_or_empty
+from tracewell.llm.tables import scratch, shielded, stored, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a hash, those that one histogram resolves, and rows of a source's boundary bucket from which it is split again.
@@ -140,8 +140,12 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     return known.select("key", "source", "size", F.col("_m_source_size").alias("source_size"), F.col("_m_target").alias("target"), F.col("_m_times").alias("times"))
 
 
-def with_times(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """``docs`` with _m_times: no join on ids, so they may be null or repeat. Names of columns must not begin with _m_."""
-    with scratch(docs.sparkSession):
-        rules = stored(_rules(_sizes(docs, key, source, text), weights, most), "mix-rules", keep=True)
-    return _counted(docs, rules, F.col(source).cast("string"), order_hash(key), word_count(text), most).select(*docs.columns, "_m_times")
+def repeated(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """``docs`` with every row as often as the mix takes it: no join on ids, so they may be null or repeat."""
+
+    def work(rows: DataFrame) -> DataFrame:
+        rules = _rules(_sizes(rows, key, source, text), weights, most)
+        counted = _counted(rows, rules, F.col(source).cast("string"), order_hash(key), word_count(text), most)
+        return counted.withColumn("_copy", F.explode(F.when(F.col("_m_times") > 0, F.sequence(F.lit(1), F.col("_m_times"))))).select(rows.columns)
+
+    return shielded(docs, work)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.tables import exists, stored, text_or_empty
+from tracewell.llm.tables import exists, shielded, stored, text_or_empty
 
 #: Raise when a rule changes: blobs are then scanned again.
 RULES_VERSION = 4
@@ -152,18 +152,22 @@ def cut_out(text: str, starts: list[int], ends: list[int]) -> str:
 
 
 def redact(versions: DataFrame, ledger: DataFrame, *, text: str = "text") -> DataFrame:
-    """``versions`` with every secret span of ``text`` replaced by ``<secret>``; texts without one stay as they are. Names of columns must not begin with _s_."""
+    """``versions`` with every secret span of ``text`` replaced by ``<secret>``; texts without one stay as they are."""
 
     @F.pandas_udf("string")
     def cut(body: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else cut_out(t, list(s), list(e)) for t, s, e in zip(body, starts, ends, strict=True)], dtype=object)
 
-    known = ledger.filter((F.col("rules_version") == RULES_VERSION) & (F.size("spans") > 0)).select(F.col("blob").alias("_s_blob"), F.col("spans").alias("_s_spans"))
-    joined = versions.withColumn("_s_blob", F.sha2(text_or_empty(text), 256)).join(known, "_s_blob", "left")
-    found = F.col("_s_spans").isNotNull()
-    # Only texts with a secret go to the function.
-    redacted = cut(F.when(found, F.col(text).cast("string")), F.col("_s_spans")["start"], F.col("_s_spans")["end"])
-    return joined.withColumn("_s_text", redacted).withColumn(text, F.when(found, F.col("_s_text")).otherwise(F.col(text))).select(versions.columns)
+    known = ledger.filter((F.col("rules_version") == RULES_VERSION) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+
+    def work(docs: DataFrame) -> DataFrame:
+        joined = docs.withColumn("_blob", F.sha2(text_or_empty(text), 256)).join(known, "_blob", "left")
+        found = F.col("_spans").isNotNull()
+        # Only texts with a secret go to the function.
+        redacted = cut(F.when(found, F.col(text).cast("string")), F.col("_spans")["start"], F.col("_spans")["end"])
+        return joined.withColumn("_text", redacted).withColumn(text, F.when(found, F.col("_text")).otherwise(F.col(text))).select(docs.columns)
+
+    return shielded(versions, work)
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
@@ -115,6 +115,12 @@ def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
         chosen, seed = chosen.filter(h == below), seed + 1
 
 
+def shielded(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on ``docs``, whose columns that begin with an underscore have other names meanwhile: such names are the operators' own."""
+    away = {c: f"kept{i}{c}" for i, c in enumerate(docs.columns) if c.startswith("_")}
+    return work(docs.withColumnsRenamed(away)).withColumnsRenamed({v: k for k, v in away.items()})
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -180,14 +180,14 @@ def _fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, pr
     return Model({t: float(w) for t, w in zip(vocabulary, mean, strict=True) if abs(w) > 1e-3}, float(np.mean([r["bias"] for r in fitted])))
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """``docs`` with toxic_score, from the text alone."""
-    docs = docs.drop("toxic_score")  # a column of that name gives way to the score
+def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "toxic_score") -> DataFrame:
+    """``docs`` with their score as ``out``, from the text alone; a column of that name gives way to it."""
+    docs = docs.drop(out)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = pa.array([model.score(str(t.as_py() or "")) for t in b.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*b.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*b.schema.names, out])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
