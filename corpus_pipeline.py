@@ -1,6 +1,10 @@
 """A corpus pipeline of five stages: toxic texts go, one text of each near-duplicate group stays, secrets are cut out, sources are mixed, and what is left is packed.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.
+Defined cases, in all stages: rows with null or repeated doc_ids are rows like
+others, neither lost nor multiplied; null and empty texts stay, without words;
+texts count whole, however long; further columns pass through under any name; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -10,13 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.llm import mixing, neardup, packing, secrets, toxicity
-from tracewell.llm.tables import new_path, remove, scratch, stored, table
+from tracewell.llm.tables import new_path, remove, scratch, shielded, stored, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject; without confirmed toxic rows, all of them."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("toxic_score") < toxicity.REJECT).select(docs.columns)
+    return shielded(docs, lambda rows: toxicity.score(rows, model, out="_score").filter(F.col("_score") < toxicity.REJECT).drop("_score"))
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +34,19 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         groups = neardup.grouped(docs)
         rows = groups.groupBy("mark").agg(F.count(F.lit(1)).alias("rows"))
         first = groups.groupBy("label").agg(F.min(F.struct(F.col("name").isNull(), "name", "mark"))["mark"].alias("mark"))
-        most = first.groupBy("mark").agg(F.count(F.lit(1)).alias("most"))
-        kept = stored(most.join(rows, "mark").withColumn("alike", F.col("most") < F.col("rows")), "near-kept", keep=True)
-    marked = docs.withColumn("_mark", neardup.row_mark())
-    single = marked.join(kept.filter("NOT alike").select(F.col("mark").alias("_mark")), "_mark", "left_semi").select(docs.columns)
-    several = kept.filter("alike").select(F.col("mark").alias("_mark"), "most")
-    if several.isEmpty():
-        return single
-    nth = F.row_number().over(W.partitionBy("_mark").orderBy(F.xxhash64(*docs.columns)))
-    return single.unionByName(marked.join(several, "_mark").withColumn("_nth", nth).filter(F.col("_nth") <= F.col("most")).select(docs.columns))
+        most = first.groupBy("mark").agg(F.count(F.lit(1)).alias("_most"))
+        kept = stored(most.join(rows, "mark").select(F.col("mark").alias("_mark"), "_most", (F.col("_most") < F.col("rows")).alias("_alike")), "near-kept", keep=True)
+
+    def work(plain: DataFrame) -> DataFrame:
+        marked = plain.withColumn("_mark", neardup.row_mark())
+        single = marked.join(kept.filter("NOT _alike").select("_mark"), "_mark", "left_semi").select(plain.columns)
+        several = kept.filter("_alike").select("_mark", "_most")
+        if several.isEmpty():
+            return single
+        nth = F.row_number().over(W.partitionBy("_mark").orderBy(F.xxhash64(*plain.columns)))
+        return single.unionByName(marked.join(several, "_mark").withColumn("_nth", nth).filter(F.col("_nth") <= F.col("_most")).select(plain.columns))
+
+    return shielded(docs, work)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +56,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
-    return mixing.with_times(docs).withColumn("_copy", F.explode(F.when(F.col("_m_times") > 0, F.sequence(F.lit(1), F.col("_m_times"))))).select(docs.columns)
+    """Every document as many times as the mix takes it, up to three; of rows with one doc_id, as many as the budget asks for."""
+    return mixing.repeated(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
