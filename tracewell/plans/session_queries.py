@@ -317,13 +317,14 @@ def _(a):
 
 
 @on_activity("U3_reconcile", """
-, st AS (SELECT DISTINCT session_id, path, k % 3 = 0 AS gone FROM v_files JOIN v_events USING (session_id, event_id) WHERE v_files.event_id % 2 = 0),
-stored AS (SELECT session_id, path, bool_and(gone) AS gone FROM st GROUP BY ALL), live AS (SELECT DISTINCT session_id, path FROM v_files WHERE event_id % 3 = 0)
+, st AS (SELECT DISTINCT session_id, path, k % 3 = 0 AS gone FROM v_files JOIN v_events USING (session_id, event_id) WHERE v_files.event_id % 3 < 2),
+stored AS (SELECT session_id, path, bool_and(gone) AS gone FROM st GROUP BY ALL), live AS (SELECT DISTINCT session_id, path FROM v_files WHERE event_id % 3 <> 1)
 SELECT s.session_id, s.path, CASE WHEN l.path IS NULL AND NOT gone THEN 'retired' WHEN l.path IS NOT NULL AND gone THEN 'restored' ELSE 'kept' END AS status FROM stored s LEFT JOIN live l ON s.session_id = l.session_id AND s.path = l.path
 UNION ALL SELECT l.session_id, l.path, 'new' FROM live l LEFT JOIN stored s ON s.session_id = l.session_id AND s.path = l.path WHERE s.path IS NULL""")
 def _(a):
-    marked = a.files.join(a.events.select("event_id", "k"), "event_id").filter("event_id % 2 = 0").groupBy("session_id", "path").agg(F.when(F.bool_and(F.col("k") % 3 == 0), F.lit(1)).alias("superseded_at"))
-    return sets.reconcile(marked, a.files.filter("event_id % 3 = 0").select("session_id", "path").distinct(), key=["session_id", "path"]).select("session_id", "path", "status")
+    """Every row lies on a side: stored, live or both."""
+    marked = a.files.join(a.events.select("event_id", "k"), "event_id").filter("event_id % 3 < 2").groupBy("session_id", "path").agg(F.when(F.bool_and(F.col("k") % 3 == 0), F.lit(1)).alias("superseded_at"))
+    return sets.reconcile(marked, a.files.filter("event_id % 3 <> 1").select("session_id", "path").distinct(), key=["session_id", "path"]).select("session_id", "path", "status")
 
 
 @on_activity("S11_upsert_sessions", "SELECT session_id, (epoch_us(min(ts)) // 1000) AS started_at, (epoch_us(max(ts)) // 1000) AS ended_at, coalesce(max(n) FILTER (b = 1), max(n) FILTER (b = 0)) AS title, coalesce(max(n) FILTER (b = 0), max(n) FILTER (b = 1)) AS version FROM (SELECT session_id, ts, event_id % 2 AS b, count(*) OVER (PARTITION BY session_id, event_id % 2) AS n FROM v_events) GROUP BY session_id")

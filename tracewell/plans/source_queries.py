@@ -237,10 +237,11 @@ def _(a):
     return rows.join(rows.select("command").distinct().withColumn("name", shell.probed_udf("command")), "command").select("event_id", "name")
 
 
-@on_activity("X3_registered_functions", "SELECT event_id, 'git' AS program FROM v_commands")
+@on_activity("X3_registered_functions", "SELECT event_id, program FROM v_commands")
 def _(a):
     shell.register(a.spark)
-    return a.commands.select("event_id", F.expr("program_of('cd x && git status')").alias("program"))
+    command = F.concat(F.lit("cd /x && A=1 sudo "), F.col("program"), F.lit(" --n "), F.col("event_id").cast("string"), F.lit(" | head"))
+    return a.commands.select("event_id", command.alias("command")).select("event_id", F.expr("program_of(command)").alias("program"))
 
 
 @on_activity("X1_registered_source", "SELECT session_id, event_id FROM v_events WHERE event_type = 'click'")
