@@ -38,16 +38,16 @@ from tracewell.llm.tokens import encoder, tokenizer_path
 MAGIC, VERSION = b"TWID", 2
 #: Ids in a block, and ids from which a segment is closed.
 BLOCK, SEGMENT = 1024, 6_000_000
-#: Lanes coded together; bounds the memory of the models.
-LANES = 8192
+#: Lanes coded together at most; bounds the memory of the models.
+LANES = 3072
 #: Order 1: ids at most that have followers, how often a follower must come, and the share of its context (one of so many) that it must have.
 CONTEXTS, OFTEN, SHARE = 4096, 3, 2048
 
 #: Bits of a probability of order 1 and of a yes or no, and of one of order 0.
 _BITS, _BITS0 = 12, 17
 _ONE, _ONE0 = 1 << _BITS, 1 << _BITS0
-_SLOTS = 10  # bits of the number of slots in the order-2 table of a lane
-_U = np.uint64
+_SLOTS = 9  # bits of the number of slots in the order-2 table of a lane
+_U, _I = np.uint64, np.uint32
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +87,7 @@ class Orders:
         self.context[owner] = np.arange(1, len(owner) + 1)
         each = np.append(1, sizes).astype(np.int64)
         self.base = np.cumsum(each) - each
-        self.symbol = np.append(0, follower).astype(np.int64)
+        self.symbol = np.append(0, follower).astype(np.uint32)
         self.size = np.append(_ONE, share).astype(np.int64)
         ends = np.cumsum(self.size)
         self.start = (ends - self.size) % _ONE
@@ -96,7 +96,7 @@ class Orders:
         self.escape[self.base] = True
         self.place = self.start << 14 | self.size << 1 | self.escape  # all three for one look
         # For a search of (context, follower): the escape comes first in its context.
-        self.keys = of << 17 | np.where(self.escape, 0, self.symbol + 1)
+        self.keys = of << 17 | np.where(self.escape, 0, self.symbol.astype(np.int64) + 1)
 
     @classmethod
     def counted(cls, before: np.ndarray, ids: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Orders:
@@ -231,22 +231,22 @@ def _run(coder: _Coder, lengths: np.ndarray, orders: Orders, ids: np.ndarray | N
     table = np.zeros(lanes << _SLOTS, np.uint32)
     hit = np.full(lanes * 8, _ONE // 2, np.int64)  # how often a guess held, by its record
     weight = np.tile(np.array([[1 << 16], [1 << 15], [0]]), lanes)
-    offset = np.arange(lanes, dtype=np.int64) << _SLOTS
-    b1, b2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    offset = np.arange(lanes, dtype=np.uint32) << _I(_SLOTS)
+    b1, b2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     active = np.searchsorted(-lengths, -np.arange(steps), "left")  # lanes longer than t
     for t in range(steps):
         n = int(active[t])
         c1, c2 = b1[:n], b2[:n]
-        h = (c1 * 0x9E3779B1 + c2 * 0x85EBCA6B) & 0xFFFFFFFF
-        slot = offset[:n] + (h >> (32 - _SLOTS))
-        tag = (h & 0xFF00) << 16 | 0x10000
-        e = table.take(slot).astype(np.int64)
-        true = None if ids is None else ids[t, :n].astype(np.int64)
-        value = np.zeros(n, np.int64) if true is None else true
+        h = c1 * _I(0x9E3779B1) + c2 * _I(0x85EBCA6B)
+        slot = offset[:n] + (h >> _I(32 - _SLOTS))
+        tag = (h & _I(0xFF00)) << _I(16) | _I(0x10000)
+        e = table.take(slot)
+        true = None if ids is None else ids[t, :n].astype(np.uint32)
+        value = np.zeros(n, np.uint32) if true is None else true
         done = None
-        i = np.flatnonzero(((e ^ tag) >> 24 == 0) & (e > 0))
+        i = np.flatnonzero(((e ^ tag) < _I(1 << 24)) & (e > 0))
         if i.size:
-            own = e.take(i)
+            own = e.take(i).astype(np.int64)
             guess, record = own & 0xFFFF, i << 3 | (own >> 16 & 7)
             of1 = orders.find(orders.context.take(c1.take(i)), guess)
             x = np.stack((_STRETCH.take(hit.take(record)), _STRETCH.take(np.minimum(np.where(orders.escape.take(of1), 1, orders.size.take(of1)), _ONE - 1)), _STRETCH.take(orders.size0.take(guess) >> (_BITS0 - _BITS + 1))))
@@ -290,8 +290,9 @@ def _run(coder: _Coder, lengths: np.ndarray, orders: Orders, ids: np.ndarray | N
             coder.some(i, orders.start0.take(some), orders.size0.take(some), unit)
         if true is None:
             got[t, :n] = value
-        held = (e ^ (tag | value)) & 0xFF00FFFF == 0
-        table[slot] = np.where(held & (e > 0), np.minimum(e + 0x10000, tag & 0xFF000000 | 0x70000 | value), tag | value)
+        fresh = tag | value
+        held = ((e ^ fresh) & _I(0xFF00FFFF) == 0) & (e > 0)
+        table[slot] = np.where(held, np.minimum(e + _I(0x10000), fresh + _I(0x60000)), fresh)
         b2[:n] = c1
         b1[:n] = value
     return got
@@ -305,6 +306,11 @@ def _before(ids: np.ndarray) -> np.ndarray:
     return got
 
 
+def _together(blocks: int) -> int:
+    """Blocks that are coded together: at most ``LANES``, and the same in each group but for the rest."""
+    return max(1, -(-blocks // max(1, -(-blocks // LANES))))
+
+
 def encode_blocks(ids: np.ndarray) -> tuple[Orders, list[bytes]]:
     """Orders of a segment of ids (uint16), and its coded blocks, BLOCK ids in each but the last."""
     before, out = _before(ids), []
@@ -317,8 +323,9 @@ def encode_blocks(ids: np.ndarray) -> tuple[Orders, list[bytes]]:
     entries = np.zeros(len(ids), np.int32)
     entries[place] = np.repeat(orders.find(orders.context.take(first), second).astype(np.int32), count)
     del placed, pairs, place
-    for a in range(0, len(ids), BLOCK * LANES):
-        part = ids[a : a + BLOCK * LANES]
+    together = _together(-(-len(ids) // BLOCK))
+    for a in range(0, len(ids), BLOCK * together):
+        part = ids[a : a + BLOCK * together]
         lanes = -(-len(part) // BLOCK)
         lengths = np.full(lanes, BLOCK)
         lengths[-1] = len(part) - BLOCK * (lanes - 1)
@@ -336,8 +343,9 @@ def encode_blocks(ids: np.ndarray) -> tuple[Orders, list[bytes]]:
 
 def decode_blocks(orders: Orders, blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
     out = []
-    for a in range(0, len(blocks), LANES):
-        part, sizes = blocks[a : a + LANES], lengths[a : a + LANES]
+    together = _together(len(blocks))
+    for a in range(0, len(blocks), together):
+        part, sizes = blocks[a : a + together], lengths[a : a + together]
         words = max(len(b) for b in part) // 4 + 4
         data = np.zeros((len(part), words), np.uint32)
         for i, b in enumerate(part):
