@@ -36,6 +36,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Texts in a bucket up to which all its pairs are compared, and texts of the smaller side of two that are; larger ones go by leaders and the exact join.
 PAIRWISE = 32
+#: Differences of a text that are dealt to tasks together.
+PIECE = 64
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -334,7 +336,10 @@ def by_differences(members: DataFrame, items: DataFrame, labels: DataFrame, leas
         told = held.join(common, "bucket", "left").select("bucket", "id", "raw", F.coalesce(F.col("m")["item"], none).alias("most"), F.coalesce(F.col("m")["c"], none).alias("lack"))
         apart = stored(told.mapInArrow(differ, "bucket long, id long, size long, whole long, f double, added array<long>, gone array<struct<item:bigint,c:bigint>>"), f"near-apart{level}")
         # Of what texts hold beside the majority, that which several hold.
-        added = apart.select("bucket", "id", F.explode("added").alias("item"))
+        # Lists are cut into short pieces and those dealt anew, so that no task has the bulk of long or many texts.
+        cuts = F.transform(F.sequence(F.lit(1), F.size("added"), F.lit(PIECE)), lambda k: F.slice("added", k, F.lit(PIECE)))
+        pieces = apart.filter(F.size("added") > 0).select("bucket", "id", F.posexplode(cuts).alias("nth", "piece"))
+        added = pieces.repartition("id", "nth").select("bucket", "id", F.explode("piece").alias("item"))
         several = added.groupBy("bucket", "item").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
         met = added.join(several, ["bucket", "item"]).groupBy("bucket", "id").agg(F.collect_list(F.struct("item", "c")).alias("met"))
         nearest = apart.groupBy("bucket").agg(F.min("f").alias("lowest"), F.max("whole").alias("largest"), F.min_by("id", F.struct("f", "id")).alias("z"))
