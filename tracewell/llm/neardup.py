@@ -339,7 +339,7 @@ def by_differences(members: DataFrame, items: DataFrame, labels: DataFrame, leas
         # Lists are cut into short pieces and those dealt anew, so that no task has the bulk of long or many texts.
         cuts = F.transform(F.sequence(F.lit(1), F.size("added"), F.lit(PIECE)), lambda k: F.slice("added", k, F.lit(PIECE)))
         pieces = apart.filter(F.size("added") > 0).select("bucket", "id", F.posexplode(cuts).alias("nth", "piece"))
-        added = pieces.repartition("id", "nth").select("bucket", "id", F.explode("piece").alias("item"))
+        added = stored(pieces.repartition("id", "nth").select("bucket", "id", F.explode("piece").alias("item")), f"near-added{level}")
         several = added.groupBy("bucket", "item").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
         met = added.join(several, ["bucket", "item"]).groupBy("bucket", "id").agg(F.collect_list(F.struct("item", "c")).alias("met"))
         nearest = apart.groupBy("bucket").agg(F.min("f").alias("lowest"), F.max("whole").alias("largest"), F.min_by("id", F.struct("f", "id")).alias("z"))
