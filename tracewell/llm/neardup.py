@@ -36,8 +36,6 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Texts in a bucket up to which all its pairs are compared, and texts of the smaller side of two that are; larger ones go by leaders and the exact join.
 PAIRWISE = 32
-#: Differences of a text that are dealt to tasks together.
-PIECE = 64
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -246,12 +244,11 @@ def unsettled(large: DataFrame, joined: DataFrame) -> DataFrame:
     return components(chained).select(F.col("label").alias("bucket"), "id")
 
 
-def _lists(rows: list, names: tuple[str, ...] = ()) -> pa.Array:
-    """Arrays, or tuples of arrays for the fields ``names`` of structs, as a column of lists."""
-    columns = list(zip(*rows, strict=True)) if names else [rows]
-    ends = np.concatenate(([0], np.cumsum([len(x) for x in columns[0]]))) if columns and len(columns[0]) else np.zeros(1, np.int64)
-    flat = [pa.array(np.concatenate(c) if len(c) else np.zeros(0, np.int64), pa.int64()) for c in (columns or [[]] * len(names))]
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, list(names)) if names else flat[0])
+def _pairs(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """Items with their counts, row by row, as a column of lists."""
+    ends = np.concatenate(([0], np.cumsum([len(x) for x, _ in rows]))).astype(np.int32)
+    flat = [pa.array(np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, np.int64), pa.int64()) for k in (0, 1)]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, ["item", "c"]))
 
 
 def _differences(least: float):
@@ -260,17 +257,16 @@ def _differences(least: float):
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, whole, f, more, less = [], [], [], [], []
+            size, whole, f, less = [], [], [], []
             for raw, most, lack in zip(*(b.column(k) for k in range(2, 5)), strict=True):
                 own = np.unique(np.frombuffer(raw.as_py(), "<u4")).astype(np.int64)
                 most, lack = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in (most, lack))
                 gone = ~np.isin(most, own)
-                more.append(own[~np.isin(own, most)])
                 less.append((most[gone], lack[gone]))
-                size.append(len(more[-1]) + int(gone.sum()))
+                size.append(len(own) - len(most) + 2 * int(gone.sum()))
                 whole.append(len(own))
                 f.append(size[-1] - share * whole[-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(whole, pa.int64()), pa.array(f, pa.float64()), _lists(more), _lists(less, ("item", "c"))], names=["bucket", "id", "size", "whole", "f", "added", "gone"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(whole, pa.int64()), pa.array(f, pa.float64()), _pairs(less)], names=["bucket", "id", "size", "whole", "f", "gone"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -329,27 +325,24 @@ def by_differences(members: DataFrame, items: DataFrame, labels: DataFrame, leas
     level = 0
     while True:
         held = rows.join(sets, "id")
-        counts = held.select("bucket", "id", "raw").mapInArrow(spread, "bucket long, id long, item long").groupBy("bucket", "item").agg(F.count(F.lit(1)).alias("c"))
-        usual = counts.join(rows.select("bucket", "n").distinct(), "bucket").filter(F.col("c") * 2 > F.col("n"))
+        every = held.select("bucket", "id", "raw").mapInArrow(spread, "bucket long, id long, item long")
+        counts = every.groupBy("bucket", "item").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+        counts = stored(counts.join(rows.select("bucket", "n").distinct(), "bucket"), f"near-counts{level}")
+        usual, several = counts.filter(F.col("c") * 2 > F.col("n")), counts.filter(F.col("c") * 2 <= F.col("n")).select("bucket", "item", "c")
         common = stored(usual.groupBy("bucket").agg(F.collect_list(F.struct("item", (F.col("n") - F.col("c")).alias("c"))).alias("m")), f"near-common{level}")
         none = F.array().cast("array<bigint>")
         told = held.join(common, "bucket", "left").select("bucket", "id", "raw", F.coalesce(F.col("m")["item"], none).alias("most"), F.coalesce(F.col("m")["c"], none).alias("lack"))
-        apart = stored(told.mapInArrow(differ, "bucket long, id long, size long, whole long, f double, added array<long>, gone array<struct<item:bigint,c:bigint>>"), f"near-apart{level}")
+        apart = stored(told.mapInArrow(differ, "bucket long, id long, size long, whole long, f double, gone array<struct<item:bigint,c:bigint>>"), f"near-apart{level}")
         # Of what texts hold beside the majority, that which several hold.
-        # Lists are cut into short pieces and those dealt anew, so that no task has the bulk of long or many texts.
-        cuts = F.transform(F.sequence(F.lit(1), F.size("added"), F.lit(PIECE)), lambda k: F.slice("added", k, F.lit(PIECE)))
-        pieces = apart.filter(F.size("added") > 0).select("bucket", "id", F.posexplode(cuts).alias("nth", "piece"))
-        added = stored(pieces.repartition("id", "nth").select("bucket", "id", F.explode("piece").alias("item")), f"near-added{level}")
-        several = added.groupBy("bucket", "item").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-        met = added.join(several, ["bucket", "item"]).groupBy("bucket", "id").agg(F.collect_list(F.struct("item", "c")).alias("met"))
+        met = every.join(several, ["bucket", "item"]).groupBy("bucket", "id").agg(F.collect_list(F.struct("item", "c")).alias("met"))
         nearest = apart.groupBy("bucket").agg(F.min("f").alias("lowest"), F.max("whole").alias("largest"), F.min_by("id", F.struct("f", "id")).alias("z"))
         of = apart.join(nearest, "bucket")
         near = of.filter((F.col("f") + F.col("lowest") <= 1e-9) & (F.col("id") != F.col("z"))).select(F.least("id", "z").alias("a"), F.greatest("id", "z").alias("b"))
         found = near if found is None else found.unionByName(near)
         # Of what texts lack of the majority, that which several lack.
         lacked = F.filter("gone", lambda x: x["c"] > 1)
-        every = of.join(met, ["bucket", "id"], "left").select("bucket", "id", "size", "whole", "f", "lowest", "largest", F.concat(F.coalesce("met", F.array().cast("array<struct<item:bigint,c:bigint>>")), lacked).alias("met"))
-        posted = every.mapInArrow(post, "bucket long, id long, item long, role int")
+        asking = of.join(met, ["bucket", "id"], "left").select("bucket", "id", "size", "whole", "f", "lowest", "largest", F.concat(F.coalesce("met", F.array().cast("array<struct<item:bigint,c:bigint>>")), lacked).alias("met"))
+        posted = asking.mapInArrow(post, "bucket long, id long, item long, role int")
         posted = stored(posted.join(labels, "id", "left").select(F.xxhash64("bucket", "item").alias("bucket"), "id", "role", F.coalesce("label", "id").alias("label")), f"near-posted{level}")
         # A difference whose texts are all linked, or that none asks for, leads no further.
         role = lambda bit: F.count(F.when(F.col("role").bitwiseAND(bit) > 0, 1))
