@@ -325,7 +325,7 @@ def by_differences(members: DataFrame, items: DataFrame, labels: DataFrame, leas
     level = 0
     while True:
         held = rows.join(sets, "id")
-        every = held.select("bucket", "id", "raw").mapInArrow(spread, "bucket long, id long, item long")
+        every = stored(held.select("bucket", "id", "raw").mapInArrow(spread, "bucket long, id long, item long"), f"near-every{level}")
         counts = every.groupBy("bucket", "item").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
         counts = stored(counts.join(rows.select("bucket", "n").distinct(), "bucket"), f"near-counts{level}")
         usual, several = counts.filter(F.col("c") * 2 > F.col("n")), counts.filter(F.col("c") * 2 <= F.col("n")).select("bucket", "item", "c")
