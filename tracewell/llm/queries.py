@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import fingerprints, idcodec, licenses, mixing, neardup, neighbours, packing, quality, secrets, toxicity
+from tracewell.llm import dialogs, fingerprints, idcodec, licenses, mixing, neardup, negatives, neighbours, packing, pagetext, quality, secrets, toxicity
 from tracewell.llm.tables import table
 
 
@@ -69,8 +69,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), F.when(finite, whole).alias("vector"))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op13_dialogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogs.repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_licenses, op2_packing, op3_secrets, op4_toxicity, op5_neardup, op6_fingerprints, op7_token_ids, op8_quality, op9_neighbours, op10_mixing)
+    every = (op1_licenses, op2_packing, op3_secrets, op4_toxicity, op5_neardup, op6_fingerprints, op7_token_ids, op8_quality, op9_neighbours, op10_mixing, op11_negatives, op12_main_text, op13_dialogs)
     return {f.__name__: f for f in every}
 
 
@@ -129,5 +145,25 @@ FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source
 """
 
 
+OP11_SQL = """
+WITH r AS MATERIALIZED (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v, row_number() OVER () AS row
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+    SELECT a.vec_id AS anchor_id, a.row AS anchor, r.vec_id AS id, r.row AS row, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score
+    FROM r AS a, r WHERE a.vec_id % 100 = 0 AND a.row <> r.row
+), p AS (
+    SELECT anchor, row, id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id, row) <= 5
+), n AS (
+    SELECT anchor_id, positive_id, s.id AS negative_id, positive_score, s.score AS negative_score,
+        row_number() OVER (PARTITION BY s.anchor, p.row ORDER BY s.score DESC, s.id, s.row) AS rank
+    FROM s JOIN p USING (anchor) WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_fingerprints": OP6_SQL, "op10_mixing": OP10_SQL}
+    return {"op6_fingerprints": OP6_SQL, "op10_mixing": OP10_SQL, "op11_negatives": OP11_SQL}
