@@ -50,6 +50,7 @@ CONTENT_MARKS = frozenset("article post story content main-content maincontent p
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=|["'])*+)>?|<[!?/][^>]*+>?""", re.S)
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: What lines an element's marks exclude: none, those not in an article of their own, all.
@@ -83,24 +84,25 @@ def lines_of(html: str) -> list[tuple[str, int, int, int, int]]:
     stack: list[tuple[str, int, int, bool]] = [("", OPEN, 0, False)]  # name, exclusion, level, in a link
     parts: list[str] = []
     open_: Counter[str] = Counter()
-    linked, at = 0, 0
+    linked, at, of = 0, 0, (FIRM, 0)  # of: the least exclusion and the highest level of a line's parts
 
     def end_line(gap: bool) -> None:
-        nonlocal linked
+        nonlocal linked, of
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                _, out, level, _ = stack[-1]
-                lines.append((text, max(0, len(text) - linked), linked, out, level))
+                lines.append((text, max(0, len(text) - linked), linked, *of))
             parts.clear()
-            linked = 0
+            linked, of = 0, (FIRM, 0)
         if gap and lines and lines[-1][0]:
             lines.append(("", 0, 0, OPEN, 0))
 
     def take(raw: str) -> None:
-        nonlocal linked
-        _, out, _, link = stack[-1]
+        nonlocal linked, of
+        _, out, level, link = stack[-1]
         if out != FIRM:
+            if not raw.isspace():
+                of = (min(of[0], out), max(of[1], level))
             parts.append(unescape(raw) if "&" in raw else raw)
             linked += len(" ".join(raw.split())) if link else 0
 
@@ -143,7 +145,7 @@ def lines_of(html: str) -> list[tuple[str, int, int, int, int]]:
                 close(other, ("ul", "ol", "table", "dl"))
         elif name == "br":
             parts.append(" ")
-        if name in VOID or m[3].endswith("/") and not block:
+        if name in VOID or not block and _CLOSED.search(m[3]):
             continue
         _, out, level, link = stack[-1]
         mark, own = _marks(name, m[3]) if m[3] and (name != "a" or "class" in m[3]) else (OPEN, 0)
