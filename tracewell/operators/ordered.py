@@ -1,7 +1,9 @@
 """Joins and sums that depend on order: as-of, interval and range joins, running clocks, edges and histories.
 
-Keys, times and tie-breaks are arguments. All of it is windows over a key or
-joins on a bucket of time; nothing orders the whole table in one task.
+Keys, times and tie-breaks are arguments. Running values stand on ``scan``, which
+cuts each key into slices of its order, so that a key with most of all rows is
+the work of many tasks; interval joins meet in buckets of time. Nothing orders a
+whole table, or all rows of a key, in one task.
 """
 
 from __future__ import annotations
@@ -12,6 +14,56 @@ from pyspark.sql import functions as F
 
 #: Parts into which the rows of one time bucket are dealt where nothing else is a key.
 SALTS = 32
+#: Length of a slice where the order is by time (seconds), and where it is by whole numbers (as a power of two).
+SLICE_SECONDS, SLICE_BITS = 21_600, 16
+
+
+def slice_of(rows: DataFrame, column: str) -> Column | None:
+    """The slice of a value, rising with it, nulls first; None where its type has no slices."""
+    kind, c = rows.schema[column].dataType.simpleString(), F.col(column)
+    cut = {"timestamp": F.unix_seconds, "timestamp_ntz": lambda x: F.unix_seconds(x.cast("timestamp"))}
+    if kind in cut:
+        number = F.floor(cut[kind](c) / SLICE_SECONDS)
+    elif kind in ("bigint", "int", "smallint"):
+        number = F.shiftright(c.cast("long"), SLICE_BITS)
+    else:
+        return None
+    return F.coalesce(number.cast("long"), F.lit(-(1 << 62)))
+
+
+def scan(rows: DataFrame, *, by: list[str], order: list[str], last: dict[str, Column] | None = None, most: dict[str, Column] | None = None, total: dict[str, Column] | None = None, strict: bool = False, ahead: bool = False, slice_by: Column | None = None) -> DataFrame:
+    """``rows`` with running values of their key at each row: the last that is not null, the greatest and the sum.
+
+    They run over the rows at or before each (before it, if ``strict``), or with
+    ``ahead`` over those at or after it, the nearest of which then is the last.
+    ``order`` must tell the rows of a key apart where ties would matter.
+
+    A key is cut into slices of its first order column, or of ``slice_by``, which
+    must rise with the order. Each slice is folded to one row, the folds run on
+    from slice to slice in that table of slices, and what a slice starts from
+    joins its rows as one more row ahead of them.
+    """
+    folds = [("last", o, c) for o, c in (last or {}).items()] + [("most", o, c) for o, c in (most or {}).items()] + [("total", o, c) for o, c in (total or {}).items()]
+    values = {f"_v{i}": c for i, (_, _, c) in enumerate(folds)}
+    turned = (lambda c: F.col(c).desc()) if ahead else (lambda c: F.col(c).asc())
+    over = {"last": lambda v, w: F.last(v, ignorenulls=True).over(w), "most": lambda v, w: F.max(v).over(w), "total": lambda v, w: F.sum(v).over(w)}
+    run = lambda w: {o: over[kind](f"_v{i}", w) for i, (kind, o, _) in enumerate(folds)}
+    end = -1 if strict else 0
+    cut = slice_by if slice_by is not None else slice_of(rows, order[0])
+    if cut is None:
+        w = W.partitionBy(*by).orderBy(*map(turned, order)).rowsBetween(W.unboundedPreceding, end)
+        return rows.withColumns(values).withColumns(run(w)).select(*rows.columns, *[o for _, o, _ in folds])
+    tagged = rows.withColumns({"_slice": cut, **values})
+    place, pick = F.struct(*order), F.min_by if ahead else F.max_by
+    held = lambda v: F.col(v).isNotNull()
+    fold = {"last": lambda v: pick(F.when(held(v), F.col(v)), F.when(held(v), place)), "most": F.max, "total": F.sum}
+    folded = tagged.groupBy(*by, "_slice").agg(*[fold[kind](f"_v{i}").alias(f"_v{i}") for i, (kind, _, _) in enumerate(folds)])
+    before = W.partitionBy(*by).orderBy(turned("_slice")).rowsBetween(W.unboundedPreceding, -1)
+    carried = folded.select(*by, "_slice", F.lit(True).alias("_carried"), *[over[kind](f"_v{i}", before).alias(f"_v{i}") for i, (kind, _, _) in enumerate(folds)])
+    carried = carried.filter(F.coalesce(*[F.when(held(v), True) for v in values], F.lit(False)))
+    both = tagged.withColumn("_carried", F.lit(False)).unionByName(carried, allowMissingColumns=True)
+    inside = W.partitionBy(*by, "_slice").orderBy(F.col("_carried").desc(), *map(turned, order)).rowsBetween(W.unboundedPreceding, end)
+    return both.withColumns(run(inside)).filter("not _carried").select(*rows.columns, *[o for _, o, _ in folds])
 
 
 def asof_backward(left: DataFrame, right: DataFrame, *, by: list[str], left_at: str, right_at: str, tie: str, take: list[str], strict: bool = False, not_same: str | None = None) -> DataFrame:
@@ -27,19 +79,17 @@ def asof_backward(left: DataFrame, right: DataFrame, *, by: list[str], left_at:
     keys = [F.col(c) for c in by]
     a = left.select(*keys, F.col(left_at).alias("_at"), F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"), F.struct(*own).alias("_row"))
     b = right.select(*keys, F.col(right_at).alias("_at"), F.lit(1 if strict else 0).alias("_side"), F.col(tie).alias("_tie"), value.alias("_value"), *([F.col("_self")] if not_same else []))
-    both = a.unionByName(b, allowMissingColumns=True)
-    upto = W.partitionBy(*by).orderBy("_at", "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
+    both, order = a.unionByName(b, allowMissingColumns=True), ["_at", "_side", "_tie"]
+    here = F.col("_value").isNotNull()
     if not not_same:
-        found = F.last("_value", ignorenulls=True).over(upto)
+        got = scan(both, by=by, order=order, last={"_found": F.col("_value")})
     else:
         # The last but one is right where the last is the row itself: a key is held by one row of ``right`` at most.
-        pair = both.withColumn("_last", F.last(F.when(F.col("_value").isNotNull(), F.struct("_value", "_self")), ignorenulls=True).over(upto))
-        before = F.last(F.when(F.col("_value").isNotNull(), F.col("_prev")), ignorenulls=True).over(upto)
-        earlier = W.partitionBy(*by).orderBy("_at", "_side", "_tie").rowsBetween(W.unboundedPreceding, -1)
-        both = pair.withColumn("_prev", F.last(F.when(F.col("_value").isNotNull(), F.struct("_value", "_self")), ignorenulls=True).over(earlier))
-        found = F.when(F.col("_last._self") == F.col(f"_row.{not_same}"), before["_value"]).otherwise(F.col("_last._value"))
-    got = both.withColumn("_found", found).filter(F.col("_row").isNotNull())
-    return got.select("_row.*", *[F.col(f"_found.r_{c}").alias(f"last_{c}") for c in take])
+        told = scan(both, by=by, order=order, last={"_prev": F.when(here, F.struct("_value", "_self"))}, strict=True)
+        got = scan(told, by=by, order=order, last={"_last": F.when(here, F.struct("_value", "_self", "_prev"))})
+        own_ = F.col("_last._self") == F.col(f"_row.{not_same}")
+        got = got.withColumn("_found", F.when(own_, F.col("_last._prev._value")).otherwise(F.col("_last._value")))
+    return got.filter(F.col("_row").isNotNull()).select("_row.*", *[F.col(f"_found.r_{c}").alias(f"last_{c}") for c in take])
 
 
 def asof_forward(left: DataFrame, right: DataFrame, *, by: list[str], left_at: str, right_at: str, tie: str, take: list[str]) -> DataFrame:
@@ -48,8 +98,7 @@ def asof_forward(left: DataFrame, right: DataFrame, *, by: list[str], left_at: s
     keys = [F.col(c) for c in by]
     a = left.select(*keys, F.col(left_at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"), F.struct(*left.columns).alias("_row"))
     b = right.select(*keys, F.col(right_at).alias("_at"), F.lit(1).alias("_side"), F.col(tie).alias("_tie"), value.alias("_value"))
-    after = W.partitionBy(*by).orderBy("_at", "_side", "_tie").rowsBetween(0, W.unboundedFollowing)
-    got = a.unionByName(b, allowMissingColumns=True).withColumn("_found", F.first("_value", ignorenulls=True).over(after)).filter(F.col("_row").isNotNull())
+    got = scan(a.unionByName(b, allowMissingColumns=True), by=by, order=["_at", "_side", "_tie"], last={"_found": F.col("_value")}, ahead=True).filter(F.col("_row").isNotNull())
     return got.select("_row.*", *[F.col(f"_found.r_{c}").alias(f"first_{c}") for c in take])
 
 
@@ -59,10 +108,8 @@ def range_sum(spans: DataFrame, facts: DataFrame, *, by: list[str], start: str,
     The sum is a difference of running sums looked up at both ends, so no span
     meets its facts one by one.
     """
-    key, order = [F.col(c) for c in by], W.partitionBy(*by, "_at").orderBy(F.lit(1))
-    run = W.partitionBy(*by).orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
-    sums = facts.select(*key, F.col(at).alias("_at"), F.col(value).alias("_v")).withColumns({"_sum": F.sum(F.coalesce("_v", F.lit(0))).over(run), "_n": F.count("_v").over(run)})
-    sums = sums.withColumn("_i", F.row_number().over(order)).filter("_i = 1").select(*by, "_at", "_sum", "_n")
+    each = facts.groupBy(*by, F.col(at).alias("_at")).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("_s"), F.count(value).alias("_c"))
+    sums = scan(each, by=by, order=["_at"], total={"_sum": F.col("_s"), "_n": F.col("_c")}).select(*by, "_at", "_sum", "_n")
     named = spans.withColumn("_row", F.monotonically_increasing_id())
     one = asof_backward(named, sums, by=by, left_at=end, right_at="_at", tie="_n", take=["_sum", "_n"]).withColumnsRenamed({"last__sum": "_s1", "last__n": "_n1"})
     two = asof_backward(one, sums, by=by, left_at=start, right_at="_at", tie="_n", take=["_sum", "_n"])
@@ -93,8 +140,8 @@ def near_in_time(left: DataFrame, right: DataFrame, *, left_at: str, right_at: s
 
 def valid_intervals(rows: DataFrame, *, by: list[str], at: str, tie: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
     """Rows as intervals that end where the next of their key begins; the last one stays open."""
-    order = W.partitionBy(*by).orderBy(at, tie)
-    return rows.withColumns({start: F.col(at), end: F.lead(at).over(order)})
+    following = scan(rows, by=by, order=[at, tie], last={"_next": F.struct(F.col(at).alias("at"))}, strict=True, ahead=True)
+    return following.withColumns({start: F.col(at), end: F.col("_next.at")}).drop("_next")
 
 
 def versions_in_force(sessions: DataFrame, versions: DataFrame, *, session: str, at: str, asset: str, seen: str, version: str, share: list[str]) -> DataFrame:
@@ -112,10 +159,8 @@ def versions_in_force(sessions: DataFrame, versions: DataFrame, *, session: str,
 
 def active_time(rows: DataFrame, *, by: list[str], at: str, tie: str, gap_ms: int = 600_000, out: str = "active_ms") -> DataFrame:
     """Sum of gaps of at most ``gap_ms`` between records in ``tie`` order; a time that goes back does not move the clock."""
-    order = W.partitionBy(*by).orderBy(tie)
-    clock = F.max(at).over(order.rowsBetween(W.unboundedPreceding, -1))
     gap = F.unix_millis(F.col(at)) - F.unix_millis(F.col("_clock"))
-    timed = rows.withColumn("_clock", clock).withColumn("_gap", gap)
+    timed = scan(rows, by=by, order=[tie], most={"_clock": F.col(at)}, strict=True).withColumn("_gap", gap)
     return timed.groupBy(*by).agg(F.coalesce(F.sum(F.when((F.col("_gap") > 0) & (F.col("_gap") <= gap_ms), F.col("_gap"))), F.lit(0)).alias(out))
 
 
@@ -161,22 +206,25 @@ def numbered(rows: DataFrame, *, ranks: list[Column], last: str, out: str, prefi
 
 def previous_change(rows: DataFrame, *, by: list[str], order: list[str], fields: list[str]) -> DataFrame:
     """One row for each field that is filled in a row and in the one before it, and differs."""
-    w = W.partitionBy(*by).orderBy(*order)
-    lagged = rows.select("*", *[F.lag(f).over(w).alias(f"_was_{f}") for f in fields])
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_was_{f}").alias("was"), F.col(f).alias("now")) for f in fields]))
+    lagged = scan(rows, by=by, order=order, last={"_was": F.struct(*fields)}, strict=True)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_was.{f}").alias("was"), F.col(f).alias("now")) for f in fields]))
     changed = lagged.select(*rows.columns, each.alias("_c")).select(*rows.columns, "_c.*")
     return changed.filter((F.coalesce("was", F.lit("")) != "") & (F.coalesce("now", F.lit("")) != "") & (F.col("was") != F.col("now")))
 
 
 def newest(rows: DataFrame, *, by: list[str], at: str, tie: str, n: int, out: str = "is_current") -> DataFrame:
     """Flags the newest ``n`` rows of each key."""
-    return rows.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(F.col(at).desc(), F.col(tie).desc())) <= n)
+    ranked = scan(rows, by=by, order=[at, tie], total={"_rank": F.lit(1)}, ahead=True)
+    return ranked.withColumn(out, F.col("_rank") <= n).drop("_rank")
 
 
 def of_latest(rows: DataFrame, *, by: list[str], at: str, tie: str, field: str) -> DataFrame:
     """Rows whose ``field`` equals that of the newest row of their key."""
-    latest = F.first(field).over(W.partitionBy(*by).orderBy(F.col(at).desc(), F.col(tie).desc()))
-    return rows.withColumn("_latest", latest).filter(F.col(field).eqNullSafe(F.col("_latest"))).drop("_latest")
+    latest = rows.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(F.max_by(F.struct(F.col(field).alias("held")), F.struct(at, tie)).alias("_latest"))
+    same = F.col(field).eqNullSafe(F.col("_latest.held"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return rows.join(latest, same, "left_semi")
 
 
 def first_filled(rows: DataFrame, *, by: list[str], order: list[str], fields: list[str]) -> DataFrame:
@@ -188,8 +236,9 @@ def first_filled(rows: DataFrame, *, by: list[str], order: list[str], fields: li
 
 def even_sample(rows: DataFrame, *, by: list[str], order: list[str], most: int) -> DataFrame:
     """At most ``most`` rows of each key, spread evenly, the first and the last among them."""
-    w = W.partitionBy(*by)
-    numbered = rows.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    ranked = scan(rows, by=by, order=order, total={"_upto": F.lit(1)})
+    numbered = scan(ranked, by=by, order=order, total={"_after": F.lit(1)}, strict=True, ahead=True)
+    numbered = numbered.withColumns({"_i": F.col("_upto") - 1, "_n": F.col("_upto") + F.coalesce("_after", F.lit(0))}).drop("_upto", "_after")
     den = most - 1
     picks = F.transform(F.sequence(F.lit(0), F.lit(den)), lambda k: F.floor((k * (F.col("_n") - 1) + F.lit(den // 2)) / den))
     return numbered.filter((F.col("_n") <= most) | F.array_contains(picks, F.col("_i").cast("bigint"))).drop("_i", "_n")
@@ -210,8 +259,8 @@ def prefer(first: DataFrame, second: DataFrame, *, key: list[str]) -> DataFrame:
 
 def turn_costs(rows: DataFrame, *, by: list[str], order: str, opens: Column, total: str) -> DataFrame:
     """Cost of each turn: running total at its close less that at its open; null if negative or never measured."""
-    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    turns = rows.withColumn("turn", F.sum(F.when(opens, 1).otherwise(0)).over(w)).groupBy(*by, "turn").agg(F.max_by(F.when(F.col(total).isNotNull(), F.col(total)), F.when(F.col(total).isNotNull(), F.col(order))).alias("_close"))
-    before = F.last("_close", ignorenulls=True).over(W.partitionBy(*by).orderBy("turn").rowsBetween(W.unboundedPreceding, -1))
+    counted = scan(rows, by=by, order=[order], total={"turn": F.when(opens, 1).otherwise(0)})
+    turns = counted.groupBy(*by, "turn").agg(F.max_by(F.when(F.col(total).isNotNull(), F.col(total)), F.when(F.col(total).isNotNull(), F.col(order))).alias("_close"))
+    opened = scan(turns, by=by, order=["turn"], last={"_open": F.col("_close")}, strict=True)
     cost = F.col("_close") - F.coalesce(F.col("_open"), F.lit(0))
-    return turns.withColumn("_open", before).filter("turn > 0").select(*by, "turn", F.when(cost >= 0, cost).alias("turn_tokens"))
+    return opened.filter("turn > 0").select(*by, "turn", F.when(cost >= 0, cost).alias("turn_tokens"))

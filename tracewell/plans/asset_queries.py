@@ -113,12 +113,12 @@ def _(a):
 
 
 @on_activity("J12_clusters", """
-, anchors AS (SELECT event_id AS id, ts FROM v_events WHERE event_id % 500 = 0), moves AS (SELECT source || '/' || category AS asset_id, ts FROM v_friction WHERE event_id % 7 = 0),
+, anchors AS (SELECT event_id AS id, ts FROM v_events), moves AS (SELECT DISTINCT source || '/' || category AS asset_id, ts FROM v_friction),
 c AS (SELECT a.id, a.ts, list_sort(list(DISTINCT asset_id)) AS s FROM anchors a JOIN moves m ON abs(epoch_us(a.ts) - epoch_us(m.ts)) <= 5 * 86400000000 GROUP BY a.id, a.ts)
 SELECT min(id) AS anchor_id, array_to_string(s, ',') AS assets FROM c WHERE len(s) >= 2 GROUP BY ts, s""")
 def _(a):
-    anchors = a.events.filter("event_id % 500 = 0").select(F.col("event_id").alias("id"), "ts")
-    moves = a.friction.filter("event_id % 7 = 0").select(F.concat_ws("/", "source", "category").alias("asset_id"), "ts")
+    anchors = a.events.select(F.col("event_id").alias("id"), "ts")
+    moves = a.friction.select(F.concat_ws("/", "source", "category").alias("asset_id"), "ts")
     return A.clusters(anchors, moves).select("anchor_id", F.array_join("assets", ",").alias("assets"))
 
 

@@ -23,14 +23,12 @@ def _(a):
 
 
 @on_activity("J8_versions_in_force", """
-, v AS (SELECT source, path AS asset, ts AS seen, row_number() OVER (PARTITION BY source, path ORDER BY ts, event_id) AS version FROM (SELECT f.*, s.source FROM v_files f JOIN v_sessions s USING (session_id) WHERE action = 'edit' AND event_id % 4 = 0)),
+, v AS (SELECT source, path AS asset, ts AS seen, row_number() OVER (PARTITION BY source, path ORDER BY ts, event_id) AS version FROM (SELECT f.*, s.source FROM v_files f JOIN v_sessions s USING (session_id) WHERE action = 'edit')),
 m AS (SELECT s.session_id, v.asset, max(v.version) AS version FROM v_sessions s JOIN v ON v.source = s.source AND v.seen <= s.started_at GROUP BY ALL)
 SELECT session_id, string_agg(asset || '=' || version, ',' ORDER BY asset) AS bundle FROM m GROUP BY session_id""")
 def _(a):
-    from pyspark.sql import Window as W
-
-    edits = a.files.filter("action = 'edit' and event_id % 4 = 0").join(a.sessions.select("session_id", "source"), "session_id")
-    seen = edits.select("source", F.col("path").alias("asset"), F.col("ts").alias("seen"), F.row_number().over(W.partitionBy("source", "path").orderBy("ts", "event_id")).alias("version"))
+    edits = a.files.filter("action = 'edit'").join(a.sessions.select("session_id", "source"), "session_id")
+    seen = R.scan(edits, by=["source", "path"], order=["ts", "event_id"], total={"version": F.lit(1)}).select("source", F.col("path").alias("asset"), F.col("ts").alias("seen"), "version")
     got = R.versions_in_force(a.sessions, seen, session="session_id", at="started_at", asset="asset", seen="seen", version="version", share=["source"])
     return got.select("session_id", F.array_join(F.transform(F.array_sort(F.map_entries("bundle")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("bundle"))
 
@@ -122,10 +120,8 @@ c AS (SELECT user_id, turn, arg_max(total, event_id) FILTER (total IS NOT NULL)
 o AS (SELECT user_id, turn, close - coalesce(last_value(close IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cost FROM c)
 SELECT user_id, turn::BIGINT AS turn, (CASE WHEN cost >= 0 THEN cost END)::BIGINT AS turn_tokens FROM o WHERE turn > 0""")
 def _(a):
-    from pyspark.sql import Window as W
-
-    total = F.sum(F.round(F.col("value") * 100).cast("long")).over(W.partitionBy("user_id").orderBy("event_id"))
-    rows = a.events.withColumn("total", total).withColumn("total", F.when(F.col("event_type") != "view", F.col("total")))
+    measured = R.scan(a.events, by=["user_id"], order=["event_id"], total={"total": F.round(F.col("value") * 100).cast("long")})
+    rows = measured.withColumn("total", F.when(F.col("event_type") != "view", F.col("total")))
     return R.turn_costs(rows, by=["user_id"], order="event_id", opens=F.col("event_type") == "click", total="total").select("user_id", F.col("turn").cast("long").alias("turn"), "turn_tokens")
 
 

@@ -10,14 +10,16 @@ from tracewell.operators import calls as C
 from tracewell.operators import reports
 from tracewell.operators import sessions as S
 from tracewell.operators import sets
+from tracewell.operators.ordered import SLICE_BITS
 from tracewell.plans.catalog import END, START, on_activity, on_tables
 from tracewell.sources import transcripts as T
 
 
 def records(rows: DataFrame, path: str, order: str, *lines: F.Column) -> DataFrame:
-    """JSON lines of each ``path`` in ``order``, several for a row, placed as lines of a file are."""
-    each = F.posexplode(F.filter(F.array(*lines), lambda x: x.isNotNull())).alias("nth", "value")
-    return rows.select(F.col(path).cast("string").alias("path"), order, each).select("path", F.struct(order, "nth").alias("place"), "value")
+    """JSON lines of each ``path`` in ``order`` (whole numbers), several for a row, placed as lines of a file are: a stretch of the order is a block."""
+    each = F.posexplode(F.filter(F.array(*lines), lambda x: x.isNotNull())).alias("at", "value")
+    placed = rows.select(F.col(path).cast("string").alias("path"), F.shiftright(F.col(order), SLICE_BITS).alias("block"), F.col(order).alias("row"), each)
+    return placed.select("path", "block", F.struct("row", "at").alias("nth"), "value")
 
 
 def as_lines(rows: DataFrame, path: str, order: str, *lines: F.Column) -> DataFrame:

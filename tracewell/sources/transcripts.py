@@ -16,9 +16,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import bounded, is_noise, is_transcript_role, outcome
+from tracewell.operators.ordered import scan
 
 #: Characters kept of a text, a tool payload, a title and a task.
 TEXT, PAYLOAD, TITLE, TASK = 4096, 8192, 160, 240
+#: Length of the slices in which a session's rows are numbered.
+SLICE_MS = 21_600_000
 
 EVENT = {
     "session_id": "string", "source": "string", "source_event_id": "string", "event_type": "string", "role": "string", "text": "string", "truncated": "boolean", "tool_name": "string", "call_id": "string",
@@ -54,19 +57,27 @@ def placed(files: DataFrame) -> DataFrame:
 
 
 def in_order(lines_: DataFrame) -> DataFrame:
-    """path, place and value: within a block, lines come in the order in which a task reads them."""
-    return lines_.select("path", F.struct("block", F.monotonically_increasing_id().alias("nth")).alias("place"), "value")
+    """path, block, nth and value: within a block, lines come in the order in which a task reads them."""
+    return lines_.select("path", "block", F.monotonically_increasing_id().alias("nth"), "value")
 
 
 def numbered_lines(files: DataFrame) -> DataFrame:
-    """(path, place, value) to (path, line_no, raw); blank lines are counted but left out, a bad record ends its file.
+    """(path, block, nth, value) to (path, line_no, raw); blank lines are counted but left out, a bad record ends its file.
 
-    Files are read by lines, so no row holds more than one line, and a large file is read by several tasks.
+    Files are read by lines, so no row holds more than one line, and a large file is
+    read by several tasks. Its lines are numbered in two levels: within a block,
+    which is what one task reads, and from block to block by the counts of those
+    before. Whether a bad record came before goes along in the same way.
     """
-    rows = files.select("path", F.row_number().over(W.partitionBy("path").orderBy("place")).alias("line_no"), F.col("value").alias("raw")).filter(F.trim("raw") != "")
-    bad = F.from_json("raw", "map<string,string>").isNull()
-    first_bad = F.min(F.when(bad, F.col("line_no"))).over(W.partitionBy("path"))
-    return rows.withColumn("_bad", first_bad).filter(F.col("_bad").isNull() | (F.col("line_no") < F.col("_bad"))).drop("_bad")
+    rows = files.withColumn("_bad", (F.trim("value") != "") & F.from_json("value", "map<string,string>").isNull())
+    counted = scan(rows, by=["path"], order=["block", "nth"], total={"line_no": F.lit(1), "_bads": F.col("_bad").cast("int")}, slice_by=F.col("block"))
+    return counted.filter((F.col("_bads") == 0) & (F.trim("value") != "")).select("path", F.col("line_no").cast("int").alias("line_no"), F.col("value").alias("raw"))
+
+
+def of_file(rows: DataFrame, **first: Column) -> DataFrame:
+    """``rows`` (of path and line_no) with the first value of each column in their file that is not null, folded by file and joined back."""
+    filled = {k: F.min_by(F.when(c.isNotNull(), c), F.when(c.isNotNull(), F.col("line_no"))).alias(k) for k, c in first.items()}
+    return rows.join(rows.groupBy("path").agg(*filled.values()), "path")
 
 
 def listing(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
@@ -144,8 +155,7 @@ def nested_messages(lines_: DataFrame) -> tuple[DataFrame, DataFrame]:
     agent = F.nullif(F.regexp_extract("path", r"subagents/agent-([^/]+)\.jsonl$", 1), F.lit(""))
     r = lines_.select("path", "line_no", F.from_json("raw", NESTED).alias("r")).select("path", "line_no", "r.*").withColumn("agent", agent)
     own = F.coalesce(F.concat(F.lit("agent-"), F.col("agent")), F.col("sessionId"))
-    w = W.partitionBy("path")
-    r = r.withColumn("session_id", F.coalesce(own, F.first(own, ignorenulls=True).over(w)))
+    r = of_file(r, _first=own).withColumn("session_id", F.coalesce(own, "_first"))
     sessions = r.groupBy("session_id").agg(
         _first("cwd"), _first("version"), F.max_by("aiTitle", F.when(F.col("aiTitle").isNotNull(), F.col("line_no"))).alias("title"), F.min("timestamp").alias("started_at"), F.max("timestamp").alias("ended_at"),
         F.first("message.model", ignorenulls=True).alias("model"), F.max(F.when(F.col("agent").isNotNull(), F.col("sessionId"))).alias("parent_session_id"),
@@ -171,7 +181,7 @@ def typed_records(lines_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records by type and payload type. A result is a row even when it is empty; an aborted turn is a system message with its reason."""
     r = lines_.select("path", "line_no", F.from_json("raw", TYPED).alias("r")).select("path", "line_no", F.col("r.timestamp").alias("timestamp"), F.col("r.type").alias("type"), F.col("r.payload").alias("p"))
     meta = F.when(F.col("type") == "session_meta", F.col("p.id"))
-    r = r.withColumn("session_id", F.first(meta, ignorenulls=True).over(W.partitionBy("path")))
+    r = of_file(r, session_id=meta)
     named = r.select("session_id", "line_no", "timestamp", "type", F.col("p.cwd").alias("cwd"), F.col("p.cli_version").alias("version"), F.when(F.col("type") == "turn_context", F.col("p.model")).alias("model"), F.col("p.parent_thread_id").alias("parent_session_id"), F.when(F.col("p.type") == "token_count", F.col("p.info.total_token_usage.total_tokens")).alias("total"))
     sessions = named.groupBy("session_id").agg(_first("cwd"), _first("version"), _first("model"), F.first("parent_session_id", ignorenulls=True).alias("parent_session_id"), F.min("timestamp").alias("started_at"), F.max("timestamp").alias("ended_at"), F.max_by("total", F.when(F.col("total").isNotNull(), F.col("line_no"))).alias("running_total"))
     sessions = sessions.withColumn("thread_kind", F.when(F.col("parent_session_id").isNotNull(), "subagent").otherwise("main"))
@@ -202,7 +212,7 @@ def event_log(lines_: DataFrame) -> tuple[DataFrame, DataFrame]:
     r = r.withColumns({"at": F.timestamp_millis(F.coalesce("time", "time0")), "block_no": F.lit(0), "ref": F.when(F.col("seq").isNotNull(), F.concat(F.lit("seq-"), F.col("seq").cast("string"))).otherwise(F.concat(F.lit("line-"), F.col("line_no").cast("string")))})
     head = F.when(F.col("type") == "session", F.col("id"))
     folder = F.element_at(F.split("path", "/"), -2)
-    r = r.withColumn("session_id", F.coalesce(F.first(head, ignorenulls=True).over(W.partitionBy("path")), folder))
+    r = of_file(r, _first=head).withColumn("session_id", F.coalesce("_first", folder))
     js = lambda p: F.get_json_object("data", p)
     on = lambda t, c: F.when(F.col("type") == t, c)
     n = lambda p: on("assistant/message", js(p).try_cast("bigint"))
@@ -242,12 +252,12 @@ def relational(session: DataFrame, message: DataFrame, part: DataFrame) -> tuple
         *[positive(c) for c in ("tokens_input", "tokens_output", "tokens_reasoning", "tokens_cache_read", "tokens_cache_write")], "cost",
         F.col("summary_additions").alias("lines_added"), F.col("summary_deletions").alias("lines_removed"), F.col("summary_files").alias("files_changed"), F.timestamp_millis("time_created").alias("started_at"), F.timestamp_millis("time_updated").alias("ended_at"),
     )
-    order = W.partitionBy("session_id").orderBy("m_at", "m_id", "p_at", "p_id")
     rows = message.select(F.col("id").alias("m_id"), "session_id", F.col("time_created").alias("m_at"), F.get_json_object("data", "$.role").alias("role"), F.get_json_object("data", "$.time.created").try_cast("bigint").alias("m_created")).join(part.select(F.col("id").alias("p_id"), F.col("message_id").alias("m_id"), F.col("time_created").alias("p_at"), F.col("data").alias("p")), "m_id")
     js = lambda p: F.get_json_object("p", p)
     ms = lambda *c: F.timestamp_millis(F.coalesce(*c))
     start = F.coalesce(js("$.time.start").try_cast("bigint"), js("$.state.time.start").try_cast("bigint"), F.col("m_created"), F.col("m_at"))
-    rows = rows.withColumns({"line_no": F.row_number().over(order), "block_no": F.lit(0), "start": start, "status": js("$.state.status")})
+    rows = scan(rows, by=["session_id"], order=["m_at", "m_id", "p_at", "p_id"], total={"line_no": F.lit(1)}, slice_by=F.floor(F.col("m_at") / SLICE_MS))
+    rows = rows.withColumns({"block_no": F.lit(0), "start": start, "status": js("$.state.status")})
     same = {"source_event_id": F.coalesce("p_id", "m_id"), "occurred_at": ms("start")}
     events = _messages(rows.filter(js("$.type") == "text"), "relational", js("$.text"), **same)
     tools = rows.filter(js("$.type") == "tool")
@@ -290,8 +300,9 @@ def headers(lines_: DataFrame) -> DataFrame:
 def valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events of sessions without a bad one, events of the others): a bad event rejects its whole session."""
     bad = F.col("session_id").isNull() | (F.coalesce("source_event_id", F.lit("")) == "") | ~F.coalesce(F.col("event_type").isin(*EVENT_TYPES), F.lit(False))
-    judged = events.withColumn("_bad", F.bool_or(bad).over(W.partitionBy("session_id")))
-    return judged.filter("not _bad").drop("_bad"), judged.filter("_bad").drop("_bad")
+    judged = events.filter(bad).select(F.col("session_id").alias("_of")).distinct()
+    same = F.col("session_id").eqNullSafe(F.col("_of"))
+    return events.join(judged, same, "left_anti"), events.join(judged, same, "left_semi")
 
 
 def assets(files: DataFrame) -> DataFrame:
