@@ -41,7 +41,8 @@ def scan(rows: DataFrame, *, by: list[str], order: list[str], last: dict[str, Co
     A key is cut into slices of its first order column, or of ``slice_by``, which
     must rise with the order. Each slice is folded to one row, the folds run on
     from slice to slice in that table of slices, and what a slice starts from
-    joins its rows as one more row ahead of them.
+    joins its rows as one more row ahead of them. The folds read ``rows`` once more,
+    with the columns that they need.
     """
     folds = [("last", o, c) for o, c in (last or {}).items()] + [("most", o, c) for o, c in (most or {}).items()] + [("total", o, c) for o, c in (total or {}).items()]
     values = {f"_v{i}": c for i, (_, _, c) in enumerate(folds)}
@@ -105,16 +106,19 @@ def asof_forward(left: DataFrame, right: DataFrame, *, by: list[str], left_at: s
 def range_sum(spans: DataFrame, facts: DataFrame, *, by: list[str], start: str, end: str, at: str, value: str, out: str) -> DataFrame:
     """``spans`` with the sum of ``value`` over the facts in (start, end], null where there is none.
 
-    The sum is a difference of running sums looked up at both ends, so no span
-    meets its facts one by one.
+    The sum is a difference of running sums, read where both ends of a span stand
+    among the facts, so no span meets its facts one by one.
     """
-    each = facts.groupBy(*by, F.col(at).alias("_at")).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("_s"), F.count(value).alias("_c"))
-    sums = scan(each, by=by, order=["_at"], total={"_sum": F.col("_s"), "_n": F.col("_c")}).select(*by, "_at", "_sum", "_n")
-    named = spans.withColumn("_row", F.monotonically_increasing_id())
-    one = asof_backward(named, sums, by=by, left_at=end, right_at="_at", tie="_n", take=["_sum", "_n"]).withColumnsRenamed({"last__sum": "_s1", "last__n": "_n1"})
-    two = asof_backward(one, sums, by=by, left_at=start, right_at="_at", tie="_n", take=["_sum", "_n"])
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return two.withColumn(out, F.when(zero("_n1") > zero("last__n"), zero("_s1") - zero("last__sum"))).select(*spans.columns, out)
+    key = [F.col(c) for c in by]
+    named = spans.select(*key, F.struct(*spans.columns).alias("_span"), F.monotonically_increasing_id().alias("_id"))
+    # An end counts the facts at its own time, for (start, end] holds neither more nor fewer.
+    ends = F.explode(F.array(F.struct(F.col(f"_span.{start}").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col(f"_span.{end}").alias("at"), F.lit(1).alias("sign")))).alias("_end")
+    marks = named.select(*by, "_span", "_id", ends).select(*by, "_span", "_id", F.col("_end.at").alias("_at"), F.col("_end.sign").alias("_sign"), F.lit(1).alias("_side"))
+    each = facts.groupBy(*by, F.col(at).alias("_at")).agg(F.sum(value).alias("_s"), F.count(value).alias("_c")).withColumn("_side", F.lit(0))
+    met = scan(marks.unionByName(each, allowMissingColumns=True), by=by, order=["_at", "_side"], total={"_sum": F.col("_s"), "_n": F.col("_c")}).filter("_id is not null")
+    signed = lambda c: F.sum(F.col("_sign") * F.coalesce(c, F.lit(0)))
+    both = met.groupBy("_id").agg(F.first("_span").alias("_span"), signed("_sum").alias("_sum"), signed("_n").alias("_n"))
+    return both.select("_span.*", F.when(F.col("_n") > 0, F.col("_sum")).alias(out))
 
 
 def near_in_time(left: DataFrame, right: DataFrame, *, left_at: str, right_at: str, days: int, by: list[str] = ()) -> DataFrame:
@@ -259,8 +263,10 @@ def prefer(first: DataFrame, second: DataFrame, *, key: list[str]) -> DataFrame:
 
 def turn_costs(rows: DataFrame, *, by: list[str], order: str, opens: Column, total: str) -> DataFrame:
     """Cost of each turn: running total at its close less that at its open; null if negative or never measured."""
-    counted = scan(rows, by=by, order=[order], total={"turn": F.when(opens, 1).otherwise(0)})
-    turns = counted.groupBy(*by, "turn").agg(F.max_by(F.when(F.col(total).isNotNull(), F.col(total)), F.when(F.col(total).isNotNull(), F.col(order))).alias("_close"))
-    opened = scan(turns, by=by, order=["turn"], last={"_open": F.col("_close")}, strict=True)
+    measured = F.col(total).isNotNull()
+    begun = scan(rows, by=by, order=[order], total={"_begun": F.when(opens, 1).otherwise(0)}, last={"_was": F.col(total)}, strict=True)
+    told = begun.withColumn("turn", F.coalesce("_begun", F.lit(0)) + F.when(opens, 1).otherwise(0))
+    close = F.max_by(F.when(measured, F.col(total)), F.when(measured, F.col(order)))
+    turns = told.groupBy(*by, "turn").agg(close.alias("_close"), F.max(F.when(opens, F.col("_was"))).alias("_open"))
     cost = F.col("_close") - F.coalesce(F.col("_open"), F.lit(0))
-    return opened.filter("turn > 0").select(*by, "turn", F.when(cost >= 0, cost).alias("turn_tokens"))
+    return turns.filter("turn > 0").select(*by, "turn", F.when(cost >= 0, cost).alias("turn_tokens"))
