@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -24,10 +25,88 @@ def test_step(before, overlay, flags, state, alert):
     assert (got[0], got[2]) == (state, alert)
 
 
+def plain_replay(rows):
+    """Step by step: asset, time and flags in order."""
+    place, out = {}, []
+    for asset, at, _seq, *flags in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        before, overlay = place.get(asset, (None, False))
+        state, now, alert, resurrection = vital.step(before, overlay, {k: bool(v) for k, v in zip(vital.FLAGS, flags, strict=True)})
+        out.append((asset, at, before, state, now, state != before or now != overlay, alert, resurrection))
+        place[asset] = (state, now)
+    return sorted(out, key=str)
+
+
+ASSESSMENTS = "asset_id string, at timestamp, seq int, " + ", ".join(f"{f} boolean" for f in vital.FLAGS)
+
+
+@pytest.mark.parametrize("bits", [(8, 10), (2, 2)])
+def test_replay_by_composition_equals_step_by_step(spark, monkeypatch, bits):
+    """Small blocks and groups lead through all levels; one asset has most rows, one has no name, some flags are null."""
+    rng = random.Random(6)
+    some = lambda f: None if rng.random() < 0.02 else rng.random() < {"archived": 0.03, "restore": 0.5, "dormant": 0.05, "no_opportunity": 0.05, "unobservable": 0.05}.get(f, 0.15)
+    rows = [("hot" if i % 10 else rng.choice(["a", "b", None]), datetime(2026, 1, 1 + i // 60, i % 24), i, *[some(f) for f in vital.FLAGS]) for i in range(1500)]
+    monkeypatch.setattr(vital, "BLOCK_BITS", bits[0])
+    monkeypatch.setattr(vital, "GROUP_BITS", bits[1])
+    got = vital.replay(spark.createDataFrame(rows, ASSESSMENTS))
+    assert ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in got.schema) == vital.OUT
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    assert sorted(map(tuple, got.collect()), key=str) == plain_replay(rows)
+    assert vital.replay(spark.createDataFrame([], ASSESSMENTS)).count() == 0
+
+
+def test_each_map_is_the_step_at_each_place(spark):
+    """All places against sets of flags: the map of an assessment holds what a step gives."""
+    rng = random.Random(8)
+    flags = [dict.fromkeys(vital.FLAGS, False) | {f: True} for f in vital.FLAGS] + [{f: rng.random() < 0.3 for f in vital.FLAGS} for _ in range(150)] + [NONE]
+    df = spark.createDataFrame([tuple(f[k] for k in vital.FLAGS) for f in flags], ", ".join(f"{k} boolean" for k in vital.FLAGS))
+    for row in df.select("*", vital.move().alias("move")).collect():
+        for place, to in enumerate(row["move"]):
+            state, overlay, _, _ = vital.step(vital.STATES[place // 2], place % 2 == 1, {k: row[k] for k in vital.FLAGS})
+            assert to == 2 * vital.STATES.index(state) + overlay
+
+
+@pytest.mark.parametrize(
+    ("before", "overlay", "flags", "want"),
+    [
+        # (state, overlay, alert, resurrection) after one assessment
+        (None, False, set(), ("dormant", False, False, False)),
+        (None, False, {"participated"}, ("healthy", False, False, False)),
+        ("dormant", False, {"participated", "has_baseline"}, ("healthy", False, True, False)),
+        ("healthy", False, {"degraded", "has_baseline"}, ("degraded", False, True, False)),
+        ("degraded", False, {"silent", "has_baseline"}, ("silent", False, True, False)),
+        ("silent", False, {"request_resurrection"}, ("awaiting_resurrection", False, False, False)),
+        ("awaiting_resurrection", False, {"resurrected"}, ("healthy", False, True, True)),
+        ("awaiting_resurrection", False, {"resurrection_failed"}, ("silent", False, True, True)),
+        ("silent", False, {"broken"}, ("silent", True, True, False)),
+        ("silent", True, {"broken"}, ("silent", True, False, False)),
+        ("silent", True, {"silent"}, ("silent", False, True, False)),
+        ("healthy", False, {"no_opportunity"}, ("no_opportunity", False, False, False)),
+        ("healthy", False, {"unobservable"}, ("unobservable", False, False, False)),
+        ("archived", False, {"participated"}, ("archived", False, False, False)),
+    ],
+)
+def test_edges_one_by_one(spark, before, overlay, flags, want):
+    """Each edge as a step, and at the end of a replay that leads there."""
+    on = lambda f: NONE | dict.fromkeys(f, True)
+    assert vital.step(before, overlay, on(flags)) == want
+    leads = {"dormant": [set()], "healthy": [{"participated"}], "degraded": [{"participated"}, {"degraded"}], "silent": [{"silent"}], "archived": [{"archived"}], "awaiting_resurrection": [{"silent"}, {"request_resurrection"}], None: []}[before]
+    steps = [*leads, *([{"broken"}] if overlay else []), flags]
+    rows = [("a", datetime(2026, 1, 1, i), i, *[f in s for f in vital.FLAGS]) for i, s in enumerate(steps)]
+    last = vital.replay(spark.createDataFrame(rows, ASSESSMENTS)).orderBy("at").collect()[-1]
+    assert (last["from_state"], last["state"], last["overlay"], last["alert"], last["resurrection"]) == (before, *want)
+
+
+@pytest.mark.parametrize(("before", "after", "legal"), [("dormant", "healthy", True), ("healthy", "degraded", True), ("healthy", "silent", True), ("healthy", "bypassed", True), ("silent", "awaiting_resurrection", True), ("awaiting_resurrection", "healthy", True), ("awaiting_resurrection", "silent", True), ("dormant", "archived", True), ("archived", "healthy", False), ("silent", "degraded", False), (None, "silent", True)])
+def test_legal_edges(spark, before, after, legal):
+    row = spark.createDataFrame([(before, after)], "b string, a string")
+    assert row.select(vital.legal(F.col("b"), F.col("a")).alias("ok")).first()["ok"] is legal
+
+
 def test_stream_of_assessments_equals_the_replay(spark, tmp_path):
     flags = ["participated", "silent", "request_resurrection", "resurrected", "broken", "degraded"]
     rows = [(f"a{i % 3}", datetime(2026, 1, 1, 0, i), i, *[f == flags[(i * (i % 3 + 1)) % 6] for f in vital.FLAGS]) for i in range(24)]
-    schema = "asset_id string, at timestamp, seq int, " + ", ".join(f"{f} boolean" for f in vital.FLAGS)
+    schema = ASSESSMENTS
     every = spark.createDataFrame(rows, schema)
     key = lambda r: (r["asset_id"], r["at"])
     want = sorted(vital.replay(every).collect(), key=key)

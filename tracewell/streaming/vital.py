@@ -1,4 +1,12 @@
-"""The state machine of an asset: one step as column expressions, and its replay over ordered assessments."""
+"""The state machine of an asset: one step, its replay over ordered assessments, and the same over a stream.
+
+An assessment maps each of at most 22 places (state and overlay, or none yet) to
+the next. Such maps compose, and composition is associative: the replay folds
+blocks of assessments to one map each, and groups of blocks to one again, walks
+the few maps at the top from the first place on, and then each group and each
+block from the place it is entered at. So an asset with most of all assessments
+is the work of many tasks, in built-in functions alone.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.ordered import scan
+
 #: The states that a state may change to, and those that alert when they begin.
 LEGAL = {
     "dormant": ("healthy", "archived", "broken", "no_opportunity", "unobservable"),
@@ -23,6 +33,10 @@ LEGAL = {
 }
 ALERTS = ("silent", "broken", "bypassed", "degraded", "healthy")
 FLAGS = ("archived", "restore", "request_resurrection", "resurrected", "resurrection_failed", "broken", "bypassed", "silent", "dormant", "no_opportunity", "unobservable", "degraded", "participated", "has_baseline")
+#: Assessments of a block and blocks of a group, as powers of two.
+BLOCK_BITS, GROUP_BITS = 8, 10
+#: States by number; a place is twice that and one more under the overlay.
+STATES = (None, *LEGAL)
 OUT = "asset_id string, at timestamp, from_state string, state string, overlay boolean, transition boolean, alert boolean, resurrection boolean"
 
 
@@ -77,9 +91,84 @@ def _replay(rows: pd.DataFrame, before: str | None, overlay: bool) -> tuple[pd.D
     return pd.DataFrame(out, columns=names), before, overlay
 
 
+def _place(state: str | None, overlay: bool) -> Column:
+    return F.lit(2 * STATES.index(state) + overlay)
+
+
+def _next(before: str | None, overlay: bool) -> Column:
+    """The place after an assessment at a given one, from its flags: the rules of ``step`` as columns."""
+    f, to = F.col, _place
+    if before == "archived":
+        return F.when(f("archived") | ~f("restore"), to("archived", False)).otherwise(to("dormant", False))
+    out = F.when(f("archived"), to("archived", False))
+    if before in ("silent", "broken", "bypassed") or overlay:
+        out = out.when(f("request_resurrection"), to("awaiting_resurrection", False))
+    if before == "awaiting_resurrection":
+        return out.when(f("resurrected"), to("healthy", False)).when(f("resurrection_failed"), to("silent", False)).otherwise(to(before, False))
+    out = out.when(f("broken"), to(before or "broken", True))
+    for state in ("bypassed", "silent", "dormant", "no_opportunity", "unobservable"):
+        out = out.when(f(state), to(state, False))
+    if before is None:
+        return out.when(f("participated"), to("healthy", False)).otherwise(to("dormant", False))
+    out = out.when(f("degraded"), to("degraded", False))
+    if before == "dormant":
+        out = out.when(~f("participated") & ~f("has_baseline"), to("dormant", False))
+    return out.otherwise(to("healthy", False))
+
+
+def move() -> Column:
+    """The map of an assessment: the next place at each."""
+    return F.array(*[_next(state, overlay) for state in STATES for overlay in (False, True)])
+
+
+def composed(items: Column) -> Column:
+    """One map from those of ``items`` in their order."""
+    start = F.array(*map(F.lit, range(2 * len(STATES))))
+    return F.aggregate(items, start, lambda so_far, x: F.transform(so_far, lambda at: F.get(x["move"], at)))
+
+
+def walked(items: Column, place: Column) -> Column:
+    """The place at which each of ``items`` is entered, the first at ``place``."""
+    start = F.struct(place.cast("int").alias("at"), F.array().cast("array<int>").alias("met"))
+    return F.aggregate(items, start, lambda so_far, x: F.struct(F.get(x["move"], so_far["at"]).alias("at"), F.concat(so_far["met"], F.array(so_far["at"])).alias("met")), lambda x: x["met"])
+
+
+def _entered(items: str, place: Column, *fields: str) -> Column:
+    """``items`` with the place at which each is entered."""
+    return F.explode(F.transform(F.arrays_zip(F.col(items).alias("x"), walked(F.col(items), place).alias("place")), lambda z: F.struct(*[z["x"][f].alias(f) for f in fields], z["place"].alias("place"))))
+
+
+def _meet(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Rows of one asset and number."""
+    named = right.withColumnsRenamed({"asset_id": "_of", on: "_at"})
+    return left.join(named, F.col("asset_id").eqNullSafe(F.col("_of")) & (F.col(on) == F.col("_at"))).drop("_of", "_at")
+
+
 def replay(assessments: DataFrame) -> DataFrame:
-    """Every step of every asset. assessments: asset_id, at, seq and the flags; an asset's assessments are few."""
-    return assessments.select("asset_id", "at", "seq", *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in FLAGS]).groupBy("asset_id").applyInPandas(lambda pdf: _replay(pdf, None, False)[0], OUT)
+    """Every step of every asset. assessments: asset_id, at, seq and the flags, null counting as false; steps of one time go by seq."""
+    rows = assessments.select("asset_id", "at", "seq", *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in FLAGS])
+    numbered = scan(rows, by=["asset_id"], order=["at", "seq"], total={"n": F.lit(1).cast("long")})
+    kept = ("archived", "request_resurrection", "resurrected", "resurrection_failed")
+    item = F.struct("n", "at", *kept, move().alias("move"))
+    block = F.shiftright(F.col("n") - 1, BLOCK_BITS).alias("block")
+    blocks = numbered.groupBy("asset_id", block).agg(F.array_sort(F.collect_list(item)).alias("steps"))  # 2 ** BLOCK_BITS at most
+    group = F.shiftright(F.col("block"), GROUP_BITS).alias("group")
+    groups = blocks.select("asset_id", group, F.struct("block", composed(F.col("steps")).alias("move")).alias("b")).groupBy("asset_id", "group").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
+    tops = groups.select("asset_id", F.struct("group", composed(F.col("blocks")).alias("move")).alias("g")).groupBy("asset_id").agg(F.array_sort(F.collect_list("g")).alias("groups"))
+    entered = tops.select("asset_id", _entered("groups", F.lit(0), "group").alias("e")).select("asset_id", "e.group", "e.place")
+    entered = _meet(groups, entered, "group").select("asset_id", _entered("blocks", F.col("place"), "block").alias("e")).select("asset_id", "e.block", "e.place")
+    steps = _meet(blocks, entered, "block").select("asset_id", _entered("steps", F.col("place"), "at", "move", *kept).alias("e")).select("asset_id", "e.*")
+    name = lambda c: F.get(F.array(*map(F.lit, STATES)), F.shiftright(c, 1))
+    after = F.get("move", F.col("place"))
+    told = steps.select("asset_id", "at", *kept, name(F.col("place")).alias("from_state"), (F.col("place") % 2 == 1).alias("was"), name(after).alias("state"), (after % 2 == 1).alias("overlay"))
+    before, state, overlay = F.col("from_state"), F.col("state"), F.col("overlay")
+    at = lambda *states: F.coalesce(before.isin(*states), F.lit(False))
+    asked = F.col("request_resurrection") & (at("silent", "broken", "bypassed") | F.col("was"))
+    resurrection = ~F.col("archived") & at("awaiting_resurrection") & ~asked & (F.col("resurrected") | F.col("resurrection_failed"))
+    lifted = at("archived", "awaiting_resurrection") | asked
+    changed = ~state.eqNullSafe(before)
+    alert = (changed | (overlay != (F.col("was") & ~lifted))) & (state != "archived") & (resurrection | overlay | state.isin(*ALERTS)) & ~(before.isNull() & (state == "healthy") & ~overlay)
+    return told.select("asset_id", "at", "from_state", "state", "overlay", (changed | (overlay != F.col("was"))).alias("transition"), alert.alias("alert"), resurrection.alias("resurrection"))
 
 
 def stream(assessments: DataFrame) -> DataFrame:
