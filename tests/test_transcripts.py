@@ -1,5 +1,9 @@
 import json
+import subprocess
+import sys
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators.ordered import turn_costs
@@ -130,3 +134,57 @@ def test_streamed_ingest_equals_one_batch_and_may_be_replayed(spark, tmp_path):
     assert sorted(map(tuple, whole.drop("line_no").collect()), key=str) == first
     assert upsert_events(whole, whole).count() == 8
     assert {r["session_id"]: r["ended_at"].second for r in load("sessions").collect()} == {"s1": 10, "s2": 10}
+
+
+KILLED = """
+import os, sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from tracewell.streaming import jobs
+folder = sys.argv[2]
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.local.dir", folder).config("spark.sql.session.timeZone", "UTC").getOrCreate()
+store = jobs.Store(spark, f"file://{folder}/tables", parts=4)
+if sys.argv[3] == "before":
+    store._swap = lambda listed: os._exit(9)  # the driver is lost between write and swap
+else:
+    store._clear = lambda: os._exit(9)  # and between swap and commit of the batch
+jobs.ingest(spark, "nested", f"{folder}/in", store=store, checkpoint=f"{folder}/c").awaitTermination(120)
+"""
+
+
+@pytest.mark.parametrize("when", ["before", "after"])
+def test_a_driver_lost_in_a_batch_loses_no_rows(spark, tmp_path, when):
+    store = jobs.Store(spark, f"file://{tmp_path}/tables", parts=4)
+    run = lambda: jobs.ingest(spark, "nested", f"{tmp_path}/in", store=store, checkpoint=f"{tmp_path}/c").awaitTermination(120)
+    told = lambda: sorted(map(tuple, store.load("events").drop("line_no").collect()), key=str)
+    write(tmp_path / "in/s1.jsonl", nested("s1", 1))
+    write(tmp_path / "in/s3.jsonl", nested("s3", 1))
+    run()
+    first = told()
+    write(tmp_path / "in/s1b.jsonl", nested("s1", 7))
+    write(tmp_path / "in/s2.jsonl", nested("s2", 2))
+    script = tmp_path / "killed.py"
+    script.write_text(KILLED)
+    root = str(Path(__file__).resolve().parents[1])
+    assert subprocess.run([sys.executable, str(script), root, str(tmp_path), when], timeout=300, capture_output=True).returncode == 9
+    both = T.parse("nested", T.lines(spark, [f"{tmp_path}/in/{n}.jsonl" for n in ("s1b", "s2", "s3")]))[1]
+    want = sorted(map(tuple, both.drop("line_no").collect()), key=str)
+    assert told() == (first if when == "before" else want)
+    run()
+    assert told() == want
+    # What no list names has been cleared, and the folders in force hold all rows.
+    held = {f for n in store._numbers() for each in store._listed(n).values() for f in each.values()}
+    there = {str(p.relative_to(tmp_path / "tables")) for p in (tmp_path / "tables").glob("*/*/_part=*")}
+    assert there == held and len(store._numbers()) <= jobs.KEPT
+
+
+def test_two_writers_of_one_list(spark, tmp_path):
+    store = jobs.Store(spark, f"file://{tmp_path}/tables", parts=2)
+    rows = spark.createDataFrame([("a", 1)], "session_id string, n int")
+    store.save({"events": rows})
+    numbers, store._numbers = store._numbers(), lambda: []
+    assert numbers == [1]
+    with pytest.raises(Exception, match="another writer|exists"):
+        store._swap({})
+    del store._numbers
+    assert store.load("events").collect() == rows.select("session_id", "n").collect() and store.load("other") is None

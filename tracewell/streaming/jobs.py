@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import json
 import tempfile
 import uuid
 
@@ -12,13 +14,21 @@ from pyspark.sql import functions as F
 from tracewell.operators.sets import upsert_events, upsert_sessions
 from tracewell.sources.transcripts import in_order, numbered_lines, parse, placed, valid
 
-
 #: Parts into which stored tables are cut by session.
 PARTS = 256
+#: Lists of parts that stay readable beside the one in force.
+KEPT = 2
 
 
 class Store:
-    """Canonical tables as Parquet below ``root``, cut into parts by session, so that a batch rewrites only the parts it touches."""
+    """Canonical tables as Parquet below ``root``, cut into parts by session, so that a batch rewrites only the parts it touches.
+
+    A batch writes the touched parts of all its tables to new folders and then one
+    small list of the folders in force, which appears under its number in one
+    step. A driver that is lost before that leaves everything as it was, one lost
+    after it has the batch done; the next batch clears what no list names.
+    One writer at a time: a second one that takes the same number fails.
+    """
 
     def __init__(self, spark: SparkSession, root: str, parts: int = PARTS):
         self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
@@ -26,28 +36,95 @@ class Store:
     def part(self) -> Column:
         return F.pmod(F.xxhash64("session_id"), F.lit(self.parts)).cast("int")
 
-    def load(self, name: str, parts: list[int] | None = None) -> DataFrame | None:
-        """The table, or those of its parts; None where nothing has been saved."""
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-            return None
-        rows = self.spark.read.parquet(f"{self.root}/{name}")
-        return (rows if parts is None else rows.filter(F.col("_part").isin(parts))).drop("_part")
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _files(self):
+        return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        files, path = self._files(), self._path(folder)
+        return [x.getPath().getName() for x in files.listStatus(path)] if files.exists(path) else []
 
-    def save(self, name: str, rows: DataFrame) -> None:
-        """Replaces the parts that ``rows`` has rows in."""
-        dealt = rows.withColumn("_part", self.part()).repartition("_part")
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(f"{self.root}/{name}")
+    def _numbers(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self._names("in-force") if n.endswith(".json"))
+
+    def _listed(self, number: int) -> dict[str, dict[str, str]]:
+        stream = self._files().open(self._path(f"in-force/{number:012d}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def in_force(self) -> dict[str, dict[str, str]]:
+        """table -> part -> folder; at most as many entries as there are parts."""
+        numbers = self._numbers()
+        return self._listed(numbers[-1]) if numbers else {}
+
+    def load(self, name: str, parts: list[int] | None = None) -> DataFrame | None:
+        """The table, or those of its parts; None where nothing of it has been saved."""
+        held = self.in_force().get(name, {})
+        folders = [f for k, f in sorted(held.items()) if parts is None or int(k) in parts]
+        if not folders and held:
+            return self.spark.read.parquet(f"{self.root}/{next(iter(held.values()))}").limit(0)
+        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.root}/{f}" for f in folders]) if folders else None
+
+    def staged(self, rows: DataFrame) -> DataFrame:
+        """``rows`` written once below ``root`` and read again, until the next save."""
+        path = f"{self.root}/staging/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def save(self, tables: dict[str, DataFrame]) -> None:
+        """Replaces the parts that each of ``tables`` has rows in, those of all tables at once."""
+        before, written = self.in_force(), {}
+        for name, rows in tables.items():
+            folder = f"{name}/{uuid.uuid4().hex}"
+            rows.withColumn("_part", self.part()).repartition("_part").write.partitionBy("_part").parquet(f"{self.root}/{folder}")
+            new = {n.removeprefix("_part="): f"{folder}/{n}" for n in self._names(folder) if n.startswith("_part=")}
+            written[name] = before.get(name, {}) | new
+        self._swap(before | written)
+        self._clear()
+
+    def _swap(self, listed: dict[str, dict[str, str]]) -> None:
+        number = (self._numbers() or [0])[-1] + 1
+        draft = self._path(f"in-force/draft-{uuid.uuid4().hex}")
+        out = self._files().create(draft, False)
+        out.write(json.dumps(listed).encode())
+        out.close()
+        if not self._files().rename(draft, self._path(f"in-force/{number:012d}.json")):
+            raise RuntimeError(f"list {number} of {self.root} is there already: another writer is at work")
+
+    def _clear(self) -> None:
+        """Removes what was staged, older lists, and folders that none of the kept ones names."""
+        self._files().delete(self._path("staging"), True)
+        numbers = self._numbers()
+        for n in numbers[:-KEPT]:
+            self._files().delete(self._path(f"in-force/{n:012d}.json"), False)
+        named = {f for n in numbers[-KEPT:] for held in self._listed(n).values() for f in held.values()}
+        for table in {f.split("/")[0] for f in named}:
+            for folder in self._names(table):
+                for part in self._names(f"{table}/{folder}"):
+                    if part.startswith("_part=") and f"{table}/{folder}/{part}" not in named:
+                        self._files().delete(self._path(f"{table}/{folder}/{part}"), True)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors see: below ``spark.checkpoint.dir``, or one of its own in a local session without it."""
+    """A new folder that the driver and all executors see: below ``spark.checkpoint.dir``, or one of its own in a local session without it. It goes when the driver ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = f"file://{tempfile.mkdtemp(prefix='spark-tracewell-')}"
-    return f"{shared.rstrip('/')}/tracewell-core/{name}-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/tracewell-core/{name}-{uuid.uuid4().hex}"
+
+    def leave() -> None:
+        if spark.sparkContext._jsc is not None:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    atexit.register(leave)
+    return path
 
 
 def ingest(spark: SparkSession, source: str, root: str, *, store: Store, checkpoint: str, pattern: str = "*.jsonl"):
@@ -59,18 +136,21 @@ def ingest(spark: SparkSession, source: str, root: str, *, store: Store, checkpo
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        sessions, events = parse(source, numbered_lines(in_order(batch)))
-        good, _bad = valid(events)
+        # Each step is written once: lines are not numbered, nor records parsed, again by all that reads them.
+        sessions, events = parse(source, store.staged(numbered_lines(in_order(batch))))
+        good, _bad = valid(store.staged(events))
+        good, sessions = store.staged(good), store.staged(sessions)
         both = sessions.select("session_id").unionByName(good.select("session_id"))
         parts = [r[0] for r in both.select(store.part()).distinct().collect()]  # at most as many as the store has
         if not parts:
             return
         stored, known = store.load("events", parts), store.load("sessions", parts)
-        store.save("events", good if stored is None else upsert_events(stored, good))
+        events = good if stored is None else upsert_events(stored, good)
         first = ["cwd", "version", "model", "parent_session_id", "thread_kind"]
         rows = sessions.select("session_id", "started_at", "ended_at", *[c for c in ("title", *first) if c in sessions.columns])
         own = [c for c in first if c in rows.columns]
-        store.save("sessions", rows if known is None else upsert_sessions(known, rows, newer_wins=[c for c in ("title",) if c in rows.columns], first_wins=own))
+        sessions = rows if known is None else upsert_sessions(known, rows, newer_wins=[c for c in ("title",) if c in rows.columns], first_wins=own)
+        store.save({"events": events, "sessions": sessions})
 
     files = spark.readStream.format("text").option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     return placed(files).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
