@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.operators.sets import upsert_events, upsert_sessions
+from tracewell.sources.datasource import register
 from tracewell.sources.transcripts import in_order, numbered_lines, parse, placed, valid
 
 #: Parts into which stored tables are cut by session.
@@ -127,17 +128,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def ingest(spark: SparkSession, source: str, root: str, *, store: Store, checkpoint: str, pattern: str = "*.jsonl"):
+def ingest(spark: SparkSession, source: str, root: str, *, store: Store, checkpoint: str, pattern: str = "*.jsonl", follow: bool = False):
     """Reads new transcripts below ``root`` and merges them into the canonical tables of ``store``.
 
     Rows read again take the place of stored ones, spans only widen, and nothing
     is dropped for being late, so a batch may be replayed. A batch reads and
-    writes only the parts of its own sessions.
+    writes only the parts of its own sessions. With ``follow``, files that have
+    grown are read again, by the source of ``sources.datasource``.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
         # Each step is written once: lines are not numbered, nor records parsed, again by all that reads them.
-        sessions, events = parse(source, store.staged(numbered_lines(in_order(batch))))
+        sessions, events = parse(source, store.staged(numbered_lines(batch if follow else in_order(batch))))
         good, _bad = valid(store.staged(events))
         good, sessions = store.staged(good), store.staged(sessions)
         both = sessions.select("session_id").unionByName(good.select("session_id"))
@@ -152,6 +154,10 @@ def ingest(spark: SparkSession, source: str, root: str, *, store: Store, checkpo
         sessions = rows if known is None else upsert_sessions(known, rows, newer_wins=[c for c in ("title",) if c in rows.columns], first_wins=own)
         store.save({"events": events, "sessions": sessions})
 
+    if follow:
+        register(spark)
+        grown = spark.readStream.format("transcripts").options(path=root, suffix=pattern.lstrip("*")).load()
+        return grown.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     files = spark.readStream.format("text").option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     return placed(files).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
