@@ -42,16 +42,13 @@ def collapsed(rows: DataFrame, *, expected: str = "expected_exit") -> tuple[Data
 
 def summary(rows: DataFrame, *, recurring: int = 2) -> DataFrame:
     """One row: totals, distinct sessions and projects, rows without a tool, and signatures seen in ``recurring`` sessions or more."""
-    per = rows.groupBy("signature", "session_id").agg(F.count(F.lit(1)).alias("n"))
-    many = per.groupBy("signature").agg(F.count(F.lit(1)).alias("s")).filter(F.col("s") >= recurring).agg(F.count(F.lit(1)).alias("recurring"))
-    total = rows.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("kind") == "tool_error").alias("tool_errors"), F.count_if(F.col("kind") == "user_interrupt").alias("interrupts"),
-        F.count_if(F.col("tool").isNull()).alias("tool_unrecorded"),
+    # One fold of the rows: distinct counts are taken on what it leaves.
+    per = rows.groupBy("signature", "session_id", bucketed(F.col("project_key")).alias("_p")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "tool_error").alias("e"), F.count_if(F.col("kind") == "user_interrupt").alias("i"), F.count_if(F.col("tool").isNull()).alias("u"),
     )
-    # Distinct counts each on their own rows: two in one aggregate would double the rows that are shuffled.
-    sessions = rows.select("session_id").distinct().agg(F.count(F.lit(1)).alias("sessions"))
-    projects = rows.select(bucketed(F.col("project_key")).alias("p")).distinct().agg(F.count(F.lit(1)).alias("projects"))
-    return total.crossJoin(sessions).crossJoin(projects).crossJoin(many)
+    many = per.groupBy("signature").agg(F.countDistinct("session_id").alias("s")).agg(F.count_if(F.col("s") >= recurring).alias("recurring"))
+    total = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("n", "total"), ("e", "tool_errors"), ("i", "interrupts"), ("u", "tool_unrecorded"))], F.countDistinct("session_id").alias("sessions"), F.countDistinct("_p").alias("projects"))
+    return total.crossJoin(many)
 
 
 def by_dimension(rows: DataFrame, dim: Column, *, name: str, most: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import ordered as R
 from tracewell.operators import sessions as S
-from tracewell.plans.catalog import on_activity, on_tables
+from tracewell.plans.catalog import END, on_activity, on_tables
 
 
 @on_tables("J2_call_result_pairs", """
@@ -135,6 +135,20 @@ def _(a):
     return jobs.loops(rows, least=2).withColumn("window_start", F.unix_millis("window_start"))
 
 
+@on_activity("T4_live_view", """
+, r AS (SELECT e.session_id, e.parent_session_id, e.ts, f.signature FROM v_events e LEFT JOIN v_friction f ON e.event_id = f.event_id),
+l AS (SELECT session_id, max(parent_session_id) AS parent_session_id, epoch_us(max(ts) FILTER (signature IS NOT NULL)) // 1000 AS friction_last_at FROM r GROUP BY session_id HAVING max(ts) > TIMESTAMP '2024-01-31' - INTERVAL 24 HOUR),
+b AS (SELECT session_id, signature, count(*) AS n FROM r WHERE signature IS NOT NULL AND ts > TIMESTAMP '2024-01-31' - INTERVAL 72 HOUR GROUP BY ALL HAVING count(*) >= 2)
+SELECT l.session_id, l.parent_session_id, (SELECT count(*) FROM l c WHERE c.parent_session_id = l.session_id)::INT AS live_children, l.friction_last_at,
+    (SELECT signature FROM b WHERE b.session_id = l.session_id ORDER BY n DESC, signature LIMIT 1) AS loop_signature, (SELECT n FROM b WHERE b.session_id = l.session_id ORDER BY n DESC, signature LIMIT 1)::INT AS loop_count
+FROM l""")
+def _(a):
+    from tracewell.streaming import live
+
+    rows = a.events.select("session_id", "parent_session_id", "ts", "event_id").join(a.friction.select("event_id", "signature"), "event_id", "left")
+    return live.now_view(rows, END, live_ms=24 * 3_600_000, loop_ms=72 * 3_600_000, least=2).withColumn("friction_last_at", F.unix_millis("friction_last_at"))
+
+
 @on_activity("T5_idle_gap_sessions", """
 , l AS (SELECT user_id, ts, ts > lag(ts) OVER w + INTERVAL 6 HOUR AS new FROM v_events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT user_id, ts, sum(coalesce(new, true)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM l)

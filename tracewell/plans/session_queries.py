@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators import sessions as S
-from tracewell.operators import sets, stats
+from tracewell.operators import cells, sets, stats
 from tracewell.plans.catalog import END, NOW, START, on_activity
 from tracewell.sources.activity import Activity
 
@@ -26,6 +26,15 @@ def usage(a: Activity) -> DataFrame:
     return replies.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"), F.sum("total_tokens").alias("total_tokens"), F.sum(F.when(F.col("k") % 2 == 0, F.col("total_tokens"))).alias("input_tokens"), F.sum(F.when(F.col("k") % 3 == 0, F.col("total_tokens"))).alias("output_tokens"), F.sum(F.when(F.col("k") % 5 == 0, F.col("total_tokens"))).alias("cache_write_tokens"))
 
 
+def session_cells(a: Activity, **counts: F.Column) -> DataFrame:
+    """Sessions with counts of their events, in one pass."""
+    return cells.cells(a.events, by=["session_id", "source", "project_key", "thread_kind", "model"], at="ts", counts=counts, daily=False)
+
+
+def is_error() -> F.Column:
+    return F.col("event_type") == "error"
+
+
 USAGE_SQL = """
 , usage AS (
     SELECT session_id, count(*) AS turns, sum(total_tokens)::BIGINT AS total_tokens, sum(CASE WHEN k % 2 = 0 THEN total_tokens END)::BIGINT AS input_tokens,
@@ -187,7 +196,9 @@ SELECT count(*) AS sessions, count(*) FILTER (thread_kind = 'main') AS main_sess
     (SELECT string_agg(source || '=' || n, ',' ORDER BY source) FROM (SELECT source, count(*) AS n FROM v_sessions GROUP BY 1)) AS by_source
 FROM v_sessions""")
 def _(a):
-    return stats.overview_totals(a.sessions, a.events, a.friction).withColumn("by_source", entries("by_source"))
+    kind = F.col("k") % 20 == 0
+    rows = session_cells(a, tool_errors=is_error() & ~kind, interrupts=is_error() & kind)
+    return cells.overview(rows, extra=("tool_errors", "interrupts")).withColumn("by_source", entries("by_source"))
 
 
 @on_activity("A15_daily", "SELECT day::VARCHAR AS day, sum(s)::BIGINT AS sessions, sum(e)::BIGINT AS events, sum(f)::BIGINT AS friction FROM (SELECT started_at::DATE AS day, 1 AS s, 0 AS e, 0 AS f FROM v_sessions UNION ALL SELECT ts::DATE, 0, 1, 0 FROM v_events UNION ALL SELECT ts::DATE, 0, 0, 1 FROM v_friction) GROUP BY 1")
@@ -212,7 +223,11 @@ SELECT 'source' AS facet, source AS key, count(*) AS count FROM v_sessions WHERE
 UNION ALL SELECT 'project', coalesce(project_key, '__unrecorded__'), count(*) FROM v_sessions WHERE {SOURCE} AND {REST} GROUP BY ALL
 UNION ALL SELECT 'model', model, count(*) FROM v_sessions WHERE {WHERE} AND {SOURCE} AND {REST} GROUP BY ALL""")
 def _(a):
-    return S.facets(a.sessions, filters(a), {"source": (F.col("source"), "source"), "project": (S.bucketed(F.col("project_key")), "project"), "model": (F.col("model"), "model")})
+    k, edits = F.col("k"), (F.col("event_type") == "purchase")
+    rows = session_cells(a, ran=edits & (k % 7).isin(1, 2), touched=((F.col("event_type") == "view") | (edits & (k % 4 == 0))) & (k % 5 == 1))
+    project = S.bucketed(F.col("project_key"))
+    rest = rows.filter((F.col("first_at") >= F.lit(START)) & (F.col("ran") > 0) & (F.col("touched") > 0))
+    return cells.facets(rest, {"source": (F.col("source"), F.col("source").isin("h1", "h2")), "project": (project, project.isin("p1", "p2", "p5", S.UNRECORDED)), "model": (F.col("model"), F.lit(True))})
 
 
 @on_activity("A27_projects", """
@@ -221,7 +236,7 @@ SELECT b.project, sum(n)::BIGINT AS sessions, (epoch_us(min(f)) // 1000) AS firs
     (SELECT count(*) FROM v_friction x WHERE coalesce(x.project_key, '__unrecorded__') = b.project) AS friction
 FROM b GROUP BY b.project""")
 def _(a):
-    return S.projects(a.sessions, a.friction).select("project", "sessions", ms("first_started"), ms("last_started"), entries("by_source"), "friction")
+    return cells.projects(session_cells(a, friction=is_error()), friction="friction").select("project", "sessions", ms("first_started"), ms("last_started"), entries("by_source"), "friction")
 
 
 @on_activity("A28_project_page", "SELECT source, count(*) AS sessions, count(DISTINCT model) AS models, sum(n_events)::BIGINT AS events FROM v_sessions WHERE project_key = 'p3' GROUP BY source")
@@ -239,7 +254,9 @@ SELECT kpi, max(v) FILTER (part = 'now') AS value, max(v) FILTER (part = 'before
     CASE sign(max(v) FILTER (part = 'now') - max(v) FILTER (part = 'before')) WHEN 1 THEN 'up' WHEN -1 THEN 'down' WHEN 0 THEN 'same' END AS direction
 FROM k WHERE part IS NOT NULL GROUP BY kpi""")
 def _(a):
-    return stats.window_kpis(a.sessions, a.friction, start=START.replace(day=23), end=END)
+    start = START.replace(day=23)
+    rubs = {part: is_error() & cells.within("ts", window) for part, window in cells.windows(start, END).items()}
+    return cells.kpis(session_cells(a, **rubs), start=start, end=END, friction={part: part for part in rubs})
 
 
 @on_activity("A31_subagents", "SELECT s.model AS role, count(*) AS sessions, count(DISTINCT s.parent_session_id) AS parents, coalesce(sum(f.n), 0)::BIGINT AS friction FROM v_sessions s LEFT JOIN (SELECT session_id, count(*) AS n FROM v_friction GROUP BY 1) f USING (session_id) WHERE s.thread_kind = 'subagent' GROUP BY s.model")

@@ -163,6 +163,18 @@ def _(read):
     return store.load("events").select("session_id", "source_event_id", "role", "text")
 
 
+@on_tables("X1_transcript_format", MESSAGES_SQL)
+def _(read):
+    """Conversations written as transcript files, and read by the data source of that format."""
+    from tracewell.sources import datasource
+    from tracewell.streaming import jobs
+
+    lines = nested_records(read)
+    root = jobs.shared_path(lines.sparkSession, "format")
+    lines.select("value").write.text(f"{root}/in")
+    return datasource.parsed(lines.sparkSession, "nested", f"{root}/in", suffix=".txt")[1].select("session_id", "source_event_id", "role", "text")
+
+
 #: One assessment after the other, as a recursion over each asset's numbered assessments.
 STATES_SQL = """
 , a AS (SELECT 'a' || user_id AS asset_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i,

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewell.operators.cells import of_canonical
 from tracewell.operators.sets import upsert_events, upsert_sessions
 from tracewell.sources.datasource import register
 from tracewell.sources.transcripts import in_order, numbered_lines, parse, placed, valid
@@ -134,7 +135,8 @@ def ingest(spark: SparkSession, source: str, root: str, *, store: Store, checkpo
     Rows read again take the place of stored ones, spans only widen, and nothing
     is dropped for being late, so a batch may be replayed. A batch reads and
     writes only the parts of its own sessions. With ``follow``, files that have
-    grown are read again, by the source of ``sources.datasource``.
+    grown are read again, by the source of ``sources.datasource``. The tables are
+    events, sessions and cells (``operators.cells``).
     """
 
     def merge(batch: DataFrame, _: int) -> None:
@@ -152,7 +154,9 @@ def ingest(spark: SparkSession, source: str, root: str, *, store: Store, checkpo
         rows = sessions.select("session_id", "started_at", "ended_at", *[c for c in ("title", *first) if c in sessions.columns])
         own = [c for c in first if c in rows.columns]
         sessions = rows if known is None else upsert_sessions(known, rows, newer_wins=[c for c in ("title",) if c in rows.columns], first_wins=own)
-        store.save({"events": events, "sessions": sessions})
+        # The parts are whole, so their cells are those of all their events: a batch replaces what it touches.
+        events = store.staged(events)
+        store.save({"events": events, "sessions": sessions, "cells": of_canonical(events)})
 
     if follow:
         register(spark)

@@ -29,14 +29,14 @@ OUT = "session_id string, parent_session_id string, live boolean, live_children
 _LONG_AGO = -(1 << 62)
 
 
-def now_view(rows: DataFrame, now: datetime) -> DataFrame:
+def now_view(rows: DataFrame, now: datetime, *, live_ms: int = LIVE_MS, loop_ms: int = LOOP_MS, least: int = LOOP) -> DataFrame:
     """What is live at ``now``. rows: session_id, parent_session_id, ts and signature (null where a row is no friction)."""
     cutoff = lambda ms: F.timestamp_millis(F.unix_millis(F.lit(now)) - ms)
     is_friction = F.col("signature").isNotNull()
     seen = rows.groupBy("session_id").agg(F.max("ts").alias("_seen"), F.max("parent_session_id").alias("parent_session_id"), F.max(F.when(is_friction, F.col("ts"))).alias("friction_last_at"))
-    live = seen.filter(F.col("_seen") > cutoff(LIVE_MS))
+    live = seen.filter(F.col("_seen") > cutoff(live_ms))
     children = live.filter("parent_session_id is not null").groupBy(F.col("parent_session_id").alias("session_id")).agg(F.count(F.lit(1)).cast("int").alias("live_children"))
-    repeats = rows.filter(is_friction & (F.col("ts") > cutoff(LOOP_MS))).groupBy("session_id", "signature").agg(F.count(F.lit(1)).cast("int").alias("n")).filter(F.col("n") >= LOOP)
+    repeats = rows.filter(is_friction & (F.col("ts") > cutoff(loop_ms))).groupBy("session_id", "signature").agg(F.count(F.lit(1)).cast("int").alias("n")).filter(F.col("n") >= least)
     loops = repeats.groupBy("session_id").agg(F.min_by(F.struct("signature", "n"), F.struct(-F.col("n"), "signature")).alias("loop"))
     got = live.join(children, "session_id", "left").join(loops, "session_id", "left")
     return got.select("session_id", "parent_session_id", F.coalesce("live_children", F.lit(0)).alias("live_children"), "friction_last_at", F.col("loop.signature").alias("loop_signature"), F.col("loop.n").alias("loop_count"))
