@@ -349,6 +349,24 @@ def test_cuts_of_overlapping_spans_leave_one_mark():
 
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.01").is_dir(), reason="no tables here")
+def test_quality_scorer_is_a_plain_logistic_fit(spark):
+    """The fit in parts against one over the whole table, feature by feature in double precision."""
+    docs = frame(spark, [(i, " ".join(words(5 + i % 60, i)) + ("" if i % 3 else " !!! ### $$$ 123 456\n" * 6), "a") for i in range(90)])
+    labelled = quality.label(docs)
+    got = quality.fit(docs, labelled)
+    good = {r["doc_id"]: r["good"] for r in labelled.collect()}
+    x = np.stack([quality.hashed(r["text"]) for r in docs.orderBy("doc_id").collect()]).astype(np.float16).astype(float)
+    y, w = np.array([good[i] for i in range(90)]), np.zeros(x.shape[1])
+    m, s = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, quality.STEPS + 1):
+        g = 1e-5 * w + x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y)
+        m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
+        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
+    plain = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    assert np.abs(plain - [got.score(r["text"]) for r in docs.orderBy("doc_id").collect()]).max() < 0.02
+    assert plain[y > 0.5].min(initial=1) > plain[y <= 0.5].max(initial=0) or np.ptp(y) < 0.5
+
+
 def test_quality_scores_agree_with_labels(spark):
     got = queries.op8_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
     rank, good = got["score"].rank().to_numpy(), got["quality"].to_numpy() == 1

@@ -141,19 +141,26 @@ def fit(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: str
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf["good"].to_numpy(np.float32)
-        x = np.empty((len(pdf), FEATURES), np.float16)  # bounded by ``rows``; steps read it in parts
-        for i, v in enumerate(pdf.pop("x")):
-            x[i] = np.frombuffer(v, np.float16)
-        w = np.zeros(FEATURES, np.float32)
+        held = pdf.pop("x")
+        used = np.zeros(FEATURES, bool)
+        for v in held:
+            used |= np.frombuffer(v, np.float16) != 0
+        # Bounded by ``rows``, widened once, without features that no text has: their weights stay zero. Steps read it in parts.
+        x = np.empty((len(held), int(used.sum())), np.float32)
+        for i, v in enumerate(held):
+            x[i] = np.frombuffer(v, np.float16)[used]
+        w = np.zeros(x.shape[1], np.float32)
         m, s = np.zeros_like(w), np.zeros_like(w)
         for t in range(1, STEPS + 1):
             g = 1e-5 * w
             for a in range(0, len(y), PART):
-                part = x[a : a + PART].astype(np.float32)
+                part = x[a : a + PART]
                 g += part.T @ (1 / (1 + np.exp(-(part @ w))) - y[a : a + PART]) / len(y)
             m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
             w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
-        return pd.DataFrame({"w": [w.tolist()]})
+        weights = np.zeros(FEATURES)
+        weights[used] = w
+        return pd.DataFrame({"w": [weights.tolist()]})
 
     got = sample.mapInArrow(spread, "x binary, good double").withColumn("one", F.lit(1)).groupBy("one").applyInPandas(train, "w array<double>").collect()
     return Scorer(np.asarray(got[0]["w"])) if got else Scorer(np.zeros(FEATURES))
