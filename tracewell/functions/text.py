@@ -180,16 +180,6 @@ def patch_lines(text: Column) -> tuple[Column, Column]:
     return added, F.size(F.filter(lines, lambda x: x.startswith("-") & ~x.startswith("---") & ~x.startswith("*** ")))
 
 
-def search(rows: DataFrame, q: str, columns: Sequence[str], *, around: int = 60) -> DataFrame:
-    """Rows of which a column holds ``q`` in any case, with the number of such columns and a snippet of the first."""
-    low = q.lower()
-    hits = [F.lower(F.col(c)).contains(low) for c in columns]
-    first = F.coalesce(*[F.when(h, F.col(c)) for h, c in zip(hits, columns, strict=True)])
-    at = F.greatest(F.instr(F.lower(first), low) - F.lit(around), F.lit(1))
-    found = sum((F.coalesce(h.cast("int"), F.lit(0)) for h in hits), F.lit(0))
-    return rows.withColumn("matches", found).filter(F.col("matches") > 0).withColumn("snippet", F.substring(first, at, F.lit(2 * around)))
-
-
 def keywords_in(text: Column, keywords: Sequence[str]) -> Column:
     low = F.lower(text)
     return F.array_compact(F.array(*[F.when(low.contains(k.lower()), k) for k in keywords]))

@@ -70,22 +70,5 @@ def reference_check(references: DataFrame, known: DataFrame, *, kinds: Sequence[
     """References (kind, value) with whether an inventory (kind, value) has them; null for a kind that it does not hold."""
     there = known.select("kind", "value").distinct().withColumn("_there", F.lit(True))
     held = known.select("kind").distinct().withColumn("_held", F.lit(True))
-    joined = references.join(there, ["kind", "value"], "left").join(F.broadcast(held), "kind", "left")
+    joined = references.join(there, ["kind", "value"], "left").join(held, "kind", "left")
     return joined.withColumn("exists", F.when(F.col("_held") & F.col("kind").isin(*kinds), F.coalesce("_there", F.lit(False)))).drop("_there", "_held")
-
-
-def trigram_index(rows: DataFrame, *, key: str, text: str) -> DataFrame:
-    """(gram, key): the distinct runs of three characters of each text in lower case."""
-    low = F.lower(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
-    return rows.select(key, F.explode(F.array_distinct(grams)).alias("gram"))
-
-
-def trigram_search(index: DataFrame, rows: DataFrame, q: str, *, key: str, text: str) -> DataFrame:
-    """Rows whose text holds ``q``: only those that have all of its grams are looked at."""
-    low = q.lower()
-    grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
-    if grams:
-        hit = index.filter(F.col("gram").isin(*grams)).groupBy(key).agg(F.countDistinct("gram").alias("n")).filter(F.col("n") == len(grams)).select(key)
-        rows = rows.join(hit, key, "left_semi")
-    return rows.filter(F.lower(text).contains(low))

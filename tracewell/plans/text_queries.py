@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import rules, shell, text
 from tracewell.operators import mentions as M
-from tracewell.plans.catalog import on_tables
+from tracewell.operators import search
+from tracewell.plans.catalog import on_activity, on_tables
 
 LINE = r"""substr(trim(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(lower(trim({c})), '^exit code:?\s*-?[0-9]+\s*[:.\-]?\s*', ''), '\s+', ' ', 'g'), ' '),
     lambda w: regexp_replace(regexp_replace(w, '^(['||chr(39)||'"`,;()\[\]{{}}<>]*)(?:[a-z]:)?[/\\].*[/\\]([^/\\'||chr(39)||'"`,;()\[\]{{}}<>]+[/\\]*['||chr(39)||'"`,;()\[\]{{}}<>]*)$', '\1\2'), '^(['||chr(39)||'"`,;()\[\]{{}}<>]*)(?:[a-z]:)?[/\\]([^/\\]+)$', '\1\2')), ' '), '[0-9]+', '#', 'g')), 1, 120)"""
@@ -104,15 +105,30 @@ def _(read):
     return shell.with_programs(rows).select("o_orderkey", "program")
 
 
-@on_tables("H19_search", "SELECT doc_id, 1 AS matches FROM documents WHERE contains(lower(text), 'license')")
+def found_sql(table: str, key: str, phrase: str, *fields: str) -> str:
+    """Matches in all fields, the fields met and the surroundings of the first match, said over each field in turn."""
+    one = " UNION ALL ".join(f"SELECT {key}, {i} AS place, '{f}' AS field, {f}::VARCHAR AS v FROM {table}" for i, f in enumerate(fields))
+    return f"""f AS ({one}), h AS (SELECT {key}, place, field, (length(v) - length(replace(lower(v), '{phrase}', ''))) // {len(phrase)} AS n, substr(v, greatest(strpos(lower(v), '{phrase}') - 60, 1)::BIGINT, 120) AS s FROM f WHERE contains(lower(v), '{phrase}'))
+SELECT {key}, sum(n)::BIGINT AS matches, string_agg(field, ',' ORDER BY place) AS fields, arg_min(s, place) AS snippet FROM h GROUP BY {key}"""
+
+
+@on_tables("H19_search", "WITH " + found_sql("documents", "doc_id", "license", "text", "source", "lang"))
 def _(read):
-    return text.search(read("documents"), "LICENSE", ["text"]).select("doc_id", "matches")
+    return search.scan(read("documents"), "LICENSE", key="doc_id", fields=["text", "source", "lang"]).withColumn("fields", F.array_join("fields", ","))
 
 
-@on_tables("H19_trigram_search", "SELECT item_id FROM benchmark WHERE contains(lower(text), 'the ')")
+@on_tables("H19_trigram_search", "WITH " + found_sql("benchmark", "item_id", "the th", "text", "item_id"))
 def _(read):
-    rows = read("benchmark")
-    return M.trigram_search(M.trigram_index(rows, key="item_id", text="text"), rows, "The ", key="item_id", text="text").select("item_id")
+    rows, given = read("benchmark"), {"key": "item_id", "fields": ["text", "item_id"]}
+    grams = search.index(rows, **given)
+    return search.lookup(grams, search.counts(grams), rows, "The th", **given).withColumn("fields", F.array_join("fields", ","))
+
+
+@on_activity("H19_session_search", ", " + found_sql("v_sessions", "session_id", "h1", "project_key", "source", "model", "session_id"))
+def _(a):
+    """Two characters: a scan over the fields of a session list."""
+    found = search.scan(a.sessions, "H1", key="session_id", fields=["project_key", "source", "model", "session_id"])
+    return found.withColumn("fields", F.array_join("fields", ","))
 
 
 @on_tables("H17_references", r"""
