@@ -113,9 +113,18 @@ def first_literal(c: Column, literals: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(holds(c, x), x) for x in literals])
 
 
-def category(*, text: Column, output: Column, command: Column, tool: Column, exit_code: Column, is_error: Column, abort_reason: Column, expected: Column, rules: Sequence[OutputRule] = OUTPUT_RULES) -> tuple[Column, Column]:
-    """(category or null, rule sentence). ``expected``: whether the exit code is an answer of its program."""
-    out, why = F.coalesce(output, F.lit("")), []
+def output_literals(rules: Sequence[OutputRule] = OUTPUT_RULES) -> list[str]:
+    """All literals of the rules, each once, in their order."""
+    return list(dict.fromkeys(x for r in rules for x in r.literals))
+
+
+def category(*, text: Column, output: Column, command: Column, tool: Column, exit_code: Column, is_error: Column, abort_reason: Column, expected: Column, rules: Sequence[OutputRule] = OUTPUT_RULES, held: Column | None = None) -> tuple[Column, Column]:
+    """(category or null, rule sentence). ``expected``: whether the exit code is an answer of its program.
+
+    ``held``: numbers of the literals of ``output_literals`` that the output holds,
+    found in one pass; without it each literal is looked for by itself.
+    """
+    out, numbers = F.coalesce(output, F.lit("")), {x: n for n, x in enumerate(output_literals(rules))}
     has_command = F.coalesce(command, F.lit("")) != ""
     shell = F.lit(False)
     for name in SHELL_TOOLS:
@@ -126,7 +135,7 @@ def category(*, text: Column, output: Column, command: Column, tool: Column, exi
         (F.ltrim(F.coalesce(text, F.lit(""))).startswith("[Request interrupted by user"), "user_interrupt", F.lit("the message says that the user interrupted")),
     ]
     for r in rules:
-        literal = first_literal(out, r.literals)
+        literal = first_literal(out, r.literals) if held is None else F.coalesce(*[F.when(F.array_contains(held, numbers[x]), x) for x in r.literals])
         met = literal.isNotNull()
         if r.shell_only:
             met = met & shell

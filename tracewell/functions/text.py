@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.literals import found
 from tracewell.functions.rules import is_injected
 
 #: Lines that a harness prints around a program's own output, the characters of dividers, and the words that name a failure.
@@ -181,5 +182,6 @@ def patch_lines(text: Column) -> tuple[Column, Column]:
 
 
 def keywords_in(text: Column, keywords: Sequence[str]) -> Column:
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(low.contains(k.lower()), k) for k in keywords]))
+    """Those of ``keywords`` that a text holds in any case, in their order."""
+    held = found(text, [k.lower() for k in keywords])
+    return F.when(text.isNotNull(), F.transform(held, lambda n: F.get(F.array(*map(F.lit, keywords)), n)))

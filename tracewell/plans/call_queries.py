@@ -67,13 +67,6 @@ def _(a):
     return C.live_rows(a.friction.withColumn("superseded_at", F.when(F.col("event_id") % 4 == 0, F.col("ts")))).select("event_id")
 
 
-@on_activity("P12_printed_failures", "SELECT event_id FROM v_events WHERE event_type IN ('error', 'view') AND k % 5 = 1 AND NOT (event_type = 'error' AND k % 2 = 0) AND k % 7 <> 0")
-def _(a):
-    rows = a.events.filter("event_type in ('error', 'view')")
-    results = rows.select("session_id", "event_id", F.lit(None).cast("boolean").alias("is_error"), F.when(F.col("k") % 7 == 0, 0).alias("exit_code"), F.when(F.col("k") % 5 == 1, "Wall time: 1\nProcess exited with code 3").otherwise("Process exited with code 0").alias("output"))
-    return C.printed_failures(results, rows.filter("event_type = 'error' and k % 2 = 0")).select("event_id")
-
-
 @on_activity("P16_event_validation", "SELECT session_id, count(*) AS n FROM v_events GROUP BY session_id HAVING NOT bool_or(k = 99)")
 def _(a):
     from tracewell.sources.transcripts import valid

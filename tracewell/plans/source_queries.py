@@ -220,21 +220,6 @@ def _(a):
     return reports.friction_records(results, stops).select("event_id", "kind", "category", "signature")
 
 
-@on_activity("H4_signatures", "SELECT event_id, 'cat|t|' || CASE k % 3 WHEN 0 THEN 'line # at y.py' WHEN 1 THEN 'git exit 2' ELSE 'git tool_error' END AS signature FROM v_events")
-def _(a):
-    m = F.col("k") % 3
-    line = F.when(m == 0, F.concat(F.lit("Line "), F.col("k").cast("string"), F.lit(" at /x/y.py")))
-    return a.events.select("event_id", text.signature(F.lit("cat"), F.lit("t"), line, program=F.lit("Git"), exit_code=F.when(m == 1, 2)).alias("signature"))
-
-
-@on_activity("H6_friction_kinds", "SELECT event_id, CASE WHEN k % 3 = 0 THEN 'user_interrupt' WHEN k % 3 = 1 THEN 'tool_error' END AS kind FROM v_events")
-def _(a):
-    from tracewell.functions.rules import friction_kind
-
-    m = F.col("k") % 3
-    return a.events.select("event_id", friction_kind(text=F.when(m == 0, "[Request interrupted by user] x"), abort_reason=F.lit(None).cast("string"), is_error=F.lit(None).cast("boolean"), exit_code=F.when(m == 1, 3).when(m == 2, 0)).alias("kind"))
-
-
 @on_activity("H7_expected_exits", "SELECT event_id, k % 4 IN (0, 2) AS expected FROM v_commands JOIN v_events USING (session_id, event_id)")
 def _(a):
     m = F.col("k") % 4

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.functions import rules, shell, text
+from tracewell.functions import literals, rules, shell, text
+from tracewell.operators import calls
 from tracewell.operators import mentions as M
 from tracewell.operators import search
+from tracewell.plans import inputs
 from tracewell.plans.catalog import on_activity, on_tables
 
 LINE = r"""substr(trim(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(lower(trim({c})), '^exit code:?\s*-?[0-9]+\s*[:.\-]?\s*', ''), '\s+', ' ', 'g'), ' '),
@@ -58,10 +60,17 @@ def _(read):
     return tags.select("user_id", text.shape_class(F.col("t")).alias("shape"))
 
 
-@on_tables("P8_injected", "SELECT conv_id, turn, turn % 5 = 0 OR turn % 5 = 1 AS injected FROM conversations")
+#: What a text may begin with: each prefix, indented, missed by a character and after another word.
+OPENINGS = [y for p in rules.INJECTED_PREFIXES for y in (p, f"  \n{p}"[2:] if len(p) % 2 else f"   {p}", inputs.near_miss(p), f"x {p}")]
+
+
+@on_tables("P8_injected", f"""
+SELECT conv_id, turn, {" OR ".join(f"starts_with(ltrim(made, ' '), {inputs.quoted(p)})" for p in rules.INJECTED_PREFIXES)} AS injected
+FROM (SELECT conv_id, turn, {inputs.chosen_sql("(7 * conv_id + turn)", [p.replace(chr(10), "") for p in OPENINGS])} || coalesce(text, '') AS made FROM conversations)""")
 def _(read):
-    t = F.when(F.col("turn") % 5 == 0, F.concat(F.lit("  <system-reminder>"), F.col("text"))).when(F.col("turn") % 5 == 1, F.concat(F.lit("<teammate-message id=1>"), F.col("text"))).otherwise(F.concat(F.lit("x <bash-input>"), F.col("text")))
-    return read("conversations").select("conv_id", "turn", rules.is_injected(t).alias("injected"))
+    rows = read("conversations").withColumn("_n", 7 * F.col("conv_id") + F.col("turn"))
+    made = F.concat(inputs.chosen("_n", [p.replace("\n", "") for p in OPENINGS]), F.coalesce("text", F.lit("")))
+    return rows.select("conv_id", "turn", rules.is_injected(made).alias("injected"))
 
 
 @on_tables("P9_noise", "SELECT conv_id, turn, trim(coalesce(text, '')) = '' OR contains(text, '<INSTRUCTIONS>') OR starts_with(trim(text), 'File does not exist') AS noise, lower(trim(role)) IN ('user', 'assistant', 'tool') AS counted FROM conversations")
@@ -85,16 +94,80 @@ def _(read):
     return read("documents").select("doc_id", err.cast("string").alias("is_error"), code.alias("exit_code"))
 
 
-@on_tables("H3_categories", """
-SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'permission_denied' WHEN 1 THEN 'command_not_found' WHEN 2 THEN 'file_not_found' WHEN 3 THEN 'timeout' WHEN 4 THEN 'test_failure' WHEN 5 THEN 'expected_exit' WHEN 6 THEN 'nonzero_exit' END AS category FROM documents""")
+PROBES = inputs.probes(rules.output_literals())
+COMMANDS = [None, "grep a b", "pytest -q", "go build ./x", "run it", "diff a b", "make all", "test -f x", "cargo test", "pgrep x"]
+CODES, TOOLS, ABORTS = [None, 0, 1, 2, 5, 124, 127, 130, None], ["bash", "Edit", "local_shell", None], [None, None, None, " interrupted ", "other"]
+OPENED = ["", "", "", " [Request interrupted by user] x", "a [Request interrupted by user", "", inputs.near_miss("[Request interrupted by user")]
+
+
+def _categories_sql() -> str:
+    """The rules in their order over the columns of ``m``, taken from the tables of the rules."""
+    shell_sql = "(coalesce(command, '') <> '' OR " + " OR ".join(f"contains(lower(coalesce(tool, '')), '{t}')" for t in rules.SHELL_TOOLS) + ")"
+    steps = ["WHEN trim(coalesce(abort, '')) = 'interrupted' OR starts_with(ltrim(said), '[Request interrupted by user') THEN 'user_interrupt'"]
+    for r in rules.OUTPUT_RULES:
+        met = "(" + " OR ".join(inputs.holds_sql("output", x) for x in r.literals) + ")"
+        met += f" AND {shell_sql}" if r.shell_only else ""
+        met += " AND (" + " OR ".join(f"contains(lower(coalesce(command, '')), '{c}')" for c in r.commands) + ")" if r.commands else ""
+        steps.append(f"WHEN {met} THEN '{r.category}'")
+        steps += [f"WHEN code IN ({', '.join(map(str, r.exit_codes))}) THEN '{r.category}'"] if r.exit_codes else []
+    answers = " OR ".join(f"(code = {code} AND split_part(coalesce(command, ''), ' ', 1) IN ({', '.join(map(inputs.quoted, names))}))" for names, code, _ in rules.PROGRAM_EXITS)
+    steps += ["WHEN code = 124 THEN 'timeout'", f"WHEN {answers} THEN 'expected_exit'", "WHEN code <> 0 THEN 'nonzero_exit'", "WHEN is_error THEN 'tool_error'"]
+    return "CASE " + " ".join(steps) + " END"
+
+
+@on_tables("H3_categories", f"""
+WITH m AS (SELECT doc_id, {inputs.amid_sql("text", inputs.chosen_sql("doc_id", PROBES))} AS output, {inputs.chosen_sql("doc_id", COMMANDS, 3)} AS command, {inputs.chosen_sql("doc_id", CODES, 7)} AS code,
+    {inputs.chosen_sql("doc_id", TOOLS, 5)} AS tool, {inputs.chosen_sql("doc_id", ABORTS, 11)} AS abort, {inputs.chosen_sql("doc_id", OPENED, 13)} AS said, doc_id % 17 = 0 AS is_error FROM documents)
+SELECT doc_id, {_categories_sql()} AS category FROM m""")
+def _(read):
+    """Every literal of the rules as it stands, in both cases and missed, amid texts of the table, with commands, codes and tools of all kinds."""
+    pick = inputs.chosen
+    made = read("documents").select("doc_id", inputs.amid("text", pick("doc_id", PROBES)).alias("output"), pick("doc_id", COMMANDS, 3).alias("command"), pick("doc_id", CODES, 7).cast("int").alias("code"), pick("doc_id", TOOLS, 5).alias("tool"), pick("doc_id", ABORTS, 11).alias("abort"), pick("doc_id", OPENED, 13).alias("said"), (F.col("doc_id") % 17 == 0).alias("is_error"))
+    known = made.select("command", "code").distinct().withColumn("expected", shell.expected_udf("command", "code")).withColumnsRenamed({"command": "_c", "code": "_k"})
+    made = made.join(known, F.col("command").eqNullSafe(F.col("_c")) & F.col("code").eqNullSafe(F.col("_k")))
+    made = made.withColumn("held", literals.found(F.col("output"), rules.output_literals()))
+    name, _ = rules.category(text=F.col("said"), output=F.col("output"), command=F.col("command"), tool=F.col("tool"), exit_code=F.col("code"), is_error=F.col("is_error"), abort_reason=F.col("abort"), expected=F.col("expected"), held=F.col("held"))
+    return made.select("doc_id", name.alias("category"))
+
+
+@on_tables("H6_friction_kinds", f"""
+WITH m AS (SELECT conv_id, turn, {inputs.chosen_sql("(5 * conv_id + turn)", OPENED)} || coalesce(text, '') AS said, {inputs.chosen_sql("(5 * conv_id + turn)", ABORTS, 3)} AS abort, {inputs.chosen_sql("(5 * conv_id + turn)", CODES, 2)} AS code,
+    CASE (5 * conv_id + turn) % 4 WHEN 0 THEN true WHEN 1 THEN false END AS is_error FROM conversations)
+SELECT conv_id, turn, CASE WHEN trim(coalesce(abort, ''), ' ') = 'interrupted' OR starts_with(ltrim(said, ' '), '[Request interrupted by user') THEN 'user_interrupt' WHEN coalesce(is_error, false) OR coalesce(code, 0) <> 0 THEN 'tool_error' END AS kind FROM m""")
+def _(read):
+    n, pick = 5 * F.col("conv_id") + F.col("turn"), inputs.chosen
+    made = read("conversations").withColumn("_n", n).select("conv_id", "turn", F.concat(pick("_n", OPENED), F.coalesce("text", F.lit(""))).alias("said"), pick("_n", ABORTS, 3).alias("abort"), pick("_n", CODES, 2).cast("int").alias("code"), F.when(F.col("_n") % 4 == 0, True).when(F.col("_n") % 4 == 1, False).alias("is_error"))
+    return made.select("conv_id", "turn", rules.friction_kind(text=F.col("said"), abort_reason=F.col("abort"), is_error=F.col("is_error"), exit_code=F.col("code")).alias("kind"))
+
+
+#: Lines that say how a command ended, and some that only look like it.
+PRINTED = ["Process exited with code 3", "Process exited with code 0", "Process exit with code 3", "exit code: 12", "  exit status = 4", "exit codes 5", "exit code 0", "an exit code 7", "Script failed", "a Script failed", "fine"]
+
+
+@on_tables("P12_printed_failures", f"""
+WITH m AS (SELECT conv_id, turn, {inputs.amid_sql("text", inputs.chosen_sql("(3 * conv_id + turn)", PRINTED))} AS output, CASE (conv_id + turn) % 6 WHEN 0 THEN 0 END AS code, CASE (conv_id + turn) % 7 WHEN 0 THEN false END AS is_error FROM conversations)
+SELECT conv_id, turn FROM m WHERE code IS NULL AND is_error IS NULL AND turn % 4 <> 3
+    AND (regexp_matches(output, 'Process exited with code [1-9]') OR regexp_matches(output, '(^|\\n)[ \\t\\r\\n]*exit (code|status)[ \\t]*[:=]?[ \\t]*[1-9]') OR regexp_matches(output, '(^|\\n)Script failed'))""")
+def _(read):
+    """Results that state no outcome but in their text; every fourth turn has its friction already."""
+    n, at = 3 * F.col("conv_id") + F.col("turn"), F.col("conv_id") + F.col("turn")
+    rows = read("conversations").withColumn("_n", n)
+    results = rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("event_id"), inputs.amid("text", inputs.chosen("_n", PRINTED)).alias("output"), F.when(at % 6 == 0, 0).alias("exit_code"), F.when(at % 7 == 0, False).alias("is_error"))
+    known = rows.filter("turn % 4 = 3").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("event_id"))
+    return calls.printed_failures(results, known).select(F.col("session_id").alias("conv_id"), F.col("event_id").alias("turn"))
+
+
+CATEGORIES, PROGRAMS = [r.category for r in rules.OUTPUT_RULES], ["Git", None, " rg ", ""]
+
+
+@on_tables("H4_signatures", f"""
+WITH m AS (SELECT page_id, {inputs.chosen_sql("page_id", CATEGORIES)} AS category, {inputs.chosen_sql("page_id", TOOLS, 3)} AS tool, CASE WHEN page_id % 5 <> 0 THEN 'Exit code 2: at /' || url || ' line ' || page_id END AS line, {inputs.chosen_sql("page_id", PROGRAMS, 2)} AS program, {inputs.chosen_sql("page_id", CODES)} AS code FROM pages),
+n AS (SELECT *, {LINE.format(c="line")} AS short, lower(coalesce(nullif(trim(program), ''), nullif(trim(tool), ''))) AS subject FROM m)
+SELECT page_id, concat_ws('|', category, coalesce(tool, ''), coalesce(short, CASE WHEN coalesce(code, 0) <> 0 THEN concat_ws(' exit ', subject, code::VARCHAR) ELSE concat_ws(' ', subject, 'tool_error') END)) AS signature FROM n""")
 def _(read):
-    k = F.col("doc_id") % 8
-    out = F.when(k == 0, "x: Permission denied").when(k == 2, "open: ENOENT").when(k == 3, "it Timed Out").when(k == 4, "2 FAILED tests FAIL").otherwise("plain words")
-    command = F.when(k == 4, "pytest -q").when(k == 5, "grep a b").otherwise("run it")
-    code = F.when(k == 1, 127).when(k == 5, 1).when(k == 6, 3)
-    null = F.lit(None)
-    name, _ = rules.category(text=F.lit(""), output=out, command=command, tool=F.lit("bash"), exit_code=code, is_error=null.cast("boolean"), abort_reason=null.cast("string"), expected=shell.expected_udf(command, code))
-    return read("documents").select("doc_id", name.alias("category"))
+    line = F.when(F.col("page_id") % 5 != 0, F.concat(F.lit("Exit code 2: at /"), F.col("url"), F.lit(" line "), F.col("page_id").cast("string")))
+    pick = inputs.chosen
+    return read("pages").select("page_id", text.signature(pick("page_id", CATEGORIES), pick("page_id", TOOLS, 3), line, program=pick("page_id", PROGRAMS, 2), exit_code=pick("page_id", CODES).cast("int")).alias("signature"))
 
 
 @on_tables("H8_programs", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'git' WHEN 1 THEN 'make' WHEN 2 THEN 'cd' WHEN 3 THEN 'rg' ELSE 'curl' END AS program FROM orders")
