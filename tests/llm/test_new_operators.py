@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import dialogs, negatives, pagetext, queries
+from tracewell.llm import dialogs, mixing, negatives, neighbours, pagetext, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -277,3 +277,32 @@ def test_search_is_the_least_of_the_cheapest():
                 if i < n:
                     todo += [(i + 1, to, cost + c, audit + e, 0) for e, c, to, taken in dialogs.STEPS[rows[i]][place] if taken]
             assert dialogs.Search(bytes(rows), dialogs.WHOLE, True).run(dialogs.START)[:2] == best
+
+
+# Rows of one id, and texts without words, in the earlier operators
+
+
+def test_neighbours_of_repeated_ids_are_those_of_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 8)).round(2).tolist()
+    rows = [(0, x[0]), (0, x[1]), (0, x[0]), (20, x[2]), (20, x[3])] + [(5 if k % 2 else 7, v) for k, v in enumerate(x[4:12])] + [(100 + 20 * k + 1, v) for k, v in enumerate(x[12:])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.search(df, df.filter("vec_id % 20 = 0"), k=5).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], round(r["score"], 9)))
+    for q in (0, 20):
+        want = []
+        for a, (i, v) in enumerate(rows):
+            if i == q:
+                best = sorted((-sum(p * r for p, r in zip(v, w, strict=True)), j) for b, (j, w) in enumerate(rows) if b != a)[:5]
+                want += [(n, j, round(-s, 9)) for n, (s, j) in enumerate(best, 1)]
+        assert sorted(got[q]) == sorted(want)
+
+
+def test_texts_without_words_are_taken_once(spark):
+    rows = [(1, None, "none"), (2, "", "none"), (3, " \n", "some"), (4, "w " * 30, "some"), (5, "w " * 500, "big"), (6, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    times = {r["key"]: r["times"] for r in mixing.mix(df).collect()}
+    assert all(times[k] == 1 for k in (1, 2, 3, 6)) and times[4] == 3
+    kept = [r["doc_id"] for r in mixing.repeated(df).collect()]
+    assert all(kept.count(k) == 1 for k in (1, 2, 3, 6))

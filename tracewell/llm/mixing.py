@@ -113,7 +113,8 @@ def _counted(rows: DataFrame, rules: DataFrame, source: Column, h: Column, size:
     first = F.col("_m_last_h").isNull() & (F.col("_m_source_size") > 0) | (h < F.col("_m_last_h")) | ((h == F.col("_m_last_h")) & (size < F.col("_m_last_size")))
     extra = F.when(at, (F.col("_m_more") > 0).cast("int")).when(first, 1).otherwise(0)
     some = at & (F.col("_m_more") > 0) & (F.col("_m_more") < F.col("_m_most_more"))
-    known = known.withColumn("_m_times", F.when(~F.coalesce(some, F.lit(False)), F.least(whole + extra, F.lit(most))).cast("int"))
+    # A text without words costs nothing: it is taken once, whatever its source.
+    known = known.withColumn("_m_times", F.when(size == 0, 1).when(~F.coalesce(some, F.lit(False)), F.least(whole + extra, F.lit(most))).cast("int"))
     if rules.filter("_m_more > 0 AND _m_more < _m_most_more").isEmpty():
         return known
     # Some of the rows that agree in source, hash and size are taken: as many as are numbered below ``_m_more``, by

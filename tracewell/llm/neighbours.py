@@ -18,7 +18,7 @@ one task's work, and only the nearest few of each query leave it.
 
 Defined cases: vectors that are null, of another length than most, zero, or that
 hold null or non-finite components take no part; repeated vec_ids are rows of
-their own; with fewer candidates than asked for, all are returned; an empty
+their own, as neighbours and as queries; with fewer candidates than asked for, all are returned; an empty
 table gives an empty result; a query that its radius leaves with too few
 candidates takes the whole block.
 """
@@ -111,8 +111,12 @@ def reaches(score: float, norms: float, bits: int) -> int:
     return int(np.ceil(bits * share + SLACK * np.sqrt(bits * share * (1 - share))))
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, names: np.ndarray, y: np.ndarray, learnt: tuple[np.ndarray, np.ndarray], start: int, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
-    """Rows and scores of the k nearest of each query (names, y) among the rows (ids, x), and how many rows were reranked in all."""
+def nearest(ids: np.ndarray, x: np.ndarray, names: np.ndarray, y: np.ndarray, learnt: tuple[np.ndarray, np.ndarray], start: int, k: int, numbers: np.ndarray | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """Rows and scores of the k nearest of each query (names, y) among the rows (ids, x), and how many rows were reranked in all.
+
+    A row that has the query's name is not its neighbour. Names are ids, or where ids repeat ``numbers`` of rows.
+    """
+    numbers = ids if numbers is None else numbers
     mean, rotation = learnt
     subs, asked_codes = codes(x, mean, rotation), codes(y, 0.0, rotation).astype(np.uint8)
     bits = subs.shape[1] * SUBSTRING
@@ -131,7 +135,7 @@ def nearest(ids: np.ndarray, x: np.ndarray, names: np.ndarray, y: np.ndarray, le
                 # A band that is to be probed for more than it holds of a few rows is read whole.
                 whole = reach >= bits or len(at) <= k
                 own = at if whole else at[index.within(code, reach)]
-                own = own[ids[own] != name]
+                own = own[numbers[own] != name]
                 both = np.concatenate((rows, own))
                 if len(both) >= k:
                     least = np.partition(x[both] @ v, -k)[-k]
@@ -141,7 +145,7 @@ def nearest(ids: np.ndarray, x: np.ndarray, names: np.ndarray, y: np.ndarray, le
                 reach = further
             rows = both
         if len(rows) < k:
-            rows = np.flatnonzero(ids != name)
+            rows = np.flatnonzero(numbers != name)
         probed += len(rows)
         score = x[rows] @ v
         if len(rows) > k:  # all that tie with the k-th stay until ids decide
@@ -156,11 +160,15 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, radius: int |
     """query_id, rank, vec_id and score (inner product) of the k nearest found of each query among ``vectors``."""
     kind = vectors.schema[key].dataType.simpleString()
     tidy = lambda df: df.filter(usable(embedding)).select(F.col(key).alias("id"), F.col(embedding).cast("array<double>").alias("v"))
-    rows, asked = tidy(vectors), tidy(queries)
+    # Rows are known by their numbers, as ids may repeat; a query is the row that agrees with it in id and vector, one of them where several do.
+    rows = stored(tidy(vectors).withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    own = rows.groupBy(F.col("id").alias("_id"), F.col("v").alias("_v")).agg(F.min("row").alias("own"))
+    met = F.col("id").eqNullSafe(F.col("_id")) & (F.col("v") == F.col("_v"))
+    asked = stored(tidy(queries).withColumn("row", F.monotonically_increasing_id()).join(own, met, "left").select("id", "v", "row", F.coalesce("own", F.lit(-1).cast("long")).alias("own")), "near-asked")
     # Bounded by ``sample``; of vectors with one id, the least.
     ids_ = hash_sample(rows.select("id").distinct(), "id", sample)
     fit_on = rows.join(F.broadcast(ids_), "id").groupBy("id").agg(F.min("v").alias("v")).orderBy("id").select("v").collect()
-    out = f"query_id {kind}, vec_id {kind}, score double"
+    out = f"q_row long, query_id {kind}, vec_id {kind}, score double"
     if not fit_on:
         return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     sizes = pd.Series([len(r["v"]) for r in fit_on])
@@ -172,19 +180,21 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, radius: int |
     row_blocks = max(1, -(-rows.count() // ROWS_IN_BLOCK))
     query_blocks = max(1, -(-asked.count() // QUERIES_IN_BLOCK))
     # Every block of queries meets every block of rows; both are bounded.
-    spread = lambda df, n, own, other, m: df.select("id", "v", F.lit(own == "rb").alias("is_row"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+    rows = rows.withColumn("own", F.col("row"))
+    spread = lambda df, n, own, other, m: df.select("id", "v", "row", "own", F.lit(own == "rb").alias("is_row"), F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
     cells = spread(rows, row_blocks, "rb", "qb", query_blocks).unionByName(spread(asked, query_blocks, "qb", "rb", row_blocks))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         r, q = pdf[pdf["is_row"]], pdf[~pdf["is_row"]]
         if r.empty or q.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": pdf["id"].dtype, "vec_id": pdf["id"].dtype})
+            return pd.DataFrame({"q_row": [], "query_id": [], "vec_id": [], "score": []}).astype({"q_row": np.int64, "query_id": pdf["id"].dtype, "vec_id": pdf["id"].dtype})
         x, y = np.stack(r["v"].to_numpy()), np.stack(q["v"].to_numpy())
         ids, names = r["id"].to_numpy(), q["id"].to_numpy()
-        got, _ = nearest(ids, x, names, y, learnt, start, k)
+        got, _ = nearest(ids, x, q["own"].to_numpy(), y, learnt, start, k, r["row"].to_numpy())
         rows, score = (np.concatenate(c) for c in zip(*got, strict=True))
-        return pd.DataFrame({"query_id": np.repeat(names, [len(r) for r, _ in got]), "vec_id": ids[rows], "score": score})
+        each = [len(r) for r, _ in got]
+        return pd.DataFrame({"q_row": np.repeat(q["row"].to_numpy(), each), "query_id": np.repeat(names, each), "vec_id": ids[rows], "score": score})
 
     found = cells.groupBy("rb", "qb").applyInPandas(meet, out)
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = W.partitionBy("q_row").orderBy(F.col("score").desc(), "vec_id")
     return stored(found, "near-vectors").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
