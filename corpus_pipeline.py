@@ -43,8 +43,12 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         several = kept.filter("_alike").select("_mark", "_most")
         if several.isEmpty():
             return single
-        nth = F.row_number().over(W.partitionBy("_mark").orderBy(F.xxhash64(*plain.columns)))
-        return single.unionByName(marked.join(several, "_mark").withColumn("_nth", nth).filter(F.col("_nth") <= F.col("_most")).select(plain.columns))
+        # Rows that agree are numbered by where they lie in a stored table, each part of it by itself and from part to part by sums.
+        alike = stored(marked.join(several, "_mark").withColumn("_row", F.monotonically_increasing_id()), "near-alike").withColumn("_part", F.shiftright("_row", 33))
+        before = W.partitionBy("_mark").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        starts = alike.groupBy("_mark", "_part").agg(F.count(F.lit(1)).alias("_n")).select("_mark", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+        nth = F.row_number().over(W.partitionBy("_mark", "_part").orderBy("_row"))
+        return single.unionByName(alike.join(starts, ["_mark", "_part"]).withColumn("_nth", F.col("_from") + nth).filter(F.col("_nth") <= F.col("_most")).select(plain.columns))
 
     return shielded(docs, work)
 
@@ -56,7 +60,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it, up to three; of rows with one doc_id, as many as the budget asks for."""
+    """Every document as many times as the mix takes it, up to three; of rows with one doc_id, as many as the budget asks for; those without words once."""
     return mixing.repeated(docs)
 
 
