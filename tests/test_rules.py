@@ -11,24 +11,56 @@ def one(spark, column):
 @pytest.mark.parametrize(
     ("command", "program"),
     [
-        ("cd /x && FOO=1 sudo /usr/bin/git status --short | head -3", "git"), ("rg -n 'a && b' src", "rg"), ("cd /tmp", "cd"), ("", ""), (None, ""), ("echo hi; make", "make"),
-        ("R=$(curl -s u)", "curl"), ("\\ls -l", "ls"), ("# only words", ""), ("A=b", ""), ("timeout 30 pytest -q", "pytest"), ('"quoted tool" x', "quoted"),
+        ("cd /x && FOO=1 sudo /usr/bin/git status --short | head -3", "git"), ("rg -n 'a && b' src", "rg"), ("", ""), (None, ""), ("echo hi; make", "make"), ("R=$(curl -s u)", "curl"), ("\\ls -l", "ls"),
+        ("# only words", ""), ("A=b", ""), ('"quoted tool" x', "quoted"), ("timeout 30 pytest -q", "timeout"),
+        # Words that run nothing: the line goes on, or names no program at all.
+        ("cd /tmp", ""), ("false; :", ""), ("trap x EXIT\nulimit -n 9\nmake", "make"), ("test -d a && make b", "make"), ("[ -d a ] || mkdir a", "mkdir"), ("type node && node x.js", "node"), ("case $x in\na) jq . ;;\nesac", "a)"),
+        ("for x in git make; do curl $x; done", "curl"), ("until false; do nice -n 5 x; done", "nice"), ("if ! grep a b; then rm b; fi", "grep"), ("builtin cd /x; exec /opt/a/run --now", "run"),
+        # echo and env stand only for a line that runs nothing else.
+        ("echo one", "echo"), ("env", "env"), ("env A=1", "env"), ("env | sort", "sort"), ("env A=1 /opt/b/tool -x", "tool"), ("echo a; env", "echo"), ("env; echo a", "env"), ("echo git", "echo"),
+        # Comments, escapes, substitutions, paths and quotes.
+        ("make # then rm", "make"), ("A=1 \\\n nohup /v/bin/py run.py", "py"), ("D=`date +%s` && tar cf $D", "date"), ("X=$() ; ls", "ls"), ("/ ; ls", "ls"), ("/usr/bin/", "bin"), ("(cd a; make x)", "make"),
+        ("sed 's;a;b;' f", "sed"), ("awk 'open ; | && to the end", "awk"), ("-n x", "x"),
     ],
 )
 def test_program_of(command, program):
     assert shell.program_of(command) == program
 
 
-@pytest.mark.parametrize(("command", "got"), [("a; b && c | d", ["b", "d"]), ("cd x && grep y z", ["grep"]), ("python -m pytest -q", ["pytest"]), ("uv run mypy .", ["mypy"]), ("X=1 env rg a", ["rg"]), ("", [])])
+@pytest.mark.parametrize(
+    ("command", "got"),
+    [
+        ("a; b && c | d", ["b", "d"]), ("cd x && grep y z", ["grep"]), ("python -m pytest -q", ["pytest"]), ("uv run mypy .", ["mypy"]), ("X=1 env rg a", ["rg"]), ("", []), (None, []), (" ;\n", []), ("a\nb;", ["b"]), ("a || a", ["a"]),
+        ("ls | true", []), ("ls | A=1", ["ls"]), ("timeout -k 5 30s /usr/bin/rg x", ["rg"]), ("timeout", []), ("python3 -u -m mypy.api x", ["mypy.api"]), ("python x.py -m y", ["python"]), ("python -m", ["python"]), ("/v/bin/py -m 'black' .", ["black"]),
+        ("poetry install", ["poetry"]), ("uv", ["uv"]), ("hatch run python -m pytest", ["pytest"]), ("sudo -E time nohup make", ["make"]), ("({ make", ["make"]), ("a & b", ["a"]), ("/ && .", []), ("'rg' a", ["rg"]),
+    ],
+)
 def test_exit_candidates(command, got):
     assert shell.exit_candidates(command) == got
 
 
-@pytest.mark.parametrize(("command", "code", "meaning"), [("grep a b", 1, ("no match", False)), ("grep a b && ls", 1, None), ("grep a b || rg c", 1, ("no match", False)), ("any", 124, ("timeout", True)), ("grep a b", 2, None), ("diff a b && grep c", 1, None)])
+@pytest.mark.parametrize(
+    ("command", "code", "meaning"),
+    [
+        ("grep a b", 1, ("no match", False)), ("grep a b && ls", 1, None), ("grep a b || rg c", 1, ("no match", False)), ("any", 124, ("timeout", True)), ("grep a b", 2, None), ("diff a b && grep c", 1, None), (None, 130, ("SIGINT", True)), (None, 1, None),
+        ("/ci/python -m pytest x", 5, ("no tests collected", False)), ("[ -e x ]", 1, ("condition not met", False)), ("cd a && cmp b c", 1, ("differs", False)), ("ag a\nls b", 1, None), ("pgrep x || true", 1, ("no process", False)), ("grep a b", 0, None),
+    ],
+)
 def test_exit_meaning(command, code, meaning):
     assert shell.exit_meaning(command, code) == meaning
 
 
+def test_pieces_keep_every_character():
+    for command in ("a && b; 'c ; d' | e", "x &&& y", "||| z", "`a;b`c\n\"d", "", ";;"):
+        cut = shell.pieces(command, shell.STATEMENTS)
+        rest = command
+        for piece in cut[:-1]:
+            assert rest.startswith(piece)
+            rest = rest[len(piece) :]
+            rest = rest[2:] if rest[:2] in ("&&", "||") else rest[1:]
+        assert rest == cut[-1]
+
+
 @pytest.mark.parametrize(("command", "name"), [("which jq", "jq"), ("which jq; ls", None), ("which -a jq", None), ("/usr/bin/which 'rg'", "rg"), ("which a b", None), (None, None)])
 def test_probed_command(command, name):
     assert shell.probed_command(command) == name

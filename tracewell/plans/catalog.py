@@ -41,7 +41,7 @@ def on_tables(name: str, sql: str | None = None) -> Callable[[Callable[[Callable
 
 
 def _load() -> None:
-    from tracewell.plans import asset_queries, call_queries, friction_queries, ordered_queries, session_queries, source_queries, text_queries  # noqa: F401  each registers its queries
+    from tracewell.plans import asset_queries, call_queries, friction_queries, ordered_queries, session_queries, shell_queries, source_queries, text_queries  # noqa: F401  each registers its queries
 
 
 def queries() -> dict[str, Query]:

@@ -220,22 +220,6 @@ def _(a):
     return reports.friction_records(results, stops).select("event_id", "kind", "category", "signature")
 
 
-@on_activity("H7_expected_exits", "SELECT event_id, k % 4 IN (0, 2) AS expected FROM v_commands JOIN v_events USING (session_id, event_id)")
-def _(a):
-    m = F.col("k") % 4
-    command = F.when(m == 0, "cd x && rg -n y").when(m == 1, "rg a; make").when(m == 2, "ls | grep a").otherwise("grep a && ls")
-    rows = a.commands.join(a.events.select("event_id", "k"), "event_id").select("event_id", command.alias("command"), F.lit(1).alias("code"))
-    known = rows.select("command", "code").distinct().withColumn("expected", shell.expected_udf("command", "code"))
-    return rows.join(known, ["command", "code"]).select("event_id", "expected")
-
-
-@on_activity("H9_probed_commands", "SELECT event_id, CASE WHEN k % 2 = 0 THEN 'jq' || (k % 5) END AS name FROM v_commands JOIN v_events USING (session_id, event_id)")
-def _(a):
-    command = F.concat(F.lit("which jq"), (F.col("k") % 5).cast("string"), F.when(F.col("k") % 2 == 1, "; ls").otherwise(""))
-    rows = a.commands.join(a.events.select("event_id", "k"), "event_id").select("event_id", command.alias("command"))
-    return rows.join(rows.select("command").distinct().withColumn("name", shell.probed_udf("command")), "command").select("event_id", "name")
-
-
 @on_activity("X3_registered_functions", "SELECT event_id, program FROM v_commands")
 def _(a):
     shell.register(a.spark)

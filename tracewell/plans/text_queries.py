@@ -170,14 +170,6 @@ def _(read):
     return read("pages").select("page_id", text.signature(pick("page_id", CATEGORIES), pick("page_id", TOOLS, 3), line, program=pick("page_id", PROGRAMS, 2), exit_code=pick("page_id", CODES).cast("int")).alias("signature"))
 
 
-@on_tables("H8_programs", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'git' WHEN 1 THEN 'make' WHEN 2 THEN 'cd' WHEN 3 THEN 'rg' ELSE 'curl' END AS program FROM orders")
-def _(read):
-    k = F.col("o_orderkey") % 5
-    command = F.when(k == 0, "cd /x && git status | head").when(k == 1, "A=1 sudo make 'a;b'").when(k == 2, "cd /tmp").when(k == 3, "echo hi; rg -n 'x && y' src").otherwise("R=$(curl -s u) ")
-    rows = read("orders").select("o_orderkey", command.alias("command"))
-    return shell.with_programs(rows).select("o_orderkey", "program")
-
-
 def found_sql(table: str, key: str, phrase: str, *fields: str) -> str:
     """Matches in all fields, the fields met and the surroundings of the first match, said over each field in turn."""
     one = " UNION ALL ".join(f"SELECT {key}, {i} AS place, '{f}' AS field, {f}::VARCHAR AS v FROM {table}" for i, f in enumerate(fields))
