@@ -31,7 +31,7 @@ def test_program_of(command, program):
     ("command", "got"),
     [
         ("a; b && c | d", ["b", "d"]), ("cd x && grep y z", ["grep"]), ("python -m pytest -q", ["pytest"]), ("uv run mypy .", ["mypy"]), ("X=1 env rg a", ["rg"]), ("", []), (None, []), (" ;\n", []), ("a\nb;", ["b"]), ("a || a", ["a"]),
-        ("ls | true", []), ("ls | A=1", ["ls"]), ("timeout -k 5 30s /usr/bin/rg x", ["rg"]), ("timeout", []), ("python3 -u -m mypy.api x", ["mypy.api"]), ("python x.py -m y", ["python"]), ("python -m", ["python"]), ("/v/bin/py -m 'black' .", ["black"]),
+        ("ls | true", []), ("ls | A=1", ["ls"]), ("timeout --kill-after=5 30s /usr/bin/rg x", ["rg"]), ("timeout", []), ("python3 -u -m mypy.api x", ["mypy.api"]), ("python x.py -m y", ["python"]), ("python -m", ["python"]), ("/v/bin/py -m 'black' .", ["black"]),
         ("poetry install", ["poetry"]), ("uv", ["uv"]), ("hatch run python -m pytest", ["pytest"]), ("sudo -E time nohup make", ["make"]), ("({ make", ["make"]), ("a & b", ["a"]), ("/ && .", []), ("'rg' a", ["rg"]),
     ],
 )

@@ -120,11 +120,35 @@ def opportunity_facts(tags: DataFrame, assets: DataFrame) -> DataFrame:
     return shape.filter(F.col("shape_class") != "").join(assets.select("asset_id", "shape_class").distinct(), "shape_class").dropDuplicates(["session_id", "shape_class", "asset_id"])
 
 
+#: What a transition notifies of (kind, severity), and what a settled watch does.
+NOTICES = {"verification_passed": "positive", "verification_failed": "attention", "broken": "attention", "silent": "attention", "bypassed": "attention"}
+VERDICTS = {"verified": ("watch_verified", "good"), "no_change": ("watch_no_change", "warn"), "unobservable": ("watch_unobservable", "muted")}
+
+
+def notice_kind(before: Column, state: Column, *, overlay: Column, resurrection: Column) -> Column:
+    """What a transition notifies of, null for nothing. The outcome of a check after a change goes first, then what broke."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    checked = F.when((state == "healthy") & yes(resurrection), "verification_passed").when((state == "silent") & yes(before == "awaiting_resurrection"), "verification_failed")
+    return F.coalesce(checked, F.when(yes(overlay) | (state == "broken"), "broken").when(state.isin("silent", "bypassed"), state))
+
+
+def notice_severity(kind: Column) -> Column:
+    known = NOTICES | dict(VERDICTS.values())
+    return F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[kind]
+
+
 def notifications(transitions: DataFrame, ignored: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Transitions that were not ignored and settled watch verdicts, newest first."""
-    kept = transitions.join(ignored.select("id"), "id", "left_anti").select(F.col("id"), F.lit("transition").alias("kind"), F.col("to_state").alias("what"), F.col("occurred_at").alias("at"))
-    settled = verdicts.filter(F.col("status") != "watching").select(F.col("watch_id").alias("id"), F.lit("watch").alias("kind"), F.col("status").alias("what"), F.col("at"))
-    return kept.unionByName(settled).orderBy(F.col("at").desc(), "kind", "id")
+    """Transitions that notify and were not ignored, and settled watch verdicts, newest first.
+
+    transitions: id, from_state, to_state, overlay, resurrection, occurred_at.
+    ignored: id. verdicts: watch_id, status, at (null: not evaluated yet).
+    """
+    kind = notice_kind(F.col("from_state"), F.col("to_state"), overlay=F.col("overlay"), resurrection=F.col("resurrection"))
+    kept = transitions.join(ignored.select("id"), "id", "left_anti").select("id", kind.alias("kind"), F.col("to_state").alias("what"), F.col("occurred_at").alias("at"))
+    named = F.create_map(*[F.lit(x) for status, (name, _) in VERDICTS.items() for x in (status, name)])
+    settled = verdicts.filter("at is not null").select(F.col("watch_id").alias("id"), named[F.col("status")].alias("kind"), F.col("status").alias("what"), "at")
+    rows = kept.unionByName(settled).filter("kind is not null").withColumn("severity", notice_severity(F.col("kind")))
+    return rows.orderBy(F.col("at").desc(), "kind", "id")
 
 
 def clusters(anchors: DataFrame, transitions: DataFrame, *, days: int = 5, least: int = 2) -> DataFrame:

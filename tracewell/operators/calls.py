@@ -126,10 +126,6 @@ def mapped_events(events: DataFrame, mapping: DataFrame, versions: DataFrame) ->
     return good.withColumn("version", F.coalesce("version", "_latest")).drop("_latest"), bad
 
 
-def severity(to_state: Column, alert: Column) -> Column:
-    return F.when(to_state.isin("broken", "bypassed"), "high").when(to_state.isin("silent", "degraded"), "medium").when(alert, "low").otherwise("none")
-
-
 def bounded_fields(rows: DataFrame, columns: list[str], *, most: int = 512) -> DataFrame:
     """Long text fields cut to ``most`` characters, with a flag if any was."""
     cut = F.lit(False)

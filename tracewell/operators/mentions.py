@@ -42,14 +42,49 @@ def mentioned(rows: DataFrame, assets: DataFrame, *, text: str, key: str, path:
     return tokens.join(own, "_t").select(key, asset).distinct()
 
 
+#: What hook files end in, and the characters that a message wraps a name in.
+HOOK_FILES = ("py", "sh", "js", "mjs", "cjs", "ts", "json", "bash", "zsh")
+WRAPPING = "\"'`()[]{}<>,;:.！。，、"
+
+
+def clean_path(path: Column) -> Column:
+    """A path without empty and ``.`` parts, each ``..`` taken with the part before it (at a root: with nothing)."""
+    rooted, none = path.startswith("/"), F.array().cast("array<string>")
+    up = lambda done: F.when((F.size(done) > 0) & ~F.coalesce(F.try_element_at(done, F.lit(-1)) == "..", F.lit(False)), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(rooted, done).otherwise(F.concat(done, F.array(F.lit(".."))))
+    parts = F.aggregate(F.split(path, "/"), none, lambda done, p: F.when(p.isin("", "."), done).when(p == "..", up(done)).otherwise(F.concat(done, F.array(p))))
+    joined = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(parts, "/"))
+    return F.when(joined == "", ".").otherwise(joined)
+
+
+def hook_name(path: Column) -> Column:
+    """The file name without its last extension, in lower case."""
+    return F.lower(F.regexp_replace(F.regexp_extract(path, r"([^/]*)/*\z", 1), r"\.[^.]*\z", ""))
+
+
+def hook_references(text: Column) -> Column:
+    """What a message names that could be a hook, in its order, each once: tokens that end as hook files do, paths cleaned."""
+    wraps = "[" + "".join(f"\\{c}" if c in "[]\\^-" else c for c in WRAPPING) + "]+"
+    tokens = F.transform(F.split(text, "[ \t\n\r\"'`]+"), lambda t: F.regexp_replace(t, rf"^{wraps}|{wraps}\z", ""))
+    files = F.filter(tokens, lambda t: t.rlike(rf"(?i)\.({'|'.join(HOOK_FILES)})\z"))
+    return F.array_distinct(F.transform(files, lambda t: F.when(t.rlike(r"[/\\]"), clean_path(t)).otherwise(t)))
+
+
 def hook_links(blocked: DataFrame, hooks: DataFrame, *, text: str, key: str) -> DataFrame:
-    """The hook of each blocked result: by full path first, else by a file name that only one hook has; the earliest token counts."""
-    tokens = blocked.select(key, F.posexplode(path_tokens(F.col(text))).alias("_pos", "_t"))
-    full = tokens.join(hooks.select(F.col("path").alias("_t"), "asset_id"), "_t").withColumn("_rule", F.lit(0))
-    names = hooks.withColumn("_t", F.element_at(F.split("path", "/"), -1)).groupBy("_t").agg(F.count(F.lit(1)).alias("_n"), F.first("asset_id").alias("asset_id")).filter("_n = 1")
-    named = tokens.withColumn("_t", F.element_at(F.split("_t", "/"), -1)).join(names.select("_t", "asset_id"), "_t").withColumn("_rule", F.lit(1))
-    w = W.partitionBy(key).orderBy("_rule", "_pos", "asset_id")
-    return full.unionByName(named).withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(key, "asset_id", F.when(F.col("_rule") == 0, "path").otherwise("name").alias("rule"))
+    """The hook of each blocked result, with the reference that names it: by full path first, else by a name that only one hook has; the earliest reference counts.
+
+    hooks: asset_id, path and, for those without a path, optionally name (its
+    part after the last colon counts). Of hooks with one path the least id counts.
+    """
+    tokens = blocked.select(key, F.posexplode(hook_references(F.col(text))).alias("_pos", "_ref"))
+    filled = F.nullif(F.col("path"), F.lit(""))
+    told = F.lower(F.substring_index("name", ":", -1)) if "name" in hooks.columns else F.lit(None).cast("string")
+    known = hooks.select("asset_id", F.when(filled.isNotNull(), clean_path(filled)).alias("_ref"), F.nullif(F.coalesce(hook_name(filled), told), F.lit("")).alias("_name"))
+    paths = known.filter("_ref is not null").groupBy("_ref").agg(F.min("asset_id").alias("asset_id"))
+    names = known.filter("_name is not null").groupBy("_name").agg(F.count(F.lit(1)).alias("_n"), F.min("asset_id").alias("asset_id")).filter("_n = 1")
+    full = tokens.join(paths, "_ref").select(key, "_pos", "_ref", "asset_id", F.lit(0).alias("_rule"))
+    named = tokens.withColumn("_name", hook_name(F.col("_ref"))).join(names, "_name").select(key, "_pos", "_ref", "asset_id", F.lit(1).alias("_rule"))
+    first = full.unionByName(named).groupBy(key).agg(F.min_by(F.struct("asset_id", "_ref", "_rule"), F.struct("_rule", "_pos")).alias("l"))
+    return first.select(key, "l.asset_id", F.col("l._ref").alias("reference"), F.when(F.col("l._rule") == 0, "path").otherwise("name").alias("rule"))
 
 
 def uncovered(pairs: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -122,16 +122,6 @@ def _(a):
     return A.clusters(anchors, moves).select("anchor_id", F.array_join("assets", ",").alias("assets"))
 
 
-@on_activity("T10_notifications", """
-SELECT event_id::VARCHAR AS id, 'transition' AS kind, category AS what, epoch_us(ts) // 1000 AS "at" FROM v_friction WHERE event_id % 3 <> 0
-UNION ALL SELECT 'w' || event_id, 'watch', 'verified', epoch_us(ts) // 1000 FROM v_commands WHERE event_id % 2 = 0""")
-def _(a):
-    moves = a.friction.select(F.col("event_id").cast("string").alias("id"), F.col("category").alias("to_state"), F.col("ts").alias("occurred_at"))
-    ignored = a.friction.filter("event_id % 3 = 0").select(F.col("event_id").cast("string").alias("id"))
-    verdicts = a.commands.select(F.concat(F.lit("w"), F.col("event_id").cast("string")).alias("watch_id"), F.when(F.col("event_id") % 2 == 0, "verified").otherwise("watching").alias("status"), F.col("ts").alias("at"))
-    return A.notifications(moves, ignored, verdicts).withColumn("at", F.unix_millis("at"))
-
-
 @on_activity("T13_opportunity_facts", """
 , t AS (SELECT session_id, string_agg(path, '|' ORDER BY path) AS shape_class, min(ts) AS detected_at FROM (SELECT session_id, lower(trim(path)) AS path, min(ts) AS ts FROM v_files GROUP BY 1, 2) GROUP BY session_id)
 SELECT session_id, shape_class, 'a' || n AS asset_id, epoch_us(detected_at) // 1000 AS detected_at FROM t JOIN (SELECT unnest([1, 2]) AS n) x ON shape_class IN ('f0|f1', 'f2') OR (shape_class = 'f3' AND n = 1)""")

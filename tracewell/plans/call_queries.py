@@ -10,6 +10,7 @@ from tracewell.operators import friction as X
 from tracewell.operators import mentions as M
 from tracewell.operators import sessions as S
 from tracewell.operators import stats
+from tracewell.plans import inputs
 from tracewell.plans.catalog import END, START, on_activity, on_tables
 
 
@@ -119,11 +120,40 @@ def _(read):
     return M.mentioned(rows, assets, text="text", key="doc_id")
 
 
-@on_activity("J18_hook_links", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'h1' ELSE 'h2' END AS asset_id, CASE WHEN event_id % 3 = 0 THEN 'path' ELSE 'name' END AS rule FROM v_friction WHERE event_id % 3 <> 2")
-def _(a):
-    hooks = a.friction.select(F.explode(F.array(*[F.struct(F.lit(i).alias("asset_id"), F.lit(p).alias("path")) for i, p in (("h1", "/u/hooks/guard.sh"), ("h2", "/u/hooks/check.py"), ("h3", "/v/hooks/guard.sh"))])).alias("h")).select("h.*").distinct()
-    blocked = a.friction.select("event_id", F.when(F.col("event_id") % 3 == 0, "blocked by check.py /u/hooks/guard.sh").when(F.col("event_id") % 3 == 1, "blocked: guard.sh then x/check.py").otherwise("guard.sh").alias("text"))
-    return M.hook_links(blocked, hooks, text="text", key="event_id")
+#: How a message may name a hook ({p} its path, {d} its folder, {f} its file, {n} its name), and how it only seems to.
+NAMED = ["{p}", "'{p}':", "({p}).", "{d}/./{f}", "{d}//{f}", "{d}/x/../{f},", "{f}", "`{f}`!", "[{f}];", "{p}x", "{n}", "x{f}", "{d}.{f}", "/v{p}", "", "{F}"]
+HOOK_ENDS = ["py", "sh", "js", "json", "zsh", "md"]
+WRAPS_SQL = inputs.quoted(M.WRAPPING)
+
+
+def _named_sql(form: str) -> str:
+    parts = {"p": "path", "d": "folder", "f": "file", "F": "upper(file)", "n": "name"}
+    text = inputs.quoted(form)
+    for mark, column in parts.items():
+        text = f"replace({text}, '{{{mark}}}', {column})"
+    return text
+
+
+@on_tables("J18_hook_links", f"""
+WITH h AS (SELECT asset_id, folder, file, name, folder || '/' || file AS path FROM (SELECT 'h' || p_partkey AS asset_id, '/u/' || lower(p_type) || '/hooks' AS folder, name || '.' || {inputs.chosen_sql("p_partkey", HOOK_ENDS)} AS file, name, p_partkey FROM (SELECT *, replace(p_name, ' ', '-') || CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR ELSE '' END AS name FROM part))),
+m AS (SELECT doc_id, {inputs.amid_sql("text", "said")} AS text FROM (SELECT doc_id, text, ({inputs.chosen_sql("doc_id", ["~" + f for f in NAMED]).replace("'~", "'")}) AS form, path, folder, file, name FROM documents JOIN h ON asset_id = 'h' || doc_id), LATERAL (SELECT CASE form {" ".join(f"WHEN {inputs.quoted(f)} THEN {_named_sql(f)}" for f in NAMED)} END AS said)),
+t AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM (SELECT doc_id, list_transform(regexp_split_to_array(text, '[ \t\n\r"''`]+'), lambda w: trim(w, {WRAPS_SQL})) AS words FROM m)),
+f AS (SELECT doc_id, pos, CASE WHEN contains(word, '/') THEN regexp_replace(regexp_replace(regexp_replace(word, '/(\\./)+', '/', 'g'), '//+', '/', 'g'), '[^/]+/\\.\\./', '', 'g') ELSE word END AS ref FROM t WHERE regexp_matches(word, '(?i)\\.({"|".join(M.HOOK_FILES)})$')),
+n AS (SELECT lower(name) AS name, min(asset_id) AS asset_id FROM h GROUP BY 1 HAVING count(*) = 1),
+p AS (SELECT path, min(asset_id) AS asset_id FROM h GROUP BY 1),
+l AS (SELECT doc_id, 0 AS rule, pos, ref, asset_id FROM f JOIN p ON ref = path UNION ALL SELECT doc_id, 1, pos, ref, asset_id FROM f JOIN n ON lower(regexp_replace(regexp_extract(ref, '[^/]*$'), '\\.[^.]*$', '')) = n.name)
+SELECT doc_id, asset_id, ref AS reference, CASE rule WHEN 0 THEN 'path' ELSE 'name' END AS rule FROM l QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rule, pos) = 1""")
+def _(read):
+    """Hooks made of the parts, half of them with names of their own; each document names the hook of its number in one of many ways, amid its text."""
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey").cast("string")).otherwise(""))
+    hooks = read("part").select(F.concat(F.lit("h"), F.col("p_partkey").cast("string")).alias("asset_id"), name.alias("name"), F.concat(F.lit("/u/"), F.lower("p_type"), F.lit("/hooks")).alias("folder"), F.concat(name, F.lit("."), inputs.chosen("p_partkey", HOOK_ENDS)).alias("file"))
+    hooks = hooks.withColumn("path", F.concat_ws("/", "folder", "file"))
+    said = inputs.chosen("doc_id", NAMED)
+    for mark, column in (("p", F.col("path")), ("d", F.col("folder")), ("f", F.col("file")), ("F", F.upper("file")), ("n", F.col("name"))):
+        said = F.replace(said, F.lit(f"{{{mark}}}"), column)
+    docs = read("documents").withColumn("asset_id", F.concat(F.lit("h"), F.col("doc_id").cast("string"))).select("doc_id", "text", "asset_id")
+    blocked = docs.join(hooks, "asset_id").select("doc_id", inputs.amid("text", said).alias("text"))
+    return M.hook_links(blocked, hooks.select("asset_id", "path"), text="text", key="doc_id")
 
 
 @on_activity("J19_uncovered", """
@@ -200,13 +230,6 @@ def _(a):
     return a.files.join(changed, "session_id", "left_semi").select("path").distinct()
 
 
-@on_activity("H22_severity", "SELECT event_id, CASE event_type WHEN 'error' THEN 'high' WHEN 'view' THEN 'medium' WHEN 'click' THEN 'low' ELSE 'none' END AS severity FROM v_events")
-def _(a):
-    t = F.col("event_type")
-    state = F.when(t == "error", "broken").when(t == "view", "silent").otherwise("healthy")
-    return a.events.select("event_id", C.severity(state, t == "click").alias("severity"))
-
-
 @on_activity("Q6_timeline", """
 SELECT id, row_kind, (row_number() OVER (ORDER BY ts DESC, id DESC, row_kind))::INT AS place FROM (SELECT event_id AS id, ts, 'friction' AS row_kind FROM v_friction UNION ALL SELECT event_id, ts, 'file' FROM v_files) ORDER BY ts DESC, id DESC, row_kind LIMIT 200""")
 def _(a):

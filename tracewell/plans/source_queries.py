@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import shell, text
+from tracewell.operators import assets as A
 from tracewell.operators import calls as C
 from tracewell.operators import reports
 from tracewell.operators import sessions as S
@@ -13,6 +14,7 @@ from tracewell.operators import sets
 from tracewell.operators.ordered import SLICE_BITS
 from tracewell.plans.catalog import END, START, on_activity, on_tables
 from tracewell.sources import transcripts as T
+from tracewell.sources.activity import Activity
 
 
 def records(rows: DataFrame, path: str, order: str, *lines: F.Column) -> DataFrame:
@@ -198,14 +200,41 @@ SELECT asset_id, at_us, from_state, state, overlay, transition, alert, resurrect
     SELECT * FROM r WHERE i > 0)"""
 
 
-@on_activity("T6_state_machine", STATES_SQL)
-def _(a):
+def states(a: Activity) -> DataFrame:
+    """Every step of the state machine over assessments made of the events."""
     from tracewell.streaming import vital
 
     k = F.col("k")
     on = {"archived": k % 19 == 0, "restore": k % 11 == 0, "request_resurrection": k % 13 == 0, "resurrected": k % 7 == 1, "resurrection_failed": k % 7 == 2, "broken": k % 17 == 3, "bypassed": k % 23 == 1, "silent": k % 5 == 0, "dormant": k % 29 == 0, "no_opportunity": k % 31 == 0, "unobservable": k % 37 == 5, "degraded": k % 3 == 0, "participated": k % 2 == 0, "has_baseline": k > 50}
     rows = a.events.select(F.concat(F.lit("a"), F.col("user_id").cast("string")).alias("asset_id"), F.col("ts").alias("at"), F.col("event_id").cast("int").alias("seq"), *[c.alias(n) for n, c in on.items()])
-    return vital.replay(rows).withColumn("at_us", F.unix_micros("at")).drop("at")
+    return vital.replay(rows).withColumn("at_us", F.unix_micros("at"))
+
+
+@on_activity("T6_state_machine", STATES_SQL)
+def _(a):
+    return states(a).drop("at")
+
+
+NOTICE_SQL = """CASE WHEN state = 'healthy' AND resurrection THEN 'verification_passed' WHEN from_state = 'awaiting_resurrection' AND state = 'silent' THEN 'verification_failed' WHEN overlay OR state = 'broken' THEN 'broken' WHEN state IN ('silent', 'bypassed') THEN state END"""
+
+
+@on_activity("H22_severity", STATES_SQL.replace("SELECT asset_id, at_us, from_state, state, overlay, transition, alert, resurrection FROM (", f", moves AS (SELECT asset_id, at_us, {NOTICE_SQL} AS kind FROM (", 1) + """ WHERE transition)
+SELECT asset_id, at_us, kind, CASE kind WHEN 'verification_passed' THEN 'positive' ELSE 'attention' END AS severity FROM moves WHERE kind IS NOT NULL""")
+def _(a):
+    """What each transition of the state machine notifies of."""
+    kind = A.notice_kind(F.col("from_state"), F.col("state"), overlay=F.col("overlay"), resurrection=F.col("resurrection"))
+    return states(a).filter("transition").select("asset_id", "at_us", kind.alias("kind")).filter("kind is not null").withColumn("severity", A.notice_severity(F.col("kind")))
+
+
+@on_activity("T10_notifications", STATES_SQL.replace("SELECT asset_id, at_us, from_state, state, overlay, transition, alert, resurrection FROM (", f", moves AS (SELECT asset_id || '@' || at_us AS id, state AS what, at_us, {NOTICE_SQL} AS kind FROM (", 1) + """ WHERE transition),
+w AS (SELECT 'w' || event_id AS id, CASE event_id % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'no_change' WHEN 2 THEN 'unobservable' ELSE 'watching' END AS what, epoch_us(ts) AS at_us, event_id FROM v_commands WHERE event_id % 5 <> 0)
+SELECT id, kind, what, at_us, CASE kind WHEN 'verification_passed' THEN 'positive' ELSE 'attention' END AS severity FROM moves WHERE kind IS NOT NULL AND at_us % 3 <> 0
+UNION ALL SELECT id, 'watch_' || what, what, at_us, CASE what WHEN 'verified' THEN 'good' WHEN 'no_change' THEN 'warn' ELSE 'muted' END FROM w WHERE what <> 'watching'""")
+def _(a):
+    moves = states(a).filter("transition").select(F.concat_ws("@", "asset_id", F.col("at_us").cast("string")).alias("id"), "from_state", F.col("state").alias("to_state"), "overlay", "resurrection", F.col("at_us").alias("occurred_at"))
+    status = F.get(F.array(*map(F.lit, ("verified", "no_change", "unobservable", "watching"))), (F.col("event_id") % 4).cast("int"))
+    verdicts = a.commands.select(F.concat(F.lit("w"), F.col("event_id").cast("string")).alias("watch_id"), status.alias("status"), F.when(F.col("event_id") % 5 != 0, F.unix_micros("ts")).alias("at"))
+    return A.notifications(moves, moves.filter("occurred_at % 3 = 0").select("id"), verdicts).withColumnRenamed("at", "at_us")
 
 
 @on_activity("A54_friction_records", """
