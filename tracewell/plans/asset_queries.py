@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +11,19 @@ from tracewell.operators import assets as A
 from tracewell.operators import sets
 from tracewell.plans.catalog import END, NOW, START, on_activity
 from tracewell.sources.activity import Activity
+from tracewell.streaming import jobs
+from tracewell.streaming.evaluate import Facts, evaluate
 
 
-def opportunities(a: Activity) -> DataFrame:
+def opportunities(a: Activity, files: DataFrame | None = None) -> DataFrame:
     """A session could have used an asset of its source if it touched it or ran a command."""
-    paths = a.files.select("session_id", F.col("path")).distinct()
+    paths = (a.files if files is None else files).select("session_id", F.col("path")).distinct()
     return paths.join(a.sessions.select("session_id", "source", F.col("started_at").alias("detected_at")), "session_id").select(F.concat_ws("/", "source", "path").alias("asset_id"), "session_id", "detected_at")
 
 
-def participations(a: Activity) -> DataFrame:
+def participations(a: Activity, files: DataFrame | None = None) -> DataFrame:
     """An edit is an invocation, two or more reads are a load, one read an offer."""
-    per = a.files.groupBy("session_id", "path").agg(F.count_if(F.col("action") == "edit").alias("e"), F.count_if(F.col("action") == "read").alias("r"), F.max("ts").alias("occurred_at"))
+    per = (a.files if files is None else files).groupBy("session_id", "path").agg(F.count_if(F.col("action") == "edit").alias("e"), F.count_if(F.col("action") == "read").alias("r"), F.max("ts").alias("occurred_at"))
     signal = F.when(F.col("e") > 0, "invoked").when(F.col("r") > 1, "loaded")
     rows = per.withColumn("signal", signal).filter("signal is not null").join(a.sessions.select("session_id", "source"), "session_id")
     return rows.select(F.concat_ws("/", "source", "path").alias("asset_id"), "session_id", "signal", F.col("signal").alias("level"), "occurred_at")
@@ -68,19 +72,36 @@ def _(a):
     return A.sparkline(points, by=["asset_id"], at="detected_at", hit=F.coalesce("did", F.lit(False)), start=START, end=END)
 
 
-def judged(a: Activity) -> DataFrame:
-    did = participations(a).select("asset_id", "session_id").distinct().withColumn("did", F.lit(True))
-    return opportunities(a).join(did, ["asset_id", "session_id"], "left").withColumn("participated", F.coalesce("did", F.lit(False)))
+def judged(a: Activity, files: DataFrame | None = None) -> DataFrame:
+    did = participations(a, files).select("asset_id", "session_id").distinct().withColumn("did", F.lit(True))
+    return opportunities(a, files).join(did, ["asset_id", "session_id"], "left").withColumn("participated", F.coalesce("did", F.lit(False)))
 
 
-@on_activity("W5_silence", FACTS_SQL + """
+SILENCE_SQL = FACTS_SQL + """
 , g AS (SELECT asset_id, count(*) FILTER (i > 8) AS history, count(*) FILTER (i > 8 AND participated) AS history_hits, count(*) FILTER (i <= 8) AS recent, 0::BIGINT AS recent_unknown, count(*) FILTER (i <= 8 AND participated) AS recent_hits FROM op GROUP BY asset_id),
 r AS (SELECT *, CASE WHEN history < 5 THEN 'too_little_history' WHEN history_hits < 0.3 * history THEN 'rate_was_low' WHEN recent < 8 THEN 'too_few_recent' WHEN recent_hits > 0 THEN 'took_part' ELSE 'silent' END AS reason FROM g)
-SELECT *, reason = 'silent' AS triggered FROM r""")
+SELECT *, reason = 'silent' AS triggered FROM r"""
+
+
+@on_activity("W5_silence", SILENCE_SQL)
 def _(a):
     return A.silence(judged(a))
 
 
+@on_activity("U2_incremental_verdicts", SILENCE_SQL)
+def _(a):
+    """Silence by passes: all assets after the first half of the facts, then twice only those with new facts."""
+    store = jobs.Store(a.spark, jobs.shared_path(a.spark, "verdicts"), parts=16, key="asset_id")
+    touched = a.files.join(a.sessions.select("session_id", "source"), "session_id").withColumn("asset_id", F.concat_ws("/", "source", "path"))
+    half = a.files.agg(F.expr("approx_percentile(event_id, array(0.5, 0.98))").alias("at")).first()["at"] or [0, 0]
+    for minutes, most in enumerate([F.col("event_id") <= half[0], F.col("event_id") <= half[1], F.lit(True)]):
+        rows = touched.filter(most)
+        judge = lambda wanted, facts: A.silence(judged(a, facts["files"].drop("source", "asset_id")).join(wanted, "asset_id", "left_semi"))
+        evaluate(store, rows.select("asset_id"), {"files": Facts(rows, "event_id")}, judge, as_of=NOW + timedelta(minutes=10 * minutes))
+    found = store.load("verdicts")
+    return A.silence(judged(a)).limit(0) if found is None else found.drop("_part")
+
+
 @on_activity("W6_degradation", FACTS_SQL + ", g AS (SELECT asset_id, count(*) FILTER (i <= 5) AS n, count(*) FILTER (i <= 5 AND participated) AS h, count(*) FILTER (i > 5) AS bn, count(*) FILTER (i > 5 AND participated) AS bh FROM op GROUP BY asset_id) SELECT *, n >= 5 AND bn > 0 AND h * bn * 2 < bh * n AS triggered FROM g")
 def _(a):
     return A.degradation(judged(a))

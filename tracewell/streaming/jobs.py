@@ -18,6 +18,8 @@ from tracewell.sources.transcripts import in_order, numbered_lines, parse, place
 
 #: Parts into which stored tables are cut by session.
 PARTS = 256
+#: The entry of a list that holds its notes.
+NOTES = ".notes"
 #: Lists of parts that stay readable beside the one in force.
 KEPT = 2
 
@@ -29,14 +31,15 @@ class Store:
     small list of the folders in force, which appears under its number in one
     step. A driver that is lost before that leaves everything as it was, one lost
     after it has the batch done; the next batch clears what no list names.
-    One writer at a time: a second one that takes the same number fails.
+    One writer at a time: a second one that takes the same number fails. The list
+    may carry notes (short strings), so that they hold exactly as long as the rows do.
     """
 
-    def __init__(self, spark: SparkSession, root: str, parts: int = PARTS):
-        self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
+    def __init__(self, spark: SparkSession, root: str, parts: int = PARTS, key: str = "session_id"):
+        self.spark, self.root, self.parts, self.key = spark, root.rstrip("/"), parts, key
 
     def part(self) -> Column:
-        return F.pmod(F.xxhash64("session_id"), F.lit(self.parts)).cast("int")
+        return F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")
 
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -58,11 +61,17 @@ class Store:
         finally:
             stream.close()
 
-    def in_force(self) -> dict[str, dict[str, str]]:
-        """table -> part -> folder; at most as many entries as there are parts."""
+    def _newest(self) -> dict[str, dict[str, str]]:
         numbers = self._numbers()
         return self._listed(numbers[-1]) if numbers else {}
 
+    def in_force(self) -> dict[str, dict[str, str]]:
+        """table -> part -> folder; at most as many entries as there are parts."""
+        return {table: held for table, held in self._newest().items() if table != NOTES}
+
+    def notes(self) -> dict[str, str]:
+        return self._newest().get(NOTES, {})
+
     def load(self, name: str, parts: list[int] | None = None) -> DataFrame | None:
         """The table, or those of its parts; None where nothing of it has been saved."""
         held = self.in_force().get(name, {})
@@ -77,15 +86,15 @@ class Store:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def save(self, tables: dict[str, DataFrame]) -> None:
-        """Replaces the parts that each of ``tables`` has rows in, those of all tables at once."""
-        before, written = self.in_force(), {}
+    def save(self, tables: dict[str, DataFrame], *, whole: bool = False, notes: dict[str, str] | None = None) -> None:
+        """Replaces the parts that each of ``tables`` has rows in (``whole``: all its parts), those of all tables at once, and the notes if there are any."""
+        before, written = self._newest(), {}
         for name, rows in tables.items():
             folder = f"{name}/{uuid.uuid4().hex}"
             rows.withColumn("_part", self.part()).repartition("_part").write.partitionBy("_part").parquet(f"{self.root}/{folder}")
             new = {n.removeprefix("_part="): f"{folder}/{n}" for n in self._names(folder) if n.startswith("_part=")}
-            written[name] = before.get(name, {}) | new
-        self._swap(before | written)
+            written[name] = new if whole else before.get(name, {}) | new
+        self._swap(before | written | ({} if notes is None else {NOTES: notes}))
         self._clear()
 
     def _swap(self, listed: dict[str, dict[str, str]]) -> None:
@@ -103,7 +112,7 @@ class Store:
         numbers = self._numbers()
         for n in numbers[:-KEPT]:
             self._files().delete(self._path(f"in-force/{n:012d}.json"), False)
-        named = {f for n in numbers[-KEPT:] for held in self._listed(n).values() for f in held.values()}
+        named = {f for n in numbers[-KEPT:] for table, held in self._listed(n).items() if table != NOTES for f in held.values()}
         for table in {f.split("/")[0] for f in named}:
             for folder in self._names(table):
                 for part in self._names(f"{table}/{folder}"):
