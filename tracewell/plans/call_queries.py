@@ -22,14 +22,28 @@ def _(read):
     return read("conversations").filter("text is not null").select("conv_id", "turn", F.explode(C.commands_of(given)).alias("command"))
 
 
-@on_activity("H11_files_of_calls", """
-SELECT event_id, '/w/f' || k AS path, 'read' AS action FROM v_events WHERE event_type = 'view' AND k % 2 = 0
-UNION ALL SELECT event_id, '/abs/g' || k, 'edit' FROM v_events WHERE event_type = 'view' AND k % 2 = 1 UNION ALL SELECT event_id, '/w/n' || k, 'write' FROM v_events WHERE event_type = 'view' AND k % 2 = 1""")
-def _(a):
-    k = F.col("k").cast("string")
-    given = F.when(F.col("k") % 2 == 0, F.concat(F.lit('{"file_path": "f'), k, F.lit('"}'))).otherwise(F.concat(F.lit("*** Begin Patch\n*** Update File: /abs/g"), k, F.lit("\n-a\n+b\n*** Add File: n"), k, F.lit("\n+c")))
-    tool = F.when(F.col("k") % 2 == 0, "Read").otherwise("apply_patch")
-    return a.events.filter("event_type = 'view'").select("event_id", F.explode(C.files_of(tool, given, F.lit("/w/"))).alias("f")).select("event_id", "f.path", "f.action")
+#: Tools, fields of a call, heads of a patch and beginnings of a path, known ones and others.
+FILE_TOOLS = ["Read", "EDIT", "MultiEdit", "NotebookEdit", "Write", "Bash", "apply_patch", "Reader"]
+FIELDS = ["file_path", "notebook_path", "path", "file", "Path"]
+PATCHES = ["*** Update File: ", "*** Add File: ", "*** Delete File: ", "** Update File: ", "*** Move File: ", " *** Add File: ", "*** Update File:  "]
+ROOTS = ["/abs/", "rel/", "", "./"]
+
+
+@on_tables("H11_files_of_calls", f"""
+WITH c AS (SELECT doc_id, lower({inputs.chosen_sql("doc_id", FILE_TOOLS)}) AS tool, {inputs.chosen_sql("doc_id", FIELDS, 2)} AS field, {inputs.chosen_sql("doc_id", ROOTS, 3)} || coalesce(source, '') || doc_id AS path, doc_id // 8 % 2 = 0 AS one,
+    {inputs.chosen_sql("doc_id", PATCHES)} AS head, {inputs.chosen_sql("doc_id", PATCHES, 7)} AS later, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(head || path || chr(10) || text || chr(10) || later || path || '.b', chr(10))) AS line FROM c WHERE NOT one),
+f AS (SELECT doc_id, trim(split_part(line, 'File:', 2)) AS path, CASE line[5] WHEN 'U' THEN 'edit' WHEN 'A' THEN 'write' ELSE 'delete' END AS action FROM l WHERE regexp_matches(line, '^[*][*][*] (Update|Add|Delete) File: .')
+    UNION ALL SELECT doc_id, path, CASE tool WHEN 'read' THEN 'read' WHEN 'write' THEN 'write' ELSE 'edit' END FROM c WHERE one AND field IN ('file_path', 'notebook_path', 'path') AND tool IN ('read', 'edit', 'multiedit', 'notebookedit', 'write'))
+SELECT doc_id, CASE WHEN starts_with(path, '/') THEN path ELSE '/w/' || path END AS path, action FROM f""")
+def _(read):
+    """Calls with a document's whole text as content or between the heads of a patch."""
+    pick, t = inputs.chosen, F.coalesce("text", F.lit(""))
+    path = F.concat(pick("doc_id", ROOTS, 3), F.coalesce("source", F.lit("")), F.col("doc_id").cast("string"))
+    fields = F.to_json(F.create_map(F.lit("content"), t, pick("doc_id", FIELDS, 2), path))
+    patch = F.concat(pick("doc_id", PATCHES), path, F.lit("\n"), t, F.lit("\n"), pick("doc_id", PATCHES, 7), path, F.lit(".b"))
+    given = F.when(F.floor(F.col("doc_id") / 8) % 2 == 0, fields).otherwise(patch)
+    return read("documents").select("doc_id", F.explode(C.files_of(pick("doc_id", FILE_TOOLS), given, F.lit("/w/"))).alias("f")).select("doc_id", "f.path", "f.action")
 
 
 @on_tables("H12_line_changes", """
