@@ -116,3 +116,12 @@ def test_hints(spark):
     kind = lambda s: one(spark, rules.hint_kind(F.lit(s)))
     assert kind("user_interrupt|x|command not found") == "user_stopped"
     assert kind("nonzero_exit|bash|rg exit 2") == "tool_misuse" and kind("x|y|exit 137") == "environment" and kind("a|b|c") is None
+
+
+def test_long_texts_do_not_deepen_the_stack(spark):
+    from tracewell.operators import calls
+
+    long = "a b\\" + "n" + "x" * 500_000
+    assert one(spark, F.length(F.get(calls.commands_of(F.lit(f'cmd: "{long}" rest')), 0))) == len(long) - 1
+    assert one(spark, F.size(calls.commands_of(F.lit(f'cmd: "{long}')))) == 0
+    assert one(spark, text.is_divider(F.lit("=- " * 100_000 + "="))) and not one(spark, text.is_divider(F.lit("= " * 100_000 + "a")))

@@ -47,7 +47,7 @@ def content_lines(text: Column) -> Column:
 
 def is_divider(line: Column) -> Column:
     t = F.trim(line)
-    return (F.length(t) >= 3) & (t.rlike(rf"^(?:{DIVIDER}| )+$") | t.rlike(rf"^({DIVIDER})\1\1.*({DIVIDER})\2\2$"))
+    return (F.length(t) >= 3) & (t.rlike(rf"^(?:{DIVIDER}| )++$") | t.rlike(rf"^({DIVIDER})\1\1.*({DIVIDER})\2\2$"))
 
 
 def is_wrapper(line: Column) -> Column:

@@ -16,7 +16,7 @@ OPAQUE_ID = r"^(?:call_|toolu_|fc_)[A-Za-z0-9_]+$"
 def commands_of(tool_input: Column) -> Column:
     """The commands of a call: a JSON field, else ``cmd:`` literals of a script, else none."""
     field = F.coalesce(*[F.get_json_object(tool_input, f"$.{k}") for k in ("command", "cmd", "script")])
-    script = F.regexp_extract_all(tool_input, F.lit(r'cmd:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    script = F.regexp_extract_all(tool_input, F.lit(r'cmd:\s*"((?:[^"\\]++|\\.)*+)"'), F.lit(1))
     clean = F.transform(script, lambda c: F.replace(F.replace(c, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")))
     return F.when(field.isNotNull(), F.array(field)).otherwise(F.coalesce(clean, F.array().cast("array<string>")))
 
