@@ -613,6 +613,19 @@ def test_cached_pieces_give_the_tokenizer_ids():
         assert np.frombuffer(enc.ids(text), "<u4").tolist() == [*enc.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_pieces_of_many_texts_are_those_of_the_pattern():
+    """Texts looked up together: borders of pieces, pieces of over 8 and 16 bytes, a table that is full, and odd texts between plain ones."""
+    rng = np.random.default_rng(5)
+    parts = [*"aZé ß\t\n\r\v\f 019.,'\"-ÑɏÀ  \x01\x7f", "'s", "'re", " 'll", "'ve", "'tis", "n't", "  ", " a", "longerthan16bytesword" * 2, "abcdefgh", "abcdefghijklmnop", "ÉÈÊÇéèêç", "<|endoftext|>", "\x00", "×", "日本", "\xa0", "'"]
+    texts = [None, "", " ", "'", "'s", "x's"] + ["".join(rng.choice(parts, rng.integers(1, 30), p=np.append(np.full(len(parts) - 6, 0.995 / (len(parts) - 6)), np.full(6, 0.005 / 6)))) for _ in range(3000)]
+    enc = tokens.Encoder(tokens.tokenizer_path(), kept_pieces=300)
+    enc.TOGETHER = 2000
+    for _ in range(2):
+        for text, got in zip(texts, enc.many(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == [*enc.encode(text or "", add_special_tokens=False).ids, 2], text
+    assert len(enc.ends) <= 300 + 2000
+
+
 def test_files_read_back_in_order(spark):
     docs = frame(spark, [(i * 7 % 101, " ".join(words(i % 40, i)), "a") for i in range(101)])
     got = idcodec.write_and_read(docs).orderBy("key").collect()

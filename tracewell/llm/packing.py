@@ -199,8 +199,7 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None =
         enc = encoder(path)
         for b in batches:
             which, out = [], []
-            for i, t in enumerate(b.column(1)):
-                ids = enc.ids(t.as_py())
+            for i, ids in enumerate(enc.many(b.column(1).to_pylist())):
                 n = len(ids) // 4
                 head = n % capacity or capacity if n > capacity else n
                 at = 0
