@@ -411,8 +411,8 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, key: str
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(keys[0].type)), pa.array([encode_segment(held)], pa.binary())], names=["part", "segment", "ids_before", "n_ids", "keys", "data"])
 
         for b in batches:
-            for i, t in enumerate(b.column(1)):
-                held.append(enc.ids(t.as_py()))
+            for i, ids in enumerate(enc.many(b.column(1).to_pylist())):
+                held.append(ids)
                 keys.append(b.column(0).slice(i, 1))
                 n += len(held[-1]) // 4
                 if n >= SEGMENT:
