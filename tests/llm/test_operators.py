@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import fingerprints, idcodec, licenses, mixing, neardup, neighbours, packing, quality, queries, secrets, tokens, toxicity
+from tracewell.llm import fingerprints, idcodec, licenses, mixing, neardup, neighbours, packing, quality, queries, secrets, tables, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, blob string, spans string, size int"
 
@@ -518,6 +518,28 @@ def test_chains_in_a_large_bucket_are_one_class(spark):
     assert {r["class_id"] for r in got} == {0}
 
 
+def test_near_copies_make_rows_for_their_differences_only(spark, monkeypatch):
+    """Copies of one text with a few items of their own, and pairs of them that share more: all are linked, and no table holds their items row by row."""
+    rng = np.random.default_rng(17)
+    base, sets = rng.choice(2**32, 400, replace=False), []
+    for _ in range(40):
+        page = np.concatenate((base, rng.choice(2**32, 68, replace=False)))
+        sets += [page, np.concatenate((page[:428], rng.choice(2**32, 40, replace=False)))]
+    items = spark.createDataFrame([(i, bytearray(np.sort(x.astype("<u4")).tobytes())) for i, x in enumerate(sets)], "id long, items binary")
+    rows = {}
+
+    def counted(df, name, keep=tables.stored):
+        got = keep(df, name)
+        rows[name] = got.count()
+        return got
+
+    monkeypatch.setattr(neardup, "stored", counted)
+    labels = spark.createDataFrame([], "id long, label long")
+    links = {(r["a"], r["b"]) for r in neardup.by_differences(items.select(F.lit(1).cast("long").alias("bucket"), "id"), items, labels, 0.84).collect()}
+    assert links == {(2 * g, 2 * g + 1) for g in range(40)}
+    assert max(rows.values()) < 0.3 * sum(map(len, sets))
+
+
 def test_alike_links_as_all_pairs_do():
     rng = np.random.default_rng(3)
     for _ in range(50):

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.tables import scratch, stored, text_or_empty
+from tracewell.llm.tables import partitions, scratch, stored, text_or_empty
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -257,16 +257,17 @@ def _differences(least: float):
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, whole, f, less = [], [], [], []
+            size, whole, f, less, more = [], [], [], [], []
             for raw, most, lack in zip(*(b.column(k) for k in range(2, 5)), strict=True):
                 own = np.unique(np.frombuffer(raw.as_py(), "<u4")).astype(np.int64)
                 most, lack = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in (most, lack))
                 gone = ~np.isin(most, own)
                 less.append((most[gone], lack[gone]))
+                more.append(own[~np.isin(own, most)])
                 size.append(len(own) - len(most) + 2 * int(gone.sum()))
                 whole.append(len(own))
                 f.append(size[-1] - share * whole[-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(whole, pa.int64()), pa.array(f, pa.float64()), _pairs(less)], names=["bucket", "id", "size", "whole", "f", "gone"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(whole, pa.int64()), pa.array(f, pa.float64()), _pairs(less), pa.array(more, pa.list_(pa.int64()))], names=["bucket", "id", "size", "whole", "f", "gone", "more"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -294,6 +295,29 @@ def _differences(least: float):
     return differ, post
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that hold each item, by (bucket, item), of some millions of items at a time."""
+
+    def counted() -> pa.RecordBatch:
+        of, item = np.repeat(buckets, [len(x) for x in held]), np.concatenate(held)
+        order = np.lexsort((item, of))
+        of, item = of[order], item[order]
+        first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (item[1:] != item[:-1]))))
+        return pa.RecordBatch.from_arrays([pa.array(of[first], pa.int64()), pa.array(item[first].astype(np.int64)), pa.array(np.diff(np.append(first, len(of))), pa.int64())], names=["bucket", "item", "c"])
+
+    buckets, held, n = [], [], 0
+    for b in batches:
+        for bucket, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            buckets.append(bucket)
+            held.append(np.unique(np.frombuffer(raw.as_py(), "<u4")))
+            n += len(held[-1])
+            if n >= 4_000_000:
+                yield counted()
+                buckets, held, n = [], [], 0
+    if n:
+        yield counted()
+
+
 def by_differences(members: DataFrame, items: DataFrame, labels: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Links (a < b) that, beside ``labels`` (id, label: what is linked already), join all texts of a bucket (bucket, id) that chains of similar ones of it join: an exact way.
 
@@ -312,29 +336,24 @@ def by_differences(members: DataFrame, items: DataFrame, labels: DataFrame, leas
     """
     differ, post = _differences(least)
     sets = items.select("id", F.col("items").alias("raw"))
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, x in enumerate(b.column(2)):
-                got = np.unique(np.frombuffer(x.as_py(), "<u4")).astype(np.int64)
-                take = pa.array(np.full(len(got), i))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(got)], names=["bucket", "id", "item"])
+    tasks = partitions(items.sparkSession)
 
     found: DataFrame | None = None
     rows = stored(buckets_of(members.select("bucket", "id")), "near-join0")
     level = 0
     while True:
-        held = rows.join(sets, "id")
-        every = stored(held.select("bucket", "id", "raw").mapInArrow(spread, "bucket long, id long, item long"), f"near-every{level}")
-        counts = every.groupBy("bucket", "item").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+        # Dealt anew: few bytes, in few files, stand for much work.
+        held = rows.join(sets, "id").repartition(tasks, "id")
+        # Counted where the texts lie, so that what near copies have in common makes few rows.
+        counts = held.select("bucket", "raw").mapInArrow(_tally, "bucket long, item long, c long").groupBy("bucket", "item").agg(F.sum("c").alias("c")).filter("c > 1")
         counts = stored(counts.join(rows.select("bucket", "n").distinct(), "bucket"), f"near-counts{level}")
         usual, several = counts.filter(F.col("c") * 2 > F.col("n")), counts.filter(F.col("c") * 2 <= F.col("n")).select("bucket", "item", "c")
         common = stored(usual.groupBy("bucket").agg(F.collect_list(F.struct("item", (F.col("n") - F.col("c")).alias("c"))).alias("m")), f"near-common{level}")
         none = F.array().cast("array<bigint>")
         told = held.join(common, "bucket", "left").select("bucket", "id", "raw", F.coalesce(F.col("m")["item"], none).alias("most"), F.coalesce(F.col("m")["c"], none).alias("lack"))
-        apart = stored(told.mapInArrow(differ, "bucket long, id long, size long, whole long, f double, gone array<struct<item:bigint,c:bigint>>"), f"near-apart{level}")
+        apart = stored(told.mapInArrow(differ, "bucket long, id long, size long, whole long, f double, gone array<struct<item:bigint,c:bigint>>, more array<bigint>"), f"near-apart{level}")
         # Of what texts hold beside the majority, that which several hold.
-        met = every.join(several, ["bucket", "item"]).groupBy("bucket", "id").agg(F.collect_list(F.struct("item", "c")).alias("met"))
+        met = apart.select("bucket", "id", "more").repartition(tasks, "id").select("bucket", "id", F.explode("more").alias("item")).join(several, ["bucket", "item"]).groupBy("bucket", "id").agg(F.collect_list(F.struct("item", "c")).alias("met"))
         nearest = apart.groupBy("bucket").agg(F.min("f").alias("lowest"), F.max("whole").alias("largest"), F.min_by("id", F.struct("f", "id")).alias("z"))
         of = apart.join(nearest, "bucket")
         near = of.filter((F.col("f") + F.col("lowest") <= 1e-9) & (F.col("id") != F.col("z"))).select(F.least("id", "z").alias("a"), F.greatest("id", "z").alias("b"))
