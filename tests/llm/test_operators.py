@@ -540,6 +540,39 @@ def test_near_copies_make_rows_for_their_differences_only(spark, monkeypatch):
     assert max(rows.values()) < 0.3 * sum(map(len, sets))
 
 
+def test_items_that_one_text_holds_alone_make_no_rows(spark, monkeypatch):
+    """Texts on one passage, each with many items of its own, and pairs of them with some in common: only these are listed."""
+    rng = np.random.default_rng(19)
+    base, sets = rng.choice(2**32, 300, replace=False), []
+    for _ in range(60):
+        both = rng.choice(2**32, 20, replace=False)
+        sets += [np.concatenate((base, both, rng.choice(2**32, 70, replace=False))) for _ in range(2)]
+    items = spark.createDataFrame([(i, bytearray(np.sort(x.astype("<u4")).tobytes())) for i, x in enumerate(sets)], "id long, items binary")
+    listed = []
+
+    def counted(df, name, keep=tables.stored):
+        got = keep(df, name)
+        if name.startswith("near-apart"):
+            listed.append(got.agg(F.sum(F.size("more"))).first()[0])
+        return got
+
+    monkeypatch.setattr(neardup, "stored", counted)
+    labels = spark.createDataFrame([], "id long, label long")
+    links = {(r["a"], r["b"]) for r in neardup.by_differences(items.select(F.lit(1).cast("long").alias("bucket"), "id"), items, labels, 0.69).collect()}
+    assert links == {(2 * g, 2 * g + 1) for g in range(60)}
+    assert 20 * 120 <= listed[0] <= 20 * 120 + 50
+
+
+def test_items_are_counted_by_bucket(spark):
+    rng = np.random.default_rng(23)
+    sets = [np.unique(rng.integers(0, 300, 40)).astype("<u4") for _ in range(50)]
+    want = Counter((i % 3, int(x)) for i, held in enumerate(sets) for x in held)
+    held = spark.createDataFrame([(i % 3, bytearray(x.tobytes())) for i, x in enumerate(sets)], "bucket long, raw binary").repartition(4)
+    got = neardup.tallied(held).collect()
+    assert {(r["bucket"], r["item"]): r["c"] for r in got} == {k: c for k, c in want.items() if c > 1} and len(got) < len(want)
+    assert neardup.tallied(held.limit(0)).count() == 0
+
+
 def test_alike_links_as_all_pairs_do():
     rng = np.random.default_rng(3)
     for _ in range(50):

@@ -23,6 +23,7 @@ copies; whole texts count, however long; other columns are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Texts in a bucket up to which all its pairs are compared, and texts of the smaller side of two that are; larger ones go by leaders and the exact join.
 PAIRWISE = 32
+#: Bits of the table by which items that one text alone holds are left out before rows are made of the others.
+MARKS = 1 << 24
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -251,11 +254,25 @@ def _pairs(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, ["item", "c"]))
 
 
+def marks(several: DataFrame) -> np.ndarray:
+    """Table of ``MARKS`` bits with those of all items in ``several``; items that share a bit with one of them pass too. At most MARKS / 64 rows come to the driver."""
+    at = F.col("item").bitwiseAND(MARKS - 1)
+    words = several.groupBy(F.shiftright(at, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(item & 63)))").alias("bits")).toArrow()
+    got = np.zeros(MARKS // 64, np.int64)
+    got[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return got.view(np.uint8)
+
+
+def _marked(bits: np.ndarray, items: np.ndarray) -> np.ndarray:
+    at = items & (MARKS - 1)
+    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+
+
 def _differences(least: float):
     """Functions that find, per (bucket, text), the differences from the majority, and those of them, rarest first, by which a link must show."""
     share = (1 - least) / (1 + least)
 
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def differ(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, whole, f, less, more = [], [], [], [], []
             for raw, most, lack in zip(*(b.column(k) for k in range(2, 5)), strict=True):
@@ -263,7 +280,8 @@ def _differences(least: float):
                 most, lack = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in (most, lack))
                 gone = ~np.isin(most, own)
                 less.append((most[gone], lack[gone]))
-                more.append(own[~np.isin(own, most)])
+                shared = own[_marked(bits, own)]
+                more.append(shared[~np.isin(shared, most)])
                 size.append(len(own) - len(most) + 2 * int(gone.sum()))
                 whole.append(len(own))
                 f.append(size[-1] - share * whole[-1])
@@ -295,27 +313,51 @@ def _differences(least: float):
     return differ, post
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts that hold each item, by (bucket, item), of some millions of items at a time."""
+def _summed(bucket: np.ndarray, item: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (bucket, item) with the sums of their counts."""
+    order = np.lexsort((item, bucket))
+    bucket, item, c = bucket[order], item[order], c[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(bucket)), bool), (bucket[1:] != bucket[:-1]) | (item[1:] != item[:-1]))))
+    return bucket[first], item[first], np.add.reduceat(c, first) if len(first) else c
+
+
+def tallied(held: DataFrame) -> DataFrame:
+    """(bucket, item, c) of the items that c > 1 texts of a bucket hold, from ``held`` (bucket, raw).
+
+    Counts of some millions of items at a time go as arrays, one for each part of
+    the hashes of (bucket, item), and are added up part by part; so an item that
+    one text holds alone makes no row.
+    """
+    parts = partitions(held.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            keys = np.repeat(np.asarray(buckets, np.int64), [len(x) for x in sets]), np.concatenate(sets)
+            bucket, item, c = _summed(*keys, np.ones(len(keys[0]), np.int64))
+            part = (_mix(bucket.view(_U) * _U(_P) + item.astype(_U)) % _U(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            there, at = np.unique(part[order], return_index=True)
+            cut = [[x.tobytes() for x in np.split(col[order].astype(kind), at[1:])] for col, kind in ((bucket, "<i8"), (item, "<u4"), (c, "<i8"))]
+            return pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), *(pa.array(x, pa.binary()) for x in cut)], names=["part", "buckets", "items", "cs"])
+
+        buckets, sets, n = [], [], 0
+        for b in batches:
+            for bucket, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                buckets.append(bucket)
+                sets.append(np.unique(np.frombuffer(raw.as_py(), "<u4")))
+                n += len(sets[-1])
+                if n >= 4_000_000:
+                    yield counted()
+                    buckets, sets, n = [], [], 0
+        if n:
+            yield counted()
 
-    def counted() -> pa.RecordBatch:
-        of, item = np.repeat(buckets, [len(x) for x in held]), np.concatenate(held)
-        order = np.lexsort((item, of))
-        of, item = of[order], item[order]
-        first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (item[1:] != item[:-1]))))
-        return pa.RecordBatch.from_arrays([pa.array(of[first], pa.int64()), pa.array(item[first].astype(np.int64)), pa.array(np.diff(np.append(first, len(of))), pa.int64())], names=["bucket", "item", "c"])
+    def add(one: pa.Table) -> pa.Table:
+        columns = [np.frombuffer(b"".join(one.column(k).to_pylist()), kind) for k, kind in (("buckets", "<i8"), ("items", "<u4"), ("cs", "<i8"))]
+        bucket, item, c = _summed(*columns)
+        return pa.table({"bucket": bucket[c > 1], "item": item[c > 1].astype(np.int64), "c": c[c > 1]})
 
-    buckets, held, n = [], [], 0
-    for b in batches:
-        for bucket, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            buckets.append(bucket)
-            held.append(np.unique(np.frombuffer(raw.as_py(), "<u4")))
-            n += len(held[-1])
-            if n >= 4_000_000:
-                yield counted()
-                buckets, held, n = [], [], 0
-    if n:
-        yield counted()
+    return held.select("bucket", "raw").mapInArrow(count, "part long, buckets binary, items binary, cs binary").groupBy("part").applyInArrow(add, "bucket long, item long, c long")
 
 
 def by_differences(members: DataFrame, items: DataFrame, labels: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -344,15 +386,14 @@ def by_differences(members: DataFrame, items: DataFrame, labels: DataFrame, leas
     while True:
         # Dealt anew: few bytes, in few files, stand for much work.
         held = rows.join(sets, "id").repartition(tasks, "id")
-        # Counted where the texts lie, so that what near copies have in common makes few rows.
-        counts = held.select("bucket", "raw").mapInArrow(_tally, "bucket long, item long, c long").groupBy("bucket", "item").agg(F.sum("c").alias("c")).filter("c > 1")
-        counts = stored(counts.join(rows.select("bucket", "n").distinct(), "bucket"), f"near-counts{level}")
+        counts = stored(tallied(held).join(rows.select("bucket", "n").distinct(), "bucket"), f"near-counts{level}")
         usual, several = counts.filter(F.col("c") * 2 > F.col("n")), counts.filter(F.col("c") * 2 <= F.col("n")).select("bucket", "item", "c")
         common = stored(usual.groupBy("bucket").agg(F.collect_list(F.struct("item", (F.col("n") - F.col("c")).alias("c"))).alias("m")), f"near-common{level}")
         none = F.array().cast("array<bigint>")
         told = held.join(common, "bucket", "left").select("bucket", "id", "raw", F.coalesce(F.col("m")["item"], none).alias("most"), F.coalesce(F.col("m")["c"], none).alias("lack"))
-        apart = stored(told.mapInArrow(differ, "bucket long, id long, size long, whole long, f double, gone array<struct<item:bigint,c:bigint>>, more array<bigint>"), f"near-apart{level}")
-        # Of what texts hold beside the majority, that which several hold.
+        bits = marks(several)
+        apart = stored(told.mapInArrow(partial(differ, bits=bits), "bucket long, id long, size long, whole long, f double, gone array<struct<item:bigint,c:bigint>>, more array<bigint>"), f"near-apart{level}")
+        # Of what texts hold beside the majority, that which several hold: what one alone holds is left out by its bit already, but for few, and those by the join.
         met = apart.select("bucket", "id", "more").repartition(tasks, "id").select("bucket", "id", F.explode("more").alias("item")).join(several, ["bucket", "item"]).groupBy("bucket", "id").agg(F.collect_list(F.struct("item", "c")).alias("met"))
         nearest = apart.groupBy("bucket").agg(F.min("f").alias("lowest"), F.max("whole").alias("largest"), F.min_by("id", F.struct("f", "id")).alias("z"))
         of = apart.join(nearest, "bucket")
