@@ -705,6 +705,19 @@ def test_probing_retrieves_every_code_within_the_radius():
             assert index.within(q, radius).tolist() == np.flatnonzero(np.bitwise_count(subs ^ q).sum(1) <= radius).tolist()
 
 
+def test_no_row_is_scored_twice_as_the_radius_grows(monkeypatch):
+    """What the index gives for all radii of a query are the rows that are reranked, each once; equal vectors tie wherever they stand."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 70))
+    x[1500:1600] = x[7]
+    given, within = [], neighbours.MultiIndex.within
+    monkeypatch.setattr(neighbours.MultiIndex, "within", lambda *a: given.append(within(*a)) or given[-1])
+    names = np.arange(5000, 5040)
+    got, probed = neighbours.nearest(np.arange(2000)[::-1], x, names, x[:40] + 0.01, neighbours.learn_rotation(x), 18, 20)
+    assert sum(map(len, given)) == probed and len(given) > 2 * len(names)
+    assert got[7][0].tolist() == list(range(1599, 1579, -1)) and len(set(got[7][1].tolist())) == 1
+
+
 def test_search_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 32))

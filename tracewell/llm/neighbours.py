@@ -78,28 +78,39 @@ def _balls(radius: int) -> list[np.ndarray]:
 
 
 class MultiIndex:
-    """One index for each substring: rows in the order of their values."""
+    """One index for each substring: the rows of each of its values, as bits."""
 
     def __init__(self, subs: np.ndarray):
-        self.subs = subs.astype(np.uint8)
-        self.order = [np.argsort(s, kind="stable") for s in self.subs.T]
-        self.begin = [np.searchsorted(s[o], np.arange((1 << SUBSTRING) + 1)) for s, o in zip(self.subs.T, self.order, strict=True)]
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose codes differ from ``code`` in at most ``radius`` bits."""
-        m = self.subs.shape[1]
-        each, more = divmod(radius, m)
-        hit = np.zeros(len(self.subs), bool)
+        self.rows, self.places = subs.shape
+        self.each = np.arange(self.places)
+        self.words = self._words(subs)
+        of = subs.T[:, None, :] == np.arange(1 << SUBSTRING)[:, None]
+        #: By distance, substring and value: the rows within that distance of the value; distances as they are asked for.
+        self.near = {0: np.packbits(of, axis=2)}
+
+    @staticmethod
+    def _words(subs: np.ndarray) -> np.ndarray:
+        """Codes as 64-bit numbers (rows x numbers)."""
+        pad = np.pad(subs.astype(np.uint64), ((0, 0), (0, -subs.shape[1] % (64 // SUBSTRING))))
+        return np.bitwise_or.reduce(pad.reshape(len(subs), -1, 64 // SUBSTRING) << np.arange(0, 64, SUBSTRING, dtype=np.uint64), axis=2)
+
+    def _within(self, distance: int) -> np.ndarray:
+        if distance not in self.near:
+            self.near[distance] = np.stack([np.bitwise_or.reduce(self.near[0][:, ball], axis=1) for ball in _balls(distance)], axis=1)
+        return self.near[distance]
+
+    def within(self, code: np.ndarray, radius: int, beyond: int = -1) -> np.ndarray:
+        """Rows whose codes differ from ``code`` in at most ``radius`` bits, and in more than ``beyond``."""
         # By the pigeonhole principle: within ``each`` bits in one of the first more + 1 substrings, or within each - 1 in another.
-        for k in range(m):
-            r = each if k <= more else each - 1
-            if r < 0:
-                continue
-            for v in _balls(r)[code[k]]:
-                hit[self.order[k][self.begin[k][v] : self.begin[k][v + 1]]] = True
-        rows = np.flatnonzero(hit)
-        apart = np.bitwise_count(self.subs[rows] ^ code).sum(1)
-        return rows[apart <= radius]
+        each, more = divmod(radius, self.places)
+        some = self.each[: more + 1]
+        hit = np.bitwise_or.reduce(self._within(each)[some, code[some]], axis=0)
+        if each and more + 1 < self.places:
+            some = self.each[more + 1 :]
+            hit |= np.bitwise_or.reduce(self._within(each - 1)[some, code[some]], axis=0)
+        rows = np.flatnonzero(np.unpackbits(hit, count=self.rows).view(bool))
+        apart = np.bitwise_count(self.words.take(rows, axis=0) ^ self._words(code[None])).sum(1, dtype=np.int64) if self.words.shape[1] > 1 else np.bitwise_count(self.words[:, 0].take(rows) ^ self._words(code[None])[0, 0])
+        return rows[(apart <= radius) & (apart > beyond) if beyond >= 0 else apart <= radius]
 
 
 def reaches(score: float, norms: float, bits: int) -> int:
@@ -121,38 +132,45 @@ def nearest(ids: np.ndarray, x: np.ndarray, names: np.ndarray, y: np.ndarray, le
     subs, asked_codes = codes(x, mean, rotation), codes(y, 0.0, rotation).astype(np.uint8)
     bits = subs.shape[1] * SUBSTRING
     norm = np.linalg.norm(x - mean, axis=1)
+    top_norm = np.linalg.norm(x, axis=1).max()
     with np.errstate(divide="ignore"):
         band = np.clip(np.nan_to_num(-np.log2(norm / max(norm.max(), 1e-300)) * BANDS_TO_HALF, posinf=BANDS), 0, BANDS - 1).astype(int)
     bands = [(norm[at].max(), at, MultiIndex(subs[at])) for at in (np.flatnonzero(band == k) for k in np.unique(band))]
     got, probed = [], 0
     for name, v, code in zip(names, y, asked_codes, strict=True):
-        length, shift, rows, least = np.linalg.norm(v), float(v @ mean), np.zeros(0, np.int64), -np.inf
+        length, shift, least = np.linalg.norm(v), float(v @ mean), -np.inf
+        rows, scores, best = [], [], np.zeros(0)
         for top, at, index in bands:  # the largest norms first
-            reach, own = start, np.zeros(0, np.int64)
+            reach, before = start, -1
             if least > -np.inf and (reach := reaches(least - shift, length * top, bits)) < 0:
                 break  # neither this band nor one of smaller norms
             while True:
                 # A band that is to be probed for more than it holds of a few rows is read whole.
                 whole = reach >= bits or len(at) <= k
-                own = at if whole else at[index.within(code, reach)]
+                # Rows within the radius before are scored already.
+                own = at[index.within(code, bits if whole else reach, before)]
                 own = own[numbers[own] != name]
-                both = np.concatenate((rows, own))
-                if len(both) >= k:
-                    least = np.partition(x[both] @ v, -k)[-k]
+                rows.append(own)
+                scores.append(x.take(own, axis=0) @ v)
+                best = np.concatenate((best, scores[-1]))
+                if len(best) >= k:
+                    best = np.partition(best, -k)[-k:]
+                    least = best[0]
                 further = reaches(least - shift, length * top, bits) if least > -np.inf else reach + max(1, bits // 16)
                 if whole or further <= reach:
                     break
-                reach = further
-            rows = both
-        if len(rows) < k:
-            rows = np.flatnonzero(numbers != name)
-        probed += len(rows)
-        score = x[rows] @ v
-        if len(rows) > k:  # all that tie with the k-th stay until ids decide
-            some = score >= np.partition(score, -k)[-k]
-            rows, score = rows[some], score[some]
-        best = np.lexsort((ids[rows], -score))[:k]
-        got.append((rows[best], score[best]))
+                reach, before = further, reach
+        own, score = np.concatenate(rows), np.concatenate(scores)
+        if len(own) < k:
+            own = np.flatnonzero(numbers != name)
+            score = x[own] @ v
+        probed += len(own)
+        if len(own) > k:  # all that tie with the k-th stay until ids decide; products may differ in their last bits
+            own = own[score >= np.partition(score, -k)[-k] - 1e-12 * length * top_norm]
+        # Summed row by row, so that equal vectors have equal scores wherever they stand.
+        score = (x.take(own, axis=0) * v).sum(1)
+        order = np.lexsort((ids[own], -score))[:k]
+        got.append((own[order], score[order]))
     return got, probed
 
 
