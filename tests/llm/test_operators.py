@@ -633,6 +633,19 @@ def test_codec_learns_and_finds_damage():
         idcodec.decode_segment(bytes(broken))
 
 
+def test_guesses_ask_order_1_without_a_search(monkeypatch):
+    """Order 2 keeps the entry of order 1 beside the id, so that order 1 is searched once for a segment and not at each step; also with one lane at a time."""
+    rng = np.random.default_rng(9)
+    raw, asked, find = [(rng.zipf(1.2, 9000) % 700).astype("<u4").tobytes() for _ in range(2)], [], idcodec.Orders.find
+    monkeypatch.setattr(idcodec.Orders, "find", lambda *a: asked.append(1) or find(*a))
+    data = idcodec.encode_segment(raw)
+    for lanes in (idcodec.LANES, 1):
+        monkeypatch.setattr(idcodec, "LANES", lanes)
+        assert idcodec.encode_segment(raw) == data
+        assert [d.astype("<u4").tobytes() for d in idcodec.decode_segment(data)] == raw
+    assert len(asked) == 3
+
+
 def test_every_damaged_byte_is_found_and_stays_in_its_block():
     rng = np.random.default_rng(2)
     ids = (rng.zipf(1.2, 5000) % 3000).astype("<u4")

@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from tracewell.llm.tables import new_path, partitions, text_or_empty
 from tracewell.llm.tokens import encoder, tokenizer_path
 
-MAGIC, VERSION = b"TWID", 2
+MAGIC, VERSION = b"TWID", 3
 #: Ids in a block, and ids from which a segment is closed.
-BLOCK, SEGMENT = 1024, 6_000_000
+BLOCK, SEGMENT = 1024, 8_000_000
 #: Lanes coded together at most; bounds the memory of the models.
-LANES = 3072
+LANES = 8192
 #: Order 1: ids at most that have followers, how often a follower must come, and the share of its context (one of so many) that it must have.
 CONTEXTS, OFTEN, SHARE = 4096, 3, 2048
 
@@ -94,6 +94,9 @@ class Orders:
         of = np.repeat(np.arange(len(each)), each)
         self.escape = np.zeros(len(of), bool)
         self.escape[self.base] = True
+        #: What an entry, or an id by order 0, says on the order-2 decision.
+        self.stretch = _STRETCH.take(np.minimum(np.where(self.escape, 1, self.size), _ONE - 1))
+        self.stretch0 = _STRETCH.take(self.size0 >> (_BITS0 - _BITS + 1))
         self.place = self.start << 14 | self.size << 1 | self.escape  # all three for one look
         # For a search of (context, follower): the escape comes first in its context.
         self.keys = of << 17 | np.where(self.escape, 0, self.symbol.astype(np.int64) + 1)
@@ -227,8 +230,9 @@ def _run(coder: _Coder, lengths: np.ndarray, orders: Orders, ids: np.ndarray | N
     got = np.zeros((steps, lanes), np.uint16) if ids is None else ids
     if ids is None:
         inside, by_value = orders.lookups()
-    # Order 2: tag of the two ids (8 bits), how often in a row it held (8), the id that followed (16).
-    table = np.zeros(lanes << _SLOTS, np.uint32)
+    # Order 2: tag of the two ids (8 bits), how often in a row it held (8), the id that followed (16); and the entry of order 1 that the id had there.
+    table, known = np.zeros(lanes << _SLOTS, np.uint32), np.zeros(lanes << _SLOTS, np.int32)
+    stretched = np.zeros((3, lanes), np.int64)
     hit = np.full(lanes * 8, _ONE // 2, np.int64)  # how often a guess held, by its record
     weight = np.tile(np.array([[1 << 16], [1 << 15], [0]]), lanes)
     offset = np.arange(lanes, dtype=np.uint32) << _I(_SLOTS)
@@ -248,17 +252,19 @@ def _run(coder: _Coder, lengths: np.ndarray, orders: Orders, ids: np.ndarray | N
         if i.size:
             own = e.take(i).astype(np.int64)
             guess, record = own & 0xFFFF, i << 3 | (own >> 16 & 7)
-            of1 = orders.find(orders.context.take(c1.take(i)), guess)
-            x = np.stack((_STRETCH.take(hit.take(record)), _STRETCH.take(np.minimum(np.where(orders.escape.take(of1), 1, orders.size.take(of1)), _ONE - 1)), _STRETCH.take(orders.size0.take(guess) >> (_BITS0 - _BITS + 1))))
+            of1 = known.take(slot.take(i))
+            was = hit.take(record)
+            x = stretched[:, : i.size]
+            x[0], x[1], x[2] = _STRETCH.take(was), orders.stretch.take(of1), orders.stretch0.take(guess)
             w = weight.take(i, axis=1)
-            p = _SQUASH.take(np.clip((w * x).sum(0) >> 16, -2047, 2047) + 2048)
+            wx = w * x
+            p = _SQUASH.take(np.minimum(np.maximum((wx[0] + wx[1] + wx[2]) >> 16, -2047), 2047) + 2048)
             unit = coder.range.take(i) >> _U(_BITS)
             bit = coder.value(i, unit, _ONE) < p if true is None else true.take(i) == guess
             coder.some(i, np.where(bit, 0, p), np.where(bit, p, _ONE - p), unit)
             goal = bit * (_ONE - 1)
-            was = hit.take(record)
             hit[record] = was + ((goal - was) >> 4)
-            weight[:, i] = np.clip(w + ((x * (goal - p)) >> 10), -(1 << 18), 1 << 18)
+            weight[:, i] = np.minimum(np.maximum(w + ((x * (goal - p)) >> 10), -(1 << 18)), 1 << 18)
             done = i[bit]
             if true is None:
                 value[done] = guess[bit]
@@ -270,6 +276,9 @@ def _run(coder: _Coder, lengths: np.ndarray, orders: Orders, ids: np.ndarray | N
             at = orders.base.take(at) + inside.take((at << _BITS) + v)
         else:
             at = entry[t, :n]
+        known[slot] = at
+        if done is not None and done.size:
+            known[slot.take(done)] = of1[bit]
         place = orders.place.take(at)
         start, size, escape = place >> 14, place >> 1 & 8191, place & 1
         if done is not None and done.size:
