@@ -6,6 +6,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -870,3 +871,38 @@ def test_odd_rows_and_empty_tables(odd, nothing, run):
     rows = got.collect()
     assert len(rows) >= len(ODD)
     assert run(nothing).count() == 0
+
+
+def test_portions_hold_all_rows_in_order_and_few_bytes():
+    texts = ["a" * 30, None, "b" * 30, "", "é" * 200, "c", "d" * 99, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["id", "text"])
+    got = [b.column(1).to_pylist() for b in tables.portions(iter([batch.slice(0, 0), batch, batch.slice(3)]), 1, 100)]
+    assert got == [texts[:4], texts[4:5], texts[5:], [""], texts[4:5], texts[5:]]
+
+
+def test_workers_take_texts_in_portions(spark, monkeypatch):
+    def few(texts, most):
+        if sum(map(len, texts)) > most:
+            raise ValueError("too many at once")
+
+    portion, sketched, sketch = tables.PORTION, neardup.SKETCHED, neardup.sketch
+
+    def encoder(path):
+        class Ids:
+            def many(self, texts):
+                few(texts, portion)
+                return [bytes(4 * len(t)) for t in texts]
+
+        return Ids()
+
+    def some(texts):
+        few(texts, sketched)
+        return sketch(texts)
+
+    monkeypatch.setattr(packing, "encoder", encoder)
+    monkeypatch.setattr(neardup, "sketch", some)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.format_string("%0900d", "id").alias("text"))
+    cut = packing.pieces(docs).agg(F.count("doc_id"), F.countDistinct("doc_id"), F.sum("length")).first()
+    assert tuple(cut) == (3000, 3000, 3000 * 900)
+    held = neardup.sketches(docs).agg(F.count("name"), F.countDistinct("name"), F.countDistinct("content")).first()
+    assert tuple(held) == (3000, 3000, 3000)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.tables import partitions, scratch, stored, text_or_empty
+from tracewell.llm.tables import partitions, portions, scratch, stored, text_or_empty
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -39,6 +39,8 @@ BANDS, ROWS = 20, 4
 PAIRWISE = 32
 #: Bits of the table by which items that one text alone holds are left out before rows are made of the others.
 MARKS = 1 << 24
+#: Bytes of text that are sketched together, about.
+SKETCHED = 1_000_000
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -163,16 +165,9 @@ def sketches(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, at = b.column(3).to_pylist(), 0
-            while at < len(texts):  # some millions of characters at a time
-                end, n = at, 0
-                while end < len(texts) and (n == 0 or n + len(texts[end]) < 3_000_000):
-                    n += len(texts[end])
-                    end += 1
-                k, bands, items = zip(*sketch(texts[at:end]), strict=True)
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, end - at) for c in range(3)), pa.array(k, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(items, pa.binary())], names=["id", "name", "mark", "content", "bands", "items"])
-                at = end
+        for b in portions(batches, 3, SKETCHED):
+            k, bands, items = zip(*sketch(b.column(3).to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(k, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(items, pa.binary())], names=["id", "name", "mark", "content", "bands", "items"])
 
     return docs.select(F.monotonically_increasing_id(), F.col(key), row_mark(key, text), text_or_empty(text)).mapInArrow(run, f"id long, name {kind}, mark binary, content binary, bands array<long>, items binary")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.tables import partitions, stored, text_or_empty
+from tracewell.llm.tables import partitions, portions, stored, text_or_empty
 from tracewell.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 1024
@@ -197,7 +197,7 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in portions(batches, 1):
             which, out = [], []
             for i, ids in enumerate(enc.many(b.column(1).to_pylist())):
                 n = len(ids) // 4

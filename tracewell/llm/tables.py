@@ -9,6 +9,9 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 _OPEN: list[str] = []
 #: Buckets of the histogram from which a sample's threshold is read.
 HASH_BUCKETS = 1 << 16
+#: Bytes of text that a worker's function holds in other forms at a time, about.
+PORTION = 500_000
 
 
 @lru_cache(maxsize=8)
@@ -129,5 +134,21 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int, most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """All rows in their order, as slices that hold up to ``most`` bytes of the text in ``column``, or one longer text.
+
+    A batch may hold tens of MB of text. What is made of it lies beside it, and a
+    worker keeps the memory that it once took, so this is done by slices.
+    """
+    for b in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            before = int(upto[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, before + most, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
